@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandloom.functions.storage import table
-from strandloom.llm import bpe, language, media
+from strandloom.llm import bpe, fuse, language, line_chunks, media
 
 
 def op1_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,40 @@ def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe_media(media.store_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_prefix_bpe, op2_cross_parsing_language, op3_mpeg_audio)}
+def op9_binary_fuse_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact groups of all documents: three quarters of the ids are the snapshot, the others the incoming batch."""
+    return fuse.exact_dedup(table(spark, sf_dir, "documents"), F.pmod(F.col("doc_id"), F.lit(4)) == 3)
 
-ORACLE_SQL: dict[str, str] = {}
+
+OP9_SQL = """
+WITH n AS (
+  SELECT doc_id, coalesce(length(text), 0) AS n_cp, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') AS norm FROM documents
+), g AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n_cp DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM n
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
+"""
+
+
+def op10_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the multi-line chunks that an earlier place of the corpus holds."""
+    return line_chunks.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, len(ls) AS n, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS k FROM d WHERE text IS NOT NULL),
+h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM l),
+e AS (SELECT *, ((lag(h, 1, 0) OVER (PARTITION BY doc_id ORDER BY k) * {line_chunks._BASE} + h) % {line_chunks._PRIME}) % {line_chunks.DIVISOR} = 0 OR k = n AS ends FROM h),
+c AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM e),
+t AS (SELECT doc_id, c, min(k) AS first, count(*) AS n, string_agg(line, chr(10) ORDER BY k) AS chunk FROM c GROUP BY doc_id, c),
+r AS (SELECT doc_id, c, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first) AS place FROM t WHERE n > 1 AND regexp_matches(chunk, '[^\\x20\\x09-\\x0D]')),
+a AS (SELECT c.*, coalesce(r.place, 1) > 1 AS gone FROM c LEFT JOIN r USING (doc_id, c)),
+o AS (SELECT doc_id, string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY k) AS text, count(*) FILTER (gone) AS gone FROM a GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text, coalesce(o.gone, 0) AS n_lines_removed FROM d LEFT JOIN o USING (doc_id)
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_prefix_bpe, op2_cross_parsing_language, op3_mpeg_audio, op9_binary_fuse_dedup, op10_line_chunk_dedup)}
+
+ORACLE_SQL: dict[str, str] = {"op9_binary_fuse_dedup": OP9_SQL, "op10_line_chunk_dedup": OP10_SQL}
