@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.storage import table
-from strandloom.llm import bpe, fuse, language, line_chunks, media
+from strandloom.llm import bpe, fuse, html_text, language, line_chunks, media, mixing
 
 
 def op1_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,50 @@ def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe_media(media.store_media(table(spark, sf_dir, "documents")))
 
 
+def op4_temperature_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' mixture: one row for each use of a document, without its text."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), MIX_ENTROPY, MIX_PASSES).drop("text", "mix_source")
+
+
+MIX_ENTROPY, MIX_PASSES = 0.97, 1.5
+_HASH = "CAST('0x' || substr(md5(concat_ws(':', {})), 1, 15) AS BIGINT)"
+OP4_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(source, chr(0) || 'null') AS src, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS tok FROM documents
+), s AS (SELECT src, sum(tok)::BIGINT AS n FROM d GROUP BY src),
+p AS (SELECT src, n, n::DOUBLE / (SELECT sum(n) FROM s)::DOUBLE AS p FROM s WHERE n > 0),
+b AS (
+  SELECT 0 AS step, 0::DOUBLE AS lo, 1::DOUBLE AS hi, 0::DOUBLE AS lo2, 1::DOUBLE AS hi2
+  UNION ALL
+  SELECT step + 1, CASE WHEN h < goal THEN lo ELSE m END, CASE WHEN h < goal THEN m ELSE hi END, CASE WHEN g <= {MIX_PASSES} THEN lo2 ELSE m2 END, CASE WHEN g <= {MIX_PASSES} THEN m2 ELSE hi2 END
+  FROM (
+    SELECT step, lo, hi, lo2, hi2, (lo + hi) / 2 AS m, (lo2 + hi2) / 2 AS m2,
+      (SELECT ln(sum(pow(p, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(p, (lo + hi) / 2) * ln(p)) / sum(pow(p, (lo + hi) / 2)) FROM p) AS h,
+      (SELECT {MIX_ENTROPY} * ln(count(*)) FROM p) AS goal,
+      (SELECT pow(max(p) / min(p), 1 - (lo2 + hi2) / 2) FROM p) AS g
+    FROM b WHERE step < {mixing.STEPS}
+  )
+), a AS (SELECT CASE WHEN (SELECT count(*) FROM p) < 2 THEN 1 ELSE round(greatest(hi, hi2), 9) END AS alpha FROM b WHERE step = {mixing.STEPS}),
+w AS (SELECT src, n, pow(p, alpha) / (SELECT sum(pow(p, alpha)) FROM p, a) AS w FROM p, a),
+q AS (SELECT src, n, greatest(n, CAST(round_even(w * (SELECT max(n / w) FROM w), 0) AS BIGINT)) AS quota FROM w),
+k AS (
+  SELECT src, greatest(1, quota // greatest(1, n)) AS whole, CASE WHEN n > 0 THEN quota % n ELSE 0 END AS rest, greatest(1, CAST(ceil(n / {mixing.BLOCK_TOKENS}) AS BIGINT)) AS blocks
+  FROM (SELECT * FROM q UNION ALL SELECT src, n, 0 FROM s WHERE n = 0)
+), t AS (SELECT d.*, whole, rest, {_HASH.format("17, src, doc_id")} AS rank, {_HASH.format("17, src, doc_id")} % blocks AS block FROM d JOIN k USING (src)),
+u AS (SELECT src, block, rest, sum(tok) AS tok FROM t GROUP BY ALL),
+v AS (SELECT src, block, tok, rest - (sum(tok) OVER (PARTITION BY src ORDER BY {_HASH.format("18, src, block")}, block) - tok) AS room FROM u),
+x AS (SELECT t.*, coalesce(v.tok, 0) AS block_tok, coalesce(room, 0) AS room, sum(t.tok) OVER (PARTITION BY src, t.block ORDER BY rank, doc_id, t.tok) AS upto FROM t JOIN v USING (src, block)),
+y AS (SELECT doc_id, source, block, whole + CASE WHEN tok > 0 AND room > 0 AND (block_tok <= room OR upto <= room) THEN 1 ELSE 0 END AS uses FROM x),
+z AS (SELECT doc_id, source, block AS mix_block, unnest(range(1, uses + 1)) AS mix_pass FROM y)
+SELECT doc_id, source, mix_pass, mix_block, {_HASH.format("17, mix_pass, doc_id")} AS mix_rank FROM z
+"""
+
+
+def op5_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_binary_fuse_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of all documents: three quarters of the ids are the snapshot, the others the incoming batch."""
     return fuse.exact_dedup(table(spark, sf_dir, "documents"), F.pmod(F.col("doc_id"), F.lit(4)) == 3)
@@ -61,6 +105,6 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') EN
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_prefix_bpe, op2_cross_parsing_language, op3_mpeg_audio, op9_binary_fuse_dedup, op10_line_chunk_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_prefix_bpe, op2_cross_parsing_language, op3_mpeg_audio, op4_temperature_mixture, op5_host_suffix_array, op9_binary_fuse_dedup, op10_line_chunk_dedup)}
 
-ORACLE_SQL: dict[str, str] = {"op9_binary_fuse_dedup": OP9_SQL, "op10_line_chunk_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_temperature_mixture": OP4_SQL, "op9_binary_fuse_dedup": OP9_SQL, "op10_line_chunk_dedup": OP10_SQL}
