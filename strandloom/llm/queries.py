@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.storage import table
-from strandloom.llm import bpe, cotrain, fuse, html_text, language, line_chunks, media, mixing
+from strandloom.llm import bpe, cotrain, fuse, html_text, jaccard, language, line_chunks, media, mixing
 
 
 def op1_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,11 @@ def op7_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.score_quality(docs, cotrain.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_divide_skip_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by three-word shingles and a similarity of 0.9."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op9_binary_fuse_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of all documents: three quarters of the ids are the snapshot, the others the incoming batch."""
     return fuse.exact_dedup(table(spark, sf_dir, "documents"), F.pmod(F.col("doc_id"), F.lit(4)) == 3)
@@ -111,6 +116,6 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') EN
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_prefix_bpe, op2_cross_parsing_language, op3_mpeg_audio, op4_temperature_mixture, op5_host_suffix_array, op7_cotraining_quality, op9_binary_fuse_dedup, op10_line_chunk_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_prefix_bpe, op2_cross_parsing_language, op3_mpeg_audio, op4_temperature_mixture, op5_host_suffix_array, op7_cotraining_quality, op8_divide_skip_jaccard, op9_binary_fuse_dedup, op10_line_chunk_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op4_temperature_mixture": OP4_SQL, "op9_binary_fuse_dedup": OP9_SQL, "op10_line_chunk_dedup": OP10_SQL}
