@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.storage import table
-from strandloom.llm import bpe, cotrain, fuse, html_text, jaccard, language, line_chunks, media, mixing
+from strandloom.llm import bpe, cotrain, fuse, html_text, jaccard, language, line_chunks, media, mixing, pii
 
 
 def op1_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op5_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by two co-trained views."""
     docs = table(spark, sf_dir, "documents")
@@ -116,6 +121,6 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') EN
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_prefix_bpe, op2_cross_parsing_language, op3_mpeg_audio, op4_temperature_mixture, op5_host_suffix_array, op7_cotraining_quality, op8_divide_skip_jaccard, op9_binary_fuse_dedup, op10_line_chunk_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_prefix_bpe, op2_cross_parsing_language, op3_mpeg_audio, op4_temperature_mixture, op5_host_suffix_array, op6_bootstrapped_pii, op7_cotraining_quality, op8_divide_skip_jaccard, op9_binary_fuse_dedup, op10_line_chunk_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op4_temperature_mixture": OP4_SQL, "op9_binary_fuse_dedup": OP9_SQL, "op10_line_chunk_dedup": OP10_SQL}
