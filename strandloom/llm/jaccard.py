@@ -322,6 +322,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     return placed.unionByName(nameless).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
+def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all their columns, without those whose component has a smaller doc_id.
+
+    Rows without an id or words stay; rows of one id stay or go together.
+    """
+    gone = jaccard_components(docs, width, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+
+
 def _labelled(postings: DataFrame, links: DataFrame) -> DataFrame:
     joined = components(links).withColumnRenamed("node", "doc")
     return materialise(postings.select("token", "doc", "n").join(joined, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component"), "labelled")

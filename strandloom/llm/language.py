@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Bound of the labelled sample: rows of a language, characters taken from each row, characters of a language.
@@ -178,7 +179,10 @@ def labelled_samples(docs: DataFrame) -> dict[str, str]:
     thinned by that hash during the scan, so no text is shuffled but the few that are candidates.
     """
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & (F.col("lang") != "und") & (F.length("text") > 0))
-    counts = rows.groupBy("lang").count()
+    totals = rows.groupBy("lang").count().collect()  # a number for each language
+    if not totals:
+        return {}
+    counts = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], r["count"]) for r in totals], "lang string, count long"))
     unit = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     thinned = rows.select("lang", "doc_id", unit.alias("u"), "text").join(counts, "lang").filter(F.col("u") * F.col("count") < 3 * SAMPLE_ROWS)
     at = (F.lit(1) + F.floor(F.col("u") * 1e6) % F.greatest(F.lit(1), F.length("text") - PIECE_CHARS + 1)).cast("int")
@@ -190,8 +194,8 @@ def labelled_samples(docs: DataFrame) -> dict[str, str]:
     return found
 
 
-def identify_languages(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, held_out, lang_pred, score.
+def identify_languages(docs: DataFrame, samples: dict[str, str] | None = None, carry: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, held_out, lang_pred, score, and with ``carry`` the whole row as ``row``.
 
     Only the text decides. A null or letterless text, or a table without labels, gives lang_pred und and score 0.
     The score is the share by which the best cross-entropy lies below the second best. Ties go to the language that
@@ -208,16 +212,21 @@ def identify_languages(docs: DataFrame, samples: dict[str, str] | None = None) -
             while start < batch.num_rows:
                 texts, chars, stop = [], 0, start
                 while stop < batch.num_rows and chars < 2_000_000:
-                    texts.append(batch.column(2)[stop].as_py())
+                    texts.append(batch["text"][stop].as_py())
                     chars += len(texts[-1] or "")
                     stop += 1
                 found = parser.classify(texts)
                 part = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
-                    names=["doc_id", "held_out", "lang_pred", "score"],
-                )
+                columns = [part["doc_id"], part["held_out"], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns + [part["row"]] * carry, names=names)
                 start = stop
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    names = ["doc_id", "held_out", "lang_pred", "score"] + ["row"] * carry
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").alias("text"), *[F.struct("*").alias("row")] * carry)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, T.StructType(schema.fields + [rows.schema["row"]] * carry) if carry else schema)
+
+
+def keep_identified(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFrame:
+    """The rows of ``docs``, all their columns, whose text has a language; null and letterless texts go."""
+    return identify_languages(docs, samples, carry=True).filter("lang_pred <> 'und'").select("row.*")
