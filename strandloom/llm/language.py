@@ -218,7 +218,7 @@ def identify_languages(docs: DataFrame, samples: dict[str, str] | None = None, c
                 found = parser.classify(texts)
                 part = batch.slice(start, stop - start)
                 columns = [part["doc_id"], part["held_out"], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns + [part["row"]] * carry, names=names)
+                yield pa.RecordBatch.from_arrays(columns + ([part["row"]] if carry else []), names=names)
                 start = stop
 
     names = ["doc_id", "held_out", "lang_pred", "score"] + ["row"] * carry
