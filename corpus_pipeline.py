@@ -1,10 +1,63 @@
-"""A training corpus from documents, in stages that each read what the stage before has written."""
+"""A training corpus from documents, in stages that each read what the stage before has written.
+
+Language identification, line deduplication, near-copy removal, source mixing, byte-level
+encoding. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom.functions.storage import materialise, table
+from strandloom.llm import bpe, jaccard, language, line_chunks, mixing
+
+#: Parameters of the stages.
+SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
+MIX_ENTROPY, MIX_PASSES = 0.97, 1.5
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language; those without text or letters go."""
+    return language.keep_identified(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without chunks of lines that an earlier place holds; those of which nothing is left go.
+
+    n_chars becomes the length of the text that is left.
+    """
+    left = line_chunks.dedup_lines(docs).filter("n_lines_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").drop("n_lines_removed")
+    left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
+    return left.select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.drop_near_copies(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: every document at least once, those of small sources more often."""
+    return mixing.mix_sources(docs, MIX_ENTROPY, MIX_PASSES).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each use of a document, with their digests."""
+    return bpe.encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep_ids=True)
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_copies", near_copies), ("mix", mix), ("encode", encode)]
+
+#: SQL can express neither the automata of the first stage nor the encoding of the last.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage returns is written as Parquet and read again for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
