@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom.functions.intervals import overlap
+from strandloom.functions.runs import fold_groups
 from strandloom.functions.sizes import small
 from strandloom.operators.layout import visual_interval
 
@@ -44,22 +44,23 @@ def chains(paf: DataFrame, minimum: int = 10_000) -> DataFrame:
     A group is the alignments of one query with one target; it holds what aligners emit for a pair of sequences.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def best(group: list[dict]) -> list[tuple]:
         found = []
-        for strand, part in group.groupby("strand"):
-            sign = -1 if strand == "-" else 1
-            rows = [(r.query_start, r.query_end, *((r.target_start, r.target_end) if sign > 0 else (-r.target_end, -r.target_start)), r.matches, r.block_len, r.mapq) for r in part.itertuples()]
-            chain = _best_chain(rows)
+        for strand in ("+", "-"):
+            part = [r for r in group if r["strand"] == strand]
+            if not part:
+                continue
+            ends = [(r["target_start"], r["target_end"]) if strand == "+" else (-r["target_end"], -r["target_start"]) for r in part]
+            chain = _best_chain([(r["query_start"], r["query_end"], *e, r["matches"], r["block_len"], r["mapq"]) for r, e in zip(part, ends, strict=True)])
             score = (sum(r[1] - r[0] for r in chain), sum(r[4] for r in chain), sum(r[5] for r in chain), sum(r[6] * r[5] for r in chain), -len(chain))
             found.append((score, strand == "+", strand, chain))
         _, _, strand, chain = max(found, key=lambda x: x[:2])
         lo, hi = min(r[2] for r in chain), max(r[3] for r in chain)
         lo, hi = (-hi, -lo) if strand == "-" else (lo, hi)
-        first = group.iloc[0]
-        row = (first["query_name"], first["target_name"], strand, min(r[0] for r in chain), max(r[1] for r in chain), lo, hi, sum(r[4] for r in chain), sum(r[5] for r in chain), min(r[6] for r in chain), len(chain))
-        return pd.DataFrame([row], columns=[c.split()[0] for c in _CHAIN.split(", ")])
+        return [(group[0]["query_name"], group[0]["target_name"], strand, min(r[0] for r in chain), max(r[1] for r in chain), lo, hi, sum(r[4] for r in chain), sum(r[5] for r in chain), min(r[6] for r in chain), len(chain))]
 
-    merged = paf.groupBy("query_name", "target_name").applyInPandas(run, _CHAIN)
+    columns = ["query_name", "target_name", "strand", "query_start", "query_end", "target_start", "target_end", "matches", "block_len", "mapq"]
+    merged = fold_groups(paf.select(*columns), ["query_name", "target_name"], ["query_start", "query_end", "target_start", "target_end"], best, _CHAIN)
     return merged.filter(F.col("query_end") - F.col("query_start") >= minimum)
 
 
