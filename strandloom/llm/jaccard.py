@@ -224,7 +224,7 @@ def _frequencies(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["chunk", "a", "b"])
 
 
-_RANKED = "doc long, n long, central double, prefix array<long>, tokens binary"
+_RANKED = "doc long, n long, lone long, prefix array<long>, tokens binary"
 
 
 def _ranked(percent: int):
@@ -243,8 +243,8 @@ def _ranked(percent: int):
                 short = r.n - needed(r.n, percent) + 1 - (r.n - len(shared))  # the lists of length 1 come first
                 if short > 0 and len(shared):
                     order = np.lexsort((shared, freq))[:short]
-                    out.append((r.doc, r.n, len(shared) / r.n, shared[order].view(np.int64), shared.tobytes()))
-        return pd.DataFrame(out, columns=["doc", "n", "central", "prefix", "tokens"])
+                    out.append((r.doc, r.n, r.n - len(shared), shared[order].view(np.int64), shared.tobytes()))
+        return pd.DataFrame(out, columns=["doc", "n", "lone", "prefix", "tokens"])
 
     return run
 
@@ -294,25 +294,29 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     asked = sets.select("chunk", "tokens").mapInArrow(_requests(shards), _PACKED)
     df = asked.groupBy("shard").applyInPandas(_frequencies, "chunk string, a binary, b binary")
     ranked = materialise(sets.groupBy("chunk").cogroup(df.groupBy("chunk")).applyInPandas(_ranked(percent), _RANKED).dropDuplicates(["doc", "tokens"]), "ranked")
-    postings = materialise(ranked.select("doc", "n", "central", F.explode("prefix").alias("token")), "postings")
-    alike = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+    postings = ranked.select("doc", "n", (1 - F.col("lone") / F.col("n")).alias("central"), "lone", F.posexplode("prefix").alias("place", "token"))
+    postings = materialise(postings.select("doc", "n", "central", "token", (F.col("n") - F.col("lone") - F.col("place")).alias("left")), "postings")
+    # a pair that reaches the similarity has, from its first common shingle on, enough shingles left on both sides
+    alike = F.least("left_a", "left_b") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+
+    def sides(rows: DataFrame, x: str) -> DataFrame:
+        return rows.withColumnsRenamed({"doc": x, "n": f"n{x}", "left": f"left_{x}", "comp": f"comp_{x}"})
+
     # each list's most central document is tried with all others of the list, which settles most groups of copies
-    hubs = postings.groupBy("token").agg(F.max(F.struct("central", "n", "doc")).alias("hub"), F.count(F.lit(1)).alias("len")).filter("len > 1").select("token", F.col("hub.doc").alias("b"), F.col("hub.n").alias("nb"))
-    pairs = postings.join(hubs, "token").select(F.col("doc").alias("a"), F.col("n").alias("na"), "b", "nb").filter((F.col("a") != F.col("b")) & alike).select("a", "b").distinct()
+    hubs = postings.groupBy("token").agg(F.max(F.struct("central", "n", "doc", "left")).alias("hub"), F.count(F.lit(1)).alias("len")).filter("len > 1").select("token", "hub.doc", "hub.n", "hub.left")
+    pairs = sides(postings, "a").join(sides(hubs, "b"), "token").filter((F.col("a") != F.col("b")) & alike).select("a", "b").distinct()
     links = materialise(_verified(pairs, ranked, percent), "links")
     for turn in range(2):  # then a document of the list's largest component with those outside it
         labelled = _labelled(postings, links)
-        main = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("len"), F.min(F.struct(F.xxhash64("doc", F.lit(turn)), "doc", "n")).alias("one"))
-        main = main.groupBy("token").agg(F.max(F.struct("len", "comp", "one")).alias("m"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("token", "m.comp", F.col("m.one.doc").alias("b"), F.col("m.one.n").alias("nb"))
-        far = labelled.select("token", "doc", F.col("n").alias("na"), F.col("comp").alias("own")).join(main, "token").filter((F.col("own") != F.col("comp")) & alike)
-        found = _verified(far.select(F.col("doc").alias("a"), "b").distinct(), ranked, percent)
-        links = materialise(links.unionByName(found), "links")
+        main = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("len"), F.min(F.struct(F.xxhash64("doc", F.lit(turn)), "doc", "n", "left")).alias("one"))
+        main = main.groupBy("token").agg(F.max(F.struct("len", "comp", "one")).alias("m"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("token", "m.comp", "m.one.doc", "m.one.n", "m.one.left")
+        far = sides(labelled, "a").join(sides(main, "b"), "token").filter((F.col("comp_a") != F.col("comp_b")) & alike)
+        links = materialise(links.unionByName(_verified(far.select("a", "b").distinct(), ranked, percent)), "links")
     # what is left: pairs of a list that no known link joins
     labelled = _labelled(postings, links)
     open_lists = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
     left = materialise(labelled.join(open_lists, "token"), "open")
-    mates = left.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("other"))
-    rest = left.withColumnRenamed("doc", "a").withColumnRenamed("n", "na").join(mates, "token").filter((F.col("comp") < F.col("other")) & alike).select("a", "b").distinct()
+    rest = sides(left, "a").join(sides(left, "b"), "token").filter((F.col("comp_a") < F.col("comp_b")) & alike).select("a", "b").distinct()
     links = materialise(links.unionByName(_verified(rest, ranked, percent)), "links")
     joined = components(links)
     own = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.col("n"), F.coalesce("component", "rep").alias("component_id"))
@@ -333,4 +337,4 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
 
 def _labelled(postings: DataFrame, links: DataFrame) -> DataFrame:
     joined = components(links).withColumnRenamed("node", "doc")
-    return materialise(postings.select("token", "doc", "n").join(joined, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component"), "labelled")
+    return materialise(postings.select("token", "doc", "n", "left").join(joined, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component"), "labelled")
