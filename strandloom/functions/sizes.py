@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions.storage import materialise
+
 #: Rows of a layout, a bin table or a request that are small enough for every executor.
 BROADCAST_ROWS = 500_000
 
@@ -12,3 +14,8 @@ BROADCAST_ROWS = 500_000
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows; else unchanged, and joins shuffle it."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def small_once(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` written to the shared folder, so that several joins and the check of its size compute it once."""
+    return small(materialise(df, name), limit)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.intervals import elementary_segments, overlap
-from strandloom.functions.sizes import small
+from strandloom.functions.sizes import small, small_once
 from strandloom.operators.layout import visual_position
 
 
@@ -25,11 +25,11 @@ def projected(contacts: DataFrame, layout: DataFrame) -> DataFrame:
 
     Shares divide by all placements of either end, whether a viewport shows them or not.
     """
-    segments = small(placements(layout))
+    segments = small_once(placements(layout), "segments")
     end = lambda n: segments.select(*[F.col(c).alias(f"{c}_{n}") for c in segments.columns])
     a, b = end(1), end(2)
     inside = lambda n: (F.col(f"source{n}") == F.col(f"source_id_{n}")) & (F.col(f"start{n}") >= F.col(f"seg_start_{n}")) & (F.col(f"start{n}") < F.col(f"seg_end_{n}"))
-    hit = contacts.join(small(a), inside(1)).join(small(b), inside(2))
+    hit = contacts.join(a, inside(1)).join(b, inside(2))
     at = lambda n: visual_position(F.col(f"start{n}"), f"orientation_{n}", f"source_start_{n}", f"source_end_{n}", f"visual_start_{n}")
     return hit.select(F.least(at(1), at(2)).alias("x"), F.greatest(at(1), at(2)).alias("y"), (F.col("count") / (F.col("copies_1") * F.col("copies_2"))).alias("share"))
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.sizes import small
+from strandloom.functions.sizes import small_once
 from strandloom.operators.contacts import placements
 from strandloom.operators.layout import visual_interval
 
 
 def project_coverage(records: DataFrame, layout: DataFrame, resolution: int, x_start: int | None = None, x_end: int | None = None) -> DataFrame:
     """x_bin and value of records (chrom, start, end, value): each placement gets its share, each bin the mean over covered bases."""
-    segments = small(placements(layout))
+    segments = small_once(placements(layout), "segments")
     hit = records.join(segments, (F.col("chrom") == F.col("source_id")) & (F.col("start") < F.col("seg_end")) & (F.col("end") > F.col("seg_start")))
     lo, hi = visual_interval(F.greatest("start", "seg_start"), F.least("end", "seg_end"))
     parts = hit.select(lo.alias("lo"), hi.alias("hi"), (F.col("value") / F.col("copies")).alias("share")).filter("lo < hi")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom.functions.intervals import overlap
-from strandloom.functions.sizes import small
+from strandloom.functions.sizes import small_once
 
 
 def bin_members(layout: DataFrame, resolution: int) -> DataFrame:
@@ -22,12 +22,13 @@ def contact_links(cells: DataFrame, layout: DataFrame, resolution: int) -> DataF
 
     A cell's count is dealt to its members' pairs by their shares; pairs of a block with itself are dropped.
     """
-    members = small(bin_members(layout, resolution))
+    members = small_once(bin_members(layout, resolution), "members")
     x, y = members.select(F.col("bin").alias("x_bin"), F.col("block_id").alias("bx"), F.col("share").alias("sx")), members.select(F.col("bin").alias("y_bin"), F.col("block_id").alias("by"), F.col("share").alias("sy"))
-    dealt = cells.join(small(x), "x_bin").join(small(y), "y_bin").filter("bx <> by")
+    dealt = cells.join(x, "x_bin").join(y, "y_bin").filter("bx <> by")
     summed = dealt.groupBy(F.least("bx", "by").alias("source"), F.greatest("bx", "by").alias("target")).agg(F.sum(F.col("count") * F.col("sx") * F.col("sy")).alias("raw_count"))
-    mb = lambda c: layout.select(F.col("block_id").alias(c), ((F.col("visual_end") - F.col("visual_start")) / 1e6).alias(f"_{c}"))
-    sized = summed.join(small(mb("source")), "source").join(small(mb("target")), "target")
+    sizes = small_once(layout.select("block_id", "visual_start", "visual_end"), "sizes")
+    mb = lambda c: sizes.select(F.col("block_id").alias(c), ((F.col("visual_end") - F.col("visual_start")) / 1e6).alias(f"_{c}"))
+    sized = summed.join(mb("source"), "source").join(mb("target"), "target")
     return sized.select("source", "target", "raw_count", (F.col("raw_count") / (F.col("_source") * F.col("_target"))).alias("normalized_per_mb2"))
 
 
@@ -86,9 +87,10 @@ def line_modes(cells: DataFrame, members: DataFrame, width: int) -> DataFrame:
 
     ``members`` has bin, block_id and at (a local coordinate).
     """
+    members = small_once(members, "members")
     x = members.select(F.col("bin").alias("x_bin"), F.col("block_id").alias("source"), F.col("at").alias("a"))
     y = members.select(F.col("bin").alias("y_bin"), F.col("block_id").alias("target"), F.col("at").alias("b"))
-    hit = cells.join(small(x), "x_bin").join(small(y), "y_bin").filter("source < target")
+    hit = cells.join(x, "x_bin").join(y, "y_bin").filter("source < target")
     modes = hit.select("source", "target", "count", F.explode(F.array(F.struct(F.lit("+").alias("line"), F.floor((F.col("b") - F.col("a")) / width).alias("mode")), F.struct(F.lit("-").alias("line"), F.floor((F.col("b") + F.col("a")) / width).alias("mode")))).alias("m"))
     return modes.groupBy("source", "target", "m.line", "m.mode").agg(F.sum("count").alias("weight"))
 

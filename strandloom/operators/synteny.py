@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from strandloom.functions.intervals import overlap
 from strandloom.functions.runs import fold_groups
-from strandloom.functions.sizes import small
+from strandloom.functions.sizes import small_once
 from strandloom.operators.layout import visual_interval
 
 _CHAIN = "query_name long, target_name long, strand string, query_start long, query_end long, target_start long, target_end long, matches long, block_len long, mapq int, fragments int"
@@ -89,7 +89,7 @@ def arbitrate(rows: DataFrame) -> DataFrame:
 
 def project_alignments(rows: DataFrame, layout: DataFrame, min_mapq: int = 0, min_len: int = 0) -> DataFrame:
     """Alignments cut at the layout's blocks: visual interval, target interval by proportion, strand in view."""
-    hit = rows.filter(F.col("mapq") >= min_mapq).join(small(layout), (F.col("query_name") == F.col("source_id")) & (F.col("query_start") < F.col("source_end")) & (F.col("query_end") > F.col("source_start")))
+    hit = rows.filter(F.col("mapq") >= min_mapq).join(small_once(layout, "layout"), (F.col("query_name") == F.col("source_id")) & (F.col("query_start") < F.col("source_end")) & (F.col("query_end") > F.col("source_start")))
     s, e = F.greatest("query_start", "source_start"), F.least("query_end", "source_end")
     vs, ve = visual_interval(s, e)
     span, target = (F.col("query_end") - F.col("query_start")).cast("decimal(20,0)"), (F.col("target_end") - F.col("target_start")).cast("decimal(18,0)")

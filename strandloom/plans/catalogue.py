@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from strandloom.functions import intervals, stats
 from strandloom.functions.storage import materialise, table
-from strandloom.operators import assembly_graph, balance, contacts, coverage, evidence, graph, layout, pyramid, synteny
+from strandloom.operators import assembly_graph, balance, contacts, coverage, evidence, graph, layout, pyramid, recommend, synteny
 from strandloom.plans import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -557,3 +557,69 @@ def q_events_windows(spark, sf):
   SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""")
 def q_events_sessions(spark, sf):
     return table(spark, sf, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n")).drop("w")
+
+
+# recommendations
+
+@query(f"""RECURSIVE {_PROJECT}, {_WINDOWS}, quad AS (SELECT source, target, sum(CASE WHEN a.side = 'l' AND b.side = 'l' THEN v ELSE 0 END) AS ll, sum(CASE WHEN a.side = 'l' AND b.side = 'r' THEN v ELSE 0 END) AS lr,
+  sum(CASE WHEN a.side = 'r' AND b.side = 'l' THEN v ELSE 0 END) AS rl, sum(CASE WHEN a.side = 'r' AND b.side = 'r' THEN v ELSE 0 END) AS rr
+  FROM (SELECT source, target, a, b, count * a.part * b.part AS v FROM pr JOIN wpart a ON a.block_id = source JOIN mir ON x_bin = a.bin JOIN wpart b ON b.block_id = target AND b.bin = y_bin) GROUP BY 1, 2),
+r AS (SELECT *, round(greatest(ll, lr, rl, rr), 6) AS m, round(ll + lr + rl + rr, 6) AS t FROM quad);;
+SELECT source, target, CASE WHEN round(ll, 6) = m THEN 'll' WHEN round(lr, 6) = m THEN 'lr' WHEN round(rl, 6) = m THEN 'rl' ELSE 'rr' END AS ends, round(log2((m + 1) / ((t - m) / 3 + 1)), 4) AS score FROM r""")
+def q_junction_scores(spark, sf):
+    return recommend.junction_scores(q_quadrants(spark, sf)).withColumn("score", F.round("score", 4))
+
+
+@query("""RECURSIVE loci AS (SELECT query_name, target_name, sum(block_len) AS bases, sum(matches) / sum(block_len) AS identity, sum(mapq * block_len) / sum(block_len) AS mapq, CAST(sum(matches) AS BIGINT) AS score, any_value(query_len) AS query_len FROM paf WHERE block_len > 0 GROUP BY 1, 2),
+r AS (SELECT *, score / sum(score) OVER (PARTITION BY query_name) AS dominance, row_number() OVER (PARTITION BY query_name ORDER BY score DESC, target_name) AS k FROM loci);;
+SELECT query_name, target_name, round(dominance, 6) AS dominance, round(least(1.0, bases / query_len), 6) AS coverage, CASE WHEN least(1.0, bases / query_len) < 0.05 THEN 'coverage' WHEN identity < 0.83 THEN 'identity' WHEN mapq < 10 THEN 'mapq' WHEN dominance < 0.1 THEN 'dominance' ELSE 'anchor' END AS status FROM r WHERE k = 1""")
+def q_primary_anchor(spark, sf):
+    base = views.paf(spark, sf).filter("block_len > 0")
+    loci = evidence.locus_stats(base).drop("score").join(base.groupBy("query_name", "target_name").agg(F.sum("matches").alias("score")), ["query_name", "target_name"])
+    out = recommend.primary_anchors(loci, base.select("query_name", "query_len").distinct(), 0.05, 0.83, 10, 0.1)
+    return out.select("query_name", "target_name", F.round("dominance", 6).alias("dominance"), F.round("coverage", 6).alias("coverage"), "status")
+
+
+@query(None)
+def q_pair_matching(spark, sf):
+    links = _links(spark, sf)
+    return recommend.pair_groups(links.select((F.expr("source div 4 * 100 + target % 100")).alias("group"), F.col("source").alias("row"), F.col("target").alias("column"), F.col("score").cast("double").alias("score")))
+
+
+@query(None)
+def q_linkage_clusters(spark, sf):
+    return recommend.linkage_clusters(_anchors(spark, sf))
+
+
+@query("""RECURSIVE n AS (SELECT source_id, count(*) AS n FROM layout GROUP BY 1), s AS (SELECT l.*, row_number() OVER (PARTITION BY object_id ORDER BY ord) AS pos, n FROM layout l JOIN n USING (source_id)),
+b AS (SELECT g.*, f.object_id AS fo, f.pos AS fp, f.orientation AS fr, f.n AS fn, t.object_id AS too, t.pos AS tp, t.orientation AS tr, t.n AS tn FROM glink g LEFT JOIN s f ON f.source_id = from_segment LEFT JOIN s t ON t.source_id = to_segment),
+k AS (SELECT *, fo = too AND abs(fp - tp) = 1 AS near, CASE WHEN (fr = '-') = (from_side = 'start') THEN 'right' ELSE 'left' END AS fs, CASE WHEN (tr = '-') = (to_side = 'start') THEN 'right' ELSE 'left' END AS ts FROM b),
+r AS (SELECT DISTINCT CASE WHEN fn > 1 OR tn > 1 THEN 3 WHEN fn IS NULL OR tn IS NULL THEN 2 WHEN near AND NOT (CASE WHEN fp < tp THEN fs = 'right' AND ts = 'left' ELSE fs = 'left' AND ts = 'right' END) THEN 0 WHEN NOT near AND fo = too THEN 1 END AS priority, line_no, from_segment, to_segment FROM k);;
+SELECT CAST(priority AS INTEGER) AS priority, ['orientation-conflict', 'off-backbone', 'unplaced-neighbour', 'copy-ambiguity'][priority + 1] AS kind, line_no, from_segment, to_segment FROM r WHERE priority IS NOT NULL ORDER BY priority, line_no LIMIT 40""")
+def q_curation_issues(spark, sf):
+    return recommend.curation_issues(views.glink(spark, sf), views.layout(spark, sf))
+
+
+@query("""RECURSIVE e AS (SELECT block_id, object_id, source_id, CASE WHEN source_id % 13 = 0 THEN CASE orientation WHEN '+' THEN '-' ELSE '+' END ELSE orientation END AS orientation FROM layout);;
+SELECT l.object_id, count(DISTINCT l.block_id) AS blocks, count(DISTINCT l.source_id) AS sources FROM layout l JOIN e ON l.block_id = e.block_id WHERE l.orientation <> e.orientation GROUP BY 1""")
+def q_history_impact(spark, sf):
+    before = views.layout(spark, sf)
+    after = before.withColumn("orientation", F.when(F.col("source_id") % 13 == 0, layout.flip(F.col("orientation"))).otherwise(F.col("orientation")))
+    return recommend.layout_impact(before, after)
+
+
+@query("""RECURSIVE v AS (SELECT *, NOT regexp_matches(object_id, '#[135]') AS shown, source_end - source_start AS len FROM layout);;
+SELECT block_id, object_id, shown, CAST(sum(len + 100) OVER (ORDER BY NOT shown, object_id, source_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - len AS visual_start FROM v""")
+def q_visibility(spark, sf):
+    """Hidden objects move behind the shown ones, so that copies keep their shares."""
+    base = views.layout(spark, sf).withColumn("shown", ~F.col("object_id").rlike("#[135]"))
+    moved = base.drop("visual_start", "visual_end").withColumn("ord", F.col("ord") + F.when(F.col("shown"), 0).otherwise(1 << 40))
+    return layout.with_visual(moved).select("block_id", "object_id", "shown", "visual_start")
+
+
+@query("""SELECT tile_x, md5(string_agg(source_id || ':' || orientation || ':' || (visual_start - tile_x * 5000000), ',' ORDER BY visual_start)) AS fingerprint FROM (
+  SELECT *, unnest(range(visual_start // 5000000, (visual_end - 1) // 5000000 + 1)) AS tile_x FROM layout) GROUP BY 1""")
+def q_tile_fingerprint(spark, sf):
+    cells = views.layout(spark, sf).withColumn("tile_x", F.explode(F.expr("sequence(visual_start div 5000000, (visual_end - 1) div 5000000)")))
+    part = F.struct("visual_start", F.concat_ws(":", "source_id", "orientation", F.col("visual_start") - F.col("tile_x") * 5_000_000).alias("text"))
+    return cells.groupBy("tile_x").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), ",").cast("binary")).alias("fingerprint"))
