@@ -189,3 +189,25 @@ def boundaries(layout: DataFrame) -> DataFrame:
     left = layout.select("object_id", F.lag("block_id").over(w).alias("left_id"), F.col("block_id").alias("right_id"), F.col("visual_start").alias("at"))
     last = layout.withColumn("_next", F.lead("block_id").over(w)).filter("_next IS NULL").select("object_id", F.col("block_id").alias("left_id"), F.lit(None).cast("long").alias("right_id"), F.col("visual_end").alias("at"))
     return left.unionByName(last)
+
+
+def line_distribution(points: DataFrame) -> DataFrame:
+    """Per pair and line: weight, effective count (sum of weights squared over sum of squared weights) and the span of places.
+
+    ``points`` has source, target, line, place and weight.
+    """
+    w = F.sum("weight")
+    return points.groupBy("source", "target", "line").agg(w.alias("weight"), (w * w / F.sum(F.col("weight") * F.col("weight"))).alias("effective"), (F.max("place") - F.min("place") + 1).alias("span"), F.countDistinct("place").alias("places"))
+
+
+def band_scores(modes: DataFrame, radius: int = 1) -> DataFrame:
+    """Per pair and line: the mode whose band of 2 * radius + 1 modes weighs most, and its enrichment over an even spread.
+
+    The band's sum is a range window over modes, so absent modes count 0; ties go to the lowest mode.
+    """
+    key = ["source", "target", "line"]
+    band = F.sum("weight").over(Window.partitionBy(*key).orderBy("mode").rangeBetween(-radius, radius))
+    total, lo, hi = (f.over(Window.partitionBy(*key)) for f in (F.sum("weight"), F.min("mode"), F.max("mode")))
+    rated = modes.withColumn("band", band).withColumn("expected", total * (2 * radius + 1) / F.greatest(hi - lo + 1, F.lit(2 * radius + 1)))
+    k = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("band").desc(), "mode"))
+    return rated.withColumn("_k", k).filter("_k = 1").select(*key, "mode", "band", (F.col("band") / F.col("expected")).alias("enrichment"))

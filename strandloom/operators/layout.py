@@ -141,3 +141,83 @@ def joined_runs(layout: DataFrame) -> DataFrame:
     numbered = sized.withColumn("_lead", leads.cast("int")).withColumn("_n", F.sum("_lead").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     name = F.when(F.col("_size") > 1, F.concat(F.col("object_id"), F.lit("_block_"), F.col("_n").cast("string")))
     return numbered.withColumn("assembly_block_id", name).drop("_run", "_size", "_lead", "_n")
+
+
+def join_split_runs(layout: DataFrame) -> DataFrame:
+    """Restores sources that were cut: neighbours of one copy run without a gap become one block, with the first's id and gap."""
+    w = Window.partitionBy("object_id").orderBy("ord")
+    runs = split_copy_runs(layout)
+    apart = F.coalesce((F.lag("copy_run").over(w) != F.col("copy_run")) | (F.col("gap_before") > 0), F.lit(True))
+    marked = runs.withColumn("_new", apart.cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min(F.struct("ord", "block_id", "gap_before")).alias("_f")
+    merged = marked.groupBy("object_id", "_run", "source_id", "orientation").agg(first, F.min("source_start").alias("source_start"), F.max("source_end").alias("source_end"))
+    return merged.select("_f.block_id", "object_id", "source_id", "source_start", "source_end", "orientation", "_f.gap_before", "_f.ord").select(*COLUMNS)
+
+
+def add_boundaries(layout: DataFrame, starts: Column) -> DataFrame:
+    """Cuts objects before the blocks where ``starts`` holds; the parts behind the first are named object_d2, object_d3 and so on.
+
+    The first block of a part loses its gap. A cut before an object's first block changes nothing.
+    """
+    w = Window.partitionBy("object_id").orderBy("ord")
+    cut = F.coalesce(starts, F.lit(False)) & (F.row_number().over(w) > 1)
+    marked = layout.withColumn("_cut", cut.cast("int")).withColumn("_part", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1)
+    name = F.when(F.col("_part") > 1, F.concat(F.col("object_id"), F.lit("_d"), F.col("_part").cast("string"))).otherwise(F.col("object_id"))
+    return marked.withColumn("object_id", name).withColumn("gap_before", F.when(F.col("_cut") == 1, 0).otherwise(F.col("gap_before")).cast("long")).select(*COLUMNS)
+
+
+def merge_objects(layout: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Objects that pairs (a, b) of ids join, directly or through others, take the smallest of their ids."""
+    from strandloom.operators.graph import components
+
+    into = components(pairs).withColumnRenamed("node", "object_id")
+    return layout.join(into, "object_id", "left").withColumn("object_id", F.coalesce("component", "object_id")).select(*COLUMNS)
+
+
+def place_segment(layout: DataFrame, source_id: Column, length: int, target: int, block_id: int, orientation: str = "+", gap: int = 100) -> DataFrame:
+    """Puts an unplaced source before the target block, in its object, with default gaps on both sides."""
+    at = layout.filter(F.col("block_id") == target).select(F.lit(block_id).cast("long").alias("block_id"), "object_id", source_id.alias("source_id"), F.lit(0).cast("long").alias("source_start"), F.lit(length).cast("long").alias("source_end"), F.lit(orientation).alias("orientation"), "gap_before", (F.col("ord") * 2 - 1).alias("_key"), "ord")
+    rest = layout.withColumn("gap_before", F.when(F.col("block_id") == target, gap).otherwise(F.col("gap_before")).cast("long")).select(*COLUMNS, (F.col("ord") * 2).alias("_key"))
+    return _renumbered(rest.unionByName(at), "_key", "ord")
+
+
+def same_blocks(one: DataFrame, other: DataFrame) -> DataFrame:
+    """One row, ``permutation``: whether two layouts have the same ids with the same source intervals, in any order."""
+    c = ["block_id", "source_id", "source_start", "source_end"]
+    differs = one.select(*c).exceptAll(other.select(*c)).unionByName(other.select(*c).exceptAll(one.select(*c)))
+    return differs.agg((F.count(F.lit(1)) == 0).alias("permutation"))
+
+
+def nearest_boundary(layout: DataFrame, positions: DataFrame, width: int = 1_000_000, most: int = 1_000_000) -> DataFrame:
+    """at, block_id and distance of the block whose visual start is nearest to each position, at most ``most`` away.
+
+    Positions and starts meet in cells of ``width``; ties go to the smaller start, then the smaller id.
+    """
+    reach = -(-most // width)
+    cells = positions.select("at", F.explode(F.expr(f"sequence(at div {width} - {reach}, at div {width} + {reach})")).alias("_cell"))
+    starts = layout.select("block_id", "visual_start", F.expr(f"visual_start div {width}").alias("_cell"))
+    away = F.abs(F.col("visual_start") - F.col("at"))
+    hit = cells.join(starts, "_cell").withColumn("distance", away).filter(F.col("distance") <= most)
+    return hit.groupBy("at").agg(F.min(F.struct("distance", "visual_start", "block_id")).alias("b")).select("at", "b.block_id", "b.distance")
+
+
+def resolve_names(layout: DataFrame, sources: DataFrame) -> DataFrame:
+    """block_id, resolved name and how: exact, coordinates (name:1-100), pieces (name_d2 that partition a source), or missing.
+
+    ``sources`` has name and length; layout source ids are names. Pieces count only if all pieces of a base name, in
+    the order of their number, add up to the source's length; a piece starts where the one before ends.
+    """
+    base = layout.select("block_id", F.col("source_id").alias("name"), (F.col("source_end") - F.col("source_start")).alias("len"))
+    exact = base.join(sources.select("name", F.lit(1).alias("_hit")), "name", "left")
+    ranged = exact.withColumn("_base", F.when(F.col("name").rlike("^.+:[0-9]+-[0-9]+$"), F.regexp_replace("name", ":[0-9]+-[0-9]+$", ""))).withColumn("_from", F.regexp_extract("name", ":([0-9]+)-[0-9]+$", 1).try_cast("long"))
+    ranged = ranged.join(sources.select(F.col("name").alias("_base"), F.lit(1).alias("_ranged")), "_base", "left")
+    pieces = ranged.withColumn("_root", F.regexp_replace("name", "_d[0-9]+$", "")).withColumn("_no", F.coalesce(F.regexp_extract("name", "_d([0-9]+)$", 1).try_cast("long"), F.lit(1).cast("long")))
+    w = Window.partitionBy("_root")
+    summed = pieces.withColumn("_total", F.sum("len").over(w)).withColumn("_start", F.coalesce(F.sum("len").over(w.orderBy("_no", "block_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    joined = summed.join(sources.select(F.col("name").alias("_root"), F.col("length").alias("_whole")), "_root", "left")
+    split = (F.col("_whole") == F.col("_total")) & (F.count(F.lit(1)).over(w) > 1)
+    how = F.when(split, "pieces").when(F.col("_hit").isNotNull(), "exact").when(F.col("_ranged").isNotNull(), "coordinates").otherwise("missing")
+    return joined.withColumn("how", how).select(
+        "block_id", F.when(F.col("how") == "pieces", F.col("_root")).when(F.col("how") == "coordinates", F.col("_base")).when(F.col("how") == "exact", F.col("name")).alias("resolved"),
+        F.when(F.col("how") == "pieces", F.col("_start")).when(F.col("how") == "coordinates", F.col("_from") - 1).when(F.col("how") == "exact", F.lit(0)).cast("long").alias("offset"), "how",
+    )

@@ -623,3 +623,62 @@ def q_tile_fingerprint(spark, sf):
     cells = views.layout(spark, sf).withColumn("tile_x", F.explode(F.expr("sequence(visual_start div 5000000, (visual_end - 1) div 5000000)")))
     part = F.struct("visual_start", F.concat_ws(":", "source_id", "orientation", F.col("visual_start") - F.col("tile_x") * 5_000_000).alias("text"))
     return cells.groupBy("tile_x").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), ",").cast("binary")).alias("fingerprint"))
+
+
+# further edits and evidence
+
+@query("""RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY ord) > 1 AND source_id % 9 = 0 AS cut FROM layout),
+p AS (SELECT *, sum(CAST(cut AS INT)) OVER (PARTITION BY object_id ORDER BY ord ROWS UNBOUNDED PRECEDING) + 1 AS part FROM c);;
+SELECT block_id, object_id || CASE WHEN part > 1 THEN '_d' || part ELSE '' END AS object_id, source_id, source_start, source_end, orientation, CASE WHEN cut THEN 0 ELSE gap_before END AS gap_before, ord FROM p""")
+def q_edit_boundaries(spark, sf):
+    return layout.add_boundaries(views.layout(spark, sf), F.col("source_id") % 9 == 0)
+
+
+@query("""SELECT block_id * 2 AS block_id, object_id, source_id, source_start, source_end, orientation, gap_before, ord * 2 AS ord FROM layout""")
+def q_edit_join(spark, sf):
+    """Cutting blocks and deleting the new gaps gives the blocks back."""
+    middle = F.when(F.col("source_id") % 7 == 0, F.expr("(visual_start + visual_end) div 2"))
+    cut = layout.split_at(views.layout(spark, sf), F.coalesce(middle, F.lit(-1)), gap=0)
+    return layout.join_split_runs(cut)
+
+
+@query("""RECURSIVE q AS (SELECT DISTINCT l_orderkey * 7919 % 52000000 AS "at" FROM lineitem);;
+SELECT "at", block_id, distance FROM (SELECT "at", block_id, abs(visual_start - "at") AS distance, row_number() OVER (PARTITION BY "at" ORDER BY abs(visual_start - "at"), visual_start, block_id) AS k FROM q JOIN layout ON visual_start BETWEEN "at" - 200000 AND "at" + 200000) WHERE k = 1""")
+def q_nearest_boundary(spark, sf):
+    positions = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 7919 % 52_000_000).alias("at")).distinct()
+    return layout.nearest_boundary(views.layout(spark, sf), positions, 100_000, 200_000)
+
+
+@query("""RECURSIVE src AS (SELECT 'ctg' || source_id AS name, length FROM contig WHERE source_id % 5 <> 4),
+b AS (SELECT block_id, CASE source_id % 5 WHEN 1 THEN 'ctg' || source_id || ':101-' || (source_end + 100) WHEN 2 THEN 'ctg' || source_id || CASE WHEN side = 1 THEN '_d2' ELSE '' END ELSE 'ctg' || source_id END AS name, source_id, side, source_end // 2 AS half
+  FROM (SELECT block_id * 2 + side AS block_id, source_id, source_end, side FROM (SELECT *, unnest(CASE WHEN source_id % 5 = 2 THEN [0, 1] ELSE [0] END) AS side FROM layout WHERE object_id <> '~copy')));;
+SELECT block_id, CASE WHEN source_id % 5 <> 4 THEN 'ctg' || source_id END AS resolved, CASE source_id % 5 WHEN 4 THEN NULL WHEN 1 THEN 100 WHEN 2 THEN side * half ELSE 0 END AS "offset",
+  CASE source_id % 5 WHEN 4 THEN 'missing' WHEN 1 THEN 'coordinates' WHEN 2 THEN 'pieces' ELSE 'exact' END AS how FROM b""")
+def q_name_resolution(spark, sf):
+    base = views.layout(spark, sf).filter("object_id <> '~copy'")
+    kind = F.col("source_id") % 5
+    halves = F.when(kind == 2, F.array(F.struct(F.lit(0).alias("side"), F.lit(0).cast("long").alias("s"), F.expr("source_end div 2").alias("e")), F.struct(F.lit(1).alias("side"), F.expr("source_end div 2").alias("s"), F.col("source_end").alias("e")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.lit(0).cast("long").alias("s"), F.col("source_end").alias("e"))))
+    parts = base.withColumn("p", F.explode(halves))
+    name = F.concat(F.lit("ctg"), F.col("source_id").cast("string"), F.when(kind == 1, F.concat(F.lit(":101-"), (F.col("source_end") + 100).cast("string"))).when((kind == 2) & (F.col("p.side") == 1), "_d2").otherwise(""))
+    named = parts.select((F.col("block_id") * 2 + F.col("p.side")).alias("block_id"), name.alias("source_id"), F.col("p.s").alias("source_start"), F.col("p.e").alias("source_end"))
+    sources = views.contig(spark, sf).filter("source_id % 5 <> 4").select(F.concat(F.lit("ctg"), F.col("source_id").cast("string")).alias("name"), "length")
+    return layout.resolve_names(named, sources)
+
+
+@query(f"""RECURSIVE {_PROJECT}, {_LINES}, b AS (SELECT *, sum(weight) OVER (PARTITION BY source, target, line ORDER BY mode RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS band, sum(weight) OVER w AS total, min(mode) OVER w AS lo, max(mode) OVER w AS hi FROM modes WINDOW w AS (PARTITION BY source, target, line)),
+k AS (SELECT *, row_number() OVER (PARTITION BY source, target, line ORDER BY band DESC, mode) AS k FROM b);;
+SELECT source, target, line, mode, band, floor(band / (total * 3 / greatest(hi - lo + 1, 3)) * 1e4 + 0.5) / 1e4 AS enrichment FROM k WHERE k = 1""")
+def q_line_bands(spark, sf):
+    base = materialise(views.layout(spark, sf), "layout")
+    members = base.withColumn("bin", F.explode(F.expr("sequence(visual_start div 10000, (visual_end - 1) div 10000)"))).select("bin", "block_id", (F.col("bin") * 10000 - F.col("visual_start")).alias("at"))
+    modes = evidence.line_modes(contacts.project(views.contact(spark, sf), base, 10_000), members, 10_000)
+    return evidence.band_scores(modes).withColumn("enrichment", F.floor(F.col("enrichment") * 1e4 + 0.5) / 1e4)
+
+
+@query(f"""RECURSIVE {_PROJECT}, {_LINES};;SELECT source, target, line, weight, floor(effective * 1e4 + 0.5) / 1e4 AS effective, span, places FROM (
+  SELECT source, target, line, sum(weight) AS weight, sum(weight) * sum(weight) / sum(weight * weight) AS effective, max(mode) - min(mode) + 1 AS span, count(DISTINCT mode) AS places FROM modes GROUP BY 1, 2, 3)""")
+def q_line_distribution(spark, sf):
+    base = materialise(views.layout(spark, sf), "layout")
+    members = base.withColumn("bin", F.explode(F.expr("sequence(visual_start div 10000, (visual_end - 1) div 10000)"))).select("bin", "block_id", (F.col("bin") * 10000 - F.col("visual_start")).alias("at"))
+    modes = evidence.line_modes(contacts.project(views.contact(spark, sf), base, 10_000), members, 10_000)
+    return evidence.line_distribution(modes.withColumnRenamed("mode", "place")).withColumn("effective", F.floor(F.col("effective") * 1e4 + 0.5) / 1e4)

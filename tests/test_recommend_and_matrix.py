@@ -89,3 +89,19 @@ def test_coarse_level_equals_base_where_blocks_are_aligned(spark):
     up = base.groupBy("source1", F.expr("start1 div 2000 * 2000").alias("start1"), "source2", F.expr("start2 div 2000 * 2000").alias("start2")).agg(F.sum("count").alias("count"))
     coarse = {tuple(r) for r in contacts.project(up, whole.withColumn("source_id", F.col("source_id").cast("long")), 2000).collect()}
     assert fine == coarse
+
+
+def _layout(spark, data):
+    return spark.createDataFrame(data, "block_id long, object_id string, source_id string, source_start long, source_end long, orientation string, gap_before long, ord long")
+
+
+def test_more_edits(spark):
+    base = _layout(spark, [(1, "o", "a", 0, 10, "+", 0, 1), (2, "o", "b", 0, 10, "+", 5, 2), (3, "p", "c", 0, 10, "-", 0, 3)])
+    placed_in = layout.place_segment(base, F.lit("u"), 7, 2, 99).orderBy("ord").collect()
+    assert [(r.source_id, r.gap_before) for r in placed_in] == [("a", 0), ("u", 5), ("b", 100), ("c", 0)]
+    pairs = spark.createDataFrame([("p", "o")], "a string, b string")
+    assert {r.object_id for r in layout.merge_objects(base, pairs).collect()} == {"o"}
+    assert layout.same_blocks(base, layout.move_object_first(base, "p")).first()[0]
+    assert not layout.same_blocks(base, base.filter("block_id > 1")).first()[0]
+    cut = layout.split_at(layout.with_visual(base), F.lit(4), gap=0)
+    assert [(r.source_id, r.source_start, r.source_end) for r in layout.join_split_runs(cut).orderBy("ord").collect()] == [("a", 0, 10), ("b", 0, 10), ("c", 0, 10)]
