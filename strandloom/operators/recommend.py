@@ -152,3 +152,50 @@ def layout_impact(before: DataFrame, after: DataFrame) -> DataFrame:
     columns = ["block_id", "object_id", "source_id", "source_start", "source_end", "orientation", "ord"]
     gone, new = before.select(*columns).exceptAll(after.select(*columns)), after.select(*columns).exceptAll(before.select(*columns))
     return gone.unionByName(new).groupBy("object_id").agg(F.countDistinct("block_id").alias("blocks"), F.countDistinct("source_id").alias("sources"))
+
+
+def tiered_partners(links: DataFrame, selected: DataFrame, conflicts: DataFrame, k: int) -> DataFrame:
+    """selected, partner, score, tier and rank: the k best compatible partners (tier 0) and the k best conflicting ones (tier 1).
+
+    ``links`` has source, target and score; ``selected`` selected; ``conflicts`` selected and partner. Ties go to the
+    smaller partner.
+    """
+    ends = links.select(F.col("source").alias("selected"), F.col("target").alias("partner"), "score").unionByName(links.select(F.col("target").alias("selected"), F.col("source").alias("partner"), "score"))
+    own = ends.join(selected, "selected", "left_semi").join(conflicts.select("selected", "partner").distinct().withColumn("_c", F.lit(1)), ["selected", "partner"], "left")
+    tier = own.withColumn("tier", F.coalesce("_c", F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("selected", "tier").orderBy(F.col("score").desc(), "partner"))
+    return tier.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("selected", "partner", "score", "tier", "rank")
+
+
+def placement_candidates(partners: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """selected, object_id, left_id, right_id and orientation: both ways round, at every boundary beside a partner.
+
+    Boundaries that touch the selected block itself are left out.
+    """
+    beside = boundaries.select("*", F.explode(F.array_compact(F.array("left_id", "right_id"))).alias("partner"))
+    hit = partners.select("selected", "partner").join(beside, "partner").filter(~F.col("left_id").eqNullSafe(F.col("selected")) & ~F.col("right_id").eqNullSafe(F.col("selected")))
+    once = hit.select("selected", "object_id", "left_id", "right_id").distinct()
+    return once.withColumn("orientation", F.explode(F.array(F.lit("+"), F.lit("-"))))
+
+
+def candidate_junctions(candidates: DataFrame) -> DataFrame:
+    """Up to two junctions of each candidate: which side of the selected block meets which neighbour, seen in the layout."""
+    left = F.when(F.col("left_id").isNotNull(), F.struct(F.col("left_id").alias("neighbour"), F.when(F.col("orientation") == "+", "l").otherwise("r").alias("own_side"), F.lit("r").alias("their_side")))
+    right = F.when(F.col("right_id").isNotNull(), F.struct(F.col("right_id").alias("neighbour"), F.when(F.col("orientation") == "+", "r").otherwise("l").alias("own_side"), F.lit("l").alias("their_side")))
+    return candidates.select("selected", "object_id", "left_id", "right_id", "orientation", F.explode(F.array_compact(F.array(left, right))).alias("j")).select("selected", "object_id", "left_id", "right_id", "orientation", "j.*")
+
+
+def rank_candidates(junctions: DataFrame, quadrants: DataFrame, k: int = 3) -> DataFrame:
+    """The k best candidates of each selected block by the mean log-ratio of their junctions' quadrants.
+
+    ``quadrants`` has source < target and ll, lr, rl, rr. A junction without contacts scores 0.
+    """
+    sides = F.expr("stack(4, 'l', 'l', ll, 'l', 'r', lr, 'r', 'l', rl, 'r', 'r', rr) AS (sa, sb, v)")
+    flat = quadrants.select("source", "target", (F.col("ll") + F.col("lr") + F.col("rl") + F.col("rr")).alias("total"), sides)
+    both = flat.select(F.col("source").alias("selected"), F.col("target").alias("neighbour"), F.col("sa").alias("own_side"), F.col("sb").alias("their_side"), "v", "total").unionByName(
+        flat.select(F.col("target").alias("selected"), F.col("source").alias("neighbour"), F.col("sb").alias("own_side"), F.col("sa").alias("their_side"), "v", "total")
+    )
+    scored = junctions.join(both, ["selected", "neighbour", "own_side", "their_side"], "left").withColumn("s", F.coalesce(F.log2((F.col("v") + 1) / ((F.col("total") - F.col("v")) / 3 + 1)), F.lit(0.0)))
+    rated = scored.groupBy("selected", "object_id", "left_id", "right_id", "orientation").agg(F.round(F.avg("s"), 6).alias("score"), F.sum((F.col("v") > 0).cast("int")).alias("supported"))
+    order = [F.col("score").desc(), "object_id", F.col("left_id").asc_nulls_first(), F.col("right_id").asc_nulls_first(), "orientation"]
+    return rated.withColumn("rank", F.row_number().over(Window.partitionBy("selected").orderBy(*order))).filter(F.col("rank") <= k)

@@ -682,3 +682,55 @@ def q_line_distribution(spark, sf):
     members = base.withColumn("bin", F.explode(F.expr("sequence(visual_start div 10000, (visual_end - 1) div 10000)"))).select("bin", "block_id", (F.col("bin") * 10000 - F.col("visual_start")).alias("at"))
     modes = evidence.line_modes(contacts.project(views.contact(spark, sf), base, 10_000), members, 10_000)
     return evidence.line_distribution(modes.withColumnRenamed("mode", "place")).withColumn("effective", F.floor(F.col("effective") * 1e4 + 0.5) / 1e4)
+
+
+_TIERS = f"""{_LINKS}, lk AS (SELECT source * 2 AS source, target * 2 AS target, score FROM links), en AS (SELECT source AS selected, target AS partner, score FROM lk UNION ALL SELECT target, source, score FROM lk),
+cf AS (SELECT DISTINCT a.block_id AS selected, c.block_id AS partner FROM layout a JOIN layout b ON a.source_id % 50 = b.source_id % 50 AND a.block_id <> b.block_id JOIN layout c ON c.object_id = b.object_id WHERE a.source_id % 20 = 7),
+tp AS (SELECT * FROM (SELECT selected, partner, score, tier, row_number() OVER (PARTITION BY selected, tier ORDER BY score DESC, partner) AS rank FROM (
+  SELECT en.*, CASE WHEN cf.partner IS NULL THEN 0 ELSE 1 END AS tier FROM en LEFT JOIN cf ON cf.selected = en.selected AND cf.partner = en.partner WHERE (en.selected // 2) % 20 = 7)) WHERE rank <= 4)"""
+
+
+def _tiers(spark, sf):
+    base = materialise(views.layout(spark, sf), "layout")
+    selected = base.filter("source_id % 20 = 7").select(F.col("block_id").alias("selected"), (F.col("source_id") % 50).alias("m"))
+    # objects that hold a block of the same residue as the selected one are taken
+    held = base.select("object_id", "block_id", (F.col("source_id") % 50).alias("m"))
+    taken = selected.join(held, "m").filter("selected <> block_id").select("selected", "object_id").distinct()
+    conflicts = taken.join(base.select("object_id", F.col("block_id").alias("partner")), "object_id").select("selected", "partner")
+    links = _links(spark, sf).select((F.col("source") * 2).alias("source"), (F.col("target") * 2).alias("target"), "score")
+    return base, recommend.tiered_partners(links, selected.select("selected"), conflicts, 4)
+
+
+@query(f"RECURSIVE {_TIERS};;SELECT selected, partner, score, tier, rank FROM tp")
+def q_tiered_partners(spark, sf):
+    return _tiers(spark, sf)[1]
+
+
+@query(f"""RECURSIVE {_TIERS}, bd AS (SELECT object_id, lag(block_id) OVER (PARTITION BY object_id ORDER BY ord) AS left_id, block_id AS right_id FROM layout
+  UNION ALL SELECT object_id, block_id, NULL FROM (SELECT *, lead(block_id) OVER (PARTITION BY object_id ORDER BY ord) AS n FROM layout) WHERE n IS NULL);;
+SELECT DISTINCT selected, object_id, left_id, right_id, o AS orientation FROM tp JOIN bd ON partner = left_id OR partner = right_id CROSS JOIN (VALUES ('+'), ('-')) t(o) WHERE left_id IS DISTINCT FROM selected AND right_id IS DISTINCT FROM selected""")
+def q_placement_candidates(spark, sf):
+    base, partners = _tiers(spark, sf)
+    return recommend.placement_candidates(partners, evidence.boundaries(base))
+
+
+@query(None)
+def q_placement_ranking(spark, sf):
+    base, partners = _tiers(spark, sf)
+    candidates = recommend.placement_candidates(partners, evidence.boundaries(base))
+    junctions = materialise(recommend.candidate_junctions(candidates), "junctions")
+    pairs = junctions.select(F.least("selected", "neighbour").alias("source"), F.greatest("selected", "neighbour").alias("target")).distinct()
+    quadrants = evidence.quadrants(contacts.project(views.contact(spark, sf), base, 5_000), base, pairs, 5_000, 10_000)
+    return recommend.rank_candidates(junctions, quadrants)
+
+
+@query(f"""RECURSIVE {_PROJECT}, {_LINES}, t AS (SELECT source, target, line, sum(weight) AS weight FROM modes GROUP BY 1, 2, 3), u AS (SELECT source, target, max(CASE WHEN line = '+' THEN weight ELSE 0 END) AS w FROM t GROUP BY 1, 2),
+b AS (SELECT source, target, line, mode, weight / sum(weight) OVER (PARTITION BY source, target, line) AS share, weight FROM modes);;
+SELECT source, target, line, mode, weight FROM b WHERE share > 0.2 AND weight >= 60""")
+def q_allele_lines(spark, sf):
+    """Lines that hold more than a fifth of their orientation's contacts."""
+    base = materialise(views.layout(spark, sf), "layout")
+    members = base.withColumn("bin", F.explode(F.expr("sequence(visual_start div 10000, (visual_end - 1) div 10000)"))).select("bin", "block_id", (F.col("bin") * 10000 - F.col("visual_start")).alias("at"))
+    modes = evidence.line_modes(contacts.project(views.contact(spark, sf), base, 10_000), members, 10_000)
+    share = F.col("weight") / F.sum("weight").over(Window.partitionBy("source", "target", "line"))
+    return modes.withColumn("share", share).filter("share > 0.2 AND weight >= 60").select("source", "target", "line", "mode", "weight")

@@ -105,3 +105,17 @@ def test_more_edits(spark):
     assert not layout.same_blocks(base, base.filter("block_id > 1")).first()[0]
     cut = layout.split_at(layout.with_visual(base), F.lit(4), gap=0)
     assert [(r.source_id, r.source_start, r.source_end) for r in layout.join_split_runs(cut).orderBy("ord").collect()] == [("a", 0, 10), ("b", 0, 10), ("c", 0, 10)]
+
+
+def test_placement_ranking(spark):
+    links = spark.createDataFrame([(1, 2, 9), (1, 3, 5), (1, 4, 7)], "source long, target long, score long")
+    chosen = spark.createDataFrame([(1,)], "selected long")
+    conflicts = spark.createDataFrame([(1, 4)], "selected long, partner long")
+    partners = recommend.tiered_partners(links, chosen, conflicts, 1)
+    assert {(r.partner, r.tier) for r in partners.collect()} == {(2, 0), (4, 1)}
+    boundaries = spark.createDataFrame([("o", None, 2), ("o", 2, 3), ("o", 3, None), ("p", 1, None)], "object_id string, left_id long, right_id long")
+    junctions = recommend.candidate_junctions(recommend.placement_candidates(partners, boundaries))
+    assert junctions.count() == 6  # two at the start of o, four between 2 and 3
+    quadrants = spark.createDataFrame([(1, 2, 0.0, 31.0, 0.0, 0.0), (1, 3, 0.0, 0.0, 7.0, 0.0)], "source long, target long, ll double, lr double, rl double, rr double")
+    best = recommend.rank_candidates(junctions, quadrants, 1).first()
+    assert (best.left_id, best.right_id, best.orientation, best.score, best.supported) == (2, 3, "+", 4.0, 2)
