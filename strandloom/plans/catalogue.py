@@ -144,9 +144,9 @@ def q_viewport_ranges(spark, sf):
     return contacts.viewport_ranges(views.layout(spark, sf), 2_000_000, 25_000_000)
 
 
-@query("""SELECT c.* FROM contact c WHERE EXISTS (SELECT 1 FROM contig WHERE source_id = source1 AND source_id % 2 = 0 AND start1 < length // 2) AND EXISTS (SELECT 1 FROM contig WHERE source_id = source2 AND source_id % 2 = 0 AND start2 < length // 2)""")
+@query("""SELECT c.* FROM contact c WHERE EXISTS (SELECT 1 FROM contig WHERE source_id = source1 AND start1 < length // 2) AND EXISTS (SELECT 1 FROM contig WHERE source_id = source2 AND start2 < length // 2)""")
 def q_selected_ranges(spark, sf):
-    ranges = views.contig(spark, sf).filter("source_id % 2 = 0").select("source_id", F.lit(0).cast("long").alias("start"), F.expr("length div 2").alias("end"))
+    ranges = views.contig(spark, sf).select("source_id", F.lit(0).cast("long").alias("start"), F.expr("length div 2").alias("end"))
     return contacts.select_ranges(views.contact(spark, sf), ranges)
 
 
@@ -219,10 +219,10 @@ def q_row_sums(spark, sf):
     return balance.row_sums(views.pixel(spark, sf))
 
 
-@query(f"RECURSIVE {_SYM};;SELECT i AS bin_id, CAST(sum(count * (j % 7 + 1)) AS BIGINT) AS value FROM sym WHERE j % 5 <> 0 GROUP BY 1")
+@query(f"RECURSIVE {_SYM};;SELECT i AS bin_id, CAST(sum(count * (j % 7 + 1)) AS BIGINT) AS value FROM sym GROUP BY 1")
 def q_spmv(spark, sf):
     pixels = views.pixel(spark, sf)
-    vector = pyramid.bins(views.chrom(spark, sf), 1000).filter("bin_id % 5 <> 0").select("bin_id", (F.col("bin_id") % 7 + 1).alias("w"))
+    vector = pyramid.bins(views.chrom(spark, sf), 1000).select("bin_id", (F.col("bin_id") % 7 + 1).alias("w"))
     return balance.multiply(pixels, vector)
 
 
@@ -495,10 +495,10 @@ def q_adjacency(spark, sf):
     return assembly_graph.adjacency(views.layout(spark, sf))
 
 
-@query("""RECURSIVE e AS (SELECT DISTINCT from_segment AS a, to_segment AS b FROM glink WHERE bases = 50), d AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach(node, comp) AS (SELECT a, a FROM d UNION SELECT d.b, reach.comp FROM reach JOIN d ON d.a = reach.node WHERE reach.comp < d.b);;SELECT node, min(comp) AS component FROM reach GROUP BY 1""")
+@query("""RECURSIVE e AS (SELECT DISTINCT from_segment AS a, to_segment AS b FROM glink), d AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+cc(node, comp) USING KEY (node) AS (SELECT DISTINCT a, a FROM d UNION SELECT d.b, min(cc.comp) FROM cc JOIN d ON d.a = cc.node JOIN recurring.cc AS r ON r.node = d.b WHERE cc.comp < r.comp GROUP BY d.b);;SELECT node, comp AS component FROM cc""")
 def q_components(spark, sf):
-    return graph.components(views.glink(spark, sf).filter("bases = 50").select(F.col("from_segment").alias("a"), F.col("to_segment").alias("b")))
+    return graph.components(views.glink(spark, sf).select(F.col("from_segment").alias("a"), F.col("to_segment").alias("b")))
 
 
 # statistics and sets
@@ -685,17 +685,16 @@ def q_line_distribution(spark, sf):
 
 
 _TIERS = f"""{_LINKS}, lk AS (SELECT source * 2 AS source, target * 2 AS target, score FROM links), en AS (SELECT source AS selected, target AS partner, score FROM lk UNION ALL SELECT target, source, score FROM lk),
-cf AS (SELECT DISTINCT a.block_id AS selected, c.block_id AS partner FROM layout a JOIN layout b ON a.source_id % 50 = b.source_id % 50 AND a.block_id <> b.block_id JOIN layout c ON c.object_id = b.object_id WHERE a.source_id % 20 = 7),
+cf AS (SELECT DISTINCT a.block_id AS selected, c.block_id AS partner FROM layout a JOIN layout b ON a.source_id = b.source_id AND a.block_id <> b.block_id JOIN layout c ON c.object_id = b.object_id),
 tp AS (SELECT * FROM (SELECT selected, partner, score, tier, row_number() OVER (PARTITION BY selected, tier ORDER BY score DESC, partner) AS rank FROM (
-  SELECT en.*, CASE WHEN cf.partner IS NULL THEN 0 ELSE 1 END AS tier FROM en LEFT JOIN cf ON cf.selected = en.selected AND cf.partner = en.partner WHERE (en.selected // 2) % 20 = 7)) WHERE rank <= 4)"""
+  SELECT en.*, CASE WHEN cf.partner IS NULL THEN 0 ELSE 1 END AS tier FROM en LEFT JOIN cf ON cf.selected = en.selected AND cf.partner = en.partner)) WHERE rank <= 4)"""
 
 
 def _tiers(spark, sf):
     base = materialise(views.layout(spark, sf), "layout")
-    selected = base.filter("source_id % 20 = 7").select(F.col("block_id").alias("selected"), (F.col("source_id") % 50).alias("m"))
-    # objects that hold a block of the same residue as the selected one are taken
-    held = base.select("object_id", "block_id", (F.col("source_id") % 50).alias("m"))
-    taken = selected.join(held, "m").filter("selected <> block_id").select("selected", "object_id").distinct()
+    selected = base.select(F.col("block_id").alias("selected"), "source_id")
+    # objects that hold another placement of the selected block's source are taken
+    taken = selected.join(base.select("object_id", "block_id", "source_id"), "source_id").filter("selected <> block_id").select("selected", "object_id").distinct()
     conflicts = taken.join(base.select("object_id", F.col("block_id").alias("partner")), "object_id").select("selected", "partner")
     links = _links(spark, sf).select((F.col("source") * 2).alias("source"), (F.col("target") * 2).alias("target"), "score")
     return base, recommend.tiered_partners(links, selected.select("selected"), conflicts, 4)
