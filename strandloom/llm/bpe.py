@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries that a worker's piece cache holds in each of its two generations.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 300_000
 #: Entries that a worker's table of neighbouring tokens holds before it starts anew.
 CACHE_PAIRS = 400_000
+#: Last bytes of a prefix by which the lengths of its possible last tokens are bounded.
+SUFFIX = 4
 
 
 class Vocabulary:
@@ -34,7 +36,13 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens: dict[int, bytes] = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._pairs: dict[tuple[int, int], bool] = {}
+        #: Length of the longest token that ends in these SUFFIX bytes; other tokens are shorter than SUFFIX.
+        self.reach: dict[bytes, int] = {}
+        for token in ranks:
+            if len(token) >= SUFFIX:
+                end = token[-SUFFIX:]
+                self.reach[end] = max(len(token), self.reach.get(end, 0))
+        self.pairs: dict[tuple[int, int], bool] = {}
         self._reachable: dict[int, bool] = {}
         self._edges: dict[tuple[int, bool], list[tuple[bytes, float]]] = {}
 
@@ -83,7 +91,7 @@ class Vocabulary:
         The parts that face each other change as merges go on; the tokens stay apart unless two facing parts form
         a token of lower rank than those that consume them. Of equal ranks the merge further left comes first.
         """
-        known = self._pairs.get((left, right))
+        known = self.pairs.get((left, right))
         if known is None:
             a, b, i, j, known = self._edge(left, True), self._edge(right, False), 0, 0, True
             while True:
@@ -98,9 +106,9 @@ class Vocabulary:
                     i += 1
                 else:
                     j += 1
-            if len(self._pairs) >= CACHE_PAIRS:
-                self._pairs.clear()
-            self._pairs[left, right] = known
+            if len(self.pairs) >= CACHE_PAIRS:
+                self.pairs.clear()
+            self.pairs[left, right] = known
         return known
 
     def reachable(self, token: int) -> bool:
@@ -120,21 +128,33 @@ class PrefixTable:
         self.last: list[int] = []
         self.append(data)
 
-    def _token_at(self, end: int) -> int:
+    def _fill(self, first: int, stop: int) -> None:
+        """Last tokens of the prefixes of first to stop bytes, the shorter ones being known."""
         v, data, last = self.vocabulary, self.data, self.last
-        find = v.ranks.get
-        for start in range(max(0, end - v.longest), end):
-            token = find(data[start:end])
-            if token is not None and (v.neighbours(last[start - 1], token) if start else v.reachable(token)):
-                return token
-        raise ValueError("the vocabulary lacks a single byte")
+        find, pairs, reach = v.ranks.get, v.pairs.get, v.reach.get
+        for end in range(first, stop + 1):
+            start = end - reach(data[end - SUFFIX : end], SUFFIX - 1) if end >= SUFFIX else 0
+            if start < 0:
+                start = 0
+            while True:
+                token = find(data[start:end])
+                if token is not None:
+                    if start:
+                        fits = pairs((last[start - 1], token))
+                        if fits or fits is None and v.neighbours(last[start - 1], token):
+                            break
+                    elif v.reachable(token):
+                        break
+                start += 1
+                if start == end:
+                    raise ValueError("the vocabulary lacks a single byte")
+            last.append(token)
 
     def append(self, data: bytes) -> None:
         """Adds bytes at the end; what is stored for the old prefixes stays exact."""
         first = len(self.data) + 1
         self.data += data
-        for end in range(first, len(self.data) + 1):
-            self.last.append(self._token_at(end))
+        self._fill(first, len(self.data))
 
     def replace(self, start: int, stop: int, data: bytes) -> int:
         """Puts ``data`` in the place of bytes start to stop and returns how many prefixes were computed anew.
@@ -147,11 +167,10 @@ class PrefixTable:
         self.last = self.last[:start]
         agreed = done = 0
         for end in range(start + 1, len(self.data) + 1):
-            token = self._token_at(end)
-            self.last.append(token)
+            self._fill(end, end)
             done += 1
             if end > shift:
-                agreed = agreed + 1 if token == old_last[end - shift - 1] else 0
+                agreed = agreed + 1 if self.last[-1] == old_last[end - shift - 1] else 0
                 if agreed >= self.vocabulary.longest:
                     self.last += old_last[end - shift :]
                     break
