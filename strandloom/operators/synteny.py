@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from heapq import heappop, heappush
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,26 +14,55 @@ from strandloom.functions.runs import fold_groups
 from strandloom.functions.sizes import small_once
 from strandloom.operators.layout import visual_interval
 
-_CHAIN = "query_name long, target_name long, strand string, query_start long, query_end long, target_start long, target_end long, matches long, block_len long, mapq int, fragments int"
+_CHAIN = "query_name long, target_name long, strand string, query_start long, query_end long, target_start long, target_end long, matches long, block_len long, mapq int, fragments int, aligned long"
+
+
+class _PrefixBest:
+    """Greatest value among the keys up to a bound, as values are added one by one (a binary indexed tree)."""
+
+    def __init__(self, size: int):
+        self.cells: list[tuple | None] = [None] * (size + 1)
+
+    def add(self, at: int, value: tuple) -> None:
+        at += 1
+        while at < len(self.cells):
+            if self.cells[at] is None or value > self.cells[at]:
+                self.cells[at] = value
+            at += at & -at
+
+    def upto(self, count: int) -> tuple | None:
+        best = None
+        while count:
+            if self.cells[count] is not None and (best is None or self.cells[count] > best):
+                best = self.cells[count]
+            count -= count & -count
+        return best
 
 
 def _best_chain(rows: list[tuple]) -> list[tuple]:
     """Fragments of the best collinear chain of (query start, end, target start, end, matches, length, mapq).
 
-    Chains compare by query span, matches, length, mapq times length, then fewer fragments. A fragment follows
-    another if it begins behind its effective end in query and target, which is the end less at most 1,000 bases
-    or half the span.
+    Chains compare by aligned target bases, matches, length, mapq times length, then fewer fragments. A fragment
+    follows another if it begins behind its effective end in query and target, which is the end less at most 1,000
+    bases or half the span. Fragments come by query start; those whose effective end lies behind wait in a heap.
     """
     rows = sorted(rows)
     cut = [(r[1] - min(1000, (r[1] - r[0]) // 2), r[3] - min(1000, (r[3] - r[2]) // 2)) for r in rows]
-    own = [(r[1] - r[0], r[4], r[5], r[6] * r[5], -1) for r in rows]
-    best, before = list(own), [-1] * len(rows)
+    ends = sorted({c[1] for c in cut})
+    tree, waiting = _PrefixBest(len(ends)), []
+    best: list[tuple] = []
+    before = [-1] * len(rows)
     for i, r in enumerate(rows):
-        for j in range(i):
-            if cut[j][0] <= r[0] and cut[j][1] <= r[2]:
-                state = tuple(a + b for a, b in zip(best[j], own[i], strict=True))
-                if state > best[i]:
-                    best[i], before[i] = state, j
+        while waiting and waiting[0][0] <= r[0]:
+            _, j = heappop(waiting)
+            tree.add(bisect_left(ends, cut[j][1]), (best[j], -j))
+        own = (r[3] - r[2], r[4], r[5], r[6] * r[5], -1)
+        found = tree.upto(bisect_right(ends, r[2]))
+        if found is not None:
+            before[i] = -found[1]
+            own = tuple(a + b for a, b in zip(found[0], own, strict=True))
+        best.append(own)
+        heappush(waiting, (cut[i][0], i))
     at, chain = max(range(len(rows)), key=lambda i: (best[i], -i)), []
     while at >= 0:
         chain.append(rows[at])
@@ -39,7 +71,7 @@ def _best_chain(rows: list[tuple]) -> list[tuple]:
 
 
 def chains(paf: DataFrame, minimum: int = 10_000) -> DataFrame:
-    """The better strand's best chain of each query and target, merged, if it spans ``minimum`` query bases.
+    """The better strand's best chain of each query and target, merged, if it aligns ``minimum`` target bases.
 
     A group is the alignments of one query with one target; it holds what aligners emit for a pair of sequences.
     """
@@ -52,21 +84,21 @@ def chains(paf: DataFrame, minimum: int = 10_000) -> DataFrame:
                 continue
             ends = [(r["target_start"], r["target_end"]) if strand == "+" else (-r["target_end"], -r["target_start"]) for r in part]
             chain = _best_chain([(r["query_start"], r["query_end"], *e, r["matches"], r["block_len"], r["mapq"]) for r, e in zip(part, ends, strict=True)])
-            score = (sum(r[1] - r[0] for r in chain), sum(r[4] for r in chain), sum(r[5] for r in chain), sum(r[6] * r[5] for r in chain), -len(chain))
+            score = (sum(r[3] - r[2] for r in chain), sum(r[4] for r in chain), sum(r[5] for r in chain), sum(r[6] * r[5] for r in chain), -len(chain))
             found.append((score, strand == "+", strand, chain))
-        _, _, strand, chain = max(found, key=lambda x: x[:2])
+        score, _, strand, chain = max(found, key=lambda x: x[:2])
         lo, hi = min(r[2] for r in chain), max(r[3] for r in chain)
         lo, hi = (-hi, -lo) if strand == "-" else (lo, hi)
-        return [(group[0]["query_name"], group[0]["target_name"], strand, min(r[0] for r in chain), max(r[1] for r in chain), lo, hi, sum(r[4] for r in chain), sum(r[5] for r in chain), min(r[6] for r in chain), len(chain))]
+        return [(group[0]["query_name"], group[0]["target_name"], strand, min(r[0] for r in chain), max(r[1] for r in chain), lo, hi, sum(r[4] for r in chain), sum(r[5] for r in chain), min(r[6] for r in chain), len(chain), score[0])]
 
     columns = ["query_name", "target_name", "strand", "query_start", "query_end", "target_start", "target_end", "matches", "block_len", "mapq"]
     merged = fold_groups(paf.select(*columns), ["query_name", "target_name"], ["query_start", "query_end", "target_start", "target_end"], best, _CHAIN)
-    return merged.filter(F.col("query_end") - F.col("query_start") >= minimum)
+    return merged.filter(F.col("aligned") >= minimum)
 
 
-def keep_near_best(rows: DataFrame, share: int = 5) -> DataFrame:
-    """Alignments whose matches are at least 1/share of their query's best."""
-    return rows.withColumn("_best", F.max("matches").over(Window.partitionBy("query_name"))).filter(F.col("matches") * share >= F.col("_best")).drop("_best")
+def keep_near_best(rows: DataFrame, score: str = "aligned", share: int = 5) -> DataFrame:
+    """Chains whose aligned bases are at least 1/share of their query's best."""
+    return rows.withColumn("_best", F.max(score).over(Window.partitionBy("query_name"))).filter(F.col(score) * share >= F.col("_best")).drop("_best")
 
 
 def arbitrate(rows: DataFrame) -> DataFrame:

@@ -288,9 +288,9 @@ def q_row_offsets(spark, sf):
 
 # alignments
 
-@query("SELECT aln_id, query_name, target_name, matches FROM (SELECT *, max(matches) OVER (PARTITION BY query_name) AS best FROM paf) WHERE matches * 5 >= best")
+@query("SELECT aln_id, query_name, target_name, matches FROM (SELECT *, max(block_len) OVER (PARTITION BY query_name) AS best FROM paf) WHERE block_len * 5 >= best")
 def q_paf_global_filter(spark, sf):
-    return synteny.keep_near_best(views.paf(spark, sf)).select("aln_id", "query_name", "target_name", "matches")
+    return synteny.keep_near_best(views.paf(spark, sf), "block_len").select("aln_id", "query_name", "target_name", "matches")
 
 
 @query("""RECURSIVE good AS (SELECT * FROM paf WHERE query_end > query_start), cuts AS (SELECT query_name, query_start AS pos FROM good UNION SELECT query_name, query_end FROM good),

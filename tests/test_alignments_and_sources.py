@@ -15,7 +15,7 @@ def brute_chain(rows):
     for mask in range(1, 1 << len(rows)):
         chain = sorted(r for i, r in enumerate(rows) if mask >> i & 1)
         ok = all(a[1] - min(1000, (a[1] - a[0]) // 2) <= b[0] and a[3] - min(1000, (a[3] - a[2]) // 2) <= b[2] for a, b in zip(chain, chain[1:]))
-        score = (sum(r[1] - r[0] for r in chain), sum(r[4] for r in chain), sum(r[5] for r in chain), sum(r[6] * r[5] for r in chain), -len(chain))
+        score = (sum(r[3] - r[2] for r in chain), sum(r[4] for r in chain), sum(r[5] for r in chain), sum(r[6] * r[5] for r in chain), -len(chain))
         if ok and (best is None or score > best):
             best = score
     return best
@@ -29,7 +29,7 @@ def test_chain_against_all_subsets():
             q, t, n = rng.randint(0, 20_000), rng.randint(0, 20_000), rng.randint(500, 6000)
             rows.append((q, q + n, t, t + n, rng.randint(1, n), n, rng.randint(0, 60)))
         chain = synteny._best_chain(rows)
-        score = (sum(r[1] - r[0] for r in chain), sum(r[4] for r in chain), sum(r[5] for r in chain), sum(r[6] * r[5] for r in chain), -len(chain))
+        score = (sum(r[3] - r[2] for r in chain), sum(r[4] for r in chain), sum(r[5] for r in chain), sum(r[6] * r[5] for r in chain), -len(chain))
         assert score == brute_chain(rows)
 
 
