@@ -131,26 +131,30 @@ def project_alignments(rows: DataFrame, layout: DataFrame, min_mapq: int = 0, mi
     return cut.select("block_id", "query_name", "target_name", strand.alias("strand"), vs.alias("visual_start"), ve.alias("visual_end"), at(s).alias("target_start"), at(e).alias("target_end"), "mapq")
 
 
+_MERGED = "block_id long, query_name {name}, target_name {target}, strand string, visual_start long, visual_end long, target_start long, target_end long, mapq int, alignments long"
+
+
 def merge_gaps(blocks: DataFrame, query_gap: int, target_gap: int) -> DataFrame:
     """Neighbours of a block, query, target and strand joined where both gaps are small, as a fold over their order.
 
-    The target gap is to the extent merged so far, which grows both ways, so the fold runs over each group's sorted
-    array inside the engine.
+    The target gap is to the extent merged so far, which grows both ways, so each group is folded in its order: by
+    visual start, then target start.
     """
     key = ["block_id", "query_name", "target_name", "strand"]
-    item = F.struct("visual_start", "target_start", "visual_end", "target_end", "mapq", F.lit(1).cast("long").alias("n"))
-    sorted_items = F.array_sort(F.collect_list(item)).alias("items")
-    empty = F.array().cast("array<struct<visual_start:bigint,target_start:bigint,visual_end:bigint,target_end:bigint,mapq:int,n:bigint>>")
-
-    def step(done, x):
-        last = F.element_at(done, -1)
-        gap = F.greatest(x["target_start"], last["target_start"]) - F.least(x["target_end"], last["target_end"])
-        near = (x["visual_start"] - last["visual_end"] <= query_gap) & (gap <= target_gap)
-        both = F.struct(
-            F.least(last["visual_start"], x["visual_start"]).alias("visual_start"), F.least(last["target_start"], x["target_start"]).alias("target_start"), F.greatest(last["visual_end"], x["visual_end"]).alias("visual_end"),
-            F.greatest(last["target_end"], x["target_end"]).alias("target_end"), F.least(last["mapq"], x["mapq"]).alias("mapq"), (last["n"] + x["n"]).alias("n"),
-        )
-        return F.when(F.size(done) == 0, F.array(x)).when(near, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(x)))
-
-    folded = blocks.groupBy(*key).agg(sorted_items).select(*key, F.explode(F.aggregate("items", empty, step)).alias("m"))
-    return folded.select(*key, "m.visual_start", "m.visual_end", "m.target_start", "m.target_end", "m.mapq", F.col("m.n").alias("alignments"))
+
+    def body(group: list[dict]) -> list[tuple]:
+        out: list[list] = []
+        for r in group:
+            if out:
+                last = out[-1]
+                gap = max(r["target_start"], last[2]) - min(r["target_end"], last[3])
+                if r["visual_start"] - last[1] <= query_gap and gap <= target_gap:
+                    last[1], last[2], last[3] = max(last[1], r["visual_end"]), min(last[2], r["target_start"]), max(last[3], r["target_end"])
+                    last[4], last[5] = min(last[4], r["mapq"]), last[5] + 1
+                    continue
+            out.append([r["visual_start"], r["visual_end"], r["target_start"], r["target_end"], r["mapq"], 1])
+        return [tuple(group[0][k] for k in key) + tuple(m) for m in out]
+
+    types = dict(blocks.dtypes)
+    rows = blocks.select(*key, "visual_start", "target_start", "visual_end", "target_end", "mapq")
+    return fold_groups(rows, key, ["visual_start", "target_start", "visual_end", "target_end"], body, _MERGED.format(name=types["query_name"], target=types["target_name"]))
