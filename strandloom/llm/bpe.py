@@ -21,10 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.resident import resident
+
 #: Entries that a worker's piece cache holds in each of its two generations.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 250_000
 #: Entries that a worker's table of neighbouring tokens holds before it starts anew.
-CACHE_PAIRS = 400_000
+CACHE_PAIRS = 300_000
 #: Last bytes of a prefix by which the lengths of its possible last tokens are bounded.
 SUFFIX = 4
 
@@ -227,16 +229,9 @@ class PrefixEncoder:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
 
 
-_encoders: dict[tuple[str, str], PrefixEncoder] = {}
-
-
 def encoder_of(content: bytes, pattern: str) -> PrefixEncoder:
     """The worker's encoder for these ranks; built once for each worker."""
-    key = (hashlib.sha256(content).hexdigest(), pattern)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = PrefixEncoder(Vocabulary.parse(content), pattern)
-    return _encoders[key]
+    return resident(("bpe", hashlib.sha256(content).digest(), pattern), lambda: PrefixEncoder(Vocabulary.parse(content), pattern))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.storage import materialise
+from strandloom.llm.resident import resident
 from strandloom.operators.graph import components
 
 #: Shingles of a chunk of documents and of a shard of the shingle space about; ids of a table that may be broadcast.
 CHUNK_TOKENS, SHARD_TOKENS, BROADCAST_IDS = 1_000_000, 1_000_000, 1_000_000
-_CHUNK_DOCS, _MANY, _WORDS = 60_000, 65_535, 400_000
+_CHUNK_DOCS, _MANY, _WORDS = 60_000, 65_535, 200_000
 _U = np.uint64
 
 
@@ -39,9 +40,6 @@ class _WordHashes(dict):
         return value
 
 
-_hashes = _WordHashes()
-
-
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; of the whole sequence where it has fewer words.
 
@@ -50,7 +48,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(resident("words", _WordHashes).__getitem__, words), np.uint64, len(words))
     size = min(width, len(words))
     with np.errstate(over="ignore"):
         out = np.full(len(h) - size + 1, size, np.uint64)

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from strandloom.llm.resident import resident
+
 #: Bound of the labelled sample: rows of a language, characters taken from each row, characters of a language.
 SAMPLE_ROWS, PIECE_CHARS, SAMPLE_CHARS = 64, 600, 24_000
 #: Letters with a code of their own; rarer ones share one.
@@ -154,16 +156,10 @@ class CrossParser:
         return out
 
 
-_parsers: dict[str, CrossParser] = {}
-
-
 def parser_of(samples: dict[str, str]) -> CrossParser:
     """The worker's parser for these samples; built once for each worker."""
     key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(samples)
-    return _parsers[key]
+    return resident(("language", key), lambda: CrossParser(samples))
 
 
 def held_out():
@@ -208,11 +204,12 @@ def identify_languages(docs: DataFrame, samples: dict[str, str] | None = None, c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(shared.value)
         for batch in batches:
+            column = batch["row"].field(place) if carry else batch["text"]
             start = 0
             while start < batch.num_rows:
                 texts, chars, stop = [], 0, start
                 while stop < batch.num_rows and chars < 2_000_000:
-                    texts.append(batch["text"][stop].as_py())
+                    texts.append(column[stop].as_py())
                     chars += len(texts[-1] or "")
                     stop += 1
                 found = parser.classify(texts)
@@ -222,7 +219,8 @@ def identify_languages(docs: DataFrame, samples: dict[str, str] | None = None, c
                 start = stop
 
     names = ["doc_id", "held_out", "lang_pred", "score"] + ["row"] * carry
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").alias("text"), *[F.struct("*").alias("row")] * carry)
+    place = docs.columns.index("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.struct("*").alias("row") if carry else F.col("text").alias("text"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(run, T.StructType(schema.fields + [rows.schema["row"]] * carry) if carry else schema)
 
