@@ -25,11 +25,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without chunks of lines that an earlier place holds; those of which nothing is left go.
+    """Documents without chunks of lines and passages that an earlier place holds; those of which nothing is left go.
 
     n_chars becomes the length of the text that is left.
     """
-    left = line_chunks.dedup_lines(docs).filter("n_lines_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").drop("n_lines_removed")
+    left = line_chunks.dedup_lines(docs, passages=True).filter("n_lines_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").drop("n_lines_removed")
     left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
     return left.select(*docs.columns)
 

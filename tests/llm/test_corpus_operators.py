@@ -86,6 +86,52 @@ def test_line_chunks_of_repeated_rows_stay(spark):
     assert [r.n_lines_removed for r in line_chunks.dedup_lines(table_of(spark, rows)).collect()] == [0, 0, 0]
 
 
+def plain_passages(rows, words):
+    """Lines in later occurrences of runs of so many words, by document; blank lines inside a run go with it."""
+    places, gone = {}, {}
+    for i, text, _ in sorted(rows):
+        told = [(k, x, len(x.split())) for k, x in enumerate(text.split("\n"), 1) if x.split()]
+        for a in range(len(told)):
+            for b in range(a, len(told)):
+                if sum(x[2] for x in told[a : b + 1]) >= words:
+                    if places.setdefault(tuple(x[1] for x in told[a : b + 1]), (i, a)) != (i, a):
+                        gone.setdefault(i, set()).update(range(told[a][0], told[b][0] + 1))
+    return gone
+
+
+def test_passages_against_brute_force(spark):
+    rng = random.Random(8)
+    pool = [" ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(rng.randint(0, 30))) for _ in range(8)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 9))), "s") for i in range(60)]
+    chunks = {r.doc_id: r.n_lines_removed for r in line_chunks.dedup_lines(table_of(spark, rows)).collect()}
+    out = {r.doc_id: r for r in line_chunks.dedup_lines(table_of(spark, rows), passages=True).collect()}
+    plain = plain_passages(rows, 50)
+    assert sum(map(len, plain.values())) > 50
+    for i, text, _ in rows:
+        own = text.split("\n")
+        assert max(len(plain.get(i, ())), chunks[i]) <= out[i].n_lines_removed <= len(plain.get(i, ())) + chunks[i]
+        if not chunks[i]:
+            assert out[i].text == "\n".join(x for k, x in enumerate(own, 1) if k not in plain.get(i, ()))
+
+
+def test_planted_passages_of_one_to_five_lines_go(spark):
+    rng = random.Random(9)
+    fresh = iter(range(10**6))
+    line = lambda n: " ".join(f"w{next(fresh)}" for _ in range(n))
+    planted = [[line(55 // n + 1) for _ in range(n)] for n in (1, 2, 3, 4, 5) for _ in range(6)]
+    docs = [[line(5) for _ in range(6)] for _ in range(30)]
+    keep = {x for d in docs for x in d}
+    for p in planted:
+        for d in rng.sample(docs, 4):
+            at = rng.choice([k for k in range(len(d) + 1) if k in (0, len(d)) or d[k] in keep or d[k - 1] in keep])
+            d[at:at] = p
+    rows = [(i, "\n".join(d), "s") for i, d in enumerate(docs)]
+    left = [x for r in line_chunks.dedup_lines(table_of(spark, rows), passages=True).collect() for x in r.text.split("\n")]
+    assert sorted(left) == sorted(keep | {x for p in planted for x in p})
+    again = corpus_pipeline.line_dedup(spark, table_of(spark, rows), "").collect()
+    assert sorted(x for r in again for x in r.text.split("\n")) == sorted(left)
+
+
 def plain_components(rows, width, percent):
     def grams(t):
         w = (t or "").encode().lower().split()
