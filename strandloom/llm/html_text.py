@@ -37,6 +37,7 @@ NAMES = {
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 _WORDS = re.compile(r"[a-z]+")
+_SECTION = re.compile(r"<!\[(?:cdata|temp|ignore|include|rcdata)(?![-_.a-z0-9])\s*\[", re.IGNORECASE)
 
 
 class _Blocks(HTMLParser):
@@ -87,6 +88,12 @@ class _Blocks(HTMLParser):
             self._flush()
         self._close(tag)
 
+    def parse_html_declaration(self, i: int) -> int:
+        """As the library's, but marked sections other than those that end in ']]>' are comments up to the next '>'."""
+        if self.rawdata.startswith("<![", i) and not _SECTION.match(self.rawdata, i):
+            return self.rawdata.find(">", i) + 1 or -1
+        return super().parse_html_declaration(i)
+
     def handle_data(self, data: str) -> None:
         if self.stack and self.stack[-1][0] in SILENT:
             return

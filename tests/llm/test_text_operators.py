@@ -145,6 +145,14 @@ def test_main_text_of_a_page():
     assert html_text.main_texts(["<p>a</p>\n<p>b &lt; c</p><div>d"]) == ["a\nb < c\nd"]
 
 
+def test_text_behind_broken_marked_sections_stays():
+    for section in ("<![foo]>", "<![ x]>", "<![]>", "<![if !IE]>", "<![endif]-->", "<![CDATAX[ y ]>", "<!foo>", "<!>"):
+        assert html_text.main_texts([f"<p>a</p>{section}<p>rest</p><p>end ]></p>"]) == ["a\nrest\nend ]>"], section
+    assert html_text.main_texts(["<p>a</p><![CDATA[ x > y ]]><p>rest</p>"]) == ["a\nrest"]
+    assert html_text.main_texts(["<p>a</p><![CDATA x><p>rest</p>"])[0].endswith("rest")
+    assert html_text.main_texts(["<p>a</p><![foo <p>rest</p>"])[0].endswith("rest") and html_text.main_texts(["<p>a</p><![foo"])[0].startswith("a")
+
+
 def test_repeats_of_a_host_go_where_no_article_tells():
     line = "this site is run by volunteers who like old maps and long walks"
     pages = [f"<body><p>{line}</p><p>page {i} talks about {' '.join(f'w{i}x{j}' for j in range(9 + i))}</p></body>" for i in range(6)]
