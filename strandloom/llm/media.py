@@ -164,8 +164,9 @@ def _vbr_table(frame: bytes, header: Header) -> dict:
                 found["toc"] = list(frame[at : at + 100])
             return found
     if frame[36:40] == b"VBRI" and len(frame) >= 62:
-        size, count, scale, width, each = struct.unpack(">IIHHH", frame[46:54] + frame[54:60])
-        values = [int.from_bytes(frame[62 + i * width : 62 + (i + 1) * width]) * scale for i in range(count if count < 65536 else 0)]
+        size, count, entries, scale, width, each = struct.unpack(">IIHHHH", frame[46:62])
+        entries = min(entries, (len(frame) - 62) // width if width else 0)  # no further than the frame reaches
+        values = [int.from_bytes(frame[62 + i * width : 62 + (i + 1) * width]) * scale for i in range(entries)]
         return {"kind": "VBRI", "bytes": size, "frames": count, "toc": values, "frames_per_entry": each}
     return {}
 

@@ -135,6 +135,17 @@ def test_media_reads_foreign_headers():
     assert len(audio.offsets) == 5 and audio.tags == {"ID3v1:title": "Title"} and audio.duration.numerator / audio.duration.denominator == pytest.approx(5 * 1152 / 44100)
 
 
+def test_media_reads_a_vbri_table():
+    import struct
+
+    word, sizes = 0xFFFB9064, [417, 500, 1045, 300]
+    for count in (4, 70_000):  # frames; the table has an entry count of its own
+        table = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 9000, count, len(sizes), 2, 2, 3) + b"".join(struct.pack(">H", x) for x in sizes)
+        first = (word.to_bytes(4) + bytes(32) + table).ljust(417, b"\0")
+        audio = media.parse(first + (word.to_bytes(4) + bytes(413)) * 4)
+        assert audio.vbr == {"kind": "VBRI", "bytes": 9000, "frames": count, "toc": [2 * x for x in sizes], "frames_per_entry": 3}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var t="</p>";</script></head><body><nav><ul><li><a>Menu</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><aside>Side</aside><article><h1>Head &amp; line</h1><p>One <b>two
  three</b>&nbsp;four<br>five<p>Six<form><input>Search</form><!-- no --><section class="comments"><p>First!</p></section></article><footer>&copy; F</footer></body></html>"""
