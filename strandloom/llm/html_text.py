@@ -1,25 +1,30 @@
 """Main text of web pages: page structure first, then a suffix array over each host's token streams.
 
-Pages are dealt to (host, part) groups of bounded size. In a group the pages' tokens
+Pages with an explicit article are told by structure alone. The pages of hosts that have
+others are dealt to (host, part) groups of bounded size. In a group the pages' tokens
 are concatenated and sorted by the ranks of their suffixes; token runs that stand in
-several distinct pages are marked. A block outside an explicit article that such runs
-cover is boilerplate of the host; runs that are not repeated stay.
+several distinct pages are marked, and where a host has several parts its runs are
+counted over all of them. Outside an explicit article such runs are boilerplate of the
+host and are cut; runs that are not repeated stay.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.sizes import small
+from strandloom.functions.storage import materialise
 
-#: Characters of html that a group holds about, tokens of a repeated run, distinct pages that a run must stand in,
-#: and the share of a block's tokens that runs must cover.
+#: Characters of text that a group holds about, tokens of a repeated run, distinct pages that a run must stand in,
+#: and the share of a short block's tokens that runs must cover.
 GROUP_CHARS, RUN_DOUBLINGS, MIN_PAGES, COVERED = 4_000_000, 3, 3, 0.6
 
 # Elements of HTML and names that sites give to what isn't main text.
@@ -112,79 +117,165 @@ def page_blocks(html: str | None) -> list[tuple[str, bool, bool]]:
     return parser.blocks
 
 
-def repeated_tokens(tokens: np.ndarray, page: np.ndarray, doublings: int = RUN_DOUBLINGS, min_pages: int = MIN_PAGES) -> np.ndarray:
-    """Marks the tokens of runs of 2**doublings tokens that stand in min_pages distinct pages.
+def _suffixes(tokens: np.ndarray, page: np.ndarray, owner: np.ndarray, doublings: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix array of the runs of 2**doublings tokens inside a page, each one's class of equal runs, and the distinct owners of each class.
 
     Prefix doubling ranks all suffixes by their first 2**doublings tokens; equal ranks are neighbours in the
     suffix array, and runs don't reach across pages.
     """
     n, width = len(tokens), 1 << doublings
-    covered = np.zeros(n, bool)
+    none = np.zeros(0, np.int64)
     if n < width:
-        return covered
+        return none, none, none
     rank = tokens.astype(np.int64)
     for k in range(doublings):
         step = 1 << k
         key = rank[: n - 2 * step + 1] * (int(rank.max()) + 1) + rank[step : n - step + 1]
         rank = np.unique(key, return_inverse=True)[1]
     starts = np.flatnonzero(page[: n - width + 1] == page[width - 1 :])
-    order = starts[np.lexsort((page[starts], rank[starts]))]  # suffix array, by page within equal ranks
+    order = starts[np.lexsort((owner[starts], rank[starts]))]  # suffix array, by owner within equal ranks
     if not len(order):
-        return covered
-    r, p = rank[order], page[order]
+        return none, none, none
+    r, p = rank[order], owner[order]
     fresh = np.concatenate(([True], r[1:] != r[:-1]))
     group = np.cumsum(fresh) - 1
     distinct = np.bincount(group[np.concatenate(([True], fresh[1:] | (p[1:] != p[:-1])))], minlength=group[-1] + 1)
-    hits = order[distinct[group] >= min_pages]
+    return order, group, distinct
+
+
+def _covered(n: int, hits: np.ndarray, width: int) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, hits, 1)
     np.add.at(edge, hits + width, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
+def repeated_tokens(tokens: np.ndarray, page: np.ndarray, doublings: int = RUN_DOUBLINGS, min_pages: int = MIN_PAGES) -> np.ndarray:
+    """Marks the tokens of runs of 2**doublings tokens that stand in min_pages distinct pages."""
+    order, group, distinct = _suffixes(tokens, page, page, doublings)
+    return _covered(len(tokens), order[distinct[group] >= min_pages], 1 << doublings)
+
+
+class _Group:
+    """The tokens of a group of rows, each a list of blocks, with their row, block, and the row's page."""
+
+    def __init__(self, rows: list[list[str]], pages: Iterable):
+        self.ids: dict[str, int] = {}
+        self.blocks = [text.split(" ") for blocks in rows for text in blocks]
+        sizes = np.array([len(b) for b in self.blocks], np.int64)
+        self.tokens = np.array([self.ids.setdefault(w, len(self.ids)) for b in self.blocks for w in b], np.int64)
+        self.block = np.repeat(np.arange(len(sizes)), sizes)
+        self.row = np.repeat(np.arange(len(rows)), [len(blocks) for blocks in rows])[self.block]
+        self.order, self.group, self.distinct = _suffixes(self.tokens, self.row, pd.factorize(np.array(list(pages), object), use_na_sentinel=False)[0][self.row], RUN_DOUBLINGS)
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each class of runs, which other groups give to the same words."""
+        words = pd.util.hash_array(np.array(list(self.ids), object))[self.tokens]
+        first = self.order[np.flatnonzero(np.diff(self.group, prepend=-1))]
+        value = np.zeros(len(first), np.uint64)
+        for k in range(1 << RUN_DOUBLINGS):
+            value = value * np.uint64(0x9E3779B97F4A7C15) + words[first + k]
+        return value.view(np.int64)
+
+    def texts(self, n: int, wanted: np.ndarray, repeated: np.ndarray) -> list[str]:
+        """Text of each of n rows: of its wanted blocks what no repeated class of runs covers.
+
+        Runs that lie in a block are cut from it; a block that is too short for one goes if runs across its ends
+        cover the share COVERED, a longer one if they cover all that is left.
+        """
+        width, hits = 1 << RUN_DOUBLINGS, self.order[repeated[self.group]] if len(self.order) else self.order
+        covered = _covered(len(self.tokens), hits, width)
+        inner = _covered(len(self.tokens), hits[self.block[hits] == self.block[hits + width - 1]], width)
+        out: list[list[str]] = [[] for _ in range(n)]
+        at = 0
+        for words, want in zip(self.blocks, wanted, strict=True):
+            own = slice(at, at + len(words))
+            at = own.stop
+            left = ~inner[own]
+            gone = covered[own].mean() >= COVERED if len(words) < width else covered[own][left].all()
+            if want and not gone:
+                out[self.row[own.start]].append(" ".join(w for w, x in zip(words, left, strict=True) if x))
+        return ["\n".join(x) for x in out]
+
+
+def _wanted(blocks: list[tuple[str, bool, bool]]) -> tuple[bool, list[bool]]:
+    """Whether the page has an explicit article, and which blocks structure leaves: the article's, else all that it doesn't set aside."""
+    own = [article and not aside for _, article, aside in blocks]
+    return (True, own) if any(own) else (False, [not aside for _, _, aside in blocks])
+
+
 def main_texts(pages: list[str | None]) -> list[str]:
     """Main text of each page of a host's group."""
     all_blocks = [page_blocks(x) for x in pages]
-    ids: dict[str, int] = {}
-    tokens, page, block = [], [], []
-    n = 0
-    for i, blocks in enumerate(all_blocks):
-        for text, _, _ in blocks:
-            own = [ids.setdefault(w, len(ids)) for w in text.split(" ")]
-            tokens += own
-            page += [i] * len(own)
-            block += [n] * len(own)
-            n += 1
-    share = np.zeros(n)
-    if n:
-        at = np.array(block)
-        share = np.bincount(at, repeated_tokens(np.array(tokens, np.int64), np.array(page)), minlength=n) / np.bincount(at, minlength=n)
-    out, k = [], 0
-    for blocks in all_blocks:
-        own = share[k : k + len(blocks)]
-        k += len(blocks)
-        explicit = any(article and not aside for _, article, aside in blocks)
-        keep = [text for (text, article, aside), s in zip(blocks, own, strict=True) if not aside and (article if explicit else s < COVERED)]
-        out.append("\n".join(keep))
-    return out
-
-
-def extract_main_text(pages: DataFrame) -> DataFrame:
+    group = _Group([[text for text, _, _ in blocks] for blocks in all_blocks], range(len(pages)))
+    wanted = [_wanted(blocks) for blocks in all_blocks]
+    found = group.texts(len(pages), np.array([x for _, own in wanted for x in own], bool), group.distinct >= MIN_PAGES)
+    return ["\n".join(b[0] for b, x in zip(blocks, own, strict=True) if x) if told else text for blocks, (told, own), text in zip(all_blocks, wanted, found, strict=True)]
+
+
+_ROW = "page_id long, url string, host string, told boolean, blocks array<string>, wanted array<boolean>"
+_OUT = "page_id long, url string, text string, n_chars long"
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("told", pa.bool_()), ("blocks", pa.list_(pa.string())), ("wanted", pa.list_(pa.bool_()))])
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            found = [page_blocks(x.as_py()) for x in part["html"]]
+            told, wanted = zip(*map(_wanted, found), strict=True)
+            columns = [part["page_id"], part["url"], part["host"], list(told), [[x[0] for x in b] for b in found], list(wanted)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _rest(frame: pd.DataFrame, repeated) -> pd.DataFrame:
+    """Rows of the open pages of a group; ``repeated`` tells which of its classes of runs are."""
+    group = _Group([list(x) for x in frame["blocks"]], frame["page_id"])
+    texts = group.texts(len(frame), np.array([x for row in frame["wanted"] for x in row], bool), repeated(group))
+    out = pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    return out[~frame["told"].astype(bool)]
+
+
+def _runs(frame: pd.DataFrame) -> pd.DataFrame:
+    """Hash, distinct pages and whether an open page has it, of each class of runs of a group."""
+    group = _Group([list(x) for x in frame["blocks"]], frame["page_id"])
+    is_open = ~frame["told"].to_numpy(bool)[group.row[group.order]]
+    asked = np.bincount(group.group, is_open, minlength=len(group.distinct)) > 0
+    return pd.DataFrame({"host": frame["host"].iloc[0], "part": frame["part"].iloc[0], "run": group.hashes(), "pages": group.distinct, "asked": asked})
+
+
+def extract_main_text(pages: DataFrame, group_chars: int = GROUP_CHARS) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each page.
 
     A null html counts as empty and gives an empty text; a page without a url shares a group with others of its
-    kind; repeated rows give equal rows unless a host's pages decide otherwise; other columns are ignored; an empty
-    table gives an empty one. In a page with an article or main element the text is that element's, less what
-    structure sets aside; in others all blocks that neither structure nor the host's repeats set aside.
+    kind; rows of one page_id are one page to the counts; other columns are ignored; an empty table gives an empty
+    one. In a page with an article or main element the text is that element's, less what structure sets aside; in
+    others all blocks that structure doesn't set aside, less the runs that MIN_PAGES distinct pages of the host hold.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url"), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select("page_id", "url", "html", host.alias("host"))
-    sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.coalesce(F.length("html"), F.lit(0))) / GROUP_CHARS).alias("parts"))
-    dealt = rows.join(small(sizes), "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.greatest(F.lit(1), F.col("parts"))).cast("int"))
+    parsed = materialise(pages.select("page_id", "url", "html", host.alias("host")).mapInArrow(_parse, _ROW), "pages")
+    text = F.array_join(F.filter("blocks", lambda x, i: F.get("wanted", i)), "\n")
+    told = parsed.filter("told").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    # hosts of which a page is open, one that structure doesn't tell
+    sizes = parsed.groupBy("host").agg(F.ceil(F.sum(F.aggregate("blocks", F.lit(0), lambda a, x: a + F.length(x))) / group_chars).alias("parts"), F.max(~F.col("told")).alias("open")).filter("open").select("host", "parts")
+    sizes = materialise(sizes, "hosts")
+    if sizes.isEmpty():
+        return told
+    # by page_id, so that no page counts in two parts; dealt by both columns, for else a host's parts would stay where the join has put the host
+    dealt = parsed.join(small(sizes), "host").withColumn("part", F.pmod(F.xxhash64("page_id"), F.greatest(F.lit(1), F.col("parts"))).cast("int"))
+
+    def alone(frame: pd.DataFrame) -> pd.DataFrame:
+        return _rest(frame, lambda group: group.distinct >= MIN_PAGES)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        texts = main_texts([None if x is None or x != x else x for x in group["html"]])
-        return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def together(frame: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame):
+            return pd.DataFrame({"page_id": [], "url": [], "text": [], "n_chars": []})
+        return _rest(frame, lambda group: np.isin(group.hashes(), runs["run"].to_numpy(np.int64)))
 
-    # dealt by both columns, for else a host's parts would stay where the join has put the host
-    return dealt.select("page_id", "url", "html", "host", "part").repartition("host", "part").groupBy("host", "part").applyInPandas(run, "page_id long, url string, text string, n_chars long")
+    whole = dealt.filter("parts <= 1").repartition("host").groupBy("host").applyInPandas(alone, _OUT)
+    split = dealt.filter("parts > 1").repartition("host", "part")
+    runs = materialise(split.groupBy("host", "part").applyInPandas(_runs, "host string, part int, run long, pages long, asked boolean"), "runs")
+    repeated = runs.groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.max("asked").alias("asked")).filter(f"asked AND pages >= {MIN_PAGES}").select("host", "run")
+    back = runs.filter("asked").join(repeated, ["host", "run"]).select("host", "part", "run")
+    parted = split.groupBy("host", "part").cogroup(back.groupBy("host", "part")).applyInPandas(together, _OUT)
+    return told.union(whole).union(parted)

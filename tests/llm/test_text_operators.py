@@ -172,6 +172,25 @@ def test_repeats_of_a_host_go_where_no_article_tells():
     assert all(line in t for t in html_text.main_texts(with_article))
 
 
+def test_repeats_are_counted_over_all_parts_of_a_host(spark):
+    rng = random.Random(5)
+    fresh = lambda n: " ".join(f"w{rng.random()}" for _ in range(n))
+    rare, twice = "this notice stands in three pages of a large host", "this one stands in two pages of the host only"
+    own = [fresh(12) for _ in range(60)]
+    rows = [(i, f"http://big.org/{i}", f"<p>{own[i]}</p>" + f"<p>{rare}</p>" * (i in (3, 17, 40)) + f"<p>{twice}</p>" * (i in (5, 30))) for i in range(60)]
+    rows += [(5, "http://big.org/other", rows[5][2])]  # the same page again: no third page
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (10**6, 1500, 300):  # one part, some parts, nearly a page a part
+        out = sorted((r.page_id, r.text) for r in html_text.extract_main_text(df, size).collect())
+        assert out == sorted((i, own[i] + f"\n{twice}" * (i in (5, 30))) for i, _, _ in rows), size
+
+
+def test_runs_are_cut_and_not_whole_blocks():
+    line = "this site is run by volunteers who like old maps and long walks"
+    pages = [f"<p>{line} unique{i} words{i}</p>" for i in range(3)]
+    assert html_text.main_texts(pages) == [f"unique{i} words{i}" for i in range(3)]
+
+
 def test_repeated_tokens_against_brute_force():
     import numpy as np
 
