@@ -124,10 +124,10 @@ def _unsyncsafe(data: bytes) -> int:
     return data[0] << 21 | data[1] << 14 | data[2] << 7 | data[3]
 
 
-def read_tags(data: bytes) -> tuple[dict[str, str], int, int]:
-    """Text frames of a leading ID3v2 tag and a trailing ID3v1 tag; where the audio begins and ends."""
+def read_tags(data: bytes) -> tuple[dict[str, str], int]:
+    """Text frames of a leading ID3v2 tag, and where the audio begins."""
     tags: dict[str, str] = {}
-    begin, end = 0, len(data)
+    begin = 0
     if data[:3] == b"ID3" and len(data) >= 10 and all(b < 128 for b in data[6:10]):
         size = min(_unsyncsafe(data[6:10]), len(data) - 10)
         at, begin = 10, 10 + size + (10 if data[5] & 0x10 else 0)
@@ -140,13 +140,14 @@ def read_tags(data: bytes) -> tuple[dict[str, str], int, int]:
                 key, sep, value = text.partition("\0")
                 tags[f"TXXX:{key}" if name == "TXXX" else name] = value.rstrip("\0") if name == "TXXX" and sep else text.rstrip("\0")
             at += 10 + n
-    if end - begin >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
-            value = data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip()
-            if value:
-                tags[f"ID3v1:{name}"] = value
-    return tags, min(begin, end), end
+    return tags, min(begin, len(data))
+
+
+def read_trailer(tag: bytes) -> dict[str, str]:
+    """Fields of an ID3v1 tag of 128 bytes."""
+    fields = (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97))
+    found = {f"ID3v1:{name}": tag[a:b].split(b"\0")[0].decode("latin-1").strip() for name, a, b in fields}
+    return {k: v for k, v in found.items() if v}
 
 
 def _vbr_table(frame: bytes, header: Header) -> dict:
@@ -175,10 +176,15 @@ def parse(data: bytes) -> Audio:
     """Tags, frames, table and checksums of one value.
 
     A frame counts when its header is valid and another header of the same version, layer and rate, or the end of
-    the audio, follows it; else the next byte that can begin such a pair is sought.
+    the audio, follows it; else the next byte that can begin such a pair is sought. The audio ends with the value, or
+    at an ID3v1 tag in its last 128 bytes where no frame that counts reaches into them: bytes inside a frame are
+    never a tag, whatever they look like.
     """
     audio = Audio()
-    audio.tags, at, end = read_tags(data)
+    audio.tags, at = read_tags(data)
+    end, trailer = len(data), len(data) - 128
+    if trailer < at or data[trailer : trailer + 3] != b"TAG":
+        trailer = end
     lost = False
 
     def header_at(pos: int) -> Header | None:
@@ -187,10 +193,13 @@ def parse(data: bytes) -> Audio:
     h = header_at(at)
     first = True
     while at < end:
+        if at == trailer or lost and at > trailer:
+            audio.tags |= read_trailer(data[trailer:])
+            break
         follows = None
         if h is not None and at + h.length <= end:
             follows = header_at(at + h.length)
-            agrees = at + h.length == end or follows is not None and (follows.version, follows.layer, follows.rate) == (h.version, h.layer, h.rate)
+            agrees = at + h.length in (end, trailer) or follows is not None and (follows.version, follows.layer, follows.rate) == (h.version, h.layer, h.rate)
             if not agrees and not lost and audio.headers and (audio.headers[-1].version, audio.headers[-1].layer, audio.headers[-1].rate) == (h.version, h.layer, h.rate):
                 agrees = True  # the frame before vouches for it; the damage lies behind
         else:
@@ -212,8 +221,8 @@ def parse(data: bytes) -> Audio:
         else:
             audio.resyncs += not lost
             lost = True
-            nxt = data.find(b"\xff", at + 1, end)
-            nxt = end if nxt < 0 else nxt
+            nxt = data.find(b"\xff", at + 1, trailer)
+            nxt = max(at + 1, trailer) if nxt < 0 else nxt
             audio.skipped += nxt - at
             at = nxt
             h = header_at(at)
@@ -274,7 +283,11 @@ def padded(text: str | None) -> tuple[bytes, int]:
 
 
 def store_media(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes and the media column that holds each text's padded bytes. A null text counts as empty."""
+    """doc_id, n_bytes and the media column that holds each text's padded bytes, one row for each row.
+
+    A null text counts as empty; repeated rows give equal rows; an empty table gives an empty one; other columns are
+    ignored; a null id stays null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -113,6 +113,45 @@ def test_media_round_trip(spark):
     assert media.describe_media(media.store_media(docs(spark, "a").limit(0))).count() == 0
 
 
+def plain_payload(data):
+    """A reader of its own: skips the ID3v2 tag and the first frame, then joins what lies behind each frame's 23 first bytes."""
+    kbps = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
+    at = 10 + (data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9])
+    size = int(data[20:at].rpartition(b"\0")[2])
+    out, first = b"", True
+    while at < len(data):
+        assert data[at : at + 2] == b"\xff\xfa"
+        length = 144_000 * kbps[data[at + 2] >> 4] // 32_000
+        out, first, at = out if first else out + data[at + 23 : at + length], False, at + length
+    return out[:size]
+
+
+LOOKALIKES = [b"TAG", b"ID3\x04\0\0\0\0\0\x10", b"\xff\xfb\x90\x64", b"\xff\xfa\xe8\xc0", b"Xing\0\0\0\x07", b"VBRI", b"Info", b"TAGTITLE" + bytes(120)]
+
+
+def test_media_never_takes_payload_for_tags_or_frames():
+    rng = random.Random(11)
+    payloads = [b"xx" + b"TAG" * 191] + [b"a" * k + b"TAG" * 700 for k in range(0, 3)]
+    for like in LOOKALIKES:
+        for n in (1, 2, 3, 7):
+            for shift in (0, 1, 2, 3, 100, 448, 449, 450, rng.randrange(576)):
+                tail = (bytes(shift) + like * 600)[: 576 * n]
+                payloads += [tail, bytes(576 * n - min(576 * n, 128)) + (like * 128)[:128], tail[::-1]]
+    payloads += [bytes(rng.choice(b"TAG\xff\xfb\xfaID3") for _ in range(576 * rng.randint(1, 4))) for _ in range(60)]
+    for payload in payloads:
+        payload += b"\xff" * (-len(payload) % 576)
+        data = media.write(payload)
+        audio = media.parse(data)
+        assert media.payload_of(data, audio) == payload == plain_payload(data)
+        assert audio.resyncs == audio.skipped == 0 and list(audio.tags) == ["TXXX:payload_bytes"]
+
+
+def test_media_of_repeated_rows(spark):
+    df = docs(spark, "some text", None).union(docs(spark, "some text", None))
+    out = [tuple(r) for r in media.describe_media(media.store_media(df)).collect()]
+    assert len(out) == 4 and len(set(map(repr, out))) == 2
+
+
 def test_media_finds_frames_after_damage():
     data = media.write(bytes(range(256)) * 40)
     clean = media.parse(data)
