@@ -19,15 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from strandloom.functions.sizes import small
 from strandloom.llm.resident import resident
 
-#: Bound of the labelled sample: rows of a language, characters taken from each row, characters of a language.
-SAMPLE_ROWS, PIECE_CHARS, SAMPLE_CHARS = 64, 600, 24_000
-#: Letters with a code of their own; rarer ones share one.
-LETTERS = 60
-#: Characters that are parsed on their own, so that all blocks of a batch advance together.
-BLOCK = 512
-_SPACE, _OTHER = 0, 1
+#: Bound of the labelled sample: languages (those with most labelled rows), rows of a language, characters of a row.
+SAMPLE_LANGUAGES, SAMPLE_ROWS, PIECE_CHARS = 512, 64, 600
+#: Letters of a block and of a part of a text; the blocks of a part advance together, and each is then read on from where the one before ends.
+BLOCK, PART = 512, 512 * 4096
+_SPACE, _OTHER = 1, 2
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -60,31 +59,70 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+class Automaton:
+    """A suffix automaton as two arrays: the move from state s by letter c lies at s + c, where one names s and the other its target.
+
+    States are numbered so that no two moves share a cell, hence the array is little longer than the moves are many,
+    however large the alphabet. ``root`` holds the moves from the first state, 0 where there is none.
+    """
+
+    def __init__(self, codes: list[int], letters: int):
+        moves = suffix_automaton(codes)
+        place = [0] * len(moves)
+        used, taken = bytearray(2 * len(moves) + 4 * letters), bytearray(2 * len(moves) + 4 * letters)  # cells, states' numbers
+        for c in moves[0]:
+            used[c] = 1
+        taken[0] = 1
+        cursor, size = 1, 0
+        for s in sorted(range(1, len(moves)), key=lambda s: -len(moves[s])):
+            own = sorted(moves[s])
+            if len(own) <= 1 < size:
+                cursor = 1  # states of one move fill the gaps
+            size = len(own)
+            while True:
+                if cursor + 2 * letters >= len(used):
+                    used, taken = used + bytes(len(used)), taken + bytes(len(taken))
+                at = cursor - own[0] if own else cursor
+                if at > 0 and not taken[at] and not any(used[at + c] for c in own):
+                    break
+                cursor += 1
+            place[s] = at
+            taken[at] = 1
+            for c in own:
+                used[at + c] = 1
+        self.owner = np.full(max(place) + letters + 1, -1, np.int32)
+        self.target = np.zeros(len(self.owner), np.int32)
+        for s, own in enumerate(moves):
+            for c, target in own.items():
+                self.owner[place[s] + c], self.target[place[s] + c] = place[s], place[target]
+        self.root = np.zeros(letters + 1, np.int32)
+        for c, target in moves[0].items():
+            self.root[c] = place[target]
+        self.bits = math.log2(max(2, len(codes)))
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and whether a phrase begins with each letter. A letter that the sample lacks is a phrase by itself."""
+        cell = state + letter
+        lost = self.owner.take(cell) != state
+        return np.where(lost, self.root.take(letter), self.target.take(cell)), lost | (state == 0)
+
+
 class CrossParser:
-    """Automata of all languages, as tables that advance many blocks of text at once."""
+    """Automata of all languages. Every letter of the samples has a code of its own; all others share one."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        counts: dict[str, int] = {}
         lowered = {k: samples[k].lower() for k in self.languages}
-        for text in lowered.values():
-            for ch in text:
-                if ch.isalpha():
-                    counts[ch] = counts.get(ch, 0) + 1
-        own = sorted(counts, key=lambda ch: (-counts[ch], ch))[:LETTERS]
-        self.code = np.zeros(0x110000, np.uint8)
+        own = sorted({ch for text in lowered.values() for ch in text if ch.isalpha()})
+        self.code = np.full(0x110000, _SPACE, np.uint32 if len(own) > 65_000 else np.uint16)
         for point in range(0x110000):
             if chr(point).isalpha():
                 self.code[point] = _OTHER
         for i, ch in enumerate(own):
-            self.code[ord(ch)] = i + 2
-        self.width = len(own) + 3
-        self.pad = self.width - 1
-        self.tables, self.bits = [], []
-        for k in self.languages:
-            codes = self.codes(lowered[k])
-            self.tables.append(self._table(codes))
-            self.bits.append(math.log2(max(2, len(codes))))
+            self.code[ord(ch)] = i + 3
+        self.letters = len(own) + 3
+        self.automata = [Automaton(self.codes(lowered[k]).tolist(), self.letters) for k in self.languages]
+        self.bits = [a.bits for a in self.automata]
 
     def codes(self, lowered: str) -> np.ndarray:
         """Letter codes; what is no letter is one space, runs of it once."""
@@ -94,51 +132,79 @@ class CrossParser:
             codes = codes[np.concatenate(([True], (codes[1:] != _SPACE) | (codes[:-1] != _SPACE)))]
         return codes
 
-    def _table(self, codes: np.ndarray) -> np.ndarray:
-        """Entry [state, letter]: four times the next state's first entry, plus the phrases that end there."""
-        moves, width = suffix_automaton(codes.tolist()), self.width
-        start = np.zeros(width, np.int32)
-        for c, s in moves[0].items():
-            start[c] = s
-        unknown = start == 0  # a letter that the sample lacks is a phrase by itself
-        table = np.tile(start * width * 4 + np.where(unknown, 2, 1), (len(moves), 1)).astype(np.int32)
-        table[0, unknown] = 1
-        for state, own in enumerate(moves):
-            for c, s in own.items():
-                table[state, c] = s * width * 4
-            table[state, self.pad] = state * width * 4
-        return table.ravel()
-
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text (row) under each language (column)."""
-        blocks = [max(1, -(-len(c) // BLOCK)) for c in texts]
-        grid = np.full((sum(blocks), BLOCK), self.pad, np.uint8)
-        flat, at = grid.ravel(), 0
-        for codes, n in zip(texts, blocks, strict=True):
-            flat[at * BLOCK : at * BLOCK + len(codes)] = codes
-            at += n
-        # long blocks first, so that short ones leave the tail of the loop
-        filled = (grid != self.pad).sum(1)
-        order = np.argsort(-filled, kind="stable")
-        columns = np.ascontiguousarray(grid[order].T).astype(np.int32)
-        active = np.searchsorted(-filled[order], -np.arange(BLOCK), side="left")
+        """Phrases of each text (row) under each language (column), as one greedy parse of the whole text finds them."""
+        out = np.zeros((len(texts), len(self.automata)), np.int64)
+        for j, automaton in enumerate(self.automata):
+            state = np.zeros(len(texts), np.int32)
+            for start in range(0, max(map(len, texts), default=0), PART):  # texts beyond PART letters go on in further turns
+                live = [i for i, c in enumerate(texts) if len(c) > start]
+                found, state[live] = self._phrases(automaton, [texts[i][start : start + PART] for i in live], state[live])
+                out[live, j] += found
+        return out
+
+    @staticmethod
+    def _phrases(automaton: Automaton, texts: list[np.ndarray], enter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each text, entered in the given states, and the states behind the texts.
+
+        Blocks are first parsed side by side as if each began a phrase, then read on across their borders: the state
+        behind a block is carried into the next one until it equals the state that the block's own parse has at the
+        same letter; from there on both are one parse. Blocks of which no letter does so pass their new state on.
+        """
+        blocks = [-(-len(c) // BLOCK) for c in texts]
         first = np.concatenate(([0], np.cumsum(blocks)[:-1])).astype(int)
-        out = np.zeros((len(texts), len(self.languages)), np.int64)
-        for j, table in enumerate(self.tables):
-            state = np.zeros(len(grid), np.int32)
-            count = np.zeros(len(grid), np.int32)
+        count = sum(blocks)
+        flat = np.zeros(count * BLOCK, np.int32)
+        length = np.zeros(count, np.int64)
+        for codes, at, n in zip(texts, first.tolist(), blocks, strict=True):
+            flat[at * BLOCK : at * BLOCK + len(codes)] = codes
+            length[at : at + n] = np.minimum(BLOCK, len(codes) - BLOCK * np.arange(n))
+        order = np.argsort(-length, kind="stable")  # long blocks first, so that short ones leave the tail of the loop
+        back = np.empty_like(order)
+        back[order] = np.arange(count)
+        columns = np.ascontiguousarray(flat.reshape(count, BLOCK)[order].T)
+        active = np.searchsorted(-length[order], -np.arange(BLOCK), side="left")
+        begins = np.zeros(count, np.int32)  # phrases that begin in the block, so far
+        states = np.zeros((BLOCK, count), np.int32)
+        before = np.zeros((BLOCK, count), np.int16)  # phrases that begin up to each letter
+        state = np.zeros(count, np.int32)
+        for i in range(BLOCK):
+            n = active[i]
+            if not n:
+                break
+            state[:n], new = automaton.step(state[:n], columns[i, :n])
+            begins[:n] += new
+            states[i, :n] = state[:n]
+            before[i, :n] = begins[:n]
+        own, alone = begins[back].astype(np.int64), state[back]
+        found, last = own.copy(), alone.copy()
+        heads = np.zeros(count, bool)
+        heads[first] = True
+        given = np.zeros(count, np.int32)
+        given[first] = enter
+        todo = np.flatnonzero(~heads | (given != 0))  # blocks that the parse of the text enters in a state of its own
+        while len(todo):
+            row = back[todo]
+            carried = np.where(heads[todo], given[todo], last[todo - 1])
+            begun, met = np.zeros(len(todo), np.int64), np.zeros(len(todo), bool)
+            live = np.arange(len(todo))
             for i in range(BLOCK):
-                n = active[i]
-                if not n:
+                live = live[length[todo[live]] > i]
+                if not len(live):
                     break
-                value = table.take((state[:n] >> 2) + columns[i, :n])
-                count[:n] += value & 3
-                state[:n] = value & -4
-            count += state > 0  # the phrase that the end of the block closes
-            whole = np.empty_like(count)
-            whole[order] = count
-            out[:, j] = np.add.reduceat(whole, first)
-        return out
+                carried[live], new = automaton.step(carried[live], columns[i, row[live]])
+                begun[live] += new
+                same = carried[live] == states[i, row[live]]
+                at = live[same]
+                met[at] = True
+                begun[at] += begins[row[at]] - before[i, row[at]]
+                live = live[~same]
+            found[todo] = begun
+            behind = np.where(met, alone[todo], carried)
+            moved = todo[behind != last[todo]] + 1
+            last[todo] = behind
+            todo = moved[(moved < count) & ~heads[np.minimum(moved, count - 1)]]
+        return np.add.reduceat(found, first), last[first + np.array(blocks) - 1]
 
     def classify(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text; und and 0.0 without a letter."""
@@ -170,24 +236,25 @@ def held_out():
 def labelled_samples(docs: DataFrame) -> dict[str, str]:
     """Sample text of each language, from rows outside the held-out fold with text and lang.
 
-    The sample is bounded by SAMPLE_ROWS rows of PIECE_CHARS characters for each language, whatever the size of the
-    table: rows with the lowest hash of their id, and of each the piece at a place that the hash names. Rows are
-    thinned by that hash during the scan, so no text is shuffled but the few that are candidates.
+    The sample is bounded by SAMPLE_LANGUAGES languages, SAMPLE_ROWS rows of each and PIECE_CHARS characters of a row,
+    whatever the size of the table: languages with most labelled rows, ties by name; rows with the lowest hash of
+    their id, and of each the piece at a place that the hash names. Rows are thinned by that hash during the scan,
+    so no text is shuffled but the few that are candidates.
     """
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & (F.col("lang") != "und") & (F.length("text") > 0))
-    totals = rows.groupBy("lang").count().collect()  # a number for each language
+    totals = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGUAGES).collect()  # a number for each language
     if not totals:
         return {}
-    counts = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], r["count"]) for r in totals], "lang string, count long"))
+    counts = small(docs.sparkSession.createDataFrame([(r["lang"], r["count"]) for r in totals], "lang string, count long"))
     unit = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     thinned = rows.select("lang", "doc_id", unit.alias("u"), "text").join(counts, "lang").filter(F.col("u") * F.col("count") < 3 * SAMPLE_ROWS)
     at = (F.lit(1) + F.floor(F.col("u") * 1e6) % F.greatest(F.lit(1), F.length("text") - PIECE_CHARS + 1)).cast("int")
     pieces = thinned.select("lang", "u", "doc_id", F.substring(F.col("text"), at, F.lit(PIECE_CHARS)).alias("piece"))
     ranked = pieces.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id", "piece"))).filter(F.col("k") <= SAMPLE_ROWS)
-    found: dict[str, str] = {}
+    found: dict[str, list[str]] = {}
     for row in ranked.orderBy("lang", "k").collect():  # SAMPLE_ROWS pieces of a language at most
-        found[row["lang"]] = (found.get(row["lang"], "") + " " + row["piece"])[:SAMPLE_CHARS]
-    return found
+        found.setdefault(row["lang"], []).append(row["piece"])
+    return {k: " ".join(v) for k, v in found.items()}
 
 
 def identify_languages(docs: DataFrame, samples: dict[str, str] | None = None, carry: bool = False) -> DataFrame:
@@ -196,7 +263,7 @@ def identify_languages(docs: DataFrame, samples: dict[str, str] | None = None, c
     Only the text decides. A null or letterless text, or a table without labels, gives lang_pred und and score 0.
     The score is the share by which the best cross-entropy lies below the second best. Ties go to the language that
     sorts first. Repeated rows give equal rows, an empty table an empty one, other columns are ignored. Whole texts
-    are parsed, in blocks of BLOCK letters that start afresh.
+    are parsed, each from its first letter to its last by one greedy parse.
     """
     samples = labelled_samples(docs) if samples is None else samples
     shared = docs.sparkSession.sparkContext.broadcast(samples)
@@ -208,9 +275,9 @@ def identify_languages(docs: DataFrame, samples: dict[str, str] | None = None, c
             start = 0
             while start < batch.num_rows:
                 texts, chars, stop = [], 0, start
-                while stop < batch.num_rows and chars < 2_000_000:
+                while stop < batch.num_rows and chars < PART:
                     texts.append(column[stop].as_py())
-                    chars += len(texts[-1] or "")
+                    chars += max(BLOCK, len(texts[-1] or ""))  # a short text takes a block, too
                     stop += 1
                 found = parser.classify(texts)
                 part = batch.slice(start, stop - start)
@@ -226,5 +293,9 @@ def identify_languages(docs: DataFrame, samples: dict[str, str] | None = None, c
 
 
 def keep_identified(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFrame:
-    """The rows of ``docs``, all their columns, whose text has a language; null and letterless texts go."""
+    """The rows of ``docs``, all their columns, whose text has a language; null and letterless texts go.
+
+    Repeated rows stay as often as they come; an empty table gives an empty one; other columns, whatever their names,
+    are kept. A table without labels identifies nothing, so none of its rows stays.
+    """
     return identify_languages(docs, samples, carry=True).filter("lang_pred <> 'und'").select("row.*")

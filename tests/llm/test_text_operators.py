@@ -70,17 +70,50 @@ def test_an_edit_is_local(vocabulary):
     assert bpe.PrefixTable(vocabulary, data).replace(5, 6, b"u") < len(data) // 2
 
 
-def test_cross_parsing_against_a_plain_parse():
-    sample, text = "the cat and the dog", "the hat and a cog"
-    parser = language.CrossParser({"en": sample})
-    plain, at = 0, 0
-    lowered = " ".join(sample.split())
+def plain_phrases(sample, text):
+    """Greedy longest matches of a text in a sample, letter by letter; all that is no letter is one space."""
+    level = lambda t: re.sub(r"[\W\d_]+", " ", t.lower())
+    sample, text = level(sample), level(text)
+    count = at = 0
     while at < len(text):
         n = 1
-        while at + n < len(text) and text[at : at + n + 1] in lowered:
+        while at + n < len(text) and text[at : at + n + 1] in sample:
             n += 1
-        plain, at = plain + 1, at + n
-    assert parser.phrases([parser.codes(text)])[0, 0] == plain
+        count, at = count + 1, at + n
+    return count
+
+
+def scripts(rng, n):
+    """Samples in alphabets of many sizes, and texts made of words of them, some of several blocks."""
+    ranges = {"lat": (0x61, 26), "cyr": (0x430, 32), "han": (0x4E00, 3000), "kan": (0x5F00, 3000), "kat": (0x30A1, 80)}
+    word = lambda k: "".join(chr(ranges[k][0] + int(ranges[k][1] * rng.random() ** 2)) for _ in range(rng.randint(1, 7)))
+    pool = {k: [word(k) for _ in range(60)] for k in ranges}
+    say = lambda k, m: " ".join(rng.choice(pool[k]) if rng.random() < 0.8 else word(k) for _ in range(m))
+    samples = {k: say(k, 400) for k in ranges}
+    texts = [(k, say(k, rng.choice([1, 5, 40, 300, 900]))) for k in list(ranges) * n]
+    return samples, texts + [("lat", samples["lat"]), ("han", samples["han"] * 2), ("lat", "a" * 3000), ("cyr", samples["cyr"][7:] + samples["lat"][:900])]
+
+
+@pytest.mark.parametrize("block,part", [(512, 512 * 4096), (7, 70), (16, 160)])
+def test_cross_parsing_against_a_plain_parse(block, part, monkeypatch):
+    monkeypatch.setattr(language, "BLOCK", block)
+    monkeypatch.setattr(language, "PART", part)
+    samples, texts = scripts(random.Random(block), 4)
+    parser = language.CrossParser(samples)
+    found = parser.phrases([parser.codes(t.lower()) for _, t in texts])
+    for row, (_, text) in zip(found.tolist(), texts, strict=True):
+        assert row == [plain_phrases(samples[k], text) for k in parser.languages]
+    assert found[-4, parser.languages.index("lat")] == 1  # the sample itself is one phrase
+    assert parser.phrases([parser.codes("the hat and a cog")]).shape == (1, 5)
+
+
+def test_large_alphabets_are_told_apart():
+    rng = random.Random(5)
+    samples, texts = scripts(rng, 30)
+    parser = language.CrossParser(samples)
+    told = [(k, t) for k, t in texts[:-1] if len(t) > 40]  # a single word may hold no letter of any sample
+    assert [x for x, _ in parser.classify([t for _, t in told])] == [k for k, _ in told]
+    assert max(len(a.owner) for a in parser.automata) < 40 * max(map(len, samples.values()))  # a few cells a letter of the sample
 
 
 def test_language_rows(spark):
