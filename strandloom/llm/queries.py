@@ -29,10 +29,11 @@ def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_temperature_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' mixture: one row for each use of a document, without its text."""
-    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), MIX_ENTROPY, MIX_PASSES).drop("text", "mix_source")
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), MIX_ENTROPY, MIX_PASSES, MIX_BUDGET).drop("text", "mix_source")
 
 
-MIX_ENTROPY, MIX_PASSES = 0.97, 1.5
+#: Share of the greatest entropy, passes of a source, and tokens of the mixture over those of the corpus: small sources are repeated, large ones thinned.
+MIX_ENTROPY, MIX_PASSES, MIX_BUDGET = 0.999, 1.5, 1.0
 _HASH = "CAST('0x' || substr(md5(concat_ws(':', {})), 1, 15) AS BIGINT)"
 OP4_SQL = f"""
 WITH RECURSIVE d AS (
@@ -47,20 +48,20 @@ b AS (
     SELECT step, lo, hi, lo2, hi2, (lo + hi) / 2 AS m, (lo2 + hi2) / 2 AS m2,
       (SELECT ln(sum(pow(p, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(p, (lo + hi) / 2) * ln(p)) / sum(pow(p, (lo + hi) / 2)) FROM p) AS h,
       (SELECT {MIX_ENTROPY} * ln(count(*)) FROM p) AS goal,
-      (SELECT pow(max(p) / min(p), 1 - (lo2 + hi2) / 2) FROM p) AS g
+      (SELECT {MIX_BUDGET} * pow(min(p), (lo2 + hi2) / 2 - 1) / sum(pow(p, (lo2 + hi2) / 2)) FROM p) AS g
     FROM b WHERE step < {mixing.STEPS}
   )
 ), a AS (SELECT CASE WHEN (SELECT count(*) FROM p) < 2 THEN 1 ELSE round(greatest(hi, hi2), 9) END AS alpha FROM b WHERE step = {mixing.STEPS}),
 w AS (SELECT src, n, pow(p, alpha) / (SELECT sum(pow(p, alpha)) FROM p, a) AS w FROM p, a),
-q AS (SELECT src, n, greatest(n, CAST(round_even(w * (SELECT max(n / w) FROM w), 0) AS BIGINT)) AS quota FROM w),
+q AS (SELECT src, n, CAST(round_even(w * ({MIX_BUDGET} * (SELECT sum(n) FROM w)), 0) AS BIGINT) AS quota FROM w),
 k AS (
-  SELECT src, greatest(1, quota // greatest(1, n)) AS whole, CASE WHEN n > 0 THEN quota % n ELSE 0 END AS rest, greatest(1, CAST(ceil(n / {mixing.BLOCK_TOKENS}) AS BIGINT)) AS blocks
+  SELECT src, quota // greatest(1, n) AS whole, CASE WHEN n > 0 THEN quota % n ELSE 0 END AS rest, greatest(1, CAST(ceil(n / {mixing.BLOCK_TOKENS}) AS BIGINT)) AS blocks
   FROM (SELECT * FROM q UNION ALL SELECT src, n, 0 FROM s WHERE n = 0)
 ), t AS (SELECT d.*, whole, rest, {_HASH.format("17, src, doc_id")} AS rank, {_HASH.format("17, src, doc_id")} % blocks AS block FROM d JOIN k USING (src)),
 u AS (SELECT src, block, rest, sum(tok) AS tok FROM t GROUP BY ALL),
 v AS (SELECT src, block, tok, rest - (sum(tok) OVER (PARTITION BY src ORDER BY {_HASH.format("18, src, block")}, block) - tok) AS room FROM u),
 x AS (SELECT t.*, coalesce(v.tok, 0) AS block_tok, coalesce(room, 0) AS room, sum(t.tok) OVER (PARTITION BY src, t.block ORDER BY rank, doc_id, t.tok) AS upto FROM t JOIN v USING (src, block)),
-y AS (SELECT doc_id, source, block, whole + CASE WHEN tok > 0 AND room > 0 AND (block_tok <= room OR upto <= room) THEN 1 ELSE 0 END AS uses FROM x),
+y AS (SELECT doc_id, source, block, CASE WHEN tok = 0 THEN greatest(1, whole) WHEN room > 0 AND (block_tok <= room OR upto <= room) THEN whole + 1 ELSE whole END AS uses FROM x),
 z AS (SELECT doc_id, source, block AS mix_block, unnest(range(1, uses + 1)) AS mix_pass FROM y)
 SELECT doc_id, source, mix_pass, mix_block, {_HASH.format("17, mix_pass, doc_id")} AS mix_rank FROM z
 """

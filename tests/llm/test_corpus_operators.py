@@ -181,32 +181,63 @@ def test_jaccard_without_rows_and_with_repeats(spark):
     assert [r.doc_id for r in kept.collect()] == [3] and kept.columns == table_of(spark, rows).columns
 
 
-def test_mixture_against_sql(spark):
-    rng = random.Random(5)
-    sources = ["big"] * 60 + ["mid"] * 20 + ["low"] * 9 + [None] * 5
-    rows = [(i, " ".join("w" for _ in range(rng.randint(0, 30))) if i % 17 else None, s) for i, s in enumerate(sources)]
-    sql = queries.OP4_SQL.replace(str(mixing.BLOCK_TOKENS), "40")
-    out = mixing.mix_sources(table_of(spark, rows), queries.MIX_ENTROPY, queries.MIX_PASSES, block_tokens=40)
+def mixture_rows(seed, sources):
+    rng = random.Random(seed)
+    return [(i, " ".join("w" for _ in range(rng.randint(0, 30))) if i % 17 else None, s) for i, s in enumerate(sources)]
+
+
+@pytest.mark.parametrize("entropy,passes,budget", [(0.999, 1.5, 1.0), (0.999, 1.2, 1.0), (0.9, 9.0, 0.5), (0.98, 9.0, 2.5), (0.3, 2.0, 1.0)])
+def test_mixture_against_sql(spark, entropy, passes, budget):
+    rows = mixture_rows(5, ["big"] * 60 + ["mid"] * 20 + ["low"] * 9 + [None] * 5)
+    sql = queries.OP4_SQL
+    for old, new in ((mixing.BLOCK_TOKENS, 40), (f"{queries.MIX_ENTROPY} * ln", f"{entropy} * ln"), (f"<= {queries.MIX_PASSES}", f"<= {passes}"), (f"{queries.MIX_BUDGET} * pow", f"{budget} * pow"), (f"({queries.MIX_BUDGET} * (", f"({budget} * (")):
+        assert str(old) in sql
+        sql = sql.replace(str(old), str(new))
+    out = mixing.mix_sources(table_of(spark, rows), entropy, passes, budget, block_tokens=40)
     found = sorted(((r.doc_id, r.source, r.mix_pass, r.mix_block, r.mix_rank) for r in out.collect()), key=repr)
     assert found == sorted(oracle(sql, rows), key=repr)
-    assert len(found) > len(rows) and {r[0] for r in found} == set(range(len(rows)))
 
 
-def test_mixture_weights():
+def test_mixture_meets_quotas(spark):
+    rows = mixture_rows(6, ["big"] * 300 + ["mid"] * 60 + ["low"] * 9)
+    df = table_of(spark, rows)
+    totals = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for s in ("big", "mid", "low")}
+    plan, alpha = mixing.plan_mixture(spark.createDataFrame(list(totals.items()), "src string, n long"), 0.9, 4.0, 0.8)
+    quotas = {r.src: r.quota for r in plan.collect()}
+    assert 0 < alpha < 1 and abs(sum(quotas.values()) - 0.8 * sum(totals.values())) < 3
+    assert quotas["big"] < totals["big"] and quotas["low"] > totals["low"]  # thinned and repeated
+    used = {}
+    for r in mixing.mix_sources(df, 0.9, 4.0, 0.8, block_tokens=100).collect():
+        used[r.source] = used.get(r.source, 0) + len((r.text or "").split())
+    assert all(quotas[s] - 30 <= used[s] <= quotas[s] for s in totals)  # a row short of the quota at most
+
+
+def test_mixture_uses_every_row_without_a_budget(spark):
+    rows = mixture_rows(5, ["big"] * 60 + ["mid"] * 20 + ["low"] * 9 + [None] * 5)
+    out = [r.doc_id for r in mixing.mix_sources(table_of(spark, rows), 0.97, 1.5, block_tokens=40).collect()]
+    assert len(out) > len(rows) and set(out) == set(range(len(rows)))
+
+
+def test_mixture_weights(spark):
     tokens = {"a": 8000, "b": 1000, "c": 1000}
-    shares = {k: n / 10_000 for k, n in tokens.items()}
-    alpha = mixing.exponent_for(tokens, 0.9, 100)
-    assert mixing.entropy(mixing.weights(shares, alpha)) == pytest.approx(0.9 * np.log(3), abs=1e-6)
-    limited = mixing.exponent_for(tokens, 0.9, 1.5)
-    w = mixing.weights(shares, limited)
-    assert (w["b"] / tokens["b"]) / (w["a"] / tokens["a"]) == pytest.approx(1.5, abs=1e-5)
-    assert mixing.plan_mixture({}, 0.9, 2) == [] and mixing.exponent_for({"a": 5}, 0.9, 2) == 1.0
+    of = lambda t, *p: (lambda plan: ({r.src: r for r in plan[0].collect()}, plan[1]))(mixing.plan_mixture(spark.createDataFrame(list(t.items()), "src string, n long"), *p))
+    plan, _ = of(tokens, 0.9, 100)
+    assert -sum(r.weight * np.log(r.weight) for r in plan.values()) == pytest.approx(0.9 * np.log(3), abs=1e-6)
+    plan, _ = of(tokens, 0.9, 1.5)
+    assert (plan["b"].weight / 1000) / (plan["a"].weight / 8000) == pytest.approx(1.5, abs=1e-5)
+    plan, alpha = of(tokens, 0.9, 1.5, 0.9)
+    assert plan["b"].quota / 1000 == pytest.approx(1.5, abs=1e-2) and sum(r.quota for r in plan.values()) == 9000
+    assert of(tokens, 0.1, 9.0)[1] == 1.0 and of({"a": 5}, 0.9, 2)[1] == 1.0
+    assert of({"a": 5, "b": 0}, 0.9, 2)[0]["b"].quota == 0
 
 
 def test_mixture_of_odd_tables(spark):
     rows = [(1, None, None), (2, "", "s"), (3, "a b", "s"), (3, "a b", "s")]
     assert sorted(r.doc_id for r in mixing.mix_sources(table_of(spark, rows)).collect()) == [1, 2, 3, 3]
     assert mixing.mix_sources(table_of(spark, rows).limit(0)).count() == 0
+    assert mixing.mix_sources(table_of(spark, rows).limit(0), budget_share=1.0).count() == 0
+    clash = mixing.mix_sources(table_of(spark, rows).selectExpr("*", "1 AS mix_pass", "2 AS tok", "3 AS src", "4 AS rank"))
+    assert clash.columns[-4:] == ["mix_source", "mix_pass", "mix_block", "mix_rank"] and clash.count() == 4
 
 
 def quality_table(n=800):
