@@ -33,7 +33,7 @@ def op4_temperature_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Share of the greatest entropy, passes of a source, and tokens of the mixture over those of the corpus: small sources are repeated, large ones thinned.
-MIX_ENTROPY, MIX_PASSES, MIX_BUDGET = 0.999, 1.5, 1.0
+MIX_ENTROPY, MIX_PASSES, MIX_BUDGET = 0.9999, 1.5, 1.0
 _HASH = "CAST('0x' || substr(md5(concat_ws(':', {})), 1, 15) AS BIGINT)"
 OP4_SQL = f"""
 WITH RECURSIVE d AS (
