@@ -326,6 +326,89 @@ def test_patterns_discover_what_no_expression_finds(spark):
     assert pii.find_personal_data(docs(spark, "a").limit(0)).count() == 0
 
 
+def plain_patterns(evidence, rounds=pii.ROUNDS):
+    """The scoring of patterns and instances with dictionaries."""
+    kinds = range(len(pii.KINDS))
+    edges = {}
+    for instance, kind, pattern in evidence:
+        edges.setdefault(pattern, set()).add(instance)
+    score = {(i, k): 0.0 for i, _, _ in evidence for k in kinds}
+    for i, kind, _ in evidence:
+        if kind >= 0:
+            score[i, kind] = 1.0
+    refused = {i for i, kind, _ in evidence if kind == -2}
+    for turn in range(rounds):
+        held = {}
+        for p, own in edges.items():
+            w = {i: 1.0 if i in refused or max(score[i, k] for k in kinds) >= pii.COUNTS or not re.search("[:=#][^ ]*_", p) else pii.UNKNOWN for i in own}
+            held[p] = [(sum(w[i] * score[i, k] for i in own) / sum(w.values()), sum(score[i, k] >= pii.COUNTS for i in own)) for k in kinds]
+        if turn + 1 < rounds:
+            for p, own in list(edges.items()):
+                for k in kinds:
+                    c, n = held[p][k]
+                    if n >= pii.SUPPORT and c >= pii.COUNTS:
+                        for i in own - refused:
+                            score[i, k] = max(score[i, k], c)
+    out = {}
+    for p, values in held.items():
+        c, neg = max((c if n >= pii.SUPPORT else 0.0, -k) for k, (c, n) in enumerate(values))
+        if c >= pii.CONFIDENCE:
+            out[p] = (-neg, pytest.approx(c))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_discovery_against_a_plain_graph(spark, seed):
+    rng = random.Random(seed)
+    kind_of = {f"i{i}": rng.choice([-2, -1, 0, 0, 1, 3, 4]) for i in range(60)}
+    clusters = [[f"i{j}" for j in range(60) if kind_of[f"i{j}"] == k] + ["i0", "i1"] for k in (0, 1, 3, 4)]
+    evidence = []
+    for p in range(40):
+        own = rng.choice(clusters) if rng.random() < 0.8 else list(kind_of)
+        evidence += [(i, kind_of[i], f"p{p}" + " :_" * (p % 2)) for i in rng.choices(own, k=rng.randint(1, 14))]
+    found = {r.pattern: (r.kind, r.confidence) for r in pii.discover(spark.createDataFrame(evidence, "instance string, kind int, pattern string")).collect()}
+    assert found and found == plain_patterns(evidence)
+
+
+def planted_identifiers(seed, n=400):
+    """Documents with identifiers in the seeds' surroundings, others in surroundings of their own, and decoys; what is personal."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    hexes = lambda k: "a1" + "".join(rng.choice("0123456789abcdef") for _ in range(k - 2))
+    rows, want = [], []
+    for _ in range(n):
+        say = lambda k: " ".join(word() for _ in range(k))
+        case = rng.randrange(9)
+        value, before = {
+            0: (f"+1 (202) 555-{digits(4)}", "reach us by phone: "), 1: (f"{digits(3)}-{digits(4)}", "reach us by phone: "), 2: (f"{word()}@mail.org", "write to "), 3: (f"{word()}{digits(3)} at mail org", "lot "),
+            4: (hexes(40), 'token = "'), 5: (hexes(12), 'token = "'), 6: (digits(15) + "0", "card "), 7: (f"{digits(5)}", "item number "), 8: (f"{digits(3)} {digits(4)}", "reach us by phone: "),
+        }[case]
+        head = f"{say(12)} {before}"
+        rows.append(f"{head}{value}{chr(34) if before[-1] == chr(34) else ''} {say(9)}")
+        want.append((len(head), len(head) + len(value)) if case in (0, 1, 2, 4, 5, 8) or case == 6 and pii.luhn(value) else None)
+    return rows, want
+
+
+def test_discovery_has_precision_and_recall(spark):
+    rows, want = planted_identifiers(3)
+    hits = wrong = fresh = 0
+    for r in pii.find_personal_data(docs(spark, *rows)).collect():
+        spans = {tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x}
+        hits += want[r.doc_id] in spans
+        wrong += len(spans - {want[r.doc_id]})
+        fresh += r.n_found
+        assert r.n_spans == len(spans)
+    assert hits >= 0.98 * sum(w is not None for w in want) and wrong <= 0.02 * hits and fresh > 100
+
+
+def test_candidates():
+    of = lambda t: [t[s:e] for s, e in pii.candidates(t)]
+    assert of("ssn 078 05 1120, born") == ["078 05 1120"] and of("room 12 now") == [] and of("password: hunter-two ok") == ["hunter-two"]
+    assert of('api_key="zq19xkzz" and token = "abcdef"') == ["zq19xkzz", "abcdef"] and of("@someone and a@b.cc") == ["@someone", "a@b.cc"]
+    assert of("") == of("= : ' \"") == [] and len(of("9" * 100_000)) == 1 and of("x" * 100_000) == []
+
+
 def test_schema_of_odd_columns(spark):
     odd = spark.createDataFrame([(1, "a b c", "en", "x", 5, 0.0, "r", 1)], T.StructType.fromDDL(SCHEMA))
     assert language.identify_languages(odd, {"en": "a b c"}, carry=True).first()["row"]["version"] == 1
