@@ -39,7 +39,7 @@ _CANDIDATE = re.compile(r"[0-9@:=]")
 _HEX = re.compile(r"(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}", re.IGNORECASE)
 _PIECE = re.compile(r"\w+|[^\w\s]")
 _TOKEN = re.compile(r"\S+")
-_EDGE = ".,;:!?\"'()[]{}<>|="
+_EDGE = ".,;:!?\"'()[]{}<>|=#$%&*~"
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -135,6 +135,8 @@ def candidates(text: str) -> list[tuple[int, int]]:
             digits = False
             continue
         core = token.strip(_EDGE)
+        if '"' in core:
+            core = core[: core.index('"')].rstrip(_EDGE)  # a quoted value ends with its quote
         if not core:
             digits, label = False, label or follows and token in "\"'"
             continue

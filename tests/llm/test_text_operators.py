@@ -406,6 +406,7 @@ def test_candidates():
     of = lambda t: [t[s:e] for s, e in pii.candidates(t)]
     assert of("ssn 078 05 1120, born") == ["078 05 1120"] and of("room 12 now") == [] and of("password: hunter-two ok") == ["hunter-two"]
     assert of('api_key="zq19xkzz" and token = "abcdef"') == ["zq19xkzz", "abcdef"] and of("@someone and a@b.cc") == ["@someone", "a@b.cc"]
+    assert of('token = "ab12cd34"### next') == ["ab12cd34"]
     assert of("") == of("= : ' \"") == [] and len(of("9" * 100_000)) == 1 and of("x" * 100_000) == []
 
 
