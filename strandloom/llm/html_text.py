@@ -1,17 +1,18 @@
-"""Main text of web pages: page structure first, then a suffix array over each host's token streams.
-
-Pages with an explicit article are told by structure alone. The pages of hosts that have
-others are dealt to (host, part) groups of bounded size. In a group the pages' tokens
-are concatenated and sorted by the ranks of their suffixes; token runs that stand in
-several distinct pages are marked, and where a host has several parts its runs are
-counted over all of them. Outside an explicit article such runs are boilerplate of the
-host and are cut; runs that are not repeated stay.
+"""Main text of web pages: a suffix array over each host's token streams, with page structure as a prior.
+
+Structure tells which text of a page can be main text at all, and whether it stands in an
+explicit article. The token streams of a host's pages are concatenated and sorted into a
+suffix array; neighbours with a long common prefix are one substring, and those that stand
+on many distinct pages are boilerplate of the host. Covered stretches are cut, inside an
+article only where a large share of the host's pages has them; unique runs stay. Large hosts
+are dealt to parts of bounded size, which exchange digests of their substrings, so that
+repeats are counted over the whole host.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -23,11 +24,13 @@ from pyspark.sql import functions as F
 from strandloom.functions.sizes import small
 from strandloom.functions.storage import materialise
 
-#: Characters of text that a group holds about, tokens of a repeated run, distinct pages that a run must stand in,
-#: and the share of a short block's tokens that runs must cover.
-GROUP_CHARS, RUN_DOUBLINGS, MIN_PAGES, COVERED = 4_000_000, 3, 3, 0.6
+#: Characters of HTML that a group holds about; tokens of a long substring, block ends counted.
+GROUP_CHARS, RUN = 4_000_000, 8
+#: Distinct pages that a substring must stand on; share of the host's pages for one inside an article; covered share
+#: of an article beyond which the page is a copy of others and stays whole.
+MIN_PAGES, ARTICLE_SHARE, COPY = 3, 0.5, 0.5
 
-# Elements of HTML and names that sites give to what isn't main text.
+# Elements of HTML, and names that sites give to what isn't main text, alone or with a part of PLACES.
 SILENT = {"head", "script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "audio", "video", "map", "title"}
 ASIDE = {"nav", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "dialog", "menu", "label", "fieldset"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -35,31 +38,44 @@ BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
+PLACES = {"area", "bar", "block", "body", "bottom", "box", "container", "content", "group", "inner", "item", "items", "left", "list", "main", "outer", "page", "panel", "right", "section", "site", "top", "wrap", "wrapper"}
 NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "newsletter",
     "subscribe", "subscription", "signup", "popup", "modal", "overlay", "sidebar", "aside", "rail", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "masthead", "topbar",
     "toolbar", "share", "sharing", "social", "related", "recommended", "recommendations", "comment", "comments", "respond", "replies", "disqus", "widget", "login", "search", "skip", "copyright", "disclaimer",
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
-_WORDS = re.compile(r"[a-z]+")
 _SECTION = re.compile(r"<!\[(?:cdata|temp|ignore|include|rcdata)(?![-_.a-z0-9])\s*\[", re.IGNORECASE)
 
 
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+
+def set_aside(names: str) -> bool:
+    """Whether one of the names is made of NAMES and PLACES alone: "ad" and "cookie-notice" are, "related-work" isn't."""
+    for name in names.lower().split():
+        parts = re.split("[-_]+", name.strip("-_"))
+        if any(x in NAMES for x in parts) and all(x in NAMES or x in PLACES for x in parts):
+            return True
+    return False
+
+
 class _Blocks(HTMLParser):
-    """Text blocks of a page with whether each lies in an article and whether structure sets it aside."""
+    """Text blocks of a page that structure doesn't set aside, with whether each stands in an article."""
+
+    CDATA_CONTENT_ELEMENTS = ("script", "style", "textarea")  # what they hold is no markup
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # element, set aside, article
-        self.blocks: list[tuple[str, bool, bool]] = []
+        self.stack: list[tuple[str, int, bool]] = []  # element; set aside: 0 not, 1 as a form, 2 otherwise; article
+        self.blocks: list[tuple[str, bool]] = []
         self.parts: list[str] = []
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts = []
         if text:
-            aside, article = self.stack[-1][1:] if self.stack else (False, False)
-            self.blocks.append((text, article, aside))
+            self.blocks.append((text, bool(self.stack) and self.stack[-1][2]))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -68,17 +84,28 @@ class _Blocks(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        if tag == "p" and self.stack and any(x[0] == "p" for x in self.stack):  # a paragraph ends where the next begins
+        if tag == "p" and any(x[0] == "p" for x in self.stack):  # a paragraph ends where the next begins
             self._close("p")
-        aside, article = self.stack[-1][1:] if self.stack else (False, False)
+        aside, article = self.stack[-1][1:] if self.stack else (0, False)
         own = {k: v or "" for k, v in attrs}
-        names = set(_WORDS.findall(f"{own.get('class', '')} {own.get('id', '')}".lower())) if tag not in ("html", "body") else set()
-        away = tag in SILENT or tag in ASIDE or (tag == "header" and not article) or own.get("role", "").lower() in ROLES or bool(names & NAMES) or "hidden" in own or own.get("aria-hidden") == "true"
-        self.stack.append((tag, aside or away, article or tag in ("article", "main")))
+        if tag in ("article", "main"):
+            aside, article = aside if aside == 2 else 0, True  # some sites wrap the whole page in a form
+        elif tag not in ("html", "body"):
+            names = "" if tag in _HEADINGS else own.get("class", "") if article else f"{own.get('class', '')} {own.get('id', '')}"  # ids in an article are targets of links
+            if tag in SILENT or tag in ASIDE and tag != "form" or tag == "header" and not article or set_aside(names):
+                aside = 2
+            elif tag == "form":
+                aside = max(aside, 1)
+        if own.get("role", "").lower() in ROLES or "hidden" in own or own.get("aria-hidden") == "true":
+            aside = 2
+        self.stack.append((tag, aside, article))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        """An element that ends where it begins holds no text."""
         if tag in BLOCKS:
             self._flush()
+        elif tag == "br":
+            self.parts.append(" ")
 
     def _close(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
@@ -100,182 +127,266 @@ class _Blocks(HTMLParser):
         return super().parse_html_declaration(i)
 
     def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1][0] in SILENT:
-            return
-        self.parts.append(data)
+        if not (self.stack and self.stack[-1][1]):
+            self.parts.append(data)
+
 
+def page_blocks(html: str | None) -> tuple[bool, list[str]]:
+    """Whether the page has an explicit article with text, and its text blocks in page order: the article's if it has.
 
-def page_blocks(html: str | None) -> list[tuple[str, bool, bool]]:
-    """(text, in an article, set aside) of each block in page order; white space is one space."""
+    White space is one space; what structure sets aside is left out.
+    """
     parser = _Blocks()
-    try:
-        parser.feed(html or "")
-        parser.close()
-    except AssertionError:  # the parser gives up on some broken declarations; what it has read stays
-        pass
+    parser.feed(html or "")
+    parser.close()
     parser._flush()
-    return parser.blocks
+    told = any(article for _, article in parser.blocks)
+    return told, [text for text, article in parser.blocks if article or not told]
 
 
-def _suffixes(tokens: np.ndarray, page: np.ndarray, owner: np.ndarray, doublings: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix array of the runs of 2**doublings tokens inside a page, each one's class of equal runs, and the distinct owners of each class.
+def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the suffixes in sorted order, and the tokens that each has in common with the one before it.
 
-    Prefix doubling ranks all suffixes by their first 2**doublings tokens; equal ranks are neighbours in the
-    suffix array, and runs don't reach across pages.
+    Prefix doubling: the suffixes that are still alike by their first h tokens are sorted by the rank of what follows
+    these. The ranks of all rounds then give the common prefixes of neighbours by halving.
     """
-    n, width = len(tokens), 1 << doublings
-    none = np.zeros(0, np.int64)
-    if n < width:
-        return none, none, none
-    rank = tokens.astype(np.int64)
-    for k in range(doublings):
-        step = 1 << k
-        key = rank[: n - 2 * step + 1] * (int(rank.max()) + 1) + rank[step : n - step + 1]
-        rank = np.unique(key, return_inverse=True)[1]
-    starts = np.flatnonzero(page[: n - width + 1] == page[width - 1 :])
-    order = starts[np.lexsort((owner[starts], rank[starts]))]  # suffix array, by owner within equal ranks
-    if not len(order):
-        return none, none, none
-    r, p = rank[order], owner[order]
-    fresh = np.concatenate(([True], r[1:] != r[:-1]))
-    group = np.cumsum(fresh) - 1
-    distinct = np.bincount(group[np.concatenate(([True], fresh[1:] | (p[1:] != p[:-1])))], minlength=group[-1] + 1)
-    return order, group, distinct
-
-
-def _covered(n: int, hits: np.ndarray, width: int) -> np.ndarray:
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, hits, 1)
-    np.add.at(edge, hits + width, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def repeated_tokens(tokens: np.ndarray, page: np.ndarray, doublings: int = RUN_DOUBLINGS, min_pages: int = MIN_PAGES) -> np.ndarray:
-    """Marks the tokens of runs of 2**doublings tokens that stand in min_pages distinct pages."""
-    order, group, distinct = _suffixes(tokens, page, page, doublings)
-    return _covered(len(tokens), order[distinct[group] >= min_pages], 1 << doublings)
-
-
-class _Group:
-    """The tokens of a group of rows, each a list of blocks, with their row, block, and the row's page."""
-
-    def __init__(self, rows: list[list[str]], pages: Iterable):
-        self.ids: dict[str, int] = {}
+    n = len(tokens)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(tokens, kind="stable")
+
+    def starts(*keys: np.ndarray) -> np.ndarray:
+        """Where a group of equal neighbours begins."""
+        fresh = np.ones(len(keys[0]), bool)
+        fresh[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        return fresh
+
+    fresh = starts(tokens[order])
+    rank = np.empty(n + 1, np.int32)
+    rank[n] = -1  # behind the last token
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    levels, step = [rank.copy()], 1
+    left = np.flatnonzero(~fresh | ~np.append(fresh[1:], True))  # places in the order that are shared
+    while len(left):
+        at = order[left]
+        own, behind = rank[at], rank[np.minimum(at + step, n)]
+        turn = np.lexsort((behind, own))
+        at, own, behind = at[turn], own[turn], behind[turn]
+        order[left] = at
+        fresh = starts(own, behind)
+        rank[at] = np.maximum.accumulate(np.where(fresh, left, 0))
+        levels.append(rank.copy())
+        step *= 2
+        left = left[~fresh | ~np.append(fresh[1:], True)]
+    a, b = order[:-1], order[1:]
+    common = np.zeros(n - 1, np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        x, y = np.minimum(a + common, n), np.minimum(b + common, n)
+        common += np.where((levels[k][x] == levels[k][y]) & (x < n) & (y < n), 1 << k, 0)
+    return order, np.append(0, common)
+
+
+class Host:
+    """The token streams of some rows of a host, one behind the other, with block ends and page ends between them."""
+
+    def __init__(self, rows: list[list[str]], pages: list, run: int = RUN):
+        ids: dict[str, int] = {}
         self.blocks = [text.split(" ") for blocks in rows for text in blocks]
-        sizes = np.array([len(b) for b in self.blocks], np.int64)
-        self.tokens = np.array([self.ids.setdefault(w, len(self.ids)) for b in self.blocks for w in b], np.int64)
-        self.block = np.repeat(np.arange(len(sizes)), sizes)
-        self.row = np.repeat(np.arange(len(rows)), [len(blocks) for blocks in rows])[self.block]
-        self.order, self.group, self.distinct = _suffixes(self.tokens, self.row, pd.factorize(np.array(list(pages), object), use_na_sentinel=False)[0][self.row], RUN_DOUBLINGS)
-
-    def hashes(self) -> np.ndarray:
-        """A hash of each class of runs, which other groups give to the same words."""
-        words = pd.util.hash_array(np.array(list(self.ids), object))[self.tokens]
-        first = self.order[np.flatnonzero(np.diff(self.group, prepend=-1))]
-        value = np.zeros(len(first), np.uint64)
-        for k in range(1 << RUN_DOUBLINGS):
-            value = value * np.uint64(0x9E3779B97F4A7C15) + words[first + k]
-        return value.view(np.int64)
-
-    def texts(self, n: int, wanted: np.ndarray, repeated: np.ndarray) -> list[str]:
-        """Text of each of n rows: of its wanted blocks what no repeated class of runs covers.
-
-        Runs that lie in a block are cut from it; a block that is too short for one goes if runs across its ends
-        cover the share COVERED, a longer one if they cover all that is left.
+        self.row = np.repeat(np.arange(len(rows)), [len(blocks) for blocks in rows]).astype(np.int64)  # of each block
+        size = np.array([len(b) for b in self.blocks], np.int64)
+        words = np.array([ids.setdefault(w, len(ids) + 1) for b in self.blocks for w in b], np.int64)
+        last = np.append(self.row[1:] != self.row[:-1], True) if len(self.row) else np.zeros(0, bool)
+        ends = np.cumsum(size + 1) - 1  # a block end behind each block, in a row's last block an end of its own
+        self.begin = ends - size
+        self.tokens = np.zeros(int(size.sum()) + len(size), np.int64)
+        self.block = np.repeat(np.arange(len(size)), size + 1)
+        inside = np.ones(len(self.tokens), bool)
+        inside[ends] = False
+        self.tokens[inside] = words
+        self.tokens[ends[last]] = len(ids) + 1 + np.arange(last.sum())
+        page = pd.factorize(np.array(pages, object), use_na_sentinel=False)[0].astype(np.int64) if len(pages) else np.zeros(0, np.int64)
+        self.n_pages = len(np.unique(page))
+        self.page = page[self.row]
+        self.inside, self.size, self.run = inside, size, run
+        self.word_hash = np.append(np.uint64(0x9E3779B97F4A7C15), pd.util.hash_array(np.array(list(ids), object))) if ids else np.ones(1, np.uint64)
+        self._substrings()
+
+    def _substrings(self) -> None:
+        """Classes of equal substrings of ``run`` tokens: their places by class, and the distinct pages of each."""
+        order, common = suffix_array(self.tokens)
+        fresh = common < self.run
+        whole = order + self.run <= len(self.tokens)
+        whole[whole] = self.row[self.block[order[whole]]] == self.row[self.block[order[whole] + self.run - 1]]
+        whole[whole] = self.tokens[order[whole] + self.run - 1] < len(self.word_hash)  # none reaches a page's end
+        self.at, self.klass = order[whole], (np.cumsum(fresh) - 1)[whole]
+        self.klass = np.unique(self.klass, return_inverse=True)[1] if len(self.klass) else self.klass
+        self.pages_of = self._distinct(self.klass, self.page[self.block[self.at]])
+        # whole blocks, which may be shorter
+        digest = self._digests(self.begin, self.size + 1) if len(self.size) else np.zeros(0, np.uint64)
+        self.block_class = np.unique(digest, return_inverse=True)[1] if len(digest) else np.zeros(0, np.int64)
+        self.pages_of_block = self._distinct(self.block_class, self.page)
+
+    @staticmethod
+    def _distinct(klass: np.ndarray, page: np.ndarray) -> np.ndarray:
+        pairs = np.unique(klass * (int(page.max(initial=0)) + 1) + page)
+        return np.bincount(pairs // (int(page.max(initial=0)) + 1)) if len(pairs) else np.zeros(0, np.int64)
+
+    def _digests(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A hash of so many tokens from each place on, the same in every part of a host; a page end counts as a block end."""
+        hashes = self.word_hash[np.where(self.inside, self.tokens, 0)]
+        with np.errstate(over="ignore"):
+            value = np.zeros(len(at), np.uint64)
+            for k in range(int(size.max(initial=0))):
+                live = np.flatnonzero(size > k)
+                value[live] = (value[live] * np.uint64(0xBF58476D1CE4E5B9) + hashes[at[live] + k]) ^ (value[live] >> np.uint64(31))
+        return value
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """Digest of each class of substrings, then of each class of blocks; blocks' are odd, substrings' even."""
+        first = np.full(len(self.pages_of), -1)
+        first[self.klass[::-1]] = self.at[::-1]
+        block = np.full(len(self.pages_of_block), -1)
+        block[self.block_class[::-1]] = np.arange(len(self.block_class))[::-1]
+        runs = self._digests(first, np.full(len(first), self.run)) & np.uint64(2**64 - 2)
+        blocks = self._digests(self.begin[block], self.size[block] + 1) | np.uint64(1) if len(block) else np.zeros(0, np.uint64)
+        return runs, blocks
+
+    def texts(self, told: list[bool], n_pages: int, pages_of: np.ndarray, pages_of_block: np.ndarray) -> list[str]:
+        """Text of each row, less what stands on too many of the host's pages.
+
+        A stretch of covered tokens is cut from a block if it is as long as a substring or the whole block; in rows
+        without an article, repeated blocks of any length go, too. A row of which nothing, or of an article too
+        little, would be left is a copy of other pages and stays as it is.
         """
-        width, hits = 1 << RUN_DOUBLINGS, self.order[repeated[self.group]] if len(self.order) else self.order
-        covered = _covered(len(self.tokens), hits, width)
-        inner = _covered(len(self.tokens), hits[self.block[hits] == self.block[hits + width - 1]], width)
-        out: list[list[str]] = [[] for _ in range(n)]
-        at = 0
-        for words, want in zip(self.blocks, wanted, strict=True):
-            own = slice(at, at + len(words))
-            at = own.stop
-            left = ~inner[own]
-            gone = covered[own].mean() >= COVERED if len(words) < width else covered[own][left].all()
-            if want and not gone:
-                out[self.row[own.start]].append(" ".join(w for w, x in zip(words, left, strict=True) if x))
+        told_block = np.array(told, bool)[self.row] if len(self.row) else np.zeros(0, bool)
+        needed = np.where(told_block, max(MIN_PAGES, int(np.ceil(ARTICLE_SHARE * n_pages))), MIN_PAGES)
+        hits = self.at[pages_of[self.klass] >= needed[self.block[self.at]]] if len(self.at) else self.at
+        edge = np.zeros(len(self.tokens) + 1, np.int64)
+        np.add.at(edge, hits, 1)
+        np.add.at(edge, hits + self.run, -1)
+        covered = (np.cumsum(edge[:-1]) > 0) & self.inside
+        gone = ~told_block & (pages_of_block[self.block_class] >= needed) if len(self.row) else told_block
+        covered |= gone[self.block] & self.inside
+        # stretches: neighbouring covered tokens of a block
+        begins = covered & ~np.append(False, covered[:-1])
+        stretch = np.cumsum(begins) - 1
+        length = np.bincount(stretch[covered], minlength=1)
+        cut = covered.copy()
+        cut[covered] = (length[stretch[covered]] >= self.run) | (length[stretch[covered]] == self.size[self.block[covered]])
+        rows = len(told)
+        row_of = self.row[self.block]
+        lost, all_of = np.bincount(row_of[cut], minlength=rows), np.bincount(row_of[self.inside], minlength=rows)
+        copy = np.where(np.array(told, bool), lost > COPY * all_of, lost == all_of)
+        cut &= ~copy[row_of] if len(row_of) else cut
+        out: list[list[str]] = [[] for _ in range(rows)]
+        touched = np.bincount(self.block[cut], minlength=len(self.blocks))
+        for k, words in enumerate(self.blocks):
+            if touched[k] < len(words):
+                here = self.begin[k]
+                out[self.row[k]].append(" ".join(w for w, x in zip(words, cut[here : here + len(words)], strict=True) if not x) if touched[k] else " ".join(words))
         return ["\n".join(x) for x in out]
 
 
-def _wanted(blocks: list[tuple[str, bool, bool]]) -> tuple[bool, list[bool]]:
-    """Whether the page has an explicit article, and which blocks structure leaves: the article's, else all that it doesn't set aside."""
-    own = [article and not aside for _, article, aside in blocks]
-    return (True, own) if any(own) else (False, [not aside for _, _, aside in blocks])
+def main_texts(pages: list[str | None], ids: list | None = None) -> list[str]:
+    """Main text of each page of one host."""
+    found = [page_blocks(x) for x in pages]
+    host = Host([blocks for _, blocks in found], list(range(len(pages))) if ids is None else ids)
+    return host.texts([told for told, _ in found], host.n_pages, host.pages_of, host.pages_of_block)
 
 
-def main_texts(pages: list[str | None]) -> list[str]:
-    """Main text of each page of a host's group."""
-    all_blocks = [page_blocks(x) for x in pages]
-    group = _Group([[text for text, _, _ in blocks] for blocks in all_blocks], range(len(pages)))
-    wanted = [_wanted(blocks) for blocks in all_blocks]
-    found = group.texts(len(pages), np.array([x for _, own in wanted for x in own], bool), group.distinct >= MIN_PAGES)
-    return ["\n".join(b[0] for b, x in zip(blocks, own, strict=True) if x) if told else text for blocks, (told, own), text in zip(all_blocks, wanted, found, strict=True)]
-
-
-_ROW = "page_id long, url string, host string, told boolean, blocks array<string>, wanted array<boolean>"
+_ROW = "page_id long, url string, host string, part int, parts int, n_pages long, told boolean, blocks array<string>"
 _OUT = "page_id long, url string, text string, n_chars long"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("told", pa.bool_()), ("blocks", pa.list_(pa.string())), ("wanted", pa.list_(pa.bool_()))])
+    names = ["page_id", "url", "host", "part", "parts", "n_pages"]
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
-            found = [page_blocks(x.as_py()) for x in part["html"]]
-            told, wanted = zip(*map(_wanted, found), strict=True)
-            columns = [part["page_id"], part["url"], part["host"], list(told), [[x[0] for x in b] for b in found], list(wanted)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            told, blocks = zip(*[page_blocks(x.as_py()) for x in part["html"]], strict=True)
+            yield pa.RecordBatch.from_arrays([*(part[x] for x in names), pa.array(told, pa.bool_()), pa.array(blocks, pa.list_(pa.string()))], names=[*names, "told", "blocks"])
+
+
+def _host(frame: pd.DataFrame) -> Host:
+    return Host([list(x) for x in frame["blocks"]], frame["page_id"].tolist())
+
+
+def _told(frame: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+
+
+def _alone(frame: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a host that is one part."""
+    host = _host(frame)
+    return _told(frame, host.texts(frame["told"].tolist(), host.n_pages, host.pages_of, host.pages_of_block))
+
+
+def _digest_rows(frame: pd.DataFrame) -> pd.DataFrame:
+    """For a part of a host: digests of its substrings and blocks with their distinct pages, by range of the digest."""
+    host = _host(frame)
+    digest = np.concatenate(host.digests())
+    pages = np.concatenate([host.pages_of, host.pages_of_block])
+    buckets = int(frame["parts"].iloc[0])
+    bucket = ((digest >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    turn = np.lexsort((digest, bucket))
+    edges = np.searchsorted(bucket[turn], np.arange(buckets + 1))
+    out = [(frame["host"].iloc[0], b, int(frame["part"].iloc[0]), digest[turn[i:j]].astype("<u8").tobytes(), pages[turn[i:j]].astype("<u4").tobytes()) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if i < j]
+    return pd.DataFrame(out, columns=["host", "bucket", "part", "digests", "pages"])
+
+
+_DIGESTS = "host string, bucket int, part int, digests binary, pages binary"
+
+
+def _sum_digests(frame: pd.DataFrame) -> pd.DataFrame:
+    """For a range of a host's digests: each part's digests that stand on MIN_PAGES pages of the host, with their pages."""
+    parts = [np.frombuffer(x, "<u8") for x in frame["digests"]]
+    keys, number = np.unique(np.concatenate(parts), return_inverse=True)
+    total = np.bincount(number, np.concatenate([np.frombuffer(x, "<u4") for x in frame["pages"]])).astype(np.int64)
+    out, at = [], 0
+    for part, own in zip(frame["part"], parts, strict=True):
+        sums = total[number[at : at + len(own)]]
+        at += len(own)
+        often = sums >= MIN_PAGES
+        out.append((frame["host"].iloc[0], 0, part, own[often].tobytes(), sums[often].astype("<u4").tobytes()))
+    return pd.DataFrame(out, columns=["host", "bucket", "part", "digests", "pages"])
 
 
-def _rest(frame: pd.DataFrame, repeated) -> pd.DataFrame:
-    """Rows of the open pages of a group; ``repeated`` tells which of its classes of runs are."""
-    group = _Group([list(x) for x in frame["blocks"]], frame["page_id"])
-    texts = group.texts(len(frame), np.array([x for row in frame["wanted"] for x in row], bool), repeated(group))
-    out = pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-    return out[~frame["told"].astype(bool)]
+def _together(frame: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a part of a host, by the sums over all its parts."""
+    if not len(frame):
+        return pd.DataFrame({"page_id": [], "url": [], "text": [], "n_chars": []})
+    host = _host(frame)
+    keys = np.concatenate([np.frombuffer(x, "<u8") for x in sums["digests"]] or [np.zeros(0, np.uint64)])
+    pages = np.concatenate([np.frombuffer(x, "<u4") for x in sums["pages"]] or [np.zeros(0, np.uint32)])
+    turn = np.argsort(keys)
+    keys, pages = np.append(keys[turn], np.uint64(2**64 - 1)), np.append(pages[turn].astype(np.int64), 0)
 
+    def of(digest: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(keys, digest)
+        return np.where(keys[at] == digest, pages[at], 0)
 
-def _runs(frame: pd.DataFrame) -> pd.DataFrame:
-    """Hash, distinct pages and whether an open page has it, of each class of runs of a group."""
-    group = _Group([list(x) for x in frame["blocks"]], frame["page_id"])
-    is_open = ~frame["told"].to_numpy(bool)[group.row[group.order]]
-    asked = np.bincount(group.group, is_open, minlength=len(group.distinct)) > 0
-    return pd.DataFrame({"host": frame["host"].iloc[0], "part": frame["part"].iloc[0], "run": group.hashes(), "pages": group.distinct, "asked": asked})
+    runs, blocks = host.digests()
+    return _told(frame, host.texts(frame["told"].tolist(), int(frame["n_pages"].iloc[0]), of(runs), of(blocks)))
 
 
 def extract_main_text(pages: DataFrame, group_chars: int = GROUP_CHARS) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each page.
 
-    A null html counts as empty and gives an empty text; a page without a url shares a group with others of its
-    kind; rows of one page_id are one page to the counts; other columns are ignored; an empty table gives an empty
-    one. In a page with an article or main element the text is that element's, less what structure sets aside; in
-    others all blocks that structure doesn't set aside, less the runs that MIN_PAGES distinct pages of the host hold.
+    A null html counts as empty and gives an empty text; pages without a host in their url share a host of their
+    own; rows of one page_id are one page to the counts and give a row each, equal ones equal rows; other columns are
+    ignored; an empty table gives an empty one. The text is the article's, or without an article or main element
+    the page's, less what structure sets aside and what the host repeats. The result doesn't depend on
+    ``group_chars``, but for collisions of 63-bit digests.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url"), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    parsed = materialise(pages.select("page_id", "url", "html", host.alias("host")).mapInArrow(_parse, _ROW), "pages")
-    text = F.array_join(F.filter("blocks", lambda x, i: F.get("wanted", i)), "\n")
-    told = parsed.filter("told").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
-    # hosts of which a page is open, one that structure doesn't tell
-    sizes = parsed.groupBy("host").agg(F.ceil(F.sum(F.aggregate("blocks", F.lit(0), lambda a, x: a + F.length(x))) / group_chars).alias("parts"), F.max(~F.col("told")).alias("open")).filter("open").select("host", "parts")
-    sizes = materialise(sizes, "hosts")
-    if sizes.isEmpty():
-        return told
-    # by page_id, so that no page counts in two parts; dealt by both columns, for else a host's parts would stay where the join has put the host
-    dealt = parsed.join(small(sizes), "host").withColumn("part", F.pmod(F.xxhash64("page_id"), F.greatest(F.lit(1), F.col("parts"))).cast("int"))
-
-    def alone(frame: pd.DataFrame) -> pd.DataFrame:
-        return _rest(frame, lambda group: group.distinct >= MIN_PAGES)
-
-    def together(frame: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame):
-            return pd.DataFrame({"page_id": [], "url": [], "text": [], "n_chars": []})
-        return _rest(frame, lambda group: np.isin(group.hashes(), runs["run"].to_numpy(np.int64)))
-
-    whole = dealt.filter("parts <= 1").repartition("host").groupBy("host").applyInPandas(alone, _OUT)
-    split = dealt.filter("parts > 1").repartition("host", "part")
-    runs = materialise(split.groupBy("host", "part").applyInPandas(_runs, "host string, part int, run long, pages long, asked boolean"), "runs")
-    repeated = runs.groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.max("asked").alias("asked")).filter(f"asked AND pages >= {MIN_PAGES}").select("host", "run")
-    back = runs.filter("asked").join(repeated, ["host", "run"]).select("host", "part", "run")
-    parted = split.groupBy("host", "part").cogroup(back.groupBy("host", "part")).applyInPandas(together, _OUT)
-    return told.union(whole).union(parted)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
+    sizes = rows.groupBy("host", "page_id").agg(F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("chars"))
+    sizes = materialise(sizes.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(F.sum("chars") / group_chars)).cast("int").alias("parts"), F.count(F.lit(1)).alias("n_pages")), "hosts")
+    dealt = rows.join(small(sizes), "host").withColumn("part", F.pmod(F.xxhash64(F.coalesce("page_id", F.lit(-1))), F.col("parts").cast("long")).cast("int"))
+    dealt = dealt.select("page_id", "url", "host", "part", "parts", "n_pages", "html")
+    whole = dealt.filter("parts = 1").mapInArrow(_parse, _ROW).repartition("host").groupBy("host").applyInPandas(_alone, _OUT)
+    if sizes.filter("parts > 1").isEmpty():
+        return whole
+    split = materialise(dealt.filter("parts > 1").mapInArrow(_parse, _ROW), "pages").repartition("host", "part").groupBy("host", "part")
+    summed = split.applyInPandas(_digest_rows, _DIGESTS).groupBy("host", "bucket").applyInPandas(_sum_digests, _DIGESTS)
+    return whole.union(split.cogroup(summed.groupBy("host", "part")).applyInPandas(_together, _OUT))

@@ -236,12 +236,115 @@ def test_text_behind_broken_marked_sections_stays():
     assert html_text.main_texts(["<p>a</p><![foo <p>rest</p>"])[0].endswith("rest") and html_text.main_texts(["<p>a</p><![foo"])[0].startswith("a")
 
 
-def test_repeats_of_a_host_go_where_no_article_tells():
+def test_line_breaks_forms_and_names():
+    of = lambda html: html_text.main_texts([html])[0]
+    assert of("<p>line one<br/>line two<br>three</p>") == "line one line two three"
+    assert of("<article><p>Body <button>Share</button> goes on.</p></article>") == "Body goes on."
+    assert of('<p>a <span class="ad">buy</span>b <label>l</label><select><option>o</select><svg><text>t</text></svg>c</p>') == "a b c"
+    assert of("<p>before<textarea><p>inner</textarea> after</p>") == "before after"
+    for keeps in ('<div id="related-work">', '<h2 id="search">', '<div class="search-theory">', '<section id="comments">', '<p class="notice-of-change">'):
+        assert of(f"<article>{keeps}kept</article>") == "kept", keeps
+    for drops in ('<div class="ad">', '<div class="cookie-notice">', '<ul class="comment-list">', '<div class="site-footer">', '<section class="comments">', "<div hidden>", '<div role="navigation">'):
+        assert of(f"<article>{drops}gone</article>") == "", drops
+    assert of("<form><nav>m</nav><article><p>kept</p><form>gone</form></article></form>") == "kept"
+    assert of("<div><nav/>a<p/>b</div>") == "a\nb"
+
+
+def test_the_parser_loses_nothing_and_never_fails():
+    rng = random.Random(12)
+    pieces = ["<p>", "</p>", "<![", "]]>", "<!", "<!--", "-->", "<?", "<", ">", "&amp", "&#x;", "<![if x]>", "<b", "/>", "<div class=", "'", '"', " ", "text", "\n", "</", "<svg>", "</svg>", "<script>", "</script>", "\0"]
+    for _ in range(4000):
+        html_text.page_blocks("".join(rng.choice(pieces) for _ in range(rng.randint(1, 25))))
+
+
+def plain_host(rows):
+    """Texts of a host's (page, has an article, blocks) by counting all runs of tokens in dictionaries, with the query's parameters."""
+    runs, whole, pages = {}, {}, {p for p, _, _ in rows}
+    streams = []
+    for page, _, blocks in rows:
+        stream = [(w, k) for k, text in enumerate(blocks) for w in [*text.split(" "), None]][:-1]
+        streams.append(stream)
+        for i in range(len(stream) - html_text.RUN + 1):
+            runs.setdefault(tuple(w for w, _ in stream[i : i + html_text.RUN]), set()).add(page)
+        for text in blocks:
+            whole.setdefault(text, set()).add(page)
+    out = []
+    for (_, told, blocks), stream in zip(rows, streams, strict=True):
+        least = max(html_text.MIN_PAGES, -(-len(pages) * html_text.ARTICLE_SHARE // 1)) if told else html_text.MIN_PAGES
+        covered = set()
+        for i in range(len(stream) - html_text.RUN + 1):
+            if len(runs[tuple(w for w, _ in stream[i : i + html_text.RUN])]) >= least:
+                covered |= set(range(i, i + html_text.RUN))
+        left, lost, total, at = [], 0, 0, 0
+        for text in blocks:
+            words = text.split(" ")
+            marks = [at + j in covered or not told and len(whole[text]) >= least for j in range(len(words))]
+            at += len(words) + 1
+            cut = [False] * len(words)
+            for j in range(len(words)):
+                if marks[j] and (j == 0 or not marks[j - 1]):
+                    n = next((k for k in range(j, len(words)) if not marks[k]), len(words)) - j
+                    if n >= html_text.RUN or n == len(words):
+                        cut[j : j + n] = [True] * n
+            lost, total = lost + sum(cut), total + len(words)
+            left.append(" ".join(w for w, x in zip(words, cut, strict=True) if not x))
+        copy = lost > html_text.COPY * total if told else lost == total
+        out.append("\n".join(x for x in (blocks if copy else left) if x))
+    return out
+
+
+def random_site(seed, n=40):
+    """Pages of two hosts made of their own lines, shared lines and copies; most of them repeat something."""
+    rng = random.Random(seed)
+    line = lambda k: " ".join(rng.choice("abcdefghijklmnopqrst") + str(rng.randint(0, 9)) for _ in range(k))
+    shared = [line(rng.choice([1, 2, 5, 7, 8, 9, 15])) for _ in range(8)]
+    rows = []
+    for i in range(n):
+        blocks = [rng.choice(shared) if rng.random() < 0.6 else f"{line(4)} {rng.choice(shared)} {line(3)}" if rng.random() < 0.3 else line(rng.randint(1, 30)) for _ in range(rng.randint(0, 7))]
+        tag = rng.choice(["article", "div"])
+        rows.append((i, f"http://{rng.choice('xxy')}.org/{i}", f"<body><nav>menu</nav><{tag}>" + "".join(f"<p>{b}</p>" for b in blocks) + f"</{tag}></body>"))
+    rows += [(n + k, rows[k][1], rows[k][2]) for k in range(5)] + [(3, rows[3][1], rows[3][2]), (4, rows[4][1], rows[5][2]), (None, rows[6][1], rows[6][2])]
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pages_against_brute_force_in_any_number_of_parts(spark, seed):
+    rows = random_site(seed)
+    want = []
+    for host in "xy":
+        own = [r for r in rows if r[1].startswith(f"http://{host}")]
+        want += zip([r[0] for r in own], plain_host([(r[0], *html_text.page_blocks(r[2])) for r in own]), strict=True)
+    structure = sorted(((r[0], "\n".join(html_text.page_blocks(r[2])[1])) for r in rows), key=repr)
+    assert sorted(want, key=repr) != structure  # the array decides
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS parts", "'x' AS told")
+    for size in (10**6, 2000, 300):
+        out = sorted(((r.page_id, r.text) for r in html_text.extract_main_text(df, size).collect()), key=repr)
+        assert out == sorted(want, key=repr), size
+
+
+def test_suffix_array_against_sorting():
+    import numpy as np
+
+    rng = random.Random(4)
+    for _ in range(200):
+        n = rng.randint(0, 80)
+        tokens = [rng.randint(0, rng.choice([1, 2, 30])) for _ in range(n)]
+        order, common = html_text.suffix_array(np.array(tokens, np.int64))
+        assert order.tolist() == sorted(range(n), key=lambda i: tokens[i:])
+        for k in range(1, n):
+            a, b = tokens[order[k - 1] :], tokens[order[k] :]
+            assert common[k] == next((m for m, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def test_repeats_of_a_host_go_where_half_of_its_articles_have_them():
     line = "this site is run by volunteers who like old maps and long walks"
-    pages = [f"<body><p>{line}</p><p>page {i} talks about {' '.join(f'w{i}x{j}' for j in range(9 + i))}</p></body>" for i in range(6)]
-    assert all(line not in t and t.startswith(f"page {i}") for i, t in enumerate(html_text.main_texts(pages)))
+    pages = [f"<body><p>{line}</p><p>page {i} talks about {' '.join(f'w{i}x{j}' for j in range(20 + i))}</p></body>" for i in range(6)]
     with_article = [p.replace("<body>", "<body><article>").replace("</body>", "</article></body>") for p in pages]
-    assert all(line in t for t in html_text.main_texts(with_article))
+    for site in (pages, with_article):
+        assert all(line not in t and t.startswith(f"page {i}") for i, t in enumerate(html_text.main_texts(site)))
+    assert all(line in t for t in html_text.main_texts([*with_article[:4], *(p.replace(line, f"own{i}") for i, p in enumerate(with_article * 2))])[:4])
+    assert html_text.main_texts([pages[0]] * 4, [1, 2, 3, 4]) == html_text.main_texts([pages[0]]) * 4  # copies stay
+    assert html_text.main_texts(["<p>short foot</p><p>own a</p>", "<p>short foot</p><p>own b</p>", "<p>short foot</p><p>own c</p>"]) == ["own a", "own b", "own c"]
 
 
 def test_repeats_are_counted_over_all_parts_of_a_host(spark):
@@ -263,25 +366,6 @@ def test_runs_are_cut_and_not_whole_blocks():
     assert html_text.main_texts(pages) == [f"unique{i} words{i}" for i in range(3)]
 
 
-def test_repeated_tokens_against_brute_force():
-    import numpy as np
-
-    rng = random.Random(4)
-    for _ in range(30):
-        n = rng.randint(0, 120)
-        tokens, page = [rng.randint(0, 2) for _ in range(n)], sorted(rng.randint(0, 4) for _ in range(n))
-        want = [False] * n
-        runs = {}
-        for i in range(n - 3):
-            if page[i] == page[i + 3]:
-                runs.setdefault(tuple(tokens[i : i + 4]), []).append(i)
-        for places in runs.values():
-            if len({page[i] for i in places}) >= 2:
-                for i in places:
-                    want[i : i + 4] = [True] * 4
-        assert html_text.repeated_tokens(np.array(tokens, int), np.array(page, int), 2, 2).tolist() == want
-
-
 def test_pages_query_rows(spark):
     rows = [(1, "http://a.org/x", PAGE), (2, None, None), (3, "nonsense", "<p>q</p>"), (1, "http://a.org/x", PAGE)]
     out = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'h' AS host", "1 AS part"))
