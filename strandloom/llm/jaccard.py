@@ -1,18 +1,22 @@
-"""N-gram Jaccard join by T-occurrence search.
-
-Two documents can reach the similarity only if they share many shingles. In the order of
-rising document frequency, a document that shares T of its n shingles with another shares
-one of its first n - T + 1. Their inverted lists are the short ones: they are merged, by
-grouping their postings. The long lists are never merged: candidates are probed for them
-by binary search in their sorted shingles (DivideSkip). Documents of equal sets are one
-document to the search, and documents whose links are known are one component to it, so
-that a large group of copies costs a few comparisons for each member.
+"""N-gram Jaccard join by T-occurrence search with DivideSkip.
+
+Documents of n shingles are alike only if they share T of them. Each document's inverted
+lists, in the order of rising document frequency, are divided: the L longest ones are set
+aside, and the others are merged by a heap that skips what can't occur in T - L of them.
+What occurs that often is probed for the long lists by binary search, and stays if it
+reaches the overlap. Long pieces of a list are cut by ranges of their documents' hashes.
+Documents of equal sets are one document to the search. For components alone, known links
+come first: each list's most central document is tried with the others, and documents whose
+component is one already are not sought again, so that a large group of copies costs a few
+comparisons for each member.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -28,6 +32,8 @@ from strandloom.operators.graph import components
 
 #: Shingles of a chunk of documents and of a shard of the shingle space about; ids of a table that may be broadcast.
 CHUNK_TOKENS, SHARD_TOKENS, BROADCAST_IDS = 1_000_000, 1_000_000, 1_000_000
+#: A query merges T // OCCURRENCES more lists than it must, and asks for as many occurrences; documents of a piece of a list about.
+OCCURRENCES, PIECE = 16, 1024
 _CHUNK_DOCS, _MANY, _WORDS = 60_000, 65_535, 200_000
 _U = np.uint64
 
@@ -65,6 +71,41 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def occurrences(n: int, percent: int) -> int:
+    """T - L for a document of n shingles: how often a document that is alike stands in the short lists at least."""
+    return max(1, needed(n, percent) // OCCURRENCES)
+
+
+def merge_skip(lists: list[list[int]], least: int) -> list[int]:
+    """The ids that stand in ``least`` of the sorted lists or more, by a heap of their heads.
+
+    A head that stands in too few lists takes others with it, up to least - 1 in all; these lists then jump, by
+    binary search, to the head that is left: no id before it can occur often enough.
+    """
+    heads = [(own[0], i) for i, own in enumerate(lists) if own]
+    heapify(heads)
+    at, found = [0] * len(lists), []
+    while len(heads) >= least:
+        top, taken = heads[0][0], []
+        while heads and heads[0][0] == top:
+            taken.append(heappop(heads)[1])
+        if len(taken) >= least:
+            found.append(top)
+            for i in taken:
+                at[i] += 1
+        else:
+            while heads and len(taken) < least - 1:
+                taken.append(heappop(heads)[1])
+            if not heads:
+                break
+            for i in taken:
+                at[i] = bisect_left(lists[i], heads[0][0], at[i])
+        for i in taken:
+            if at[i] < len(lists[i]):
+                heappush(heads, (lists[i][at[i]], i))
+    return found
+
+
 def _chunk_name(k: int) -> str:
     return f"{TaskContext.get().partitionId()}-{k}"
 
@@ -238,9 +279,9 @@ def _ranked(percent: int):
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 hit = keys[at] == own
                 shared, freq = own[hit], often[at[hit]]
-                short = r.n - needed(r.n, percent) + 1 - (r.n - len(shared))  # the lists of length 1 come first
-                if short > 0 and len(shared):
-                    order = np.lexsort((shared, freq))[:short]
+                spare = len(shared) - needed(r.n, percent)  # the lists of length 1 come first and hold no other document
+                if spare >= 0 and len(shared):
+                    order = np.lexsort((shared, freq))[: spare + occurrences(r.n, percent)]
                     out.append((r.doc, r.n, r.n - len(shared), shared[order].view(np.int64), shared.tobytes()))
         return pd.DataFrame(out, columns=["doc", "n", "lone", "prefix", "tokens"])
 
@@ -266,15 +307,47 @@ def _verified(pairs: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "na", "ta", "b", "nb", "tb").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id.
+def _merged(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pairs:
+        a, b = [], []
+        for query, least, lists in zip(batch["a"].to_pylist(), batch["least"].to_pylist(), batch["lists"].to_pylist(), strict=True):
+            found = merge_skip(lists, least)
+            a += [query] * len(found)
+            b += found
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    Two documents link when 100 * intersection >= percent * union of their shingle sets; a component's id is its
-    smallest doc_id. Documents without words, null texts included, have no shingles and are a component each.
-    Repeated rows give equal rows; rows of one id and other texts give a row each, and join their components as one
-    document; rows without an id get their own null component. An empty table gives an empty one; other columns
-    are ignored. Hashes of 64 bits stand for shingles.
+
+def _occurring(postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of documents of different components that stand together in the short lists of a as often as they must.
+
+    ``postings`` has token, doc, n, left, comp and weight, the size of the component. Of two documents the one of the
+    lighter component, then of the smaller id, asks for the other, so that in a list that is nearly one component
+    only the few others ask. Lists that hold one component are left out. A list goes to those who ask in pieces of
+    PIECE documents about, by ranges of the documents' hash that are the same for all lists, and to those of a long
+    list by ranges of theirs; of a piece they get only what size and place let reach the similarity.
     """
+    lists = postings.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("len"), F.max(F.struct("weight", "comp")).alias("top"))
+    held = materialise(postings.join(lists.filter("x <> y").select("token", "top", F.ceil(F.col("len") / PIECE).cast("int").alias("parts")), "token"), "open")
+    ranges = held.agg(F.max("parts").alias("parts")).first()["parts"] or 1  # one number
+    deal = lambda seed, parts: F.pmod(F.xxhash64("doc", F.lit(seed)), parts.cast("long")).cast("int")
+    must = F.ceil(F.ceil(F.col("n") * percent / F.lit(100)) * percent / F.lit(100))  # of the smallest document that may be alike
+    asking = held.filter(F.struct("weight", "comp") < F.col("top")).withColumn("least", F.greatest(F.lit(1), F.floor(must / F.lit(OCCURRENCES))).cast("long"))
+    queries = asking.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("left").alias("left_a"), "least", F.struct("weight", "comp").alias("own"), deal(1, F.col("parts")).alias("part"))
+    pieces = held.groupBy("token", "parts", deal(2, F.lit(ranges)).alias("range")).agg(F.sort_array(F.collect_list(F.struct("doc", "n", "left", "weight", "comp"))).alias("piece"))
+    pieces = pieces.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", "part", "range", "piece")
+
+    def fits(x):
+        heavier = F.struct(x["weight"].alias("weight"), x["comp"].alias("comp")) > F.col("own")
+        # behind its first common shingles a pair has enough left on both sides
+        room = (F.least(x["left"], F.col("left_a")) + F.col("least") - 1) * (100 + percent) >= (F.col("na") + x["n"]) * percent
+        return heavier & (x["n"] * percent <= F.col("na") * 100) & (F.col("na") * percent <= x["n"] * 100) & room
+
+    met = queries.join(pieces, ["token", "part"]).select("a", "least", "range", F.transform(F.filter("piece", fits), lambda x: x["doc"]).alias("ids")).filter(F.size("ids") > 0)
+    return met.groupBy("a", "least", "range").agg(F.collect_list("ids").alias("lists")).filter("size(lists) >= least").select("a", "least", "lists").mapInArrow(_merged, "a long, b long")
+
+
+def _search(docs: DataFrame, width: int, percent: int) -> dict[str, DataFrame]:
+    """The tables of the search: rows, known documents, classes of equal sets, ranked candidates and their short lists."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     size = rows.filter("doc IS NOT NULL").agg(F.sum(F.length("text")).alias("chars")).first()["chars"] or 0  # one number
     shards = max(8, size // 6 // SHARD_TOKENS)
@@ -293,7 +366,39 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     df = asked.groupBy("shard").applyInPandas(_frequencies, "chunk string, a binary, b binary")
     ranked = materialise(sets.groupBy("chunk").cogroup(df.groupBy("chunk")).applyInPandas(_ranked(percent), _RANKED).dropDuplicates(["doc", "tokens"]), "ranked")
     postings = ranked.select("doc", "n", (1 - F.col("lone") / F.col("n")).alias("central"), "lone", F.posexplode("prefix").alias("place", "token"))
-    postings = materialise(postings.select("doc", "n", "central", "token", (F.col("n") - F.col("lone") - F.col("place")).alias("left")), "postings")
+    must = F.ceil(F.col("n") * percent / F.lit(100)).cast("long")
+    left = F.col("n") - F.col("lone") - F.col("place")
+    # in the first lists of each document a pair that is alike meets once at least; in all of them as often as it must
+    postings = materialise(postings.select("doc", "n", "central", "token", left.alias("left"), (F.col("place") <= F.col("n") - F.col("lone") - must).alias("first")), "postings")
+    return {"rows": rows, "known": known, "classes": classes, "ranked": ranked, "postings": postings}
+
+
+def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """All links between class representatives, and the membership: (a, b) and (doc_id, class_id, n_shingles).
+
+    Documents of equal sets are a class, named by its smallest doc_id; a and b are classes of different sets that
+    reach the similarity, each pair once. Nulls, empty texts and repeated rows as in jaccard_components; documents
+    without shingles are classes of their own and have no link.
+    """
+    found = _search(docs, width, percent)
+    pairs = _occurring(found["postings"].withColumn("comp", F.col("doc")).withColumn("weight", F.lit(1).cast("long")), percent)
+    links = _verified(pairs.distinct(), found["ranked"], percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    member = found["known"].join(found["classes"].select("digest", "n", "rep"), ["digest", "n"], "left")
+    return links, member.select(F.col("doc").alias("doc_id"), F.coalesce("rep", "doc").alias("class_id"), F.col("n").alias("n_shingles")).distinct()
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id.
+
+    Two documents link when 100 * intersection >= percent * union of their shingle sets; a component's id is its
+    smallest doc_id. Documents without words, null texts included, have no shingles and are a component each.
+    Repeated rows give equal rows; rows of one id and other texts give a row each, and join their components as one
+    document; rows without an id get their own null component. An empty table gives an empty one; other columns
+    are ignored. Hashes of 64 bits stand for shingles.
+    """
+    found = _search(docs, width, percent)
+    rows, known, classes, ranked, postings = (found[k] for k in ("rows", "known", "classes", "ranked", "postings"))
+    first = postings.filter("first")
     # a pair that reaches the similarity has, from its first common shingle on, enough shingles left on both sides
     alike = F.least("left_a", "left_b") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
 
@@ -301,21 +406,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         return rows.withColumnsRenamed({"doc": x, "n": f"n{x}", "left": f"left_{x}", "comp": f"comp_{x}"})
 
     # each list's most central document is tried with all others of the list, which settles most groups of copies
-    hubs = postings.groupBy("token").agg(F.max(F.struct("central", "n", "doc", "left")).alias("hub"), F.count(F.lit(1)).alias("len")).filter("len > 1").select("token", "hub.doc", "hub.n", "hub.left")
-    pairs = sides(postings, "a").join(sides(hubs, "b"), "token").filter((F.col("a") != F.col("b")) & alike).select("a", "b").distinct()
-    links = materialise(_verified(pairs, ranked, percent), "links")
+    hubs = first.groupBy("token").agg(F.max(F.struct("central", "n", "doc", "left")).alias("hub"), F.count(F.lit(1)).alias("len")).filter("len > 1").select("token", "hub.doc", "hub.n", "hub.left")
+    pairs = sides(first, "a").join(sides(hubs, "b"), "token").filter((F.col("a") != F.col("b")) & alike)
+    links = materialise(_verified(pairs.select("a", "b").distinct(), ranked, percent), "links")
     for turn in range(2):  # then a document of the list's largest component with those outside it
-        labelled = _labelled(postings, links)
+        labelled = _labelled(first, links)
         main = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("len"), F.min(F.struct(F.xxhash64("doc", F.lit(turn)), "doc", "n", "left")).alias("one"))
         main = main.groupBy("token").agg(F.max(F.struct("len", "comp", "one")).alias("m"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("token", "m.comp", "m.one.doc", "m.one.n", "m.one.left")
         far = sides(labelled, "a").join(sides(main, "b"), "token").filter((F.col("comp_a") != F.col("comp_b")) & alike)
         links = materialise(links.unionByName(_verified(far.select("a", "b").distinct(), ranked, percent)), "links")
-    # what is left: pairs of a list that no known link joins
-    labelled = _labelled(postings, links)
-    open_lists = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    left = materialise(labelled.join(open_lists, "token"), "open")
-    rest = sides(left, "a").join(sides(left, "b"), "token").filter((F.col("comp_a") < F.col("comp_b")) & alike).select("a", "b").distinct()
-    links = materialise(links.unionByName(_verified(rest, ranked, percent)), "links")
+    # what is left: the search proper, for documents that no known link joins
+    links = materialise(links.unionByName(_verified(_occurring(_labelled(postings, links), percent).distinct(), ranked, percent)), "links")
     joined = components(links)
     own = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.col("n"), F.coalesce("component", "rep").alias("component_id"))
     lone = known.filter("n = 0").select("doc", "n", F.col("doc").alias("component_id"))
@@ -334,5 +435,8 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
 
 
 def _labelled(postings: DataFrame, links: DataFrame) -> DataFrame:
-    joined = components(links).withColumnRenamed("node", "doc")
-    return materialise(postings.select("token", "doc", "n", "left").join(joined, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component"), "labelled")
+    """The postings with each document's component by the links, and the component's size."""
+    joined = components(links)
+    joined = joined.join(joined.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").withColumnRenamed("node", "doc")
+    rows = postings.select("token", "doc", "n", "left").join(joined, "doc", "left")
+    return materialise(rows.select("token", "doc", "n", "left", F.coalesce("component", "doc").alias("comp"), F.coalesce("size", F.lit(1)).cast("long").alias("weight")), "labelled")

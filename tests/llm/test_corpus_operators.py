@@ -155,6 +155,58 @@ def plain_components(rows, width, percent):
     return sorted((i, len(sets[i]), find(i)) for i in sets)
 
 
+def plain_links(rows, width, percent):
+    """Links of different shingle sets, by the smallest id of each, from all pairs."""
+    sets = {}
+    for i, t, _ in sorted(rows, reverse=True):
+        w = (t or "").encode().lower().split()
+        if w:
+            sets[frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)])] = i
+    return sorted((min(i, j), max(i, j)) for x, i in sets.items() for y, j in sets.items() if i < j and 100 * len(x & y) >= percent * len(x | y))
+
+
+def test_merge_skip_against_counting():
+    rng = random.Random(7)
+    for _ in range(500):
+        lists = [sorted(rng.sample(range(40), rng.randint(0, 15))) for _ in range(rng.randint(0, 8))]
+        least = rng.randint(1, 5)
+        assert jaccard.merge_skip(lists, least) == [i for i in range(40) if sum(i in x for x in lists) >= least]
+
+
+@pytest.mark.parametrize("width,percent,piece", [(3, 90, 1024), (5, 80, 7), (2, 50, 2)])
+def test_jaccard_links_against_all_pairs(spark, width, percent, piece, monkeypatch):
+    monkeypatch.setattr(jaccard, "PIECE", piece)
+    rng = random.Random(width)
+    base = [[f"w{rng.randint(0, 900)}" for _ in range(rng.randint(2, 160))] for _ in range(8)]
+    rows = []
+    for i in range(160):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            words[rng.randrange(len(words))] = f"w{rng.randint(0, 900)}"
+        rows.append((i, " ".join(words), "s"))
+    links, member = jaccard.jaccard_links(table_of(spark, rows + [(500, None, "s"), (500, None, "s")]), width, percent)
+    found = sorted(tuple(r) for r in links.collect())
+    assert found == plain_links(rows, width, percent) and len(found) > 40
+    assert member.count() == 161 and {r.class_id for r in member.collect()} >= {x for pair in found for x in pair}
+
+
+def test_overlapping_passages_without_links_verify_little(spark, monkeypatch):
+    """Documents of 12 of 40 common lines share much with many others, and are alike with none of them."""
+    verified = []
+    plain = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *rest: (verified.append(pairs.count()), plain(pairs, *rest))[1])
+    per_row = []
+    for n in (300, 900):
+        rng = random.Random(3)
+        lines = [" ".join(f"l{k}x{j}" for j in range(8)) for k in range(40)]
+        rows = [(i, "\n".join(rng.sample(lines, 12)), "s") for i in range(n)]
+        verified.clear()
+        out = jaccard.jaccard_components(table_of(spark, rows), 3, 90).collect()
+        assert all(r.doc_id == r.component_id for r in out)
+        per_row.append(sum(verified) / n)
+    assert max(per_row) < 8  # pairs that are probed, for each row, however many rows
+
+
 @pytest.mark.parametrize("width,percent,seed", [(3, 90, 1), (5, 80, 2), (2, 50, 3)])
 def test_jaccard_components(spark, width, percent, seed):
     rng = random.Random(seed)
