@@ -5,8 +5,8 @@ explicit article. The token streams of a host's pages are concatenated and sorte
 suffix array; neighbours with a long common prefix are one substring, and those that stand
 on many distinct pages are boilerplate of the host. Covered stretches are cut, inside an
 article only where a large share of the host's pages has them; unique runs stay. Large hosts
-are dealt to parts of bounded size, which exchange digests of their substrings, so that
-repeats are counted over the whole host.
+are dealt to parts of bounded size. What stands on a share of a host's pages does so in one of
+its parts, so the parts name candidates, all count them, and the sums decide for the whole host.
 """
 
 from __future__ import annotations
@@ -21,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.sizes import small
+from strandloom.functions.sizes import BROADCAST_ROWS, small
 from strandloom.functions.storage import materialise
 
 #: Characters of HTML that a group holds about; tokens of a long substring, block ends counted.
 GROUP_CHARS, RUN = 4_000_000, 8
-#: Distinct pages that a substring must stand on; share of the host's pages for one inside an article; covered share
-#: of an article beyond which the page is a copy of others and stays whole.
-MIN_PAGES, ARTICLE_SHARE, COPY = 3, 0.5, 0.5
+#: Tasks that groups are dealt to at least; above it, a task for eight groups.
+TASKS = 32
+#: Distinct pages that a substring must stand on, and share of the host's pages, for one outside and one inside an
+#: article; covered share of an article beyond which the page is a copy of others and stays whole.
+MIN_PAGES, PAGE_SHARE, ARTICLE_SHARE, COPY = 3, 0.05, 0.5, 0.5
 
 # Elements of HTML, and names that sites give to what isn't main text, alone or with a part of PLACES.
 SILENT = {"head", "script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "audio", "video", "map", "title"}
@@ -191,7 +193,8 @@ class Host:
 
     def __init__(self, rows: list[list[str]], pages: list, run: int = RUN):
         ids: dict[str, int] = {}
-        self.blocks = [text.split(" ") for blocks in rows for text in blocks]
+        self.joined = [text for blocks in rows for text in blocks]
+        self.blocks = [text.split(" ") for text in self.joined]
         self.row = np.repeat(np.arange(len(rows)), [len(blocks) for blocks in rows]).astype(np.int64)  # of each block
         size = np.array([len(b) for b in self.blocks], np.int64)
         words = np.array([ids.setdefault(w, len(ids) + 1) for b in self.blocks for w in b], np.int64)
@@ -209,64 +212,83 @@ class Host:
         self.page = page[self.row]
         self.inside, self.size, self.run = inside, size, run
         self.word_hash = np.append(np.uint64(0x9E3779B97F4A7C15), pd.util.hash_array(np.array(list(ids), object))) if ids else np.ones(1, np.uint64)
-        self._substrings()
+        # places of substrings of ``run`` tokens: all in one row, and none reaches its end
+        at = np.arange(max(0, len(self.tokens) - run + 1))
+        row = self.row[self.block] if len(self.row) else self.block
+        self.at = at[(row[at] == row[at + run - 1]) & (self.tokens[at + run - 1] <= len(ids))]
 
-    def _substrings(self) -> None:
-        """Classes of equal substrings of ``run`` tokens: their places by class, and the distinct pages of each."""
+    def substring_classes(self) -> np.ndarray:
+        """For each place the number of its class of equal substrings: neighbours in the suffix array with that much in common."""
         order, common = suffix_array(self.tokens)
-        fresh = common < self.run
-        whole = order + self.run <= len(self.tokens)
-        whole[whole] = self.row[self.block[order[whole]]] == self.row[self.block[order[whole] + self.run - 1]]
-        whole[whole] = self.tokens[order[whole] + self.run - 1] < len(self.word_hash)  # none reaches a page's end
-        self.at, self.klass = order[whole], (np.cumsum(fresh) - 1)[whole]
-        self.klass = np.unique(self.klass, return_inverse=True)[1] if len(self.klass) else self.klass
-        self.pages_of = self._distinct(self.klass, self.page[self.block[self.at]])
-        # whole blocks, which may be shorter
-        digest = self._digests(self.begin, self.size + 1) if len(self.size) else np.zeros(0, np.uint64)
-        self.block_class = np.unique(digest, return_inverse=True)[1] if len(digest) else np.zeros(0, np.int64)
-        self.pages_of_block = self._distinct(self.block_class, self.page)
-
-    @staticmethod
-    def _distinct(klass: np.ndarray, page: np.ndarray) -> np.ndarray:
-        pairs = np.unique(klass * (int(page.max(initial=0)) + 1) + page)
-        return np.bincount(pairs // (int(page.max(initial=0)) + 1)) if len(pairs) else np.zeros(0, np.int64)
+        klass = np.empty(len(order), np.int64)
+        klass[order] = np.cumsum(common < self.run)
+        return np.unique(klass[self.at], return_inverse=True)[1]
+
+    def distinct_pages(self, klass: np.ndarray, page: np.ndarray) -> np.ndarray:
+        """The distinct pages of each class."""
+        pairs = np.unique(klass * (self.n_pages + 1) + page)
+        return np.bincount(pairs // (self.n_pages + 1)) if len(pairs) else np.zeros(0, np.int64)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pages that have the substring at each place, and each block."""
+        runs, blocks = self.substring_classes(), np.unique(self.block_digests(), return_inverse=True)[1]
+        return self.distinct_pages(runs, self.page[self.block[self.at]])[runs], self.distinct_pages(blocks, self.page)[blocks]
 
     def _digests(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """A hash of so many tokens from each place on, the same in every part of a host; a page end counts as a block end."""
-        hashes = self.word_hash[np.where(self.inside, self.tokens, 0)]
+        hashes = self.word_hash[np.where(self.inside, self.tokens, 0)]  # a page end counts as a block end
         with np.errstate(over="ignore"):
             value = np.zeros(len(at), np.uint64)
+            turn = np.argsort(-size, kind="stable")
             for k in range(int(size.max(initial=0))):
-                live = np.flatnonzero(size > k)
-                value[live] = (value[live] * np.uint64(0xBF58476D1CE4E5B9) + hashes[at[live] + k]) ^ (value[live] >> np.uint64(31))
+                turn = turn[: np.searchsorted(-size[turn], -k, side="left")]
+                value[turn] = (value[turn] * np.uint64(0xBF58476D1CE4E5B9) + hashes[at[turn] + k]) ^ (value[turn] >> np.uint64(31))
         return value
 
-    def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        """Digest of each class of substrings, then of each class of blocks; blocks' are odd, substrings' even."""
-        first = np.full(len(self.pages_of), -1)
-        first[self.klass[::-1]] = self.at[::-1]
-        block = np.full(len(self.pages_of_block), -1)
-        block[self.block_class[::-1]] = np.arange(len(self.block_class))[::-1]
-        runs = self._digests(first, np.full(len(first), self.run)) & np.uint64(2**64 - 2)
-        blocks = self._digests(self.begin[block], self.size[block] + 1) | np.uint64(1) if len(block) else np.zeros(0, np.uint64)
-        return runs, blocks
-
-    def texts(self, told: list[bool], n_pages: int, pages_of: np.ndarray, pages_of_block: np.ndarray) -> list[str]:
-        """Text of each row, less what stands on too many of the host's pages.
+    def run_digests(self) -> np.ndarray:
+        """A hash of the substring at each place, the same in every part of a host; even."""
+        hashes = self.word_hash[np.where(self.inside, self.tokens, 0)]
+        with np.errstate(over="ignore"):
+            value = np.zeros(len(self.at), np.uint64)
+            for k in range(self.run):
+                value = (value * np.uint64(0xBF58476D1CE4E5B9) + hashes[self.at + k]) ^ (value >> np.uint64(31))
+        return value & np.uint64(2**64 - 2)
+
+    def block_digests(self) -> np.ndarray:
+        """A hash of each block with its end; odd."""
+        return self._digests(self.begin, self.size + 1) | np.uint64(1)
+
+    def candidates(self) -> np.ndarray:
+        """Digests of what stands on PAGE_SHARE of these pages."""
+        runs, blocks = self.counts()
+        least = PAGE_SHARE * self.n_pages
+        return np.unique(np.concatenate([self.run_digests()[runs >= least], self.block_digests()[blocks >= least]]))
+
+    def count_candidates(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the digests that stand here, and their distinct pages."""
+        digest = np.concatenate([self.run_digests(), self.block_digests()])
+        page = np.concatenate([self.page[self.block[self.at]], self.page])
+        own = np.isin(digest, wanted)
+        keys, klass = np.unique(digest[own], return_inverse=True)
+        return keys, self.distinct_pages(klass, page[own])
+
+    def texts(self, told: list[bool], n_pages: int, runs: np.ndarray, blocks: np.ndarray) -> list[str]:
+        """Text of each row, less what stands on too many of the host's pages by the counts for each place and block.
 
         A stretch of covered tokens is cut from a block if it is as long as a substring or the whole block; in rows
         without an article, repeated blocks of any length go, too. A row of which nothing, or of an article too
         little, would be left is a copy of other pages and stays as it is.
         """
         told_block = np.array(told, bool)[self.row] if len(self.row) else np.zeros(0, bool)
-        needed = np.where(told_block, max(MIN_PAGES, int(np.ceil(ARTICLE_SHARE * n_pages))), MIN_PAGES)
-        hits = self.at[pages_of[self.klass] >= needed[self.block[self.at]]] if len(self.at) else self.at
+        share = np.where(told_block, ARTICLE_SHARE, PAGE_SHARE)
+        needed = np.maximum(MIN_PAGES, np.ceil(share * n_pages))
+        hits = self.at[runs >= needed[self.block[self.at]]] if len(self.at) else self.at
         edge = np.zeros(len(self.tokens) + 1, np.int64)
         np.add.at(edge, hits, 1)
         np.add.at(edge, hits + self.run, -1)
         covered = (np.cumsum(edge[:-1]) > 0) & self.inside
-        gone = ~told_block & (pages_of_block[self.block_class] >= needed) if len(self.row) else told_block
-        covered |= gone[self.block] & self.inside
+        covered |= (~told_block & (blocks >= needed))[self.block] & self.inside
+        if not covered.any():
+            return ["\n".join(self.joined[i:j]) for i, j in zip(np.searchsorted(self.row, np.arange(len(told))), np.searchsorted(self.row, np.arange(len(told)), side="right"), strict=True)]
         # stretches: neighbouring covered tokens of a block
         begins = covered & ~np.append(False, covered[:-1])
         stretch = np.cumsum(begins) - 1
@@ -277,13 +299,14 @@ class Host:
         row_of = self.row[self.block]
         lost, all_of = np.bincount(row_of[cut], minlength=rows), np.bincount(row_of[self.inside], minlength=rows)
         copy = np.where(np.array(told, bool), lost > COPY * all_of, lost == all_of)
-        cut &= ~copy[row_of] if len(row_of) else cut
+        cut &= ~copy[row_of]
         out: list[list[str]] = [[] for _ in range(rows)]
         touched = np.bincount(self.block[cut], minlength=len(self.blocks))
-        for k, words in enumerate(self.blocks):
+        for k, text in enumerate(self.joined):
+            words = self.blocks[k]
             if touched[k] < len(words):
                 here = self.begin[k]
-                out[self.row[k]].append(" ".join(w for w, x in zip(words, cut[here : here + len(words)], strict=True) if not x) if touched[k] else " ".join(words))
+                out[self.row[k]].append(" ".join(w for w, x in zip(words, cut[here : here + len(words)], strict=True) if not x) if touched[k] else text)
         return ["\n".join(x) for x in out]
 
 
@@ -291,15 +314,16 @@ def main_texts(pages: list[str | None], ids: list | None = None) -> list[str]:
     """Main text of each page of one host."""
     found = [page_blocks(x) for x in pages]
     host = Host([blocks for _, blocks in found], list(range(len(pages))) if ids is None else ids)
-    return host.texts([told for told, _ in found], host.n_pages, host.pages_of, host.pages_of_block)
+    return host.texts([told for told, _ in found], host.n_pages, *host.counts())
 
 
-_ROW = "page_id long, url string, host string, part int, parts int, n_pages long, told boolean, blocks array<string>"
+_ROW = "page_id long, url string, host string, part int, n_pages long, told boolean, blocks array<string>"
 _OUT = "page_id long, url string, text string, n_chars long"
+_PART = "host string, n_pages long, page_id array<long>, url array<string>, told array<boolean>, blocks array<array<string>>, wanted array<long>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["page_id", "url", "host", "part", "parts", "n_pages"]
+    names = ["page_id", "url", "host", "part", "n_pages"]
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
@@ -307,66 +331,48 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part[x] for x in names), pa.array(told, pa.bool_()), pa.array(blocks, pa.list_(pa.string()))], names=[*names, "told", "blocks"])
 
 
-def _host(frame: pd.DataFrame) -> Host:
-    return Host([list(x) for x in frame["blocks"]], frame["page_id"].tolist())
+def _alone(table: pa.Table) -> pa.Table:
+    """The rows of a host that is one part."""
+    host = Host(table["blocks"].to_pylist(), table["page_id"].to_pylist())
+    texts = host.texts(table["told"].to_pylist(), host.n_pages, *host.counts())
+    return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    """A part of a host as one row, with the digests of what may be repeated over the host."""
+    blocks = table["blocks"].to_pylist()
+    wanted = Host(blocks, table["page_id"].to_pylist()).candidates().view(np.int64)
+    own = [table["host"][0].as_py(), table["n_pages"][0].as_py(), table["page_id"].to_pylist(), table["url"].to_pylist(), table["told"].to_pylist(), blocks, wanted]
+    types = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.list_(pa.string())), pa.list_(pa.int64())]
+    names = ["host", "n_pages", "page_id", "url", "told", "blocks", "wanted"]
+    return pa.table({n: pa.array([x], t) for n, x, t in zip(names, own, types, strict=True)})
 
 
-def _told(frame: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each part: the pages that have each of the host's candidates."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            host = Host(batch["blocks"][i].as_py(), batch["page_id"][i].as_py())
+            digest, pages = host.count_candidates(np.array(batch["digests"][i].as_py(), np.int64).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array([batch["host"][i].as_py()] * len(digest), pa.string()), pa.array(digest.view(np.int64)), pa.array(pages, pa.int64())], names=["host", "digest", "pages"])
 
 
-def _alone(frame: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a host that is one part."""
-    host = _host(frame)
-    return _told(frame, host.texts(frame["told"].tolist(), host.n_pages, host.pages_of, host.pages_of_block))
-
-
-def _digest_rows(frame: pd.DataFrame) -> pd.DataFrame:
-    """For a part of a host: digests of its substrings and blocks with their distinct pages, by range of the digest."""
-    host = _host(frame)
-    digest = np.concatenate(host.digests())
-    pages = np.concatenate([host.pages_of, host.pages_of_block])
-    buckets = int(frame["parts"].iloc[0])
-    bucket = ((digest >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    turn = np.lexsort((digest, bucket))
-    edges = np.searchsorted(bucket[turn], np.arange(buckets + 1))
-    out = [(frame["host"].iloc[0], b, int(frame["part"].iloc[0]), digest[turn[i:j]].astype("<u8").tobytes(), pages[turn[i:j]].astype("<u4").tobytes()) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if i < j]
-    return pd.DataFrame(out, columns=["host", "bucket", "part", "digests", "pages"])
-
-
-_DIGESTS = "host string, bucket int, part int, digests binary, pages binary"
-
-
-def _sum_digests(frame: pd.DataFrame) -> pd.DataFrame:
-    """For a range of a host's digests: each part's digests that stand on MIN_PAGES pages of the host, with their pages."""
-    parts = [np.frombuffer(x, "<u8") for x in frame["digests"]]
-    keys, number = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.bincount(number, np.concatenate([np.frombuffer(x, "<u4") for x in frame["pages"]])).astype(np.int64)
-    out, at = [], 0
-    for part, own in zip(frame["part"], parts, strict=True):
-        sums = total[number[at : at + len(own)]]
-        at += len(own)
-        often = sums >= MIN_PAGES
-        out.append((frame["host"].iloc[0], 0, part, own[often].tobytes(), sums[often].astype("<u4").tobytes()))
-    return pd.DataFrame(out, columns=["host", "bucket", "part", "digests", "pages"])
-
-
-def _together(frame: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a part of a host, by the sums over all its parts."""
-    if not len(frame):
-        return pd.DataFrame({"page_id": [], "url": [], "text": [], "n_chars": []})
-    host = _host(frame)
-    keys = np.concatenate([np.frombuffer(x, "<u8") for x in sums["digests"]] or [np.zeros(0, np.uint64)])
-    pages = np.concatenate([np.frombuffer(x, "<u4") for x in sums["pages"]] or [np.zeros(0, np.uint32)])
-    turn = np.argsort(keys)
-    keys, pages = np.append(keys[turn], np.uint64(2**64 - 1)), np.append(pages[turn].astype(np.int64), 0)
-
-    def of(digest: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(keys, digest)
-        return np.where(keys[at] == digest, pages[at], 0)
-
-    runs, blocks = host.digests()
-    return _told(frame, host.texts(frame["told"].tolist(), int(frame["n_pages"].iloc[0]), of(runs), of(blocks)))
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each part, by the sums over all parts of its host."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            host = Host(batch["blocks"][i].as_py(), batch["page_id"][i].as_py())
+            sums = batch["sums"][i].as_py() or []
+            keys, pages = np.array([x["digest"] for x in sums], np.int64).view(np.uint64), np.array([x["pages"] for x in sums], np.int64)
+            turn = np.argsort(keys)
+            keys, pages = np.append(keys[turn], np.uint64(2**64 - 1)), np.append(pages[turn], 0)
+
+            def of(digest: np.ndarray, keys=keys, pages=pages) -> np.ndarray:
+                at = np.searchsorted(keys, digest)
+                return np.where(keys[at] == digest, pages[at], 0)
+
+            texts = host.texts(batch["told"][i].as_py(), batch["n_pages"][i].as_py(), of(host.run_digests()), of(host.block_digests()))
+            yield pa.RecordBatch.from_arrays([batch["page_id"][i].values, batch["url"][i].values, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract_main_text(pages: DataFrame, group_chars: int = GROUP_CHARS) -> DataFrame:
@@ -383,10 +389,21 @@ def extract_main_text(pages: DataFrame, group_chars: int = GROUP_CHARS) -> DataF
     sizes = rows.groupBy("host", "page_id").agg(F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("chars"))
     sizes = materialise(sizes.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(F.sum("chars") / group_chars)).cast("int").alias("parts"), F.count(F.lit(1)).alias("n_pages")), "hosts")
     dealt = rows.join(small(sizes), "host").withColumn("part", F.pmod(F.xxhash64(F.coalesce("page_id", F.lit(-1))), F.col("parts").cast("long")).cast("int"))
-    dealt = dealt.select("page_id", "url", "host", "part", "parts", "n_pages", "html")
-    whole = dealt.filter("parts = 1").mapInArrow(_parse, _ROW).repartition("host").groupBy("host").applyInPandas(_alone, _OUT)
+    own = ["page_id", "url", "host", "part", "n_pages", "html"]
+    total = sizes.agg(F.coalesce(F.sum(F.col("parts").cast("long")), F.lit(0)).alias("parts")).first()["parts"]  # one number
+    tasks = max(TASKS, total // 8)
+    whole = dealt.filter("parts = 1").select(*own).mapInArrow(_parse, _ROW).repartition(tasks, "host").groupBy("host").applyInArrow(_alone, _OUT)
     if sizes.filter("parts > 1").isEmpty():
         return whole
-    split = materialise(dealt.filter("parts > 1").mapInArrow(_parse, _ROW), "pages").repartition("host", "part").groupBy("host", "part")
-    summed = split.applyInPandas(_digest_rows, _DIGESTS).groupBy("host", "bucket").applyInPandas(_sum_digests, _DIGESTS)
-    return whole.union(split.cogroup(summed.groupBy("host", "part")).applyInPandas(_together, _OUT))
+    parts = materialise(dealt.filter("parts > 1").select(*own).mapInArrow(_parse, _ROW).repartition(tasks, "host", "part").groupBy("host", "part").applyInArrow(_pack, _PART), "parts")
+    wanted = materialise(parts.select("host", F.explode("wanted").alias("digest")).distinct(), "candidates")
+    grouped = wanted.groupBy("host").agg(F.collect_list("digest").alias("digests"))
+    counted = parts.drop("wanted").join(_by_host(wanted, grouped), "host").mapInArrow(_count, "host string, digest long, pages long")
+    sums = materialise(counted.groupBy("host", "digest").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= MIN_PAGES), "sums")
+    grouped = sums.groupBy("host").agg(F.collect_list(F.struct("digest", "pages")).alias("sums"))
+    return whole.union(parts.drop("wanted").join(_by_host(sums, grouped), "host", "left").mapInArrow(_together, _OUT))
+
+
+def _by_host(rows: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``grouped``, a row for each host, broadcast if the rows that it holds are few enough."""
+    return F.broadcast(grouped) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else grouped

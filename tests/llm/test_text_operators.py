@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -270,7 +271,8 @@ def plain_host(rows):
             whole.setdefault(text, set()).add(page)
     out = []
     for (_, told, blocks), stream in zip(rows, streams, strict=True):
-        least = max(html_text.MIN_PAGES, -(-len(pages) * html_text.ARTICLE_SHARE // 1)) if told else html_text.MIN_PAGES
+        share = html_text.ARTICLE_SHARE if told else html_text.PAGE_SHARE
+        least = max(html_text.MIN_PAGES, math.ceil(len(pages) * share))
         covered = set()
         for i in range(len(stream) - html_text.RUN + 1):
             if len(runs[tuple(w for w, _ in stream[i : i + html_text.RUN])]) >= least:
