@@ -18,6 +18,7 @@ from html.parser import HTMLParser
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,31 +192,32 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Host:
     """The token streams of some rows of a host, one behind the other, with block ends and page ends between them."""
 
-    def __init__(self, rows: list[list[str]], pages: list, run: int = RUN):
-        ids: dict[str, int] = {}
-        self.joined = [text for blocks in rows for text in blocks]
-        self.blocks = [text.split(" ") for text in self.joined]
-        self.row = np.repeat(np.arange(len(rows)), [len(blocks) for blocks in rows]).astype(np.int64)  # of each block
-        size = np.array([len(b) for b in self.blocks], np.int64)
-        words = np.array([ids.setdefault(w, len(ids) + 1) for b in self.blocks for w in b], np.int64)
+    def __init__(self, rows: pa.ListArray, pages: list, run: int = RUN):
+        self.rows, self.run = rows, run
+        self.joined = rows.flatten()
+        self.row = np.repeat(np.arange(len(rows)), pc.list_value_length(rows).to_numpy()).astype(np.int64)  # of each block
+        split = pc.split_pattern(self.joined, " ")
+        self.size = size = pc.list_value_length(split).to_numpy().astype(np.int64)
+        words = split.flatten().dictionary_encode()
+        n_words = len(words.dictionary)
         last = np.append(self.row[1:] != self.row[:-1], True) if len(self.row) else np.zeros(0, bool)
         ends = np.cumsum(size + 1) - 1  # a block end behind each block, in a row's last block an end of its own
         self.begin = ends - size
         self.tokens = np.zeros(int(size.sum()) + len(size), np.int64)
         self.block = np.repeat(np.arange(len(size)), size + 1)
-        inside = np.ones(len(self.tokens), bool)
-        inside[ends] = False
-        self.tokens[inside] = words
-        self.tokens[ends[last]] = len(ids) + 1 + np.arange(last.sum())
+        self.inside = np.ones(len(self.tokens), bool)
+        self.inside[ends] = False
+        self.tokens[self.inside] = words.indices.to_numpy().astype(np.int64) + 1
+        self.tokens[ends[last]] = n_words + 1 + np.arange(last.sum())
         page = pd.factorize(np.array(pages, object), use_na_sentinel=False)[0].astype(np.int64) if len(pages) else np.zeros(0, np.int64)
         self.n_pages = len(np.unique(page))
         self.page = page[self.row]
-        self.inside, self.size, self.run = inside, size, run
-        self.word_hash = np.append(np.uint64(0x9E3779B97F4A7C15), pd.util.hash_array(np.array(list(ids), object))) if ids else np.ones(1, np.uint64)
+        self.word_hash = np.append(np.uint64(0x9E3779B97F4A7C15), pd.util.hash_array(np.array(words.dictionary.to_pylist(), object))) if n_words else np.ones(1, np.uint64)
         # places of substrings of ``run`` tokens: all in one row, and none reaches its end
-        at = np.arange(max(0, len(self.tokens) - run + 1))
-        row = self.row[self.block] if len(self.row) else self.block
-        self.at = at[(row[at] == row[at + run - 1]) & (self.tokens[at + run - 1] <= len(ids))]
+        begins = np.ones(len(self.tokens), bool)
+        for k in range(run):  # a row that is shorter marks places of the row before that are marked anyway
+            begins[np.maximum(ends[last] - k, 0)] = False
+        self.at = np.flatnonzero(begins)
 
     def substring_classes(self) -> np.ndarray:
         """For each place the number of its class of equal substrings: neighbours in the suffix array with that much in common."""
@@ -234,16 +236,6 @@ class Host:
         runs, blocks = self.substring_classes(), np.unique(self.block_digests(), return_inverse=True)[1]
         return self.distinct_pages(runs, self.page[self.block[self.at]])[runs], self.distinct_pages(blocks, self.page)[blocks]
 
-    def _digests(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-        hashes = self.word_hash[np.where(self.inside, self.tokens, 0)]  # a page end counts as a block end
-        with np.errstate(over="ignore"):
-            value = np.zeros(len(at), np.uint64)
-            turn = np.argsort(-size, kind="stable")
-            for k in range(int(size.max(initial=0))):
-                turn = turn[: np.searchsorted(-size[turn], -k, side="left")]
-                value[turn] = (value[turn] * np.uint64(0xBF58476D1CE4E5B9) + hashes[at[turn] + k]) ^ (value[turn] >> np.uint64(31))
-        return value
-
     def run_digests(self) -> np.ndarray:
         """A hash of the substring at each place, the same in every part of a host; even."""
         hashes = self.word_hash[np.where(self.inside, self.tokens, 0)]
@@ -254,8 +246,8 @@ class Host:
         return value & np.uint64(2**64 - 2)
 
     def block_digests(self) -> np.ndarray:
-        """A hash of each block with its end; odd."""
-        return self._digests(self.begin, self.size + 1) | np.uint64(1)
+        """A hash of each block's text; odd."""
+        return pd.util.hash_array(np.array(self.joined.to_pylist(), object)) | np.uint64(1) if len(self.joined) else np.zeros(0, np.uint64)
 
     def candidates(self) -> np.ndarray:
         """Digests of what stands on PAGE_SHARE of these pages."""
@@ -271,7 +263,7 @@ class Host:
         keys, klass = np.unique(digest[own], return_inverse=True)
         return keys, self.distinct_pages(klass, page[own])
 
-    def texts(self, told: list[bool], n_pages: int, runs: np.ndarray, blocks: np.ndarray) -> list[str]:
+    def texts(self, told: list[bool], n_pages: int, runs: np.ndarray, blocks: np.ndarray) -> pa.Array:
         """Text of each row, less what stands on too many of the host's pages by the counts for each place and block.
 
         A stretch of covered tokens is cut from a block if it is as long as a substring or the whole block; in rows
@@ -287,8 +279,9 @@ class Host:
         np.add.at(edge, hits + self.run, -1)
         covered = (np.cumsum(edge[:-1]) > 0) & self.inside
         covered |= (~told_block & (blocks >= needed))[self.block] & self.inside
+        found = pc.binary_join(self.rows, "\n")
         if not covered.any():
-            return ["\n".join(self.joined[i:j]) for i, j in zip(np.searchsorted(self.row, np.arange(len(told))), np.searchsorted(self.row, np.arange(len(told)), side="right"), strict=True)]
+            return found
         # stretches: neighbouring covered tokens of a block
         begins = covered & ~np.append(False, covered[:-1])
         stretch = np.cumsum(begins) - 1
@@ -300,23 +293,29 @@ class Host:
         lost, all_of = np.bincount(row_of[cut], minlength=rows), np.bincount(row_of[self.inside], minlength=rows)
         copy = np.where(np.array(told, bool), lost > COPY * all_of, lost == all_of)
         cut &= ~copy[row_of]
-        out: list[list[str]] = [[] for _ in range(rows)]
-        touched = np.bincount(self.block[cut], minlength=len(self.blocks))
-        for k, text in enumerate(self.joined):
-            words = self.blocks[k]
-            if touched[k] < len(words):
-                here = self.begin[k]
-                out[self.row[k]].append(" ".join(w for w, x in zip(words, cut[here : here + len(words)], strict=True) if not x) if touched[k] else text)
-        return ["\n".join(x) for x in out]
+        out: dict[int, list[str]] = {}
+        touched = np.bincount(self.block[cut], minlength=len(self.row))
+        changed = np.unique(self.row[touched > 0])
+        first, behind = np.searchsorted(self.row, changed), np.searchsorted(self.row, changed, side="right")
+        for row, i, j in zip(changed.tolist(), first.tolist(), behind.tolist(), strict=True):
+            out[row] = []
+            for k in range(i, j):
+                if touched[k] < self.size[k]:
+                    here, text = self.begin[k], self.joined[k].as_py()
+                    out[row].append(" ".join(w for w, x in zip(text.split(" "), cut[here : here + self.size[k]], strict=True) if not x) if touched[k] else text)
+        mask = np.zeros(rows, bool)
+        mask[changed] = True
+        return pc.replace_with_mask(found, pa.array(mask), pa.array(["\n".join(out[r]) for r in changed.tolist()], pa.string()))
 
 
 def main_texts(pages: list[str | None], ids: list | None = None) -> list[str]:
     """Main text of each page of one host."""
     found = [page_blocks(x) for x in pages]
-    host = Host([blocks for _, blocks in found], list(range(len(pages))) if ids is None else ids)
-    return host.texts([told for told, _ in found], host.n_pages, *host.counts())
+    host = Host(pa.array([blocks for _, blocks in found], _BLOCKS), list(range(len(pages))) if ids is None else ids)
+    return host.texts([told for told, _ in found], host.n_pages, *host.counts()).to_pylist()
 
 
+_BLOCKS = pa.list_(pa.string())
 _ROW = "page_id long, url string, host string, part int, n_pages long, told boolean, blocks array<string>"
 _OUT = "page_id long, url string, text string, n_chars long"
 _PART = "host string, n_pages long, page_id array<long>, url array<string>, told array<boolean>, blocks array<array<string>>, wanted array<long>"
@@ -328,31 +327,35 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             told, blocks = zip(*[page_blocks(x.as_py()) for x in part["html"]], strict=True)
-            yield pa.RecordBatch.from_arrays([*(part[x] for x in names), pa.array(told, pa.bool_()), pa.array(blocks, pa.list_(pa.string()))], names=[*names, "told", "blocks"])
+            yield pa.RecordBatch.from_arrays([*(part[x] for x in names), pa.array(told, pa.bool_()), pa.array(blocks, _BLOCKS)], names=[*names, "told", "blocks"])
 
 
 def _alone(table: pa.Table) -> pa.Table:
     """The rows of a host that is one part."""
-    host = Host(table["blocks"].to_pylist(), table["page_id"].to_pylist())
+    host = Host(_flat(table["blocks"]), table["page_id"].to_pylist())
     texts = host.texts(table["told"].to_pylist(), host.n_pages, *host.counts())
-    return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
+    return pa.table({"page_id": table["page_id"], "url": table["url"], "text": texts, "n_chars": pc.utf8_length(texts).cast(pa.int64())})
 
 
 def _pack(table: pa.Table) -> pa.Table:
     """A part of a host as one row, with the digests of what may be repeated over the host."""
-    blocks = table["blocks"].to_pylist()
+    blocks = _flat(table["blocks"])
     wanted = Host(blocks, table["page_id"].to_pylist()).candidates().view(np.int64)
-    own = [table["host"][0].as_py(), table["n_pages"][0].as_py(), table["page_id"].to_pylist(), table["url"].to_pylist(), table["told"].to_pylist(), blocks, wanted]
-    types = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.list_(pa.string())), pa.list_(pa.int64())]
-    names = ["host", "n_pages", "page_id", "url", "told", "blocks", "wanted"]
-    return pa.table({n: pa.array([x], t) for n, x, t in zip(names, own, types, strict=True)})
+    own = {x: _flat(table[x]) for x in ("page_id", "url", "told")} | {"blocks": blocks, "wanted": pa.array(wanted)}
+    lists = {x: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for x, v in own.items()}
+    return pa.table({"host": table["host"][:1], "n_pages": table["n_pages"][:1]} | lists)
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    """A column as one array."""
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each part: the pages that have each of the host's candidates."""
     for batch in batches:
         for i in range(batch.num_rows):
-            host = Host(batch["blocks"][i].as_py(), batch["page_id"][i].as_py())
+            host = Host(batch["blocks"][i].values, batch["page_id"][i].as_py())
             digest, pages = host.count_candidates(np.array(batch["digests"][i].as_py(), np.int64).view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array([batch["host"][i].as_py()] * len(digest), pa.string()), pa.array(digest.view(np.int64)), pa.array(pages, pa.int64())], names=["host", "digest", "pages"])
 
@@ -361,7 +364,7 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of each part, by the sums over all parts of its host."""
     for batch in batches:
         for i in range(batch.num_rows):
-            host = Host(batch["blocks"][i].as_py(), batch["page_id"][i].as_py())
+            host = Host(batch["blocks"][i].values, batch["page_id"][i].as_py())
             sums = batch["sums"][i].as_py() or []
             keys, pages = np.array([x["digest"] for x in sums], np.int64).view(np.uint64), np.array([x["pages"] for x in sums], np.int64)
             turn = np.argsort(keys)
@@ -372,7 +375,7 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 return np.where(keys[at] == digest, pages[at], 0)
 
             texts = host.texts(batch["told"][i].as_py(), batch["n_pages"][i].as_py(), of(host.run_digests()), of(host.block_digests()))
-            yield pa.RecordBatch.from_arrays([batch["page_id"][i].values, batch["url"][i].values, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([batch["page_id"][i].values, batch["url"][i].values, texts, pc.utf8_length(texts).cast(pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract_main_text(pages: DataFrame, group_chars: int = GROUP_CHARS) -> DataFrame:
