@@ -17,6 +17,10 @@ from strandloom.operators.layout import visual_interval
 _CHAIN = "query_name long, target_name long, strand string, query_start long, query_end long, target_start long, target_end long, matches long, block_len long, mapq int, fragments int, aligned long"
 
 
+#: Bases of a cell in which pieces of a query meet the alignments over them.
+CELL = 16_384
+
+
 class _PrefixBest:
     """Greatest value among the keys up to a bound, as values are added one by one (a binary indexed tree)."""
 
@@ -109,7 +113,9 @@ def arbitrate(rows: DataFrame) -> DataFrame:
     """
     cuts = rows.select("query_name", F.col("query_start").alias("at")).union(rows.select("query_name", "query_end")).distinct()
     pieces = cuts.withColumn("stop", F.lead("at").over(Window.partitionBy("query_name").orderBy("at"))).filter("stop IS NOT NULL")
-    over = pieces.join(rows, "query_name").filter((F.col("query_start") <= F.col("at")) & (F.col("query_end") >= F.col("stop")))
+    # an alignment covers a piece that begins in one of its cells
+    held = rows.withColumn("_cell", F.explode(F.expr(f"sequence(query_start div {CELL}, greatest(query_start, query_end - 1) div {CELL})")))
+    over = pieces.withColumn("_cell", F.expr(f"at div {CELL}")).join(held, ["query_name", "_cell"]).filter((F.col("query_start") <= F.col("at")) & (F.col("query_end") >= F.col("stop")))
     identity = F.col("matches").cast("decimal(20,0)") / F.col("block_len").cast("decimal(20,0)")
     order = [F.col("mapq").desc(), identity.desc(), F.col("matches").desc(), (F.col("query_end") - F.col("query_start")).desc(), "target_name", "strand", "target_start", "aln_id"]
     winner = over.withColumn("_k", F.row_number().over(Window.partitionBy("query_name", "at").orderBy(*order))).filter("_k = 1")
@@ -119,6 +125,32 @@ def arbitrate(rows: DataFrame) -> DataFrame:
     return runs.groupBy("query_name", "_run", "target_name", "strand", "aln_id").agg(F.min("at").alias("start"), F.max("stop").alias("end")).drop("_run")
 
 
+def preview(rows: DataFrame, retained) -> DataFrame:
+    """One row: alignments, those that are retained and discarded, and the queries and targets of the retained ones."""
+    own = lambda c: F.count_distinct(F.when(retained, F.col(c)))
+    return rows.agg(F.count(F.lit(1)).alias("alignments"), F.count_if(retained).alias("retained"), F.count_if(~retained).alias("discarded"), own("query_name").alias("queries"), own("target_name").alias("targets"))
+
+
+def consolidate(paf: DataFrame, minimum: int = 10_000) -> DataFrame:
+    """Alignments consolidated: the best chain of each query and target, near-best chains of a query, and arbitration by interval.
+
+    Each row is a stretch of a query and the chain that wins it, with the stretch's target interval by proportion
+    along the strand, matches and length rescaled (1 at least), and the chain's mapq, fragments and aligned bases.
+    """
+    found = keep_near_best(chains(paf, minimum)).withColumn("aln_id", F.xxhash64("query_name", "target_name"))
+    won = arbitrate(found).withColumnsRenamed({"start": "won_start", "end": "won_end"})
+    rows = won.join(found, ["query_name", "target_name", "strand", "aln_id"])
+    span, part = F.col("query_end") - F.col("query_start"), F.col("won_end") - F.col("won_start")
+    target = F.col("target_end") - F.col("target_start")
+    before, behind = F.col("won_start") - F.col("query_start"), F.col("query_end") - F.col("won_end")
+    back = F.col("strand") == "-"
+    along = lambda x: F.floor(x.cast("decimal(20,0)") * target.cast("decimal(18,0)") / span).cast("long")
+    low = F.col("target_start") + along(F.when(back, behind).otherwise(before))
+    high = F.greatest(low + 1, F.col("target_start") + along(F.when(back, span - before).otherwise(span - behind)))
+    scaled = lambda c: F.greatest(F.lit(1), F.round(F.col(c) * part / span)).cast("long").alias(c)
+    return rows.select("query_name", "target_name", "strand", F.col("won_start").alias("query_start"), F.col("won_end").alias("query_end"), low.alias("target_start"), high.alias("target_end"), scaled("matches"), scaled("block_len"), "mapq", "fragments", "aligned")
+
+
 def project_alignments(rows: DataFrame, layout: DataFrame, min_mapq: int = 0, min_len: int = 0) -> DataFrame:
     """Alignments cut at the layout's blocks: visual interval, target interval by proportion, strand in view."""
     hit = rows.filter(F.col("mapq") >= min_mapq).join(small_once(layout, "layout"), (F.col("query_name") == F.col("source_id")) & (F.col("query_start") < F.col("source_end")) & (F.col("query_end") > F.col("source_start")))

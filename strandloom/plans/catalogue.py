@@ -24,7 +24,7 @@ def query(sql: str | None):
         QUERIES[f.__name__] = f
         if sql is not None:
             head, body = (sql[len("RECURSIVE ") :].split(";;") if sql.startswith("RECURSIVE ") else ("", sql)) if ";;" in sql else ("", sql)
-            ORACLE_SQL[f.__name__] = (f"WITH RECURSIVE {views.SQL.strip()}, {head} {body}" if head else f"WITH {views.SQL.strip()} {body}")
+            ORACLE_SQL[f.__name__] = (f"WITH RECURSIVE {views.SQL.strip()}, {head} {body}" if head else f"WITH {views.SQL.strip()}{body if body.startswith(chr(44)) else chr(32) + body}")
         return f
 
     return add

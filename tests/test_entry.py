@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["q_contact_project", "q_coverage", "q_vc", "q_pyramid_chain", "q_paf_arbitrate", "q_nearest_k", "q_components", "q_edit_split", "q_topk_and"]
+NAMES = ["q_contact_project", "q_coverage", "q_vc", "q_pyramid_chain", "q_paf_arbitrate", "q_nearest_k", "q_components", "q_edit_split", "q_topk_and", "q_edit_recommended", "q_pixel_problems", "q_link_scope", "q_ranges_closed", "q_mask_precedence"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are absent")
@@ -25,3 +25,13 @@ def test_query_equals_sql(spark, name):
 
 def test_every_query_with_sql_is_registered():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from strandloom.functions import storage
+
+    kept = storage.materialise(spark.range(5), "numbers")
+    path = kept.inputFiles()[0].removeprefix("file:")
+    assert kept.count() == 5 and os.path.exists(path)
+    storage.clear_scratch(spark)
+    assert not os.path.exists(path)
