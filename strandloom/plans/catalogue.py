@@ -713,16 +713,6 @@ def q_placement_candidates(spark, sf):
     return recommend.placement_candidates(partners, evidence.boundaries(base))
 
 
-@query(None)
-def q_placement_ranking(spark, sf):
-    base, partners = _tiers(spark, sf)
-    candidates = recommend.placement_candidates(partners, evidence.boundaries(base))
-    junctions = materialise(recommend.candidate_junctions(candidates), "junctions")
-    pairs = junctions.select(F.least("selected", "neighbour").alias("source"), F.greatest("selected", "neighbour").alias("target")).distinct()
-    quadrants = evidence.quadrants(contacts.project(views.contact(spark, sf), base, 5_000), base, pairs, 5_000, 10_000)
-    return recommend.rank_candidates(junctions, quadrants)
-
-
 @query(f"""RECURSIVE {_PROJECT}, {_LINES}, t AS (SELECT source, target, line, sum(weight) AS weight FROM modes GROUP BY 1, 2, 3), u AS (SELECT source, target, max(CASE WHEN line = '+' THEN weight ELSE 0 END) AS w FROM t GROUP BY 1, 2),
 b AS (SELECT source, target, line, mode, weight / sum(weight) OVER (PARTITION BY source, target, line) AS share, weight FROM modes);;
 SELECT source, target, line, mode, weight FROM b WHERE share > 0.2 AND weight >= 60""")

@@ -35,14 +35,9 @@ def test_linkage_clusters(spark):
     assert {r.anchor: r.cluster for r in out.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
 
 
-def test_junctions_and_confidence(spark):
+def test_junction_scores(spark):
     q = spark.createDataFrame([(1, 2, 7.0, 0.0, 0.0, 0.0), (1, 3, 1.0, 1.0, 1.0, 1.0)], "source long, target long, ll double, lr double, rl double, rr double")
     assert {r.target: (r.ends, r.score) for r in recommend.junction_scores(q).collect()} == {2: ("ll", 3.0), 3: ("ll", 0.0)}
-    j = spark.createDataFrame([("a", 4.0), ("a", 1.0), ("b", 3.0), ("c", -2.0)], "candidate string, score double")
-    assert {r.candidate: r.score for r in recommend.candidate_scores(j).collect()} == {"a": 2.0, "b": 3.0, "c": 0.0}
-    c = recommend.confidence(F.col("a"), F.col("x"), F.col("s"), F.col("v"))
-    rows = spark.createDataFrame([(True, 0, 2, 2), (False, 0, 2, 2), (False, 0, 1, 2), (False, 1, 2, 2)], "a boolean, x int, s int, v int")
-    assert [r[0] for r in rows.select(c).collect()] == ["ambiguous", "high", "medium", "review"]
 
 
 def test_matrix_round_trip(spark, tmp_path):
@@ -107,15 +102,9 @@ def test_more_edits(spark):
     assert [(r.source_id, r.source_start, r.source_end) for r in layout.join_split_runs(cut).orderBy("ord").collect()] == [("a", 0, 10), ("b", 0, 10), ("c", 0, 10)]
 
 
-def test_placement_ranking(spark):
+def test_tiered_partners(spark):
     links = spark.createDataFrame([(1, 2, 9), (1, 3, 5), (1, 4, 7)], "source long, target long, score long")
     chosen = spark.createDataFrame([(1,)], "selected long")
     conflicts = spark.createDataFrame([(1, 4)], "selected long, partner long")
     partners = recommend.tiered_partners(links, chosen, conflicts, 1)
     assert {(r.partner, r.tier) for r in partners.collect()} == {(2, 0), (4, 1)}
-    boundaries = spark.createDataFrame([("o", None, 2), ("o", 2, 3), ("o", 3, None), ("p", 1, None)], "object_id string, left_id long, right_id long")
-    junctions = recommend.candidate_junctions(recommend.placement_candidates(partners, boundaries))
-    assert junctions.count() == 6  # two at the start of o, four between 2 and 3
-    quadrants = spark.createDataFrame([(1, 2, 0.0, 31.0, 0.0, 0.0), (1, 3, 0.0, 0.0, 7.0, 0.0)], "source long, target long, ll double, lr double, rl double, rr double")
-    best = recommend.rank_candidates(junctions, quadrants, 1).first()
-    assert (best.left_id, best.right_id, best.orientation, best.score, best.supported) == (2, 3, "+", 4.0, 2)
