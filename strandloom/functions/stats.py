@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions.running import total_before
+
 
 def legacy_percentile(df: DataFrame, value: str, percents: list[float]) -> DataFrame:
     """percent and value by the (n + 1) rule: position p (n + 1) / 100 among the sorted values, interpolated.
 
     The values are counted by size first, so the sort holds distinct values, and positions meet them by a join.
     """
-    from pyspark.sql.window import Window
-
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.withColumn("hi", F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("lo", F.col("hi") - F.col("n") + 1)
+    upto = total_before(counts, "v", "n", "before").withColumn("hi", F.col("before") + F.col("n")).withColumn("lo", F.col("before") + 1)
     total = counts.agg(F.sum("n").alias("total"))
     spark = df.sparkSession
     asked = spark.createDataFrame([(float(p),) for p in percents], "percent double").crossJoin(F.broadcast(total)).filter("total > 0")  # one row for each percent

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom.functions.intervals import overlap
+from strandloom.functions.running import total_before
 from strandloom.functions.sizes import small_once
 
 
@@ -57,8 +58,7 @@ def percentile_rank(links: DataFrame, score: str = "score") -> DataFrame:
     all scores differ.
     """
     levels = links.groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = links.join(levels.withColumn("_before", before).select(score, "_before"), score)
+    placed = links.join(total_before(levels, score, "_n", "_before", descending=True).select(score, "_before"), score)
     at = F.col("_before") + F.row_number().over(Window.partitionBy(score).orderBy("source", "target")) - 1
     total = links.agg(F.count(F.lit(1)).alias("_total"))
     ranked = placed.withColumn("_at", at).crossJoin(F.broadcast(total))  # one row

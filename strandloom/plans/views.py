@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.functions.running import total_before
 from strandloom.functions.storage import table
 from strandloom.operators.layout import with_visual
 
@@ -102,7 +103,7 @@ def chrom(spark: SparkSession, sf: str) -> DataFrame:
 def pixel(spark: SparkSession, sf: str) -> DataFrame:
     """Contacts as pixels of 1,000-base bins that restart at each contig."""
     sized = chrom(spark, sf).withColumn("n", F.expr("length div 1000"))
-    base = sized.select("chrom_id", F.coalesce(F.sum("n").over(Window.orderBy("chrom_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("base"))
+    base = total_before(sized, "chrom_id", "n", "base").select("chrom_id", F.col("base").cast("long").alias("base"))
     one, two = base.select(F.col("chrom_id").alias("source1"), F.col("base").alias("b1")), base.select(F.col("chrom_id").alias("source2"), F.col("base").alias("b2"))
     binned = contact(spark, sf).join(one, "source1").join(two, "source2").select(F.expr("b1 + start1 div 1000").alias("i"), F.expr("b2 + start2 div 1000").alias("j"), "count")
     return binned.groupBy(F.least("i", "j").alias("bin1_id"), F.greatest("i", "j").alias("bin2_id")).agg(F.sum("count").alias("count"))
