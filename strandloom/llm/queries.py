@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.storage import table
-from strandloom.llm import bpe, cotrain, fuse, html_text, jaccard, language, line_chunks, media, mixing, pii
+from strandloom.llm import bpe, chat, collocations, cotrain, fuse, html_text, jaccard, language, line_chunks, media, mixing, pii, spelling
 
 
 def op1_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +122,61 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') EN
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_prefix_bpe, op2_cross_parsing_language, op3_mpeg_audio, op4_temperature_mixture, op5_host_suffix_array, op6_bootstrapped_pii, op7_cotraining_quality, op8_divide_skip_jaccard, op9_binary_fuse_dedup, op10_line_chunk_dedup)}
+def op11_prefix_suffix_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents, one in 199 of which has lost a letter."""
+    return spelling.spelling_variants(spelling.word_counts(table(spark, sf_dir, "documents")))
 
-ORACLE_SQL: dict[str, str] = {"op4_temperature_mixture": OP4_SQL, "op9_binary_fuse_dedup": OP9_SQL, "op10_line_chunk_dedup": OP10_SQL}
+
+def op12_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts are control strings, streamed, revised, folded and rendered; what is read back."""
+    marked = "</s>[INST] ok [/INST]"
+    fixed = spark.createDataFrame([(-7, 0, "user", marked), (-7, 1, "assistant", marked)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(fixed)
+    return chat.digests(chat.format_conversations(turns, drafts=True))
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, regexp_replace(replace(role, '␛', '␛␛'), '(<)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|system\|>|\|user\|>|\|assistant\|>|<SYS>>|</SYS>>|s>|/s>)|(\[)(INST\]|/INST\])', '\1\3␛\2\4', 'g') AS r,
+    regexp_replace(replace(text, '␛', '␛␛'), '(<)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|system\|>|\|user\|>|\|assistant\|>|<SYS>>|</SYS>>|s>|/s>)|(\[)(INST\]|/INST\])', '\1\3␛\2\4', 'g') AS x FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(r) + length(x) + length('<|im_start|>' || chr(10) || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op13_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of each language of all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents WHERE text IS NOT NULL
+), w AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\\x20\\x09]+') IF x <> ''] AS w FROM p),
+g AS (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase FROM w, (SELECT unnest(range(1, {collocations.MAX_WORDS + 1})) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= {collocations.SUPPORT}),
+u AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS cut FROM c),
+s AS (
+  SELECT u.lang, u.phrase, u.k, a, cut, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM u JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')
+), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, k, a, w, unnest(range(2, k)) AS m FROM c),
+j AS (SELECT DISTINCT lang, a, array_to_string(w[o:o + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, k - m + 2)) AS o FROM i)),
+o AS (SELECT lang, phrase, max(a) AS longer FROM j GROUP BY ALL),
+z AS (SELECT b.* FROM b LEFT JOIN o USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < {collocations.ABSORB_PERCENT} * a),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
+SELECT q.lang, rank, phrase, a, l, r, n, score FROM q JOIN t ON t.lang = q.lang WHERE rank <= {collocations.TOP}
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_prefix_bpe, op2_cross_parsing_language, op3_mpeg_audio, op4_temperature_mixture, op5_host_suffix_array, op6_bootstrapped_pii, op7_cotraining_quality, op8_divide_skip_jaccard, op9_binary_fuse_dedup, op10_line_chunk_dedup, op11_prefix_suffix_tiling, op12_event_sourced_chat, op13_son_collocations)}
+
+ORACLE_SQL: dict[str, str] = {"op4_temperature_mixture": OP4_SQL, "op9_binary_fuse_dedup": OP9_SQL, "op10_line_chunk_dedup": OP10_SQL, "op12_event_sourced_chat": OP12_SQL, "op13_son_collocations": OP13_SQL}
