@@ -40,9 +40,14 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path among the tables of this application."""
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back, so that a lost executor repeats no earlier work."""
     spark = df.sparkSession
-    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
