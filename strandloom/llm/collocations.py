@@ -2,7 +2,8 @@
 
 The documents are dealt to SHARDS shards, and a phrase that occurs SUPPORT times occurs SUPPORT / SHARDS times in one of
 them, however uneven they are. With so small a support more than SUPPORT - 1 shards would lower the local one to a single
-occurrence; a shard therefore grows with the corpus and is itself mined by many tasks, each holding a range of its phrases.
+occurrence; a shard therefore grows with the corpus and is itself mined by many tasks: blocks of documents are counted in
+memory, and ranges of hashes, as many as the corpus needs, add up what all blocks of a shard hold.
 
 Mining works on 64-bit hashes of phrases: equal hashes can only add candidates. The union becomes a bit map of a bounded
 size, which passes every candidate and, the fuller it is, the more phrases besides. The second pass counts as text
@@ -26,6 +27,8 @@ from strandloom.functions.storage import materialise
 MAX_WORDS, SUPPORT, SHARDS, ABSORB_PERCENT, TOP = 3, 10, 4, 50, 2000
 #: Tokens that a task holds before it counts and emits them; bits of the map for each candidate, and the most bits of it (128 MB).
 BLOCK_TOKENS, BITS_EACH, MOST_BITS = 1_500_000, 16, 2**30
+#: Bytes of text, times the words of a phrase, for each range of hashes: a range has some 2,000,000 distinct phrases of blocks.
+BYTES_OF_PART = 12_000_000
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz.......... ")
 _U = np.uint64
 _NO_LANGUAGE = "und"
@@ -119,16 +122,23 @@ def _phrases(found: list[np.ndarray], size: int, chosen: np.ndarray, words: list
     return [b" ".join(row) for row in zip(*reversed(columns), strict=True)]
 
 
-def _mine(most: int):
+def _mine(most: int, parts: int):
+    """Phrases of each block by ranges of their hashes: a row for each range and shard, with the sorted hashes and the counts as bytes."""
+    edges = np.array([-(-(k << 64) // parts) for k in range(1, parts)], _U)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block(most)
 
         def emit() -> Iterator[pa.RecordBatch]:
             for key, _, times, codes, _ in block.counted():
-                h, n = np.concatenate(codes), np.concatenate(times)
-                for i in range(0, len(h), 200_000):
-                    part = h[i : i + 200_000].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), key[1], np.int32)), pa.array(n[i : i + 200_000])], ["h", "shard", "n"])
+                h, n = np.concatenate(codes), np.minimum(np.concatenate(times), 2**32 - 1).astype(np.uint32)
+                order = np.argsort(h)
+                h, n = h[order], n[order]
+                cuts = np.r_[0, np.searchsorted(h, edges), len(h)]
+                held = np.flatnonzero(cuts[1:] > cuts[:-1])
+                for some in np.array_split(held, max(1, len(h) // 500_000)):
+                    part = lambda x: pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary())  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), key[1], np.int32)), part(h), part(n)], ["part", "shard", "h", "n"])
 
         for batch in batches:
             for lang, shard, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -140,24 +150,30 @@ def _mine(most: int):
 
 
 def _frequent(least: int):
-    """Hashes that some shard holds often enough, of rows sorted by hash and shard; the last hash of a batch waits for the next."""
+    """Hashes that some shard holds often enough, of rows of hash ranges sorted by range; one range is in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, shard, n = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
-
-        def kept(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.unique(h[n >= least]))], ["h"])
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        at = None
+
+        def kept() -> pa.RecordBatch:
+            found = [np.zeros(0, _U)]
+            for rows in held.values():
+                h, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+                order = np.argsort(h)
+                h, n = h[order], n[order].astype(np.int64)
+                starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                found.append(h[starts][np.add.reduceat(n, starts) >= least])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], ["h"])
 
         for batch in batches:
-            h, shard, n = (np.concatenate([a, b.to_numpy()]) for a, b in zip((h, shard, n), batch.columns, strict=True))
-            if not len(h):
-                continue
-            starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (shard[1:] != shard[:-1])])
-            h, shard, n = h[starts], shard[starts], np.add.reduceat(n, starts)
-            done = np.searchsorted(h, h[-1])
-            yield kept(h[:done], n[:done])
-            h, shard, n = h[done:], shard[done:], n[done:]
-        yield kept(h, n)
+            for part, shard, h, n in zip(*batch.columns, strict=True):
+                if part.as_py() != at:
+                    yield kept()
+                    at = part.as_py()
+                held.setdefault(shard.as_py(), []).append((np.frombuffer(h.as_buffer(), _U).copy(), np.frombuffer(n.as_buffer(), np.uint32).copy()))
+        yield kept()
 
     return run
 
@@ -208,8 +224,9 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     """
     lang, raw = F.coalesce(F.col(lang_col).cast("string"), F.lit(_NO_LANGUAGE)).alias("lang"), F.col(text_col).cast("binary").alias("text")
     shard = F.pmod(F.xxhash64(F.col(id_col), F.lit(13)), F.lit(shards)).cast("int").alias("shard")
-    mined = docs.select(lang, shard, raw).mapInArrow(_mine(most), "h long, shard int, n long")
-    local = mined.repartition("h").sortWithinPartitions("h", "shard").mapInArrow(_frequent(-(-support // shards)), "h long")
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary")))).first()[0] or 0
+    mined = docs.select(lang, shard, raw).mapInArrow(_mine(most, -(-most * size // BYTES_OF_PART) or 1), "part int, shard int, h binary, n binary")
+    local = mined.repartition("part").sortWithinPartitions("part").mapInArrow(_frequent(-(-support // shards)), "h long")
     bits, shift = _bit_map(materialise(local, "candidates"))
     counted = docs.select(lang, raw).mapInArrow(_count(most, shift, docs.sparkSession.sparkContext.broadcast(bits)), "lang string, size int, phrase binary, n long")
     return counted.groupBy("lang", "size", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n")).filter((F.col("n") >= support) | (F.col("size") == 0))

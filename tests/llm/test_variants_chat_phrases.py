@@ -199,6 +199,7 @@ def phrase_rows():
 def test_collocations_against_plain_counts(spark, monkeypatch, most, support, shards, bits, tokens):
     monkeypatch.setattr(collocations, "BLOCK_TOKENS", tokens)
     monkeypatch.setattr(collocations, "BITS_EACH", bits)
+    monkeypatch.setattr(collocations, "BYTES_OF_PART", 5_000 if tokens < 1_000_000 else 12_000_000)
     rows = phrase_rows()
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", *EXTRA)
     out = collocations.collocations(docs, most=most, support=support, shards=shards, top=40)
