@@ -185,7 +185,8 @@ def near_words(words: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     # a block meets itself and each other one of the bucket
     met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))
     pairs = blocks.select(*bucket, "word", "n", "i", F.explode(met).alias("at")).select(*bucket, "at.x", "at.y", (F.col("i") != F.col("at.x")).alias("second"), "word", "n")
-    return pairs.repartition(*_TILE).sortWithinPartitions(*_TILE, "second").mapInArrow(_compare, "word string, near string, near_n long")
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as a tile costs more than its bytes tell
+    return pairs.repartition(tasks, *_TILE).sortWithinPartitions(*_TILE, "second").mapInArrow(_compare, "word string, near string, near_n long")
 
 
 def spelling_variants(words: DataFrame, times: int = FORM_TIMES, block: int = BLOCK_WORDS) -> DataFrame:
