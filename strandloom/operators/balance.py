@@ -26,8 +26,13 @@ def row_sums(pixels: DataFrame) -> DataFrame:
 
 def multiply(pixels: DataFrame, vector: DataFrame) -> DataFrame:
     """bin_id and value of the matrix times a vector (bin_id, w); bins without a value count 0."""
+    return product(both_triangles(pixels), vector)
+
+
+def product(matrix: DataFrame, vector: DataFrame) -> DataFrame:
+    """As ``multiply``, of a matrix that has both triangles (i, j, count) already."""
     v = vector.select(F.col("bin_id").alias("j"), "w")
-    return both_triangles(pixels).join(v, "j").groupBy(F.col("i").alias("bin_id")).agg(F.sum(F.col("count") * F.col("w")).alias("value"))
+    return matrix.join(v, "j").groupBy(F.col("i").alias("bin_id")).agg(F.sum(F.col("count") * F.col("w")).alias("value"))
 
 
 def balanced(pixels: DataFrame, weights: DataFrame) -> DataFrame:
@@ -76,28 +81,54 @@ def _positive_start(pixels: DataFrame) -> DataFrame:
     return row_sums(pixels).select("bin_id", F.lit(1.0).alias("w"))
 
 
-def ice_step(pixels: DataFrame, weights: DataFrame) -> DataFrame:
-    """One step: w / sqrt(marginal / mean), and ``off``: marginal / mean - 1."""
-    margin = multiply(pixels, weights).join(weights, "bin_id").select("bin_id", "w", (F.col("value") * F.col("w")).alias("m"))
+def ice_step(matrix: DataFrame, weights: DataFrame) -> DataFrame:
+    """One step over both triangles (i, j, count): w / sqrt(marginal / mean), and ``off``: marginal / mean - 1."""
+    margin = product(matrix, weights).join(weights, "bin_id").select("bin_id", "w", (F.col("value") * F.col("w")).alias("m"))
     mean = margin.agg(F.avg("m").alias("mean"))
     rated = margin.crossJoin(F.broadcast(mean)).withColumn("rate", F.col("m") / F.col("mean"))  # one row
     return rated.select("bin_id", (F.col("w") / F.sqrt("rate")).alias("w"), (F.col("rate") - 1).alias("off"))
 
 
 def ice(pixels: DataFrame, iterations: int = 200, tolerance: float = 1e-5, filter_bins: bool = True) -> DataFrame:
-    """ICE weights that keep the matrix's total. Raises if the marginals don't settle, unless ``iterations`` is fixed to stop."""
+    """ICE weights that keep the matrix's total. Raises if the marginals don't settle."""
+    weights, settled, _ = ice_stored(pixels, iterations, tolerance, filter_bins)
+    if not settled:
+        raise ValueError(f"marginals have not settled after {iterations} steps")
+    return weights
+
+
+def ice_stored(pixels: DataFrame, iterations: int = 200, tolerance: float = 1e-5, filter_bins: bool = True) -> tuple[DataFrame, bool, float | None]:
+    """ICE weights as far as they come, whether the marginals have settled, and their last mean squared distance from the mean one."""
     cover = row_sums(pixels)
     active = ice_filter(cover) if filter_bins else cover.select("bin_id")
     ends = [active.select(F.col("bin_id").alias(c)) for c in ("bin1_id", "bin2_id")]
     inner = materialise(pixels.join(ends[0], "bin1_id", "left_semi").join(ends[1], "bin2_id", "left_semi").select("bin1_id", "bin2_id", "count"), "pixels")
-    weights = _positive_start(inner)
+    weights, matrix = _positive_start(inner), materialise(both_triangles(inner), "matrix")
     for _ in range(iterations):
-        stepped = materialise(ice_step(inner, weights), "ice")
+        stepped = materialise(ice_step(matrix, weights), "ice")
         off = stepped.agg(F.avg(F.col("off") * F.col("off")).alias("v"), F.avg(F.log("w")).alias("g")).first()  # two numbers
         weights = stepped.select("bin_id", (F.col("w") / F.exp(F.lit(off["g"] or 0.0))).alias("w"))
         if off["v"] is None or off["v"] < tolerance:
-            return keep_total(inner, weights)
-    raise ValueError(f"marginals have not settled after {iterations} steps")
+            return keep_total(inner, weights), True, off["v"]
+    return keep_total(inner, weights), False, off["v"]
+
+
+def fused_scales(pixels: DataFrame, weights: DataFrame, whole: tuple[str, ...] = ("ICE", "KR"), cis_only: tuple[str, ...] = ("VC", "VC_SQRT")) -> DataFrame:
+    """method, chrom_id and scale that keep the totals, of all methods from one scan of the pixels.
+
+    ``weights`` has bin_id, chrom_id and a column for each method, null for bins left out. Methods of ``whole`` have one scale, with a null
+    chromosome; those of ``cis_only`` one for each chromosome, from its own pixels. A scale is the root of raw over balanced total, of
+    pixels of which both bins have a positive weight, off-diagonal ones twice; methods or chromosomes without such pixels have none.
+    """
+    methods = [*whole, *cis_only]
+    side = lambda n: weights.select(F.col("bin_id").alias(f"bin{n}_id"), F.col("chrom_id").alias(f"_c{n}"), *[F.when((F.col(m) > 0) & (F.col(m) < float("inf")), F.col(m)).alias(f"_{m}{n}") for m in methods])
+    met = pixels.join(side(1), "bin1_id").join(side(2), "bin2_id").withColumn("_m", F.col("count") * F.when(F.col("bin1_id") == F.col("bin2_id"), 1).otherwise(2))
+    both = lambda m: F.col(f"_{m}1") * F.col(f"_{m}2")
+    sums = [x for m in methods for x in (F.sum(F.when(both(m).isNotNull(), F.col("_m"))).alias(f"raw_{m}"), F.sum(F.col("_m") * both(m)).alias(f"norm_{m}"))]
+    by = met.groupBy(F.when(F.col("_c1") == F.col("_c2"), F.col("_c1")).alias("chrom_id")).agg(*sums)  # a row for each chromosome, and one for what lies between them
+    listed = by.select("chrom_id", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"raw_{m}").alias("raw"), F.col(f"norm_{m}").alias("norm")) for m in methods])).alias("x")).select("chrom_id", "x.*")
+    grouped = listed.withColumn("chrom_id", F.when(F.col("method").isin(*cis_only), F.col("chrom_id"))).filter(F.col("method").isin(*whole) | F.col("chrom_id").isNotNull()).groupBy("method", "chrom_id").agg(F.sum("raw").alias("raw"), F.sum("norm").alias("norm"))
+    return grouped.filter("norm > 0").select("method", "chrom_id", F.sqrt(F.col("raw") / F.col("norm")).alias("scale"))
 
 
 def knight_ruiz(pixels: DataFrame, tolerance: float = 1e-6, products: int = 300) -> DataFrame:

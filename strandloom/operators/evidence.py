@@ -74,9 +74,10 @@ def quadrants(cells: DataFrame, blocks: DataFrame, pairs: DataFrame, resolution:
     parts = ends.withColumn("bin", F.explode(F.expr(f"sequence(s div {resolution}, (e - 1) div {resolution})")))
     parts = parts.select("block_id", "side", "bin", (F.expr(f"least(e, (bin + 1) * {resolution}) - greatest(s, bin * {resolution})") / resolution).alias("part"))
     mirrored = cells.unionByName(cells.filter("x_bin <> y_bin").select(F.col("y_bin").alias("x_bin"), F.col("x_bin").alias("y_bin"), "count"))
+    # a pair's windows are a few bins a side: both bins are known before cells are met, so that no row of the map is held against a block
     a = parts.select(F.col("block_id").alias("source"), F.col("side").alias("sa"), F.col("bin").alias("x_bin"), F.col("part").alias("pa"))
     b = parts.select(F.col("block_id").alias("target"), F.col("side").alias("sb"), F.col("bin").alias("y_bin"), F.col("part").alias("pb"))
-    hit = pairs.select("source", "target").join(a, "source").join(mirrored, "x_bin").join(b, ["target", "y_bin"])
+    hit = pairs.select("source", "target").join(a, "source").join(b, "target").join(mirrored, ["x_bin", "y_bin"])
     value = F.col("count") * F.col("pa") * F.col("pb")
     one = lambda x, y: F.sum(F.when((F.col("sa") == x) & (F.col("sb") == y), value).otherwise(0.0)).alias(x + y)
     return hit.groupBy("source", "target").agg(*[one(x, y) for x in "lr" for y in "lr"])
@@ -176,11 +177,17 @@ def wilson(successes: Column, trials: Column, z: float = 1.959963984540054) -> t
     return F.greatest(middle - half, F.lit(0.0)), F.least(middle + half, F.lit(1.0))
 
 
-def occupancy_conflicts(layout: DataFrame) -> DataFrame:
-    """Pairs of placements, a < b, of one source that share source bases, with these bases."""
-    side = lambda n: layout.select("source_id", F.col("block_id").alias(n), F.col("source_start").alias(f"{n}s"), F.col("source_end").alias(f"{n}e"))
+def occupancy_conflicts(layout: DataFrame, cell: int = 1_000_000) -> DataFrame:
+    """Pairs of placements, a < b, of one source that share source bases, with these bases.
+
+    They meet in the cell of ``cell`` source bases where their overlap begins, so that pieces of a long source aren't all held
+    against each other.
+    """
+    spread = layout.filter("source_start < source_end").withColumn("_cell", F.explode(F.expr(f"sequence(source_start div {cell}, (source_end - 1) div {cell})")))
+    side = lambda n: spread.select("source_id", "_cell", F.col("block_id").alias(n), F.col("source_start").alias(f"{n}s"), F.col("source_end").alias(f"{n}e"))
     shared = overlap(F.col("as"), F.col("ae"), F.col("bs"), F.col("be"))
-    return side("a").join(side("b"), "source_id").filter("a < b").withColumn("shared", shared).filter("shared > 0").select("source_id", "a", "b", "shared")
+    met = side("a").join(side("b"), ["source_id", "_cell"]).filter("a < b").withColumn("shared", shared).filter("shared > 0")
+    return met.filter(F.expr(f"_cell = greatest(as, bs) div {cell}")).select("source_id", "a", "b", "shared")
 
 
 def boundaries(layout: DataFrame) -> DataFrame:

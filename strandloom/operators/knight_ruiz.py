@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.storage import materialise
-from strandloom.operators.balance import both_triangles, keep_total, row_sums
+from strandloom.operators.balance import both_triangles, keep_total, product, row_sums
 
 #: Percentiles of coverage, the converter's one more, products of an attempt and of the last one.
 PERCENTILES, MORE_PERCENTILES, PRODUCTS, LAST_PRODUCTS = (0.0, 1.0, 2.0, 3.0, 4.0, 10.0), (15.0,), 64, 5_000
@@ -70,16 +70,11 @@ def peel_leaves(pixels: DataFrame, rounds: int = PEEL_ROUNDS) -> DataFrame:
     return left
 
 
-def _product(matrix: DataFrame, vector: DataFrame) -> DataFrame:
-    """bin_id and value of the whole matrix (i, j, count) times a vector (bin_id, w)."""
-    return matrix.join(vector.select(F.col("bin_id").alias("j"), "w"), "j").groupBy(F.col("i").alias("bin_id")).agg(F.sum(F.col("count") * F.col("w")).alias("value"))
-
-
 def prebalance(pixels: DataFrame, weights: DataFrame, steps: int = PREBALANCE) -> DataFrame:
     """weights after so many steps of dividing each by the root of its marginal."""
     matrix = materialise(both_triangles(pixels), "matrix")
     for _ in range(steps):
-        met = weights.join(_product(matrix, weights), "bin_id", "left").withColumn("m", F.col("w") * F.coalesce("value", F.lit(0.0)))
+        met = weights.join(product(matrix, weights), "bin_id", "left").withColumn("m", F.col("w") * F.coalesce("value", F.lit(0.0)))
         weights = materialise(met.select("bin_id", F.when(F.col("m") > _EPSILON, F.col("w") / F.sqrt("m")).otherwise(F.col("w")).alias("w")), "prebalanced")
     return weights
 
@@ -108,8 +103,8 @@ def newton(pixels: DataFrame, start: DataFrame, products: int = LAST_PRODUCTS, t
         used += 1
         if used > products:
             raise NotBalanced(f"not balanced after {products} products", x)
-        product = _product(matrix, state.select("bin_id", weight.alias("w")))
-        return state.select("bin_id", *keep).join(product, "bin_id", "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+        met = product(matrix, state.select("bin_id", weight.alias("w")))
+        return state.select("bin_id", *keep).join(met, "bin_id", "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
     def opened(x: DataFrame) -> tuple[DataFrame, float]:
         met = times(x, F.col("w"), ["w"]).withColumn("v", F.col("value") * F.col("w"))

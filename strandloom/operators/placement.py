@@ -1,7 +1,7 @@
 """Where each selected block could stand: partners, candidates, evidence at both junctions, and a ranking.
 
-Works for any number of selected blocks at once. Sides l and r are the displayed ends of a block in the layout; start and
-end are the ends of its source. Each selected block is one placed block.
+Works for any number of selected blocks at once, and for runs of neighbours that move as one. Sides l and r are the displayed
+ends of a block in the layout; start and end are the ends of its source.
 """
 
 from __future__ import annotations
@@ -72,11 +72,11 @@ def partners(
     blocks = layout.select(F.col("block_id").alias("partner"), "object_id")
     blocks = blocks if eligible is None else blocks.join(eligible.select("object_id").distinct(), "object_id", "left_semi")
     selected = layout.select(F.col("block_id").alias("selected"))
-    conflicts = taken.select("selected", "object_id").distinct().join(layout.select("object_id", F.col("block_id").alias("partner")), "object_id").select("selected", "partner")
+    conflicts = taken.select("selected", "object_id")
     reach = lambda x: x.join(blocks.select(F.col("partner").alias("source")), "source", "left_semi").join(blocks.select(F.col("partner").alias("target")), "target", "left_semi") if eligible is not None else x
     once = graph.filter("source <> target").groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg((-F.min("line_no")).alias("score"))
-    overview = recommend.tiered_partners(reach(links), selected, conflicts, overview_limit).select("selected", "partner")
-    by_graph = recommend.tiered_partners(reach(once), selected, conflicts, graph_limit).select("selected", "partner")
+    overview = recommend.tiered_partners(reach(links), selected, conflicts, overview_limit, layout).select("selected", "partner")
+    by_graph = recommend.tiered_partners(reach(once), selected, conflicts, graph_limit, layout).select("selected", "partner")
     sources = layout.select("block_id", "source_id")
     beside = adjacencies.join(sources.withColumnRenamed("block_id", "selected"), "source_id").select("selected", F.col("partner_source").alias("source_id")).join(sources.withColumnRenamed("block_id", "partner"), "source_id").select("selected", "partner")
     every = overview.unionByName(by_graph).unionByName(beside).unionByName(taken.select("selected", F.col("occupied").alias("partner")))
@@ -119,8 +119,55 @@ def _pairs(df: DataFrame, value: str) -> DataFrame:
     return df.groupBy(F.least("source", "target").alias("_a"), F.greatest("source", "target").alias("_b")).agg(F.max(value).alias(value))
 
 
-def junction_evidence(joints: DataFrame, quadrants: DataFrame, window: int, coarse: DataFrame, graph: DataFrame, adjacencies: DataFrame, anchors: DataFrame, masks: DataFrame | None = None) -> DataFrame:
-    """joints with contacts per square megabase, enrichment, best_end, coarse, gfa and paf.
+def run_units(layout: DataFrame, selected: DataFrame) -> DataFrame:
+    """selected, object_id, first_id, last_id, left_id, right_id, at and blocks of groups of blocks (block_id, selected) to be moved as one.
+
+    A group must be one run of neighbours of one object; others have no row. left_id and right_id stand beside the run, or are null.
+    """
+    w = Window.partitionBy("object_id").orderBy("ord")
+    placed = layout.select("block_id", "object_id", "visual_start", F.row_number().over(w).alias("_k"), F.lag("block_id").over(w).alias("_l"), F.lead("block_id").over(w).alias("_r"))
+    ends = placed.join(selected.select("block_id", "selected"), "block_id").groupBy("selected").agg(
+        F.countDistinct("object_id").alias("_o"), F.count(F.lit(1)).alias("blocks"), (F.max("_k") - F.min("_k") + 1).alias("_span"), F.min(F.struct("_k", "block_id", "_l", "object_id", "visual_start")).alias("f"), F.max(F.struct("_k", "block_id", "_r")).alias("e")
+    )
+    return ends.filter("_o = 1 AND _span = blocks").select("selected", "f.object_id", F.col("f.block_id").alias("first_id"), F.col("e.block_id").alias("last_id"), F.col("f._l").alias("left_id"), F.col("e._r").alias("right_id"), F.col("f.visual_start").alias("at"), "blocks")
+
+
+def run_candidates(layout: DataFrame, chosen: DataFrame, units: DataFrame, selected: DataFrame) -> DataFrame:
+    """As ``candidates``, for runs: both inner orders at every boundary beside a partner of ``chosen`` (selected, partner), and at the own place.
+
+    Orientation + leaves the run as it stands, - turns it end for end with all its blocks. The run is lifted out first: boundaries at or
+    within it are its own place and don't count again.
+    """
+    ways = F.explode(F.array(F.lit("+"), F.lit("-")))
+    here = units.join(chosen.select("selected").distinct(), "selected", "left_semi").select("selected", "object_id", "left_id", "right_id", ways.alias("orientation"), "at").withColumn("is_current", F.col("orientation") == "+")
+    beside = evidence.boundaries(layout).select("*", F.explode(F.array_compact(F.array("left_id", "right_id"))).alias("partner"))
+    hit = chosen.select("selected", "partner").join(units.select("selected"), "selected", "left_semi").join(beside, "partner")
+    for end in ("left_id", "right_id"):
+        hit = hit.join(selected.select("selected", F.col("block_id").alias(end)), ["selected", end], "left_anti")
+    there = hit.select("selected", "object_id", "left_id", "right_id", "at").distinct().select("selected", "object_id", "left_id", "right_id", ways.alias("orientation"), "at", F.lit(False).alias("is_current"))
+    return here.select(*_CANDIDATE, "at", "is_current").unionByName(there)
+
+
+def run_junctions(found: DataFrame, layout: DataFrame, units: DataFrame) -> DataFrame:
+    """As ``junctions``, for candidates of runs: own_block is the run's outer block that meets the neighbour, own_new its orientation then.
+
+    Of a run that stays as it stands, the first block's left meets the left neighbour; of a turned one it is the last block's right.
+    """
+    block = lambda p, key: layout.filter("orientation IN ('+', '-')").select(F.col("block_id").alias(key), F.col("source_id").alias(f"{p}_source"), F.col("orientation").alias(f"{p}_now"), (F.col("source_end") - F.col("source_start")).alias(f"{p}_length"))
+    meet = F.array(F.struct(F.lit("left").alias("side"), F.col("left_id").alias("neighbour")), F.struct(F.lit("right").alias("side"), F.col("right_id").alias("neighbour")))
+    opened = found.select("*", F.explode(meet).alias("_j")).select(*found.columns, "_j.*").filter("neighbour IS NOT NULL").join(units.select("selected", "first_id", "last_id"), "selected")
+    left = (F.col("side") == "left") == (F.col("orientation") == "+")
+    met = opened.withColumn("own_block", F.when(left, F.col("first_id")).otherwise(F.col("last_id"))).withColumn("own_side", F.when(left, "l").otherwise("r")).drop("first_id", "last_id")
+    sided = met.join(block("own", "own_block"), "own_block").join(block("their", "neighbour"), "neighbour").withColumn("their_side", F.when(F.col("side") == "left", "r").otherwise("l"))
+    end = lambda p: F.when((F.col(f"{p}_side") == "l") == (F.col(f"{p}_now") == "+"), "start").otherwise("end")
+    turned = F.when(F.col("orientation") == "+", F.col("own_now")).otherwise(F.when(F.col("own_now") == "+", "-").otherwise("+"))
+    return sided.withColumn("own_end", end("own")).withColumn("their_end", end("their")).withColumn("own_new", turned)
+
+
+def junction_evidence(joints: DataFrame, quadrants: DataFrame, window: int, coarse: DataFrame, graph: DataFrame, adjacencies: DataFrame, anchors: DataFrame, masks: DataFrame | None = None, binned: DataFrame | None = None) -> DataFrame:
+    """joints with contacts per square megabase, enrichment, best_end, coarse, binned, gfa and paf.
+
+    Joints of ``junctions`` or ``run_junctions``. ``binned`` (source, target, score) are links of alleles by bins; without them binned is 0.
 
     ``quadrants`` (source < target, ll, lr, rl, rr) are contacts of end windows of ``window`` bases; the quadrant of the
     sides that meet counts, times the pair's mask factor; the other three are its background. best_end: no quadrant is
@@ -128,7 +175,8 @@ def junction_evidence(joints: DataFrame, quadrants: DataFrame, window: int, coar
     to_segment, to_side) joins the two source ends. paf: the neighbour is next to the block on its target, on the side that
     the candidate's direction gives, and runs the same way.
     """
-    keyed = joints.withColumn("_a", F.least("selected", "neighbour")).withColumn("_b", F.greatest("selected", "neighbour")).withColumn("_q", F.when(F.col("selected") < F.col("neighbour"), F.concat("own_side", "their_side")).otherwise(F.concat("their_side", "own_side")))
+    own, new = ("own_block", "own_new") if "own_block" in joints.columns else ("selected", "orientation")
+    keyed = joints.withColumn("_a", F.least(own, "neighbour")).withColumn("_b", F.greatest(own, "neighbour")).withColumn("_q", F.when(F.col(own) < F.col("neighbour"), F.concat("own_side", "their_side")).otherwise(F.concat("their_side", "own_side")))
     names = ("ll", "lr", "rl", "rr")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     four = keyed.join(quadrants.select(F.col("source").alias("_a"), F.col("target").alias("_b"), *names), ["_a", "_b"], "left").select("*", *[zero(q).alias(f"_{q}") for q in names])
@@ -145,7 +193,9 @@ def junction_evidence(joints: DataFrame, quadrants: DataFrame, window: int, coar
         *joints.columns, "_a", "_b", "_f", (per(F.col("_met")) * F.col("_f")).alias("contact"), ((F.col("_f") > 0) & (most > 0) & (best == F.col("_q"))).cast("int").alias("best_end"),
         F.when((F.col("_f") > 0) & (F.col("_met") > 0), F.round(F.log2((per(F.col("_met")) + 1) / (per(rest) + 1)), 6)).otherwise(0.0).alias("enrichment"), (F.col("_f") != 1).cast("int").alias("masked"),
     )
-    scored = scored.join(_pairs(coarse, "score").withColumnRenamed("score", "_score"), ["_a", "_b"], "left").withColumn("coarse", F.coalesce(F.col("_score").cast("double"), F.lit(0.0)) * F.col("_f")).drop("_a", "_b", "_f", "_score")
+    scored = scored.join(_pairs(coarse, "score").withColumnRenamed("score", "_score"), ["_a", "_b"], "left").withColumn("coarse", F.coalesce(F.col("_score").cast("double"), F.lit(0.0)) * F.col("_f")).drop("_score")
+    scored = scored.withColumn("binned", F.lit(0.0)) if binned is None else scored.join(_pairs(binned, "score"), ["_a", "_b"], "left").withColumn("binned", F.coalesce(F.col("score").cast("double"), F.lit(0.0))).drop("score")
+    scored = scored.drop("_a", "_b", "_f")
     port = lambda a, b: graph.select(F.col(f"{a}_segment").alias("own_source"), F.col(f"{a}_side").alias("own_end"), F.col(f"{b}_segment").alias("their_source"), F.col(f"{b}_side").alias("their_end"))
     ports = port("from", "to").unionByName(port("to", "from")).distinct().withColumn("_gfa", F.lit(1))
     scored = scored.join(ports, ["own_source", "own_end", "their_source", "their_end"], "left").withColumn("gfa", F.coalesce("_gfa", F.lit(0))).drop("_gfa")
@@ -153,7 +203,7 @@ def junction_evidence(joints: DataFrame, quadrants: DataFrame, window: int, coar
     mine = span.filter(F.col("strand_share") >= STRAND_DOMINANCE).select(F.col("source_id").alias("own_source"), F.col("strand").alias("_own_strand"))
     theirs = span.select(F.col("source_id").alias("their_source"), F.col("strand").alias("_their_strand"))
     beside = adjacencies.select(F.col("source_id").alias("own_source"), F.col("partner_source").alias("their_source"), F.col("direction").alias("_way")).distinct().withColumn("_paf", F.lit(1))
-    rising = F.col("orientation") == F.col("_own_strand")
+    rising = F.col(new) == F.col("_own_strand")
     way = F.when((F.col("side") == "left") == rising, "upstream").otherwise("downstream")
     placed = scored.join(mine, "own_source", "left").join(theirs, "their_source", "left").withColumn("_way", F.when(F.col("_own_strand").isNotNull(), way)).join(beside, ["own_source", "their_source", "_way"], "left")
     return placed.withColumn("paf", F.when(F.col("_paf").isNotNull() & ((F.col("their_now") == F.col("_their_strand")) == rising), 1).otherwise(0)).drop("_own_strand", "_their_strand", "_way", "_paf")
@@ -170,19 +220,20 @@ def rate(found: DataFrame, joints: DataFrame, taken: DataFrame) -> DataFrame:
 
     A block with another placement of its source is ambiguous as a copy; so is a candidate in an object that holds one.
     """
+    joints = joints if "binned" in joints.columns else joints.withColumn("binned", F.lit(0.0))
     low, high = F.min("enrichment"), F.max("enrichment")
     key = [F.col(c).alias(f"_{c}") for c in _CANDIDATE]
     summed = joints.groupBy(*key).agg(
         F.count(F.lit(1)).alias("available"), F.sum((F.col("contact") > 0).cast("int")).alias("supported"), F.sum(F.when(F.col("contact") > 0, F.col("best_end")).otherwise(0)).alias("best_ends"), F.sum("gfa").alias("gfa"), F.sum("paf").alias("paf"),
-        F.sum("masked").alias("masked"), _mean("contact").alias("contact"), _mean("coarse").alias("coarse"), F.when(F.count(F.lit(1)) == 1, high * ONE_JUNCTION).otherwise(low + high * BEST_JUNCTION).alias("background"),
+        F.sum("masked").alias("masked"), _mean("contact").alias("contact"), _mean("coarse").alias("coarse"), _mean("binned").alias("binned"), F.when(F.count(F.lit(1)) == 1, high * ONE_JUNCTION).otherwise(low + high * BEST_JUNCTION).alias("background"),
     )
     counts = ("available", "supported", "best_ends", "gfa", "paf", "masked")
     same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _CANDIDATE])
-    filled = found.join(summed, same, "left").drop(*[f"_{c}" for c in _CANDIDATE]).fillna(0, list(counts)).fillna(0.0, ["contact", "coarse", "background"])
+    filled = found.join(summed, same, "left").drop(*[f"_{c}" for c in _CANDIDATE]).fillna(0, list(counts)).fillna(0.0, ["contact", "coarse", "binned", "background"])
     copied = taken.select("selected").distinct().withColumn("_copy", F.lit(True))
     conflicts = taken.groupBy("selected", "object_id").agg(F.count(F.lit(1)).alias("conflicts"))
     known = filled.join(copied, "selected", "left").join(conflicts, ["selected", "object_id"], "left").withColumn("conflicts", F.coalesce("conflicts", F.lit(0)))
-    live = known.filter("supported > 0 OR gfa > 0 OR paf > 0 OR conflicts > 0 OR coarse > 0")
+    live = known.filter("supported > 0 OR gfa > 0 OR paf > 0 OR conflicts > 0 OR coarse > 0 OR binned > 0")
     whole = (F.col("available") > 0) & (F.col("supported") == F.col("available"))
     sure = (
         F.when(F.coalesce("_copy", F.lit(False)) | (F.col("conflicts") > 0), "ambiguous")
@@ -197,11 +248,11 @@ def rank(rated: DataFrame, mode: str = "legacy", k: int = 3) -> DataFrame:
     """The k best candidates of each selected block, with rank.
 
     Free objects come first; then, by mode, PAF matches and the background score; then supported junctions, best ends,
-    graph matches, contacts, overview score, the present place, object, position, and - before +.
+    graph matches, contacts, overview score, score of binned alleles, the present place, object, position, and - before +.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     assisted = {"legacy": [], "paf-adjacency": ["paf"], "synteny-assisted": ["paf", "background"]}[mode]
-    greater = [F.col(c).desc() for c in (*assisted, "supported", "best_ends", "gfa", "contact", "coarse", "is_current")]
+    greater = [F.col(c).desc() for c in (*assisted, "supported", "best_ends", "gfa", "contact", "coarse", "binned", "is_current")]
     order = Window.partitionBy("selected").orderBy((F.col("conflicts") > 0).cast("int"), *greater, "object_id", "at", F.col("orientation").desc())
     return rated.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

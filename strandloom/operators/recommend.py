@@ -143,14 +143,17 @@ def layout_impact(before: DataFrame, after: DataFrame) -> DataFrame:
     return gone.unionByName(new).groupBy("object_id").agg(F.countDistinct("block_id").alias("blocks"), F.countDistinct("source_id").alias("sources"))
 
 
-def tiered_partners(links: DataFrame, selected: DataFrame, conflicts: DataFrame, k: int) -> DataFrame:
+def tiered_partners(links: DataFrame, selected: DataFrame, conflicts: DataFrame, k: int, layout: DataFrame | None = None) -> DataFrame:
     """selected, partner, score, tier and rank: the k best compatible partners (tier 0) and the k best conflicting ones (tier 1).
 
-    ``links`` has source, target and score; ``selected`` selected; ``conflicts`` selected and partner. Ties go to the
-    smaller partner.
+    ``links`` has source, target and score; ``selected`` selected; ``conflicts`` selected and partner or, with a layout, selected
+    and object_id: then a partner conflicts if its object does, and nothing is spread over an object's blocks. Ties go to the smaller partner.
     """
     ends = links.select(F.col("source").alias("selected"), F.col("target").alias("partner"), "score").unionByName(links.select(F.col("target").alias("selected"), F.col("source").alias("partner"), "score"))
-    own = ends.join(selected, "selected", "left_semi").join(conflicts.select("selected", "partner").distinct().withColumn("_c", F.lit(1)), ["selected", "partner"], "left")
+    held, by = ends.join(selected, "selected", "left_semi"), "partner"
+    if layout is not None:
+        held, by = held.join(layout.select(F.col("block_id").alias("partner"), "object_id"), "partner", "left"), "object_id"
+    own = held.join(conflicts.select("selected", by).distinct().withColumn("_c", F.lit(1)), ["selected", by], "left")
     tier = own.withColumn("tier", F.coalesce("_c", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("selected", "tier").orderBy(F.col("score").desc(), "partner"))
     return tier.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("selected", "partner", "score", "tier", "rank")

@@ -255,9 +255,10 @@ def _ice_sql(steps: int) -> str:
 @query(_ice_sql(3))
 def q_ice_k3(spark, sf):
     pixels = materialise(views.pixel(spark, sf), "pixels")
+    matrix = materialise(balance.both_triangles(pixels), "matrix")
     weights = balance.row_sums(pixels).select("bin_id", F.lit(1.0).alias("w"))
     for _ in range(3):
-        weights = materialise(balance.ice_step(pixels, weights).select("bin_id", "w"), "ice")
+        weights = materialise(balance.ice_step(matrix, weights).select("bin_id", "w"), "ice")
     return weights.select("bin_id", F.round("w", 6).alias("w"))
 
 
@@ -695,9 +696,8 @@ def _tiers(spark, sf):
     selected = base.select(F.col("block_id").alias("selected"), "source_id")
     # objects that hold another placement of the selected block's source are taken
     taken = selected.join(base.select("object_id", "block_id", "source_id"), "source_id").filter("selected <> block_id").select("selected", "object_id").distinct()
-    conflicts = taken.join(base.select("object_id", F.col("block_id").alias("partner")), "object_id").select("selected", "partner")
     links = _links(spark, sf).select((F.col("source") * 2).alias("source"), (F.col("target") * 2).alias("target"), "score")
-    return base, recommend.tiered_partners(links, selected.select("selected"), conflicts, 4)
+    return base, recommend.tiered_partners(links, selected.select("selected"), taken, 4, base)
 
 
 @query(f"RECURSIVE {_TIERS};;SELECT selected, partner, score, tier, rank FROM tp")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.functions.storage import materialise, scratch_path
-from strandloom.operators import adaptive, alleles, balance, contacts, knight_ruiz, layout, loci, pyramid, reproject, trims
+from strandloom.functions.storage import materialise, scratch_path, table
+from strandloom.operators import adaptive, alleles, balance, contacts, knight_ruiz, layout, loci, navigation, placement, pyramid, reproject, trims
 from strandloom.plans import views
-from strandloom.plans.catalogue import _PROJECT, _project_sql, query
-from strandloom.sources import ranged
+from strandloom.plans.catalogue import _MEMBERS, _PROJECT, _project_sql, query
+from strandloom.sources import ranged, tiles
 
 #: Pixels of a part in the queries, few enough that small tables have several.
 _PART = 5_000
@@ -336,3 +336,136 @@ def q_pruning_summary(spark, sf):
     groups = found.filter("status = 'anchor'").select("node", F.col("target").alias("group"))
     masks = materialise(loci.masked_pairs(edges, groups, met, edges.select("a", "b").limit(0)), "masks")
     return loci.pruning_summary(found, edges, masks)
+
+
+# places on the map
+
+@query(_project_sql("""SELECT x_bin, y_bin, CASE WHEN count = 0 THEN 0 ELSE round_even(count / pow(2, floor(log2(count)) - 10), 0) * pow(2, floor(log2(count)) - 10) END AS count FROM (SELECT x // 5000 AS x_bin, y // 5000 AS y_bin, CAST(sum(share) AS DOUBLE) AS count FROM p GROUP BY 1, 2)"""))
+def q_dense_tiles(spark, sf):
+    """A map through dense tiles of half floats and back."""
+    cells = contacts.project(views.contact(spark, sf), views.layout(spark, sf), 5_000)
+    return tiles.dense_cells(tiles.dense_tiles(cells, 64, half=True), 64, half=True)
+
+
+_ASKED = """asked AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_orderkey % 9 WHEN 0 THEN CAST(l_partkey * 2 AS VARCHAR) WHEN 1 THEN ' ' || l_partkey || ' ' WHEN 2 THEN l_partkey || ':100-900' WHEN 3 THEN l_partkey || ':1,000-99,000' WHEN 4 THEN l_partkey || ':900-100' WHEN 5 THEN l_partkey || ':5' WHEN 6 THEN '' WHEN 7 THEN 'P' || l_partkey ELSE l_partkey || ':1-99999999999999999999' END AS text FROM lineitem)"""
+
+
+@query(f"""RECURSIVE {_ASKED}, r AS (SELECT DISTINCT id, text, trim(text) AS t, regexp_full_match(trim(text), '.+:[0-9,]+-[0-9,]+') AS rg FROM asked), q AS (SELECT *, CASE WHEN rg THEN trim(regexp_extract(t, '^(.+):([0-9,]+)-([0-9,]+)$', 1)) ELSE t END AS name, CASE WHEN rg THEN TRY_CAST(replace(regexp_extract(t, '^(.+):([0-9,]+)-([0-9,]+)$', 2), ',', '') AS BIGINT) END AS f, CASE WHEN rg THEN TRY_CAST(replace(regexp_extract(t, '^(.+):([0-9,]+)-([0-9,]+)$', 3), ',', '') AS BIGINT) END AS e FROM r),
+w AS (SELECT *, CASE WHEN t = '' THEN 'empty' WHEN NOT rg AND text LIKE '%:%' THEN 'form' WHEN rg AND (f IS NULL OR e IS NULL) THEN 'number' WHEN e <= f THEN 'order' END AS p0 FROM q),
+nm AS (SELECT DISTINCT block_id, CAST(source_id AS VARCHAR) AS name FROM layout UNION SELECT block_id, CAST(block_id AS VARCHAR) FROM layout),
+h AS (SELECT w.id, w.text, count(*) AS n, min(nm.block_id) AS block_id FROM w JOIN nm USING (name) WHERE p0 IS NULL GROUP BY ALL),
+z AS (SELECT w.id, h.block_id, coalesce(f, source_start) AS s, coalesce(e, source_end) AS t, source_start, source_end, orientation, visual_start AS v, coalesce(p0, CASE WHEN h.block_id IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' WHEN coalesce(f, source_start) < source_start OR coalesce(e, source_end) > source_end THEN 'outside' END) AS problem FROM w LEFT JOIN h ON h.id = w.id AND h.text = w.text LEFT JOIN layout l ON l.block_id = h.block_id);;
+SELECT id, CASE WHEN problem IS NULL THEN block_id END AS block_id, CASE WHEN problem IS NULL THEN CASE WHEN orientation = '-' THEN v + source_end - t ELSE v + s - source_start END END AS visual_start, CASE WHEN problem IS NULL THEN CASE WHEN orientation = '-' THEN v + source_end - s ELSE v + t - source_start END END AS visual_end, problem FROM z""")
+def q_jumps(spark, sf):
+    """Typed places of every form, resolved on the layout."""
+    part = F.col("l_partkey").cast("string")
+    forms = [(0, (F.col("l_partkey") * 2).cast("string")), (1, F.concat(F.lit(" "), part, F.lit(" "))), (2, F.concat(part, F.lit(":100-900"))), (3, F.concat(part, F.lit(":1,000-99,000"))), (4, F.concat(part, F.lit(":900-100"))), (5, F.concat(part, F.lit(":5"))), (6, F.lit("")), (7, F.concat(F.lit("P"), part)), (8, F.concat(part, F.lit(":1-99999999999999999999")))]
+    asked = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.coalesce(*[F.when(F.col("l_orderkey") % 9 == k, text) for k, text in forms]).alias("text"))
+    return navigation.jumps(views.layout(spark, sf), asked)
+
+
+@query("""RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY visual_start, visual_end, block_id) AS k FROM layout), ax AS (SELECT * FROM (VALUES (2000000, 2600000), (4100000, 4900000)) t(a, b)),
+fc AS (SELECT a, block_id FROM (SELECT a, block_id, row_number() OVER (PARTITION BY a ORDER BY (visual_start * 2 <= a + b AND visual_end * 2 > a + b) DESC, least(visual_end, b) - greatest(visual_start, a) DESC, visual_start) AS k FROM ax JOIN layout ON visual_end > a AND visual_start < b) WHERE k = 1),
+f AS (SELECT block_id FROM fc UNION SELECT block_id FROM layout WHERE source_id % 50 = 7);;SELECT DISTINCT n.block_id FROM o n JOIN o c ON n.object_id = c.object_id AND abs(n.k - c.k) <= 3 JOIN f ON f.block_id = c.block_id""")
+def q_view_neighbours(spark, sf):
+    """Blocks beside the middle of a view and beside selected ones."""
+    base = materialise(views.layout(spark, sf), "layout")
+    return navigation.view_neighbours(base, (2_000_000, 2_600_000, 4_100_000, 4_900_000), base.filter("source_id % 50 = 7"), 3)
+
+
+@query("""SELECT DISTINCT object_id FROM layout WHERE regexp_extract(object_id, '[0-9]') IN (SELECT regexp_extract(object_id, '[0-9]') FROM layout WHERE (visual_end > 2000000 AND visual_start < 2600000) OR (visual_end > 4100000 AND visual_start < 4900000))""")
+def q_view_objects(spark, sf):
+    """Objects of the columns, by their first digit, that a view shows."""
+    base = materialise(views.layout(spark, sf), "layout")
+    columns = base.select("object_id", F.regexp_extract("object_id", "[0-9]", 0).alias("column")).distinct()
+    return navigation.view_objects(base, (2_000_000, 2_600_000, 4_100_000, 4_900_000), columns)
+
+
+@query(f"""RECURSIVE {_PROJECT}, cells AS (SELECT x // 50000 AS x_bin, y // 50000 AS y_bin, sum(share) AS count FROM p GROUP BY 1, 2), {_MEMBERS};;
+SELECT source, target, round(raw, 6) AS raw_count FROM (SELECT least(m.block_id, n.block_id) AS source, greatest(m.block_id, n.block_id) AS target, sum(count * m.share * n.share) AS raw FROM cells JOIN mem m ON m.bin = x_bin JOIN mem n ON n.bin = y_bin WHERE m.block_id <> n.block_id GROUP BY 1, 2) WHERE (source % 10 = 2) <> (target % 10 = 2)""")
+def q_selected_links(spark, sf):
+    """Links between selected blocks and others."""
+    base = materialise(views.layout(spark, sf), "layout")
+    out = navigation.selected_links(contacts.project(views.contact(spark, sf), base, 50_000), base, 50_000, base.filter("block_id % 10 = 2"))
+    return out.select("source", "target", F.round("raw_count", 6).alias("raw_count"))
+
+
+_HASHED = """h1 AS (SELECT *, CAST((CAST(xor(x_bin, 2654435769) AS HUGEINT) * 2246822507) % 4294967296 AS BIGINT) AS a FROM cells), h2 AS (SELECT *, xor(a, CAST((CAST(xor(y_bin, a // 65536) AS HUGEINT) * 3266489909) % 4294967296 AS BIGINT)) AS b FROM h1), h3 AS (SELECT x_bin, y_bin, count, xor(b, b // 65536) AS h FROM h2)"""
+
+
+@query(f"""RECURSIVE {_PROJECT}, cells AS (SELECT x // 5000 AS x_bin, y // 5000 AS y_bin, CAST(sum(share) AS DOUBLE) AS count FROM p GROUP BY 1, 2), {_HASHED};;
+SELECT x_bin, y_bin, count FROM h3 WHERE h < CAST(floor(1000.0::DOUBLE / (SELECT count(*) FROM cells) * 4294967296) AS BIGINT) ORDER BY x_bin, y_bin LIMIT 1000""")
+def q_thinned_cells(spark, sf):
+    """A map thinned to a thousand cells at most, by the hashes of their places."""
+    return navigation.thinned(contacts.project(views.contact(spark, sf), views.layout(spark, sf), 5_000), 1_000).withColumn("count", F.col("count").cast("double"))
+
+
+@query("""RECURSIVE n AS (SELECT source_id, count(*) AS n FROM layout WHERE source_id % 6 <> 5 GROUP BY 1);;SELECT count(*) FILTER (a.n = 1 AND b.n = 1) AS "unique", count(*) FILTER (a.n IS NOT NULL AND b.n IS NOT NULL AND NOT (a.n = 1 AND b.n = 1)) AS ambiguous, count(*) FILTER (a.n IS NULL OR b.n IS NULL) AS unplaced FROM glink LEFT JOIN n a ON a.source_id = from_segment LEFT JOIN n b ON b.source_id = to_segment""")
+def q_ambiguous_links(spark, sf):
+    """Links of the graph by how often their sources are placed."""
+    return navigation.ambiguous_links(views.glink(spark, sf), views.layout(spark, sf).filter("source_id % 6 <> 5"))
+
+
+@query(f"""RECURSIVE {_ALINK}, n1 AS (SELECT source_id FROM layout GROUP BY 1 HAVING count(*) = 1), pr AS (SELECT block_id AS right_id, source_id AS rs, orientation AS ro, gap_before AS gap, lag(block_id) OVER w AS left_id, lag(source_id) OVER w AS ls, lag(orientation) OVER w AS lo FROM layout WINDOW w AS (PARTITION BY object_id ORDER BY ord));;
+SELECT DISTINCT line_no, left_id, right_id, gap FROM pr JOIN lk ON lk.ls = pr.ls AND lk.rs = pr.rs AND fs = CASE WHEN lo = '-' THEN 'start' ELSE 'end' END AND ts = CASE WHEN ro = '-' THEN 'end' ELSE 'start' END WHERE gap > 0 AND pr.ls IN (SELECT source_id FROM n1) AND pr.rs IN (SELECT source_id FROM n1)""")
+def q_gap_bridges(spark, sf):
+    """Links that close a gap between neighbours."""
+    base, links, _ = _graph(spark, sf)
+    return navigation.gap_bridges(links, base)
+
+
+# levels and scales from one scan
+
+@query("""RECURSIVE up AS (SELECT r, b.bin_id AS parent_id, c.base + b.start // r AS bin_id FROM bins b JOIN (SELECT r, chrom_id, CAST(coalesce(sum((length + r - 1) // r) OVER (PARTITION BY r ORDER BY chrom_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM chrom CROSS JOIN (VALUES (4000), (6000), (12000)) t(r)) c USING (chrom_id));;
+SELECT CAST(x.r AS BIGINT) AS resolution, x.bin_id AS bin1_id, y.bin_id AS bin2_id, CAST(sum(count) AS BIGINT) AS count FROM pixel JOIN up x ON x.parent_id = bin1_id JOIN up y ON y.parent_id = bin2_id AND x.r = y.r GROUP BY 1, 2, 3""")
+def q_paired_levels(spark, sf):
+    """Levels of which two come from one scan of the base."""
+    chroms, pixels = materialise(views.chrom(spark, sf), "chroms"), materialise(views.pixel(spark, sf), "pixels")
+    levels = pyramid.build_paired_levels(pixels, chroms, [1_000, 4_000, 6_000, 12_000], 1_000)
+    parts = [levels[r].select(F.lit(r).cast("long").alias("resolution"), "bin1_id", "bin2_id", "count") for r in (4_000, 6_000, 12_000)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""RECURSIVE sym AS (SELECT bin1_id AS i, count FROM pixel UNION ALL SELECT bin2_id, count FROM pixel WHERE bin1_id <> bin2_id), w AS (SELECT i AS bin_id, 1.0::DOUBLE / sum(count) AS vc, sqrt(1.0::DOUBLE / sum(count)) AS sq, CASE WHEN i % 5 <> 2 THEN 1.0::DOUBLE / (1 + i % 3) END AS ice FROM sym GROUP BY 1),
+m AS (SELECT CASE WHEN a.chrom_id = b.chrom_id THEN a.chrom_id END AS chrom_id, count * CASE WHEN bin1_id = bin2_id THEN 1 ELSE 2 END AS m, x.vc * y.vc AS vc, x.sq * y.sq AS sq, x.ice * y.ice AS ice FROM pixel JOIN bins a ON a.bin_id = bin1_id JOIN bins b ON b.bin_id = bin2_id JOIN w x ON x.bin_id = bin1_id JOIN w y ON y.bin_id = bin2_id);;
+SELECT 'ICE' AS method, CAST(NULL AS BIGINT) AS chrom_id, round(sqrt(sum(m) FILTER (ice IS NOT NULL) / sum(m * ice)), 6) AS scale FROM m UNION ALL SELECT 'VC', chrom_id, round(sqrt(sum(m) / sum(m * vc)), 6) FROM m WHERE chrom_id IS NOT NULL GROUP BY 2 UNION ALL SELECT 'VC_SQRT', chrom_id, round(sqrt(sum(m) / sum(m * sq)), 6) FROM m WHERE chrom_id IS NOT NULL GROUP BY 2""")
+def q_fused_scales(spark, sf):
+    """Scales of weights of the whole matrix and of chromosomes, from one scan."""
+    pixels = materialise(views.pixel(spark, sf), "pixels")
+    cover = balance.row_sums(pixels).join(pyramid.bins(views.chrom(spark, sf), 1_000).select("bin_id", "chrom_id"), "bin_id")
+    weights = cover.select("bin_id", "chrom_id", (1.0 / F.col("total")).alias("VC"), F.sqrt(1.0 / F.col("total")).alias("VC_SQRT"), F.when(F.col("bin_id") % 5 != 2, 1.0 / (1 + F.col("bin_id") % 3)).alias("ICE"))
+    return balance.fused_scales(pixels, weights, ("ICE",)).select("method", "chrom_id", F.round("scale", 6).alias("scale"))
+
+
+# placements of runs of blocks
+
+_RUNS = f"""{_ALINK}, ru AS (SELECT *, min(block_id) OVER (PARTITION BY grp) AS selected FROM sel), nb AS (SELECT block_id, lag(block_id) OVER w AS l, lead(block_id) OVER w AS r FROM layout WINDOW w AS (PARTITION BY object_id ORDER BY ord)),
+un AS (SELECT u.*, f.l AS left_id, e.r AS right_id FROM (SELECT selected, any_value(object_id) AS object_id, arg_min(block_id, ord) AS first_id, arg_max(block_id, ord) AS last_id, min(visual_start) AS pos FROM ru GROUP BY 1) u JOIN nb f ON f.block_id = first_id JOIN nb e ON e.block_id = last_id),
+ch AS (SELECT selected, block_id AS partner FROM un JOIN layout ON block_id IN (selected + 10, selected + 22)), ori AS (SELECT * FROM (VALUES ('+'), ('-')) t(o)),
+bd AS (SELECT l.object_id, nb.l AS left_id, l.block_id AS right_id, visual_start AS pos FROM layout l JOIN nb USING (block_id) UNION ALL SELECT l.object_id, l.block_id, NULL, visual_end FROM layout l JOIN nb USING (block_id) WHERE nb.r IS NULL),
+ca AS (SELECT selected, object_id, left_id, right_id, o AS orientation, pos, o = '+' AS is_current FROM un CROSS JOIN ori WHERE selected IN (SELECT selected FROM ch) UNION ALL SELECT DISTINCT ch.selected, bd.object_id, bd.left_id, bd.right_id, o, bd.pos, false FROM ch JOIN bd ON partner = left_id OR partner = right_id CROSS JOIN ori
+  WHERE NOT EXISTS (SELECT 1 FROM ru WHERE ru.selected = ch.selected AND ru.block_id = bd.left_id) AND NOT EXISTS (SELECT 1 FROM ru WHERE ru.selected = ch.selected AND ru.block_id = bd.right_id))"""
+
+
+def _runs(spark, sf):
+    base, _, groups = _graph(spark, sf)
+    base = materialise(layout.with_visual(base), "layout")
+    selected = materialise(groups.withColumn("selected", F.min("block_id").over(Window.partitionBy("group"))).select("block_id", "selected"), "selected")
+    units = materialise(placement.run_units(base, selected), "units")
+    chosen = units.select("selected", F.explode(F.array(F.col("selected") + 10, F.col("selected") + 22)).alias("partner")).join(base.select(F.col("block_id").alias("partner")), "partner", "left_semi")
+    return base, units, placement.run_candidates(base, chosen, units, selected)
+
+
+@query(f"RECURSIVE {_RUNS};;SELECT selected, object_id, left_id, right_id, orientation, CAST(pos AS BIGINT) AS place, is_current FROM ca")
+def q_run_candidates(spark, sf):
+    """Where runs of neighbours could stand, in both inner orders."""
+    return _runs(spark, sf)[2].withColumnRenamed("at", "place")
+
+
+@query(f"""RECURSIVE {_RUNS}, jo AS (SELECT ca.*, s.side, CASE s.side WHEN 'left' THEN ca.left_id ELSE ca.right_id END AS neighbour, CASE WHEN (s.side = 'left') = (orientation = '+') THEN first_id ELSE last_id END AS own_block, CASE WHEN (s.side = 'left') = (orientation = '+') THEN 'l' ELSE 'r' END AS own_side FROM ca JOIN un USING (selected) CROSS JOIN (VALUES ('left'), ('right')) s(side));;
+SELECT selected, jo.object_id, jo.left_id, jo.right_id, jo.orientation, side, neighbour, own_block, own_side, CASE WHEN side = 'left' THEN 'r' ELSE 'l' END AS their_side, CASE WHEN (own_side = 'l') = (o.orientation = '+') THEN 'start' ELSE 'end' END AS own_end, CASE WHEN (side = 'right') = (t.orientation = '+') THEN 'start' ELSE 'end' END AS their_end,
+  CASE WHEN jo.orientation = '+' THEN o.orientation WHEN o.orientation = '+' THEN '-' ELSE '+' END AS own_new FROM jo JOIN layout o ON o.block_id = own_block JOIN layout t ON t.block_id = neighbour""")
+def q_run_junctions(spark, sf):
+    """The outer ends that meet where a run is put."""
+    base, units, found = _runs(spark, sf)
+    return placement.run_junctions(found, base, units).select("selected", "object_id", "left_id", "right_id", "orientation", "side", "neighbour", "own_block", "own_side", "their_side", "own_end", "their_end", "own_new")

@@ -64,3 +64,50 @@ def encoded_tiles(cells: DataFrame, tile_bins: int) -> DataFrame:
     keyed = cells.select(F.expr(f"x_bin div {tile_bins}").alias("tile_x"), F.expr(f"y_bin div {tile_bins}").alias("tile_y"), F.struct((F.col("x_bin") % tile_bins).cast("int").alias("x"), (F.col("y_bin") % tile_bins).cast("int").alias("y"), F.col("count").cast("double").alias("count")).alias("cell"))
     grouped = keyed.groupBy("tile_x", "tile_y").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
     return grouped.mapInArrow(run, "tile_x long, tile_y long, payload binary")
+
+
+#: What stands for an empty cell of a dense tile, in either width.
+EMPTY = -1.0
+
+
+def dense_tiles(cells: DataFrame, tile_bins: int, half: bool = False) -> DataFrame:
+    """tile_x, tile_y and payload: all tile_bins squared counts of a tile by rows, as little-endian floats of 32 or 16 bits.
+
+    Empty cells hold EMPTY. Half floats round to the nearest of 11 bits, ties to even; counts beyond 65,504 become infinite. Cells of
+    one place are summed; tiles without cells have no row.
+    """
+    if not 0 < tile_bins <= 4_096:
+        raise ValueError("a dense tile has 1 to 4,096 bins a side")
+    width = "<f2" if half else "<f4"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for own in batch["cells"]:
+                v = own.values
+                grid = np.full(tile_bins * tile_bins, EMPTY, width)
+                with np.errstate(over="ignore"):
+                    grid[v.field("at").to_numpy()] = v.field("count").to_numpy().astype(width)
+                packed.append(grid.tobytes())
+            yield pa.RecordBatch.from_arrays([batch["tile_x"], batch["tile_y"], pa.array(packed, pa.binary())], names=["tile_x", "tile_y", "payload"])
+
+    keyed = cells.select(F.expr(f"x_bin div {tile_bins}").alias("tile_x"), F.expr(f"y_bin div {tile_bins}").alias("tile_y"), (F.col("y_bin") % tile_bins * tile_bins + F.col("x_bin") % tile_bins).cast("int").alias("at"), F.col("count").cast("double").alias("count"))
+    grouped = keyed.groupBy("tile_x", "tile_y", "at").agg(F.sum("count").alias("count")).groupBy("tile_x", "tile_y").agg(F.collect_list(F.struct("at", "count")).alias("cells"))
+    return grouped.mapInArrow(run, "tile_x long, tile_y long, payload binary")
+
+
+def dense_cells(tiles: DataFrame, tile_bins: int, half: bool = False) -> DataFrame:
+    """x_bin, y_bin and count of dense tiles' cells; a payload of another size is a ValueError."""
+    width = np.dtype("<f2" if half else "<f4")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tx, ty, payload in zip(batch["tile_x"].to_pylist(), batch["tile_y"].to_pylist(), batch["payload"], strict=True):
+                data = payload.as_buffer()
+                if data is None or data.size != tile_bins * tile_bins * width.itemsize:
+                    raise ValueError("a payload doesn't have the size of a tile")
+                grid = np.frombuffer(data, width)
+                at = np.flatnonzero(grid != EMPTY)
+                yield pa.RecordBatch.from_arrays([pa.array(tx * tile_bins + at % tile_bins), pa.array(ty * tile_bins + at // tile_bins), pa.array(grid[at].astype(np.float64))], names=["x_bin", "y_bin", "count"])
+
+    return tiles.select("tile_x", "tile_y", "payload").mapInArrow(run, "x_bin long, y_bin long, count double")

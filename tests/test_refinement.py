@@ -194,6 +194,37 @@ def test_support_percentile_and_prebalance(spark):
     assert knight_ruiz.stored_methods(1000) == ("VC", "VC_SQRT", "ICE") and "KR" in knight_ruiz.stored_methods(5000)
 
 
+def test_siblings_are_planned_in_pairs_and_built_from_one_scan(spark, small_map):
+    chroms, _, pixels, _, _, _ = small_map
+    assert pyramid.plan_work([(400, 100), (600, 100), (700, 100), (1200, 600)]) == [(100, [400, 600]), (100, [700]), (600, [1200])]
+    assert pyramid.plan_work([(500, 100), (700, 100), (1000, 100)]) == [(100, [500, 1000]), (100, [700])]
+    one, other = (f(pixels, chroms, [100, 400, 600, 1200], 100) for f in (pyramid.build_levels, pyramid.build_paired_levels))
+    for r in (400, 600, 1200):
+        assert sorted(map(tuple, one[r].collect())) == sorted(map(tuple, other[r].collect()))
+
+
+def test_all_scales_from_one_scan_are_those_of_each_method(spark):
+    rng = np.random.default_rng(6)
+    pixels = pixels_of(spark, np.triu(rng.integers(0, 9, (8, 8))))
+    rows = [(i, i // 4, float(rng.random() + 0.1), None if i == 3 else float(rng.random() + 0.1), float(rng.random() + 0.1), 0.0 if i == 5 else float(rng.random() + 0.1)) for i in range(8)]
+    weights = spark.createDataFrame(rows, "bin_id long, chrom_id long, ICE double, KR double, VC double, VC_SQRT double")
+    found = {(r.method, r.chrom_id): r.scale for r in balance.fused_scales(pixels, weights).collect()}
+    assert len(found) == 6
+    for method in ("ICE", "KR"):
+        own = weights.select("bin_id", F.col(method).alias("w")).filter("w > 0")
+        first = own.join(balance.keep_total(pixels, own).withColumnRenamed("w", "v"), "bin_id").first()
+        assert found[method, None] == pytest.approx(first.v / first.w)
+    inner = balance.cis(pixels, weights.select("bin_id", "chrom_id"))
+    for method in ("VC", "VC_SQRT"):
+        own = weights.select("bin_id", F.col(method).alias("w")).filter("w > 0")
+        for r in own.join(balance.keep_total(inner, own, weights.select("bin_id", "chrom_id")).withColumnRenamed("w", "v"), "bin_id").join(weights.select("bin_id", "chrom_id"), "bin_id").collect():
+            assert found[method, r.chrom_id] == pytest.approx(r.v / r.w)
+    with pytest.raises(ValueError, match="settled"):
+        balance.ice(pixels, 1, filter_bins=False)
+    last, settled, variance = balance.ice_stored(pixels, 1, filter_bins=False)
+    assert not settled and variance > 1e-5 and last.count() == 8
+
+
 # lines between alleles
 
 

@@ -1,16 +1,20 @@
+import pytest
+
 from strandloom.functions.running import total_before
 
 
-def test_totals_before_follow_the_order_over_all_ranges(spark):
+@pytest.mark.parametrize("window_rows", [0, 999, 1000])
+def test_totals_before_follow_the_order_over_all_ranges(spark, window_rows):
     n = 1_000
     df = spark.range(n).selectExpr("id * 7 % 1000 AS k", "id * 7 % 1000 + 1 AS v")
-    up = {r.k: r.t for r in total_before(df, "k", "v", "t").collect()}
+    up = {r.k: r.t for r in total_before(df, "k", "v", "t", window_rows=window_rows).collect()}
     assert up == {k: k * (k + 1) // 2 for k in range(n)}
-    down = {r.k: r.t for r in total_before(df, "k", "v", "t", descending=True).collect()}
+    down = {r.k: r.t for r in total_before(df, "k", "v", "t", descending=True, window_rows=window_rows).collect()}
     assert down == {k: n * (n + 1) // 2 - (k + 1) * (k + 2) // 2 for k in range(n)}
 
 
-def test_totals_before_of_null_keys_and_empty_tables(spark):
+@pytest.mark.parametrize("window_rows", [0, 1000])
+def test_totals_before_of_null_keys_and_empty_tables(spark, window_rows):
     df = spark.createDataFrame([(None, 5), (2, 3), (1, 4)], "k long, v long")
-    assert {r.k: r.t for r in total_before(df, "k", "v", "t").collect()} == {None: 0, 1: 5, 2: 9}
-    assert total_before(df.limit(0), "k", "v", "t").count() == 0
+    assert {r.k: r.t for r in total_before(df, "k", "v", "t", window_rows=window_rows).collect()} == {None: 0, 1: 5, 2: 9}
+    assert total_before(df.limit(0), "k", "v", "t", window_rows=window_rows).count() == 0
