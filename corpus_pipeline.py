@@ -1,7 +1,8 @@
 """A training corpus from documents, in stages that each read what the stage before has written.
 
 Language identification, line deduplication, near-copy removal, source mixing, byte-level
-encoding. All stages but the last return the columns of documents.
+encoding. All stages but the last return the columns of documents, whatever their names, and
+give an empty table for an empty one. Repeated rows, with equal id and text, stay or go together.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.functions.storage import materialise, table
+from strandloom.functions.storage import step_scratch, table
 from strandloom.llm import bpe, jaccard, language, line_chunks, mixing
 
 #: Parameters of the stages.
@@ -20,14 +21,18 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; those without text or letters go."""
+    """Documents whose text has a language; those without text or letters go.
+
+    Ties of languages go as identify_languages says; a row without an id is judged by its text like others.
+    """
     return language.keep_identified(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without chunks of lines and passages that an earlier place holds; those of which nothing is left go.
 
-    n_chars becomes the length of the text that is left.
+    n_chars becomes the length of the text that is left. Of equal places the one of the smallest id, then the first line, stays; rows
+    without an id stay as they are, and rows that had nothing to lose stay even if their text is null or empty.
     """
     left = line_chunks.dedup_lines(docs, passages=True).filter("n_lines_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").drop("n_lines_removed")
     left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
@@ -35,17 +40,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the one of the smallest id.
+
+    Rows without an id or words stay, null texts among them.
+    """
     return jaccard.drop_near_copies(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: every document at least once, those of small sources more often."""
+    """The mixture: every document at least once, those of small sources more often.
+
+    A null source is one like others; rows without words are used once. Ties of ranks go by id.
+    """
     return mixing.mix_sources(docs, MIX_ENTROPY, MIX_PASSES).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each use of a document, with their digests."""
+    """Token ids of each use of a document, with their digests: a row for each row, null texts with no ids; columns as encode_documents says."""
     return bpe.encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep_ids=True)
 
 
@@ -56,8 +67,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written as Parquet and read again for the next."""
+    """All stages over documents; what a stage returns is written as Parquet and read again for the next.
+
+    Tables that a stage has written for itself are deleted once its result stands.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with step_scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

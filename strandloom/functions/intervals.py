@@ -43,15 +43,18 @@ def intersection_span(left: DataFrame, right: DataFrame, key: list[str]) -> Data
     return swept.filter("l > 0 AND r > 0").groupBy(*key).agg(F.sum(F.col("next") - F.col("at")).alias("span"))
 
 
-def elementary_segments(blocks: DataFrame, key: str, start: str, end: str) -> DataFrame:
+def elementary_segments(blocks: DataFrame, key: str, start: str, end: str, width: int = 1_000_000) -> DataFrame:
     """Each block cut at all starts and ends of its key's blocks, with ``copies``: the blocks that cover the piece.
 
-    Columns of ``blocks`` stay; seg_start and seg_end are added.
+    Columns of ``blocks`` stay; seg_start and seg_end are added. Blocks and pieces meet in cells of ``width``, a piece in that of its
+    start, so that the pieces of a key aren't all held against all of its blocks; empty blocks have no piece.
     """
     cuts = blocks.select(F.col(key).alias("_key"), F.col(start).alias("seg_start")).union(blocks.select(key, end)).distinct()
     pieces = cuts.withColumn("seg_end", F.lead("seg_start").over(Window.partitionBy("_key").orderBy("seg_start"))).filter("seg_end IS NOT NULL")
-    placed = blocks.join(pieces, (F.col(key) == F.col("_key")) & (F.col(start) <= F.col("seg_start")) & (F.col(end) >= F.col("seg_end")))
-    return placed.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy(key, "seg_start"))).drop("_key")
+    spread = blocks.filter(F.col(start) < F.col(end)).withColumn("_cell", F.explode(F.expr(f"sequence({start} div {width}, ({end} - 1) div {width})")))
+    pieces = pieces.withColumn("_at", F.expr(f"seg_start div {width}"))
+    placed = spread.join(pieces, (F.col(key) == F.col("_key")) & (F.col("_cell") == F.col("_at")) & (F.col(start) <= F.col("seg_start")) & (F.col(end) >= F.col("seg_end")))
+    return placed.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy(key, "seg_start"))).drop("_key", "_cell", "_at")
 
 
 def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

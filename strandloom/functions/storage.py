@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,34 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/strandloom/{spark.sparkContext.applicationId}"
 
 
+def _tables(spark: SparkSession) -> set[str]:
+    """Paths of the tables that this application has written and not deleted."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {f.getPath().toString() for f in files.listStatus(path)} if files.exists(path) else set()
+
+
+@contextmanager
+def step_scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a ``materialise`` whose tables stay; all other tables written within the block are deleted at its end.
+
+    For steps whose results are written before the next one begins. Nothing else may run in the application meanwhile, and
+    DataFrames that were made within the block, but for what was kept, can't be read after it. On an error nothing is deleted.
+    """
+    before, kept = _tables(spark), set()
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        here = _tables(spark)
+        out = materialise(df, name)
+        kept.update(p for p in _tables(spark) - here if p.rsplit("/", 1)[-1].startswith(f"{name}-"))
+        return out
+
+    yield keep
+    for path in _tables(spark) - before - kept:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes the tables that this application has written; call it when no DataFrame that reads them is needed any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))

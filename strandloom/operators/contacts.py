@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.intervals import elementary_segments, overlap
+from strandloom.functions.intervals import covering, elementary_segments, overlap
 from strandloom.functions.sizes import small, small_once
 from strandloom.operators.layout import visual_position
 
@@ -20,15 +20,17 @@ def placements(layout: DataFrame) -> DataFrame:
     return elementary_segments(layout.select("source_id", "source_start", "source_end", "orientation", "visual_start", "visual_end"), "source_id", "source_start", "source_end")
 
 
-def projected(contacts: DataFrame, layout: DataFrame) -> DataFrame:
+def projected(contacts: DataFrame, layout: DataFrame, cell: int = 1_000_000) -> DataFrame:
     """x <= y and the share of the count for every pair of placements of a contact's two ends.
 
-    Shares divide by all placements of either end, whether a viewport shows them or not.
+    Shares divide by all placements of either end, whether a viewport shows them or not. Ends and segments meet in cells of
+    ``cell`` source bases, so that an end is not held against every piece of a long source.
     """
-    segments = small_once(placements(layout), "segments")
+    spread = placements(layout).withColumn("cell", F.explode(F.expr(f"sequence(seg_start div {cell}, (seg_end - 1) div {cell})")))
+    segments = small_once(spread, "segments")
     end = lambda n: segments.select(*[F.col(c).alias(f"{c}_{n}") for c in segments.columns])
     a, b = end(1), end(2)
-    inside = lambda n: (F.col(f"source{n}") == F.col(f"source_id_{n}")) & (F.col(f"start{n}") >= F.col(f"seg_start_{n}")) & (F.col(f"start{n}") < F.col(f"seg_end_{n}"))
+    inside = lambda n: (F.col(f"source{n}") == F.col(f"source_id_{n}")) & (F.expr(f"start{n} div {cell}") == F.col(f"cell_{n}")) & (F.col(f"start{n}") >= F.col(f"seg_start_{n}")) & (F.col(f"start{n}") < F.col(f"seg_end_{n}"))
     hit = contacts.join(a, inside(1)).join(b, inside(2))
     at = lambda n: visual_position(F.col(f"start{n}"), f"orientation_{n}", f"source_start_{n}", f"source_end_{n}", f"visual_start_{n}")
     return hit.select(F.least(at(1), at(2)).alias("x"), F.greatest(at(1), at(2)).alias("y"), (F.col("count") / (F.col("copies_1") * F.col("copies_2"))).alias("share"))
@@ -85,3 +87,14 @@ def select_ranges(contacts: DataFrame, ranges: DataFrame) -> DataFrame:
         r = held.select(F.col("source_id").alias("_id"), F.col("start").alias("_s"), F.col("end").alias("_e"))
         contacts = contacts.join(r, (F.col(f"source{n}") == F.col("_id")) & (F.col(f"start{n}") >= F.col("_s")) & (F.col(f"start{n}") < F.col("_e")), "left_semi")
     return contacts
+
+
+def window_pairs(contacts: DataFrame, windows: DataFrame, cell: int = 1_000_000) -> DataFrame:
+    """w1 <= w2 and count of the contacts between windows (source_id, window, start, end) of any lengths; others are left out.
+
+    Windows of a source may overlap: a contact counts for each that holds its end. Ends meet windows in cells of ``cell`` bases.
+    """
+    side = lambda n: windows.select(F.col("source_id").alias(f"source{n}"), F.col("window").alias(f"_w{n}"), F.col("start").alias(f"_s{n}"), F.col("end").alias(f"_e{n}")).filter(F.col(f"_s{n}") < F.col(f"_e{n}"))
+    first = covering(contacts.select("source1", "start1", "source2", "start2", "count"), ["source1"], "start1", side(1), "_s1", "_e1", cell)
+    both = covering(first, ["source2"], "start2", side(2), "_s2", "_e2", cell)
+    return both.groupBy(F.least("_w1", "_w2").alias("w1"), F.greatest("_w1", "_w2").alias("w2")).agg(F.sum("count").alias("count"))

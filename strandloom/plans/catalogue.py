@@ -316,7 +316,13 @@ def q_paf_chain(spark, sf):
     return synteny.chains(views.paf(spark, sf), 1000)
 
 
-@query(None)
+@query("""RECURSIVE pr AS (SELECT block_id, query_name, target_name, CASE WHEN orientation = '-' THEN CASE strand WHEN '+' THEN '-' ELSE '+' END ELSE strand END AS strand,
+  CASE WHEN orientation = '-' THEN visual_start + source_end - query_end ELSE visual_start + query_start END AS vs, CASE WHEN orientation = '-' THEN visual_start + source_end - query_start ELSE visual_start + query_end END AS ve, target_start AS ts, target_end AS te, mapq
+  FROM paf JOIN layout ON query_name = source_id WHERE mapq >= 0 AND query_end - query_start >= 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY block_id, query_name, target_name, strand ORDER BY vs, ts, ve, te) AS k FROM pr),
+f AS (SELECT *, 1 AS n, 1 AS run FROM o WHERE k = 1 UNION ALL SELECT block_id, query_name, target_name, strand, CASE WHEN j THEN fvs ELSE vs END, CASE WHEN j THEN greatest(fve, ve) ELSE ve END, CASE WHEN j THEN least(fts, ts) ELSE ts END, CASE WHEN j THEN greatest(fte, te) ELSE te END, CASE WHEN j THEN least(fm, mapq) ELSE mapq END, k, CASE WHEN j THEN fn + 1 ELSE 1 END, CASE WHEN j THEN run ELSE run + 1 END
+  FROM (SELECT o.*, f.vs AS fvs, f.ve AS fve, f.ts AS fts, f.te AS fte, f.mapq AS fm, f.n AS fn, f.run, o.vs - f.ve <= 5000 AND greatest(o.ts, f.ts) - least(o.te, f.te) <= 300000 AS j FROM f JOIN o ON o.block_id = f.block_id AND o.query_name = f.query_name AND o.target_name = f.target_name AND o.strand = f.strand AND o.k = f.k + 1));;
+SELECT block_id, query_name, target_name, strand, vs AS visual_start, ve AS visual_end, ts AS target_start, te AS target_end, CAST(mapq AS INTEGER) AS mapq, CAST(n AS BIGINT) AS alignments FROM (SELECT *, row_number() OVER (PARTITION BY block_id, query_name, target_name, strand, run ORDER BY k DESC) AS last FROM f) WHERE last = 1""")
 def q_paf_gap_merge(spark, sf):
     return synteny.merge_gaps(synteny.project_alignments(views.paf(spark, sf), views.layout(spark, sf), 0, 1), 5000, 300_000)
 

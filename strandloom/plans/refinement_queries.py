@@ -69,15 +69,17 @@ _SIZES = """sz AS (SELECT source_id, length // 1000 AS k FROM contig), mx AS (SE
 sm AS (SELECT i, j, count FROM mx UNION ALL SELECT j, i, count FROM mx WHERE i <> j)"""
 
 
-@query(f"RECURSIVE {_SIZES};;SELECT bin_id, round(total / n, 3) AS marginal FROM (SELECT DISTINCT i AS bin_id FROM sm) CROSS JOIN (SELECT sum(count) AS total, count(DISTINCT i) AS n FROM sm)")
+@query(f"RECURSIVE {_SIZES};;SELECT DISTINCT i AS bin_id, 1.0::DOUBLE AS marginal FROM sm")
 def q_kr_small(spark, sf):
-    """Contacts between contigs by size, balanced: every bin's marginal is the mean one of the matrix, whose total stays."""
+    """Contacts between contigs by size, balanced: each bin's marginal over the mean one of the matrix as it was, so that its total stays."""
     size = views.contig(spark, sf).select("source_id", F.expr("length div 1000").alias("k"))
     ends = [size.select(F.col("source_id").alias(f"source{n}"), F.col("k").alias(f"k{n}")) for n in (1, 2)]
     met = views.contact(spark, sf).join(ends[0], "source1").join(ends[1], "source2")
     pixels = materialise(met.groupBy(F.least("k1", "k2").alias("bin1_id"), F.greatest("k1", "k2").alias("bin2_id")).agg(F.sum("count").alias("count")), "pixels")
     weights = materialise(knight_ruiz.knight_ruiz_ladder(pixels)[0], "weights")
-    return balance.multiply(pixels, weights).join(weights, "bin_id").select("bin_id", F.round(F.col("value") * F.col("w"), 3).alias("marginal"))
+    mean = balance.row_sums(pixels).agg((F.sum("total") / F.count(F.lit(1))).alias("mean"))
+    met = balance.multiply(pixels, weights).join(weights, "bin_id").crossJoin(F.broadcast(mean))  # one row
+    return met.select("bin_id", F.round(F.col("value") * F.col("w") / F.col("mean"), 5).alias("marginal"))
 
 
 # alleles by contacts: objects stand for long blocks, so that pairs have many windows
@@ -469,3 +471,14 @@ def q_run_junctions(spark, sf):
     """The outer ends that meet where a run is put."""
     base, units, found = _runs(spark, sf)
     return placement.run_junctions(found, base, units).select("selected", "object_id", "left_id", "right_id", "orientation", "side", "neighbour", "own_block", "own_side", "their_side", "own_end", "their_end", "own_new")
+
+
+@query("""RECURSIVE wi AS (SELECT source_id, source_id * 2 AS w, CAST(0 AS BIGINT) AS s, length // 3 AS e FROM contig UNION ALL SELECT source_id, source_id * 2 + 1, length // 3, length FROM contig WHERE source_id % 4 <> 1);;
+SELECT least(a.w, b.w) AS w1, greatest(a.w, b.w) AS w2, CAST(sum(count) AS BIGINT) AS count FROM contact JOIN wi a ON a.source_id = source1 AND start1 >= a.s AND start1 < a.e JOIN wi b ON b.source_id = source2 AND start2 >= b.s AND start2 < b.e GROUP BY 1, 2""")
+def q_window_index(spark, sf):
+    """Contacts between windows of unequal lengths."""
+    base = views.contig(spark, sf)
+    third = F.expr("length div 3")
+    first = base.select("source_id", (F.col("source_id") * 2).alias("window"), F.lit(0).cast("long").alias("start"), third.alias("end"))
+    rest = base.filter("source_id % 4 <> 1").select("source_id", (F.col("source_id") * 2 + 1).alias("window"), third.alias("start"), F.col("length").alias("end"))
+    return contacts.window_pairs(views.contact(spark, sf), first.unionByName(rest), 10_000)

@@ -108,3 +108,23 @@ def test_tiered_partners(spark):
     conflicts = spark.createDataFrame([(1, 4)], "selected long, partner long")
     partners = recommend.tiered_partners(links, chosen, conflicts, 1)
     assert {(r.partner, r.tier) for r in partners.collect()} == {(2, 0), (4, 1)}
+
+
+def test_linkage_clusters_against_a_plain_fold(spark):
+    import random
+
+    rng = random.Random(11)
+    data = [(t, a, s := rng.randrange(0, 300), s + rng.randint(1, 60)) for t in range(3) for a in range(t * 100, t * 100 + 40)]
+    want = []
+    for target in range(3):
+        clusters = []
+        for _, a, s, e in sorted((r for r in data if r[0] == target), key=lambda r: (r[2], r[3], r[1])):
+            fits = [min((min(e, me) - max(s, ms)) / max(1, min(e - s, me - ms)) for _, ms, me in c) for c in clusters]
+            best = max((f for f in fits if f >= 0.5), default=None)
+            if best is None:
+                clusters.append([(a, s, e)])
+            else:
+                clusters[fits.index(best)].append((a, s, e))
+        want += [(target, m[0], c[0][0]) for c in clusters for m in c]
+    got = recommend.linkage_clusters(spark.createDataFrame(data, "target long, anchor long, start long, end long"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)

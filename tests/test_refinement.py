@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.storage import materialise
 from strandloom.operators import adaptive, alleles, balance, contacts, knight_ruiz, layout, pyramid, reproject, trims
-from strandloom.sources import ranged
+from strandloom.sources import matrix, ranged
 
 CHROMS = [(1, 5000), (2, 900), (3, 12_000), (4, 3100)]
 LAYOUT = "block_id long, object_id string, source_id long, source_start long, source_end long, orientation string, gap_before long, ord long"
@@ -96,24 +96,16 @@ def test_owners_of_pixels_and_problems_of_offsets(spark, small_map):
 
 def test_adaptive_map_is_the_map_of_all_contacts(spark, small_map, tmp_path):
     chroms, _, pixels, counts, placed, points = small_map
-    chain = [2000, 500, 100]
+    chain = [1000, 100]
     for r, level in pyramid.build_levels(pixels, chroms, sorted(chain), 100).items():
         ranged.write_level(level, pyramid.bins(chroms, r), f"{tmp_path}/{r}", 500)
-    for target in (300, 3000):
-        _check_adaptive(spark, tmp_path, chroms, placed, points, counts, chain, target)
-
-
-def _check_adaptive(spark, tmp_path, chroms, placed, points, counts, chain, target):
-    cells, stats = adaptive.adaptive_map(ranged.level_reader(spark, str(tmp_path), 500), chroms, placed, chain, target)
-    assert sorted(map(tuple, cells.collect())) == sorted((r[0], r[1], float(r[2])) for r in contacts.project(points, placed, target).collect())
-    read = {r: n for r, n, _ in stats}
-    assert [r for r, _, _ in stats] == chain
-    if target == 3000:
-        assert sum(read.values()) < len(counts)
-        return
+    read = ranged.level_reader(spark, str(tmp_path), 500)
+    cells, stats = adaptive.adaptive_map(read, chroms, placed, chain, 3000)
+    assert sorted(map(tuple, cells.collect())) == sorted((r[0], r[1], float(r[2])) for r in contacts.project(points, placed, 3000).collect())
+    assert [r for r, _, _ in stats] == chain and sum(n for _, n, _ in stats) < len(counts)
     view = (3000, 12_000, 3000, 12_000)
-    part, _ = adaptive.adaptive_map(ranged.level_reader(spark, str(tmp_path), 500), chroms, placed, chain, target, view)
-    assert sorted(map(tuple, part.collect())) == sorted((r[0], r[1], float(r[2])) for r in contacts.project(points, placed, target, view).collect())
+    part, _ = adaptive.adaptive_map(read, chroms, placed, chain, 300, view)
+    assert sorted(map(tuple, part.collect())) == sorted((r[0], r[1], float(r[2])) for r in contacts.project(points, placed, 300, view).collect())
 
 
 def test_adaptive_map_refuses_levels_that_do_not_nest(spark, small_map):
@@ -442,3 +434,32 @@ def test_reprojected_cells_are_those_of_the_contacts_where_blocks_meet_bins(spar
     assert sorted(map(tuple, moved.collect())) == sorted(map(tuple, contacts.project(frame, after, 500).collect()))
     with pytest.raises(ValueError, match="same blocks"):
         reproject.reproject(moved, before, after.filter("block_id <> 3"), 500)
+
+
+def test_a_container_is_checked_and_tells_what_has_settled(spark, tmp_path):
+    chroms = spark.createDataFrame([(1, 1000), (2, 450)], "chrom_id long, length long")
+    good = [(0, 0, 4), (0, 1, 3), (1, 2, 5), (3, 12, 2), (10, 14, 7), (2, 2, 1), (3, 3, 9)]
+    frame = lambda rows: spark.createDataFrame(rows, "bin1_id long, bin2_id long, count long")
+    path = str(tmp_path / "m")
+    matrix.generate(frame(good), chroms, path, [100, 500], 100, ("VC", "KR"), kr_least=501)
+    assert {tuple(r)[:3] for r in spark.read.parquet(f"{path}/states").collect()} == {(100, "VC", True), (500, "VC", True)}
+    assert sorted(map(tuple, matrix.sequences(spark, path).collect())) == [(1, 1000), (2, 450)]
+    bins = spark.read.parquet(f"{path}/bins/resolution=500")
+    assert matrix.inferred_resolution(bins) == 500 and matrix.inferred_resolution(bins.limit(0)) is None
+    for wrong, why in [((4, 2, 1), "lower triangle"), ((0, 99, 1), "outside"), ((5, 6, 0), "not positive"), ((0, 1, 3), "repeated"), ((None, 1, 3), "null")]:
+        with pytest.raises(ValueError, match=why):
+            matrix.generate(frame([*good, wrong]), chroms, path, [100], 100)
+
+
+def test_contacts_of_windows_of_any_length(spark):
+    windows = [(1, 10, 0, 7), (1, 11, 5, 40), (2, 20, 3, 4), (2, 21, 4, 4)]
+    points = [(1, 6, 2, 3, 5), (2, 3, 1, 39, 2), (1, 0, 1, 6, 1), (1, 40, 2, 3, 9), (2, 4, 1, 0, 9)]
+    want = defaultdict(int)
+    for a, x, b, y, n in points:
+        for s, w, lo, hi in windows:
+            for r, v, low, high in windows:
+                if s == a and lo <= x < hi and r == b and low <= y < high:
+                    want[min(w, v), max(w, v)] += n
+    for cell in (1000, 4):
+        out = contacts.window_pairs(spark.createDataFrame(points, "source1 long, start1 long, source2 long, start2 long, count long"), spark.createDataFrame(windows, "source_id long, window long, start long, `end` long"), cell)
+        assert {(r.w1, r.w2): r["count"] for r in out.collect()} == want
