@@ -431,7 +431,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     Rows without an id or words stay; rows of one id stay or go together.
     """
     gone = jaccard_components(docs, width, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
 
 
 def _labelled(postings: DataFrame, links: DataFrame) -> DataFrame:
