@@ -20,6 +20,16 @@ MIX_ENTROPY, MIX_PASSES = 0.97, 1.5
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def _bundled(docs: DataFrame, *used: str) -> DataFrame:
+    """The used columns, and all others as one named ``others``, so that no name of theirs meets one that an operator adds."""
+    return docs.select(*used, F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in used]).alias("others"))
+
+
+def _unbundled(out: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of ``docs`` in their order, from what ``_bundled`` has made of them."""
+    return out.select(*[F.col(c) if c in used else F.col("others")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; those without text or letters go.
 
@@ -34,9 +44,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n_chars becomes the length of the text that is left. Of equal places the one of the smallest id, then the first line, stays; rows
     without an id stay as they are, and rows that had nothing to lose stay even if their text is null or empty.
     """
-    left = line_chunks.dedup_lines(docs, passages=True).filter("n_lines_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").drop("n_lines_removed")
-    left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
-    return left.select(*docs.columns)
+    left = line_chunks.dedup_lines(_bundled(docs, "doc_id", "text"), passages=True).filter("n_lines_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    left = _unbundled(left, docs, "doc_id", "text")
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +62,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is one like others; rows without words are used once. Ties of ranks go by id.
     """
-    return mixing.mix_sources(docs, MIX_ENTROPY, MIX_PASSES).select(*docs.columns)
+    used = ("doc_id", "source", "text")
+    return _unbundled(mixing.mix_sources(_bundled(docs, *used), MIX_ENTROPY, MIX_PASSES), docs, *used)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
