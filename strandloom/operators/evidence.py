@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from strandloom.functions.intervals import overlap
 from strandloom.functions.running import total_before
-from strandloom.functions.sizes import small_once
+from strandloom.functions.sizes import shuffled, small_once
 
 
 def bin_members(layout: DataFrame, resolution: int) -> DataFrame:
@@ -74,13 +74,14 @@ def quadrants(cells: DataFrame, blocks: DataFrame, pairs: DataFrame, resolution:
     parts = ends.withColumn("bin", F.explode(F.expr(f"sequence(s div {resolution}, (e - 1) div {resolution})")))
     parts = parts.select("block_id", "side", "bin", (F.expr(f"least(e, (bin + 1) * {resolution}) - greatest(s, bin * {resolution})") / resolution).alias("part"))
     mirrored = cells.unionByName(cells.filter("x_bin <> y_bin").select(F.col("y_bin").alias("x_bin"), F.col("x_bin").alias("y_bin"), "count"))
-    # a pair's windows are a few bins a side: both bins are known before cells are met, so that no row of the map is held against a block
+    # a bin holds few windows, while a pair has many pairs of bins, most of them without a cell: so the map's cells meet windows, and what they give meets the pairs
+    parts = shuffled(parts)
     a = parts.select(F.col("block_id").alias("source"), F.col("side").alias("sa"), F.col("bin").alias("x_bin"), F.col("part").alias("pa"))
     b = parts.select(F.col("block_id").alias("target"), F.col("side").alias("sb"), F.col("bin").alias("y_bin"), F.col("part").alias("pb"))
-    hit = pairs.select("source", "target").join(a, "source").join(b, "target").join(mirrored, ["x_bin", "y_bin"])
+    hit = mirrored.join(a, "x_bin").join(b, "y_bin")
     value = F.col("count") * F.col("pa") * F.col("pb")
     one = lambda x, y: F.sum(F.when((F.col("sa") == x) & (F.col("sb") == y), value).otherwise(0.0)).alias(x + y)
-    return hit.groupBy("source", "target").agg(*[one(x, y) for x in "lr" for y in "lr"])
+    return shuffled(hit.groupBy("source", "target").agg(*[one(x, y) for x in "lr" for y in "lr"])).join(pairs.select("source", "target").distinct(), ["source", "target"])
 
 
 def line_modes(cells: DataFrame, members: DataFrame, width: int) -> DataFrame:
