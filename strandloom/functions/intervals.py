@@ -16,7 +16,7 @@ def merge_touching(df: DataFrame, key: list[str], start: str = "start", end: str
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0)
     marked = df.filter(F.col(start) < F.col(end)).select(*key, start, end, fresh.alias("_fresh"))
-    island = F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    island = F.sum("_fresh").over(order.rangeBetween(Window.unboundedPreceding, 0))  # equal intervals, of which one may open an island, all count to it
     return marked.withColumn("_island", island).groupBy(*key, "_island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("members")).drop("_island")
 
 

@@ -172,7 +172,7 @@ def q_coverage(spark, sf):
 
 # intervals
 
-_ISLANDS = """isl AS (SELECT chrom, min(start) AS start, max("end") AS "end", count(*) AS members FROM (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS i FROM (
+_ISLANDS = """isl AS (SELECT chrom, min(start) AS start, max("end") AS "end", count(*) AS members FROM (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY start, "end" RANGE UNBOUNDED PRECEDING) AS i FROM (
   SELECT *, CASE WHEN max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} >= start THEN 0 ELSE 1 END AS fresh FROM cov WHERE start < "end")) GROUP BY chrom, i)"""
 
 
@@ -192,8 +192,8 @@ def q_interval_union(spark, sf):
 
 
 _TWO = """a0 AS (SELECT chrom, start, "end" FROM cov WHERE value >= 25), b0 AS (SELECT chrom, start, "end" FROM cov WHERE value < 25),
-a1 AS (SELECT chrom, min(start) AS s, max("end") AS e FROM (SELECT *, sum(f) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start THEN 0 ELSE 1 END AS f FROM a0 WHERE start < "end")) GROUP BY chrom, i),
-b1 AS (SELECT chrom, min(start) AS s, max("end") AS e FROM (SELECT *, sum(f) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start THEN 0 ELSE 1 END AS f FROM b0 WHERE start < "end")) GROUP BY chrom, i)"""
+a1 AS (SELECT chrom, min(start) AS s, max("end") AS e FROM (SELECT *, sum(f) OVER (PARTITION BY chrom ORDER BY start, "end" RANGE UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start THEN 0 ELSE 1 END AS f FROM a0 WHERE start < "end")) GROUP BY chrom, i),
+b1 AS (SELECT chrom, min(start) AS s, max("end") AS e FROM (SELECT *, sum(f) OVER (PARTITION BY chrom ORDER BY start, "end" RANGE UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start THEN 0 ELSE 1 END AS f FROM b0 WHERE start < "end")) GROUP BY chrom, i)"""
 
 
 @query(f"RECURSIVE {_TWO};;SELECT a1.chrom, CAST(sum(least(a1.e, b1.e) - greatest(a1.s, b1.s)) AS BIGINT) AS span FROM a1 JOIN b1 ON a1.chrom = b1.chrom AND a1.s < b1.e AND b1.s < a1.e GROUP BY 1")
