@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +70,16 @@ def encoded_tiles(cells: DataFrame, tile_bins: int) -> DataFrame:
 #: What stands for an empty cell of a dense tile, in either width.
 EMPTY = -1.0
 
+#: Cells of the dense tiles that a task holds at once.
+HELD_CELLS = 1 << 21
+
+
+def _slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch of tiles of ``size`` cells in slices of some HELD_CELLS cells, of one tile at least."""
+    step = max(1, HELD_CELLS // size)
+    for k in range(0, batch.num_rows, step):
+        yield batch.slice(k, step)
+
 
 def dense_tiles(cells: DataFrame, tile_bins: int, half: bool = False) -> DataFrame:
     """tile_x, tile_y and payload: all tile_bins squared counts of a tile by rows, as little-endian floats of 32 or 16 bits.
@@ -78,18 +89,18 @@ def dense_tiles(cells: DataFrame, tile_bins: int, half: bool = False) -> DataFra
     """
     if not 0 < tile_bins <= 4_096:
         raise ValueError("a dense tile has 1 to 4,096 bins a side")
-    width = "<f2" if half else "<f4"
+    width, size = "<f2" if half else "<f4", tile_bins * tile_bins
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = []
-            for own in batch["cells"]:
-                v = own.values
-                grid = np.full(tile_bins * tile_bins, EMPTY, width)
+            for part in _slices(batch, size):
+                own = part["cells"]
+                v, row = own.flatten(), np.repeat(np.arange(len(own)), own.value_lengths().to_numpy())
+                grid = np.full((len(own), size), EMPTY, width)
                 with np.errstate(over="ignore"):
-                    grid[v.field("at").to_numpy()] = v.field("count").to_numpy().astype(width)
-                packed.append(grid.tobytes())
-            yield pa.RecordBatch.from_arrays([batch["tile_x"], batch["tile_y"], pa.array(packed, pa.binary())], names=["tile_x", "tile_y", "payload"])
+                    grid[row, v.field("at").to_numpy()] = v.field("count").to_numpy().astype(width)
+                ends = np.arange(len(own) + 1, dtype="<i4") * grid[0].nbytes
+                yield pa.RecordBatch.from_arrays([part["tile_x"], part["tile_y"], pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(grid)])], names=["tile_x", "tile_y", "payload"])
 
     keyed = cells.select(F.expr(f"x_bin div {tile_bins}").alias("tile_x"), F.expr(f"y_bin div {tile_bins}").alias("tile_y"), (F.col("y_bin") % tile_bins * tile_bins + F.col("x_bin") % tile_bins).cast("int").alias("at"), F.col("count").cast("double").alias("count"))
     grouped = keyed.groupBy("tile_x", "tile_y", "at").agg(F.sum("count").alias("count")).groupBy("tile_x", "tile_y").agg(F.collect_list(F.struct("at", "count")).alias("cells"))
@@ -98,16 +109,19 @@ def dense_tiles(cells: DataFrame, tile_bins: int, half: bool = False) -> DataFra
 
 def dense_cells(tiles: DataFrame, tile_bins: int, half: bool = False) -> DataFrame:
     """x_bin, y_bin and count of dense tiles' cells; a payload of another size is a ValueError."""
-    width = np.dtype("<f2" if half else "<f4")
+    width, bits = (np.dtype(x) for x in (("<f2", "<u2") if half else ("<f4", "<u4")))
+    size, empty = tile_bins * tile_bins, np.array(EMPTY, width).view(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tx, ty, payload in zip(batch["tile_x"].to_pylist(), batch["tile_y"].to_pylist(), batch["payload"], strict=True):
-                data = payload.as_buffer()
-                if data is None or data.size != tile_bins * tile_bins * width.itemsize:
+            for part in _slices(batch, size):
+                own = part["payload"]
+                if own.null_count or not np.all(pc.binary_length(own).to_numpy() == size * width.itemsize):
                     raise ValueError("a payload doesn't have the size of a tile")
-                grid = np.frombuffer(data, width)
-                at = np.flatnonzero(grid != EMPTY)
-                yield pa.RecordBatch.from_arrays([pa.array(tx * tile_bins + at % tile_bins), pa.array(ty * tile_bins + at // tile_bins), pa.array(grid[at].astype(np.float64))], names=["x_bin", "y_bin", "count"])
+                grid = np.frombuffer(b"".join(x.as_buffer() for x in own), width)
+                held = np.flatnonzero(grid.view(bits) != empty)
+                tile, at = held // size, held % size
+                x, y = (part[c].to_numpy()[tile] * tile_bins for c in ("tile_x", "tile_y"))
+                yield pa.RecordBatch.from_arrays([pa.array(x + at % tile_bins), pa.array(y + at // tile_bins), pa.array(grid[held].astype(np.float64))], names=["x_bin", "y_bin", "count"])
 
     return tiles.select("tile_x", "tile_y", "payload").mapInArrow(run, "x_bin long, y_bin long, count double")

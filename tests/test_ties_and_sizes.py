@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from strandloom.functions.sizes import small
 from strandloom.operators import evidence, loci, pyramid
+from strandloom.plans import views
+from strandloom.sources import tiles
 
 
 def plan(df):
@@ -73,3 +75,25 @@ def test_fingerprint_of_many_rows_fits(spark):
     masks = spark.createDataFrame([], "a string, b string, reason string")
     row = loci.pruning_summary(found, edges, masks).first()
     assert row.anchors == n and row.fingerprint == sum(int(hashlib.md5(f"{k}|anchor|1|+".encode()).hexdigest()[:12], 16) for k in range(n)) % 1_000_000_007
+
+
+@pytest.mark.parametrize("half", [False, True])
+def test_dense_tiles_come_back_in_batches_and_not_tile_by_tile(spark, half, monkeypatch):
+    monkeypatch.setattr(tiles, "HELD_CELLS", 16 * 5)
+    seen = []
+    cells = spark.range(300).select((F.col("id") * 3).alias("x_bin"), (F.col("id") * 5 % 97).alias("y_bin"), (F.col("id") - 2).cast("double").alias("count"))
+    packed = tiles.dense_tiles(cells, 4, half).repartition(1)
+    batch = packed.select("tile_x", "tile_y", "payload").toArrow().to_batches()[0]
+    for part in tiles._slices(batch, 16):
+        seen.append(part.num_rows)
+    assert sum(seen) == batch.num_rows and max(seen) == 5
+    want = {(3 * k, 5 * k % 97): float(k - 2) for k in range(300) if k != 1}  # -1 stands for an empty cell
+    assert {(r.x_bin, r.y_bin): r["count"] for r in tiles.dense_cells(packed, 4, half).collect()} == want
+
+
+def test_lines_are_dealt_by_their_count(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(views, "LINE_ROWS", 100)
+    spark.range(5_000).selectExpr("id div 4 as l_orderkey", "1L as l_partkey", "1L as l_suppkey", "cast(id % 4 as int) as l_linenumber", "1D as l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    lines = views._lines(spark, str(tmp_path))
+    assert lines.rdd.getNumPartitions() == 50
+    assert lines.filter("k = l_linenumber + 1").count() == 5_000
