@@ -57,9 +57,16 @@ def layout(spark: SparkSession, sf: str) -> DataFrame:
     return with_visual(rows)
 
 
+#: Lines of a partition that windows by order sort.
+LINE_ROWS = 500_000
+
+
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with their number ``k`` in the order, dealt by order to as many tasks as their count asks for, so that no task grows with the table."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return table(spark, sf, "lineitem").withColumn("k", F.row_number().over(order))
+    lines = table(spark, sf, "lineitem")
+    dealt = lines.repartition(max(spark.sparkContext.defaultParallelism, -(-lines.count() // LINE_ROWS)), "l_orderkey")  # the count comes from the files' footers
+    return dealt.withColumn("k", F.row_number().over(order))
 
 
 def _ends(spark: SparkSession, sf: str) -> DataFrame:
