@@ -74,12 +74,6 @@ EMPTY = -1.0
 HELD_CELLS = 1 << 21
 
 
-def _slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    """A batch of tiles of ``size`` cells in slices of some HELD_CELLS cells, of one tile at least."""
-    step = max(1, HELD_CELLS // size)
-    for k in range(0, batch.num_rows, step):
-        yield batch.slice(k, step)
-
 
 def dense_tiles(cells: DataFrame, tile_bins: int, half: bool = False) -> DataFrame:
     """tile_x, tile_y and payload: all tile_bins squared counts of a tile by rows, as little-endian floats of 32 or 16 bits.
@@ -90,10 +84,11 @@ def dense_tiles(cells: DataFrame, tile_bins: int, half: bool = False) -> DataFra
     if not 0 < tile_bins <= 4_096:
         raise ValueError("a dense tile has 1 to 4,096 bins a side")
     width, size = "<f2" if half else "<f4", tile_bins * tile_bins
+    step = max(1, HELD_CELLS // size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, size):
+            for part in (batch.slice(k, step) for k in range(0, batch.num_rows, step)):
                 own = part["cells"]
                 v, row = own.flatten(), np.repeat(np.arange(len(own)), own.value_lengths().to_numpy())
                 grid = np.full((len(own), size), EMPTY, width)
@@ -111,10 +106,11 @@ def dense_cells(tiles: DataFrame, tile_bins: int, half: bool = False) -> DataFra
     """x_bin, y_bin and count of dense tiles' cells; a payload of another size is a ValueError."""
     width, bits = (np.dtype(x) for x in (("<f2", "<u2") if half else ("<f4", "<u4")))
     size, empty = tile_bins * tile_bins, np.array(EMPTY, width).view(bits)
+    step = max(1, HELD_CELLS // size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, size):
+            for part in (batch.slice(k, step) for k in range(0, batch.num_rows, step)):
                 own = part["payload"]
                 if own.null_count or not np.all(pc.binary_length(own).to_numpy() == size * width.itemsize):
                     raise ValueError("a payload doesn't have the size of a tile")
