@@ -191,9 +191,14 @@ class PrefixTable:
 class _Pieces(dict):
     """Piece to ids, in two generations so that its memory is bounded."""
 
-    def __init__(self, encode, limit: int):
+    def __init__(self, vocabulary: Vocabulary, limit: int):
         super().__init__()
-        self._encode, self._limit, self._old = encode, limit, {}
+        self._vocabulary, self._limit, self._old = vocabulary, limit, {}
+
+    def _encode(self, piece: str) -> tuple[int, ...]:
+        data = piece.encode()
+        whole = self._vocabulary.ranks.get(data)
+        return (whole,) if whole is not None else tuple(PrefixTable(self._vocabulary, data).ids())
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self._old.get(piece)
@@ -213,14 +218,9 @@ class PrefixEncoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
         self.pattern = regex.compile(pattern)
-        self._pieces = _Pieces(self._encode_piece, CACHE_PIECES)
+        self._pieces = _Pieces(vocabulary, CACHE_PIECES)
         self.names = {i: str(i) for i in vocabulary.tokens}
 
-    def _encode_piece(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        whole = self.vocabulary.ranks.get(data)
-        return (whole,) if whole is not None else tuple(PrefixTable(self.vocabulary, data).ids())
-
     def encode(self, text: str) -> list[int]:
         """Ids of the text, as a merging encoder without special tokens gives them."""
         return list(chain.from_iterable(map(self._pieces.__getitem__, self.pattern.findall(text))))

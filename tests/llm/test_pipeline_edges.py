@@ -71,3 +71,23 @@ def test_mixture_uses_every_row_and_encoding_gives_a_row_for_each(spark, docs, t
     found = {r.doc_id: r.n_tokens for r in encoded.collect()}
     assert encoded.count() == len(odd_rows()) and found[60] == found[61] == 0 and found[70] > 6000
     assert corpus_pipeline.encode(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_a_worker_frees_the_encoder_before_the_next_operator_builds():
+    import gc
+    import weakref
+
+    from strandloom.llm.bpe import PrefixEncoder, Vocabulary
+    from strandloom.llm.resident import resident
+
+    vocabulary = Vocabulary({bytes([i]): i for i in range(256)})
+    gc.disable()  # no collection by chance
+    try:
+        held = weakref.ref(resident("encoder of this test", lambda: PrefixEncoder(vocabulary, r"\w+")))
+        assert held().encode("ab") == [97, 98]
+        resident("next of this test", lambda: held() is None)
+        assert resident("next of this test", lambda: None) is True
+        again = weakref.ref(PrefixEncoder(vocabulary, r"\w+"))
+        assert again() is None  # nothing in it refers back to it
+    finally:
+        gc.enable()
