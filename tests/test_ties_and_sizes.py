@@ -92,3 +92,22 @@ def test_lines_are_dealt_by_their_count(spark, tmp_path, monkeypatch):
     lines = views._lines(spark, str(tmp_path))
     assert lines.rdd.getNumPartitions() == 50
     assert lines.filter("k = l_linenumber + 1").count() == 5_000
+
+
+def _plan(df, stage="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), stage)().toString()
+
+
+def _placed(spark):
+    from strandloom.operators import layout
+
+    return layout.with_visual(spark.createDataFrame([(i, "o", i, 0, 70, "+", 10, i) for i in range(6)], "block_id long, object_id string, source_id long, source_start long, source_end long, orientation string, gap_before long, ord long"))
+
+
+def test_pairs_of_links_meet_no_sizes_after_they_are_summed(spark):
+    from strandloom.operators import evidence
+
+    cells = spark.createDataFrame([(0, 3, 8.0), (1, 4, 4.0)], "x_bin long, y_bin long, count double")
+    found = evidence.contact_links(cells, _placed(spark), 100)
+    assert _plan(found).count("Join ") == 2  # a cell's two ends; before, also the sizes of both blocks
+    assert all(r.normalized_per_mb2 == r.raw_count / (70 / 1e6 * (70 / 1e6)) for r in found.collect())
