@@ -76,11 +76,7 @@ def view_neighbours(layout: DataFrame, viewport: tuple[int, int, int, int], sele
 
 def selected_links(cells: DataFrame, layout: DataFrame, resolution: int, selected: DataFrame) -> DataFrame:
     """As ``contact_links``, of pairs of a selected block (block_id) and one that isn't."""
-    links = contact_links(cells, layout, resolution)
-    chosen = selected.select("block_id").distinct()
-    side = lambda c: chosen.select(F.col("block_id").alias(c), F.lit(True).alias(f"_{c}"))
-    known = links.join(side("source"), "source", "left").join(side("target"), "target", "left")
-    return known.filter(F.coalesce("_source", F.lit(False)) != F.coalesce("_target", F.lit(False))).drop("_source", "_target")
+    return contact_links(cells, layout, resolution, selected)
 
 
 def cell_hash(x: Column, y: Column) -> Column:

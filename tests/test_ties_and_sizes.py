@@ -111,3 +111,15 @@ def test_pairs_of_links_meet_no_sizes_after_they_are_summed(spark):
     found = evidence.contact_links(cells, _placed(spark), 100)
     assert _plan(found).count("Join ") == 2  # a cell's two ends; before, also the sizes of both blocks
     assert all(r.normalized_per_mb2 == r.raw_count / (70 / 1e6 * (70 / 1e6)) for r in found.collect())
+
+
+def test_links_of_a_selection_form_no_other_pairs(spark):
+    from strandloom.operators import evidence, navigation
+
+    cells = spark.createDataFrame([(x, y, 8.0) for x in range(5) for y in range(x, 5)], "x_bin long, y_bin long, count double")
+    placed = _placed(spark)
+    selected = placed.filter("block_id IN (1, 4)").union(placed.filter("block_id = 1"))
+    found = navigation.selected_links(cells, placed, 100, selected)
+    every = evidence.contact_links(cells, placed, 100).filter("(source IN (1, 4)) <> (target IN (1, 4))")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, every.collect()))
+    assert "Aggregate" in _plan(found).split("Join ")[0] and _plan(found).count("Join ") == 2  # no join behind the sums
