@@ -111,18 +111,25 @@ def arbitrate(rows: DataFrame) -> DataFrame:
     At any base the winner has the greatest mapq, then identity, matches, query length, then the smallest target,
     strand, target start and id. Neighbouring intervals of one winner are one.
     """
-    cuts = rows.select("query_name", F.col("query_start").alias("at")).union(rows.select("query_name", "query_end")).distinct()
-    pieces = cuts.withColumn("stop", F.lead("at").over(Window.partitionBy("query_name").orderBy("at"))).filter("stop IS NOT NULL")
-    # an alignment covers a piece that begins in one of its cells
-    held = rows.withColumn("_cell", F.explode(F.expr(f"sequence(query_start div {CELL}, greatest(query_start, query_end - 1) div {CELL})")))
-    over = pieces.withColumn("_cell", F.expr(f"at div {CELL}")).join(held, ["query_name", "_cell"]).filter((F.col("query_start") <= F.col("at")) & (F.col("query_end") >= F.col("stop")))
+    # cut at the borders of cells, too, so that pieces, what covers them and the winners meet in a cell without further shuffles
+    held = rows.filter("query_start < query_end").withColumn("_cell", F.explode(F.expr(f"sequence(query_start div {CELL}, (query_end - 1) div {CELL})")))
+    ends = F.array(F.greatest("query_start", F.col("_cell") * CELL), F.least("query_end", (F.col("_cell") + 1) * CELL))
+    cuts = held.select("query_name", "_cell", "query_start", "query_end").repartition("query_name", "_cell").select("query_name", "_cell", F.explode(ends).alias("at")).distinct()
+    pieces = cuts.withColumn("stop", F.lead("at").over(Window.partitionBy("query_name", "_cell").orderBy("at"))).filter("stop IS NOT NULL")
+    over = pieces.join(held, ["query_name", "_cell"]).filter((F.col("query_start") <= F.col("at")) & (F.col("query_end") >= F.col("stop")))
     identity = F.col("matches").cast("decimal(20,0)") / F.col("block_len").cast("decimal(20,0)")
     order = [F.col("mapq").desc(), identity.desc(), F.col("matches").desc(), (F.col("query_end") - F.col("query_start")).desc(), "target_name", "strand", "target_start", "aln_id"]
-    winner = over.withColumn("_k", F.row_number().over(Window.partitionBy("query_name", "at").orderBy(*order))).filter("_k = 1")
-    w = Window.partitionBy("query_name").orderBy("at")
-    fresh = F.when((F.lag("aln_id").over(w) == F.col("aln_id")) & (F.lag("stop").over(w) == F.col("at")), 0).otherwise(1)
-    runs = winner.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("query_name", "_run", "target_name", "strand", "aln_id").agg(F.min("at").alias("start"), F.max("stop").alias("end")).drop("_run")
+    winner = over.withColumn("_k", F.row_number().over(Window.partitionBy("query_name", "_cell", "at").orderBy(*order))).filter("_k = 1")
+    in_cells = _runs_of(winner.select("query_name", "_cell", "target_name", "strand", "aln_id", F.col("at").alias("start"), F.col("stop").alias("end")), ["query_name", "_cell"])
+    return _runs_of(in_cells.drop("_cell"), ["query_name"])
+
+
+def _runs_of(won: DataFrame, key: list[str]) -> DataFrame:
+    """Stretches that follow each other within a key and have one winner, joined."""
+    w = Window.partitionBy(*key).orderBy("start")
+    fresh = F.when((F.lag("aln_id").over(w) == F.col("aln_id")) & (F.lag("end").over(w) == F.col("start")), 0).otherwise(1)
+    runs = won.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*key, "_run", "target_name", "strand", "aln_id").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
 
 
 def preview(rows: DataFrame, retained) -> DataFrame:

@@ -123,3 +123,18 @@ def test_links_of_a_selection_form_no_other_pairs(spark):
     every = evidence.contact_links(cells, placed, 100).filter("(source IN (1, 4)) <> (target IN (1, 4))")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, every.collect()))
     assert "Aggregate" in _plan(found).split("Join ")[0] and _plan(found).count("Join ") == 2  # no join behind the sums
+
+
+def test_arbitration_shuffles_thrice_and_joins_what_borders_of_cells_cut(spark):
+    from strandloom.operators import synteny
+
+    cell = synteny.CELL
+    names = "aln_id long, query_name long, target_name long, strand string, query_start long, query_end long, target_start long, target_end long, matches long, block_len long, mapq int"
+    rows = spark.createDataFrame([(1, 7, 1, "+", 5, 3 * cell, 0, 9, 80, 100, 8), (2, 7, 2, "-", cell, 2 * cell, 0, 9, 80, 100, 9), (3, 7, 3, "+", cell + 9, cell + 9, 0, 9, 80, 100, 60)], names)
+    found = synteny.arbitrate(rows)
+    assert sorted((r.start, r.end, r.aln_id) for r in found.collect()) == [(5, cell, 1), (cell, 2 * cell, 2), (2 * cell, 3 * cell, 1)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _plan(synteny.arbitrate(rows), "executedPlan").count("Exchange hashpartitioning") == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
