@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from strandloom.functions.intervals import overlap
 from strandloom.functions.runs import fold_groups
 from strandloom.functions.sizes import small_once
+from strandloom.functions.storage import materialise
 from strandloom.operators.layout import visual_interval
 
 _CHAIN = "query_name long, target_name long, strand string, query_start long, query_end long, target_start long, target_end long, matches long, block_len long, mapq int, fragments int, aligned long"
@@ -96,8 +97,11 @@ def chains(paf: DataFrame, minimum: int = 10_000) -> DataFrame:
         return [(group[0]["query_name"], group[0]["target_name"], strand, min(r[0] for r in chain), max(r[1] for r in chain), lo, hi, sum(r[4] for r in chain), sum(r[5] for r in chain), min(r[6] for r in chain), len(chain), score[0])]
 
     columns = ["query_name", "target_name", "strand", "query_start", "query_end", "target_start", "target_end", "matches", "block_len", "mapq"]
-    merged = fold_groups(paf.select(*columns), ["query_name", "target_name"], ["query_start", "query_end", "target_start", "target_end"], best, _CHAIN)
-    return merged.filter(F.col("aligned") >= minimum)
+    key = ["query_name", "target_name"]
+    counted = paf.select(*columns).withColumn("_alone", (F.count(F.lit(1)).over(Window.partitionBy(*key)) == 1) & F.coalesce(F.col("strand").isin("+", "-"), F.lit(False)))
+    single = counted.filter("_alone").withColumn("fragments", F.lit(1)).withColumn("aligned", F.col("target_end") - F.col("target_start"))  # a chain by itself, as most pairs have
+    merged = fold_groups(counted.filter("NOT _alone").select(*columns), key, ["query_start", "query_end", "target_start", "target_end"], best, _CHAIN)
+    return merged.unionByName(single.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in merged.schema])).filter(F.col("aligned") >= minimum)
 
 
 def keep_near_best(rows: DataFrame, score: str = "aligned", share: int = 5) -> DataFrame:
@@ -144,7 +148,7 @@ def consolidate(paf: DataFrame, minimum: int = 10_000) -> DataFrame:
     Each row is a stretch of a query and the chain that wins it, with the stretch's target interval by proportion
     along the strand, matches and length rescaled (1 at least), and the chain's mapq, fragments and aligned bases.
     """
-    found = keep_near_best(chains(paf, minimum)).withColumn("aln_id", F.xxhash64("query_name", "target_name"))
+    found = materialise(keep_near_best(chains(paf, minimum)).withColumn("aln_id", F.xxhash64("query_name", "target_name")), "chains")
     won = arbitrate(found).withColumnsRenamed({"start": "won_start", "end": "won_end"})
     rows = won.join(found, ["query_name", "target_name", "strand", "aln_id"])
     span, part = F.col("query_end") - F.col("query_start"), F.col("won_end") - F.col("won_start")

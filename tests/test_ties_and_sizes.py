@@ -138,3 +138,13 @@ def test_arbitration_shuffles_thrice_and_joins_what_borders_of_cells_cut(spark):
         assert _plan(synteny.arbitrate(rows), "executedPlan").count("Exchange hashpartitioning") == 3
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_consolidation_finds_its_chains_once_and_single_alignments_without_python(spark):
+    from strandloom.operators import synteny
+
+    names = "query_name long, target_name long, strand string, query_start long, query_end long, target_start long, target_end long, matches long, block_len long, mapq int"
+    rows = [(1, 1, "-", 0, 50, 100, 160, 40, 50, 7), (2, 1, "+", 0, 50, 100, 160, 40, 50, 7), (2, 1, "+", 60, 90, 170, 200, 20, 30, 5), (3, 1, "+", 0, 5, 0, 5, 4, 5, 9)]
+    assert "MapInArrow" not in _plan(synteny.consolidate(spark.createDataFrame(rows, names), 10))
+    found = sorted(map(tuple, synteny.chains(spark.createDataFrame(rows, names), 10).collect()))
+    assert found == [(1, 1, "-", 0, 50, 100, 160, 40, 50, 7, 1, 60), (2, 1, "+", 0, 90, 100, 200, 60, 80, 5, 2, 90)]
