@@ -548,11 +548,8 @@ def q_override(spark, sf):
 def q_delta_batch(spark, sf):
     """Sums of partial sums over slices of the contacts equal the whole."""
     rows = contacts.projected(views.contact(spark, sf), views.layout(spark, sf))
-    slices = [contacts.bin_sums(rows.filter(F.expr(f"x div 1000 % 4 = {k}")), 50_000) for k in range(4)]
-    merged = slices[0]
-    for s in slices[1:]:
-        merged = merged.unionByName(s)
-    return merged.groupBy("x_bin", "y_bin").agg(F.sum("count").alias("count"))
+    partial = rows.groupBy(F.expr("x div 1000 % 4").alias("slice"), F.expr("x div 50000").alias("x_bin"), F.expr("y div 50000").alias("y_bin")).agg(F.sum("share").alias("count"))
+    return partial.groupBy("x_bin", "y_bin").agg(F.sum("count").alias("count"))
 
 
 @query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS bucket, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -148,3 +148,9 @@ def test_consolidation_finds_its_chains_once_and_single_alignments_without_pytho
     assert "MapInArrow" not in _plan(synteny.consolidate(spark.createDataFrame(rows, names), 10))
     found = sorted(map(tuple, synteny.chains(spark.createDataFrame(rows, names), 10).collect()))
     assert found == [(1, 1, "-", 0, 50, 100, 160, 40, 50, 7, 1, 60), (2, 1, "+", 0, 90, 100, 200, 60, 80, 5, 2, 90)]
+
+
+def test_delta_slices_come_from_one_scan(spark):
+    from strandloom.plans import catalogue
+
+    assert "Union" not in _plan(catalogue.QUERIES["q_delta_batch"](spark, "/root/testdata/sf0.001")).split("Aggregate")[1]
