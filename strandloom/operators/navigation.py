@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom.functions.running import total_before
+from strandloom.functions.storage import materialise
 from strandloom.operators.evidence import contact_links
 
 #: Largest whole number that a typed coordinate may have; neighbours on either side of a block.
@@ -91,6 +92,7 @@ def cell_hash(x: Column, y: Column) -> Column:
 
 def thinned(cells: DataFrame, most: int) -> DataFrame:
     """Cells whose hash lies below the share ``most`` of all cells, and of these the first ``most`` by place; all of a smaller map."""
+    cells = materialise(cells, "cells")  # its size, the cells that are kept and theirs are asked for
     n = cells.count()
     if n <= most:
         return cells

@@ -154,3 +154,22 @@ def test_delta_slices_come_from_one_scan(spark):
     from strandloom.plans import catalogue
 
     assert "Union" not in _plan(catalogue.QUERIES["q_delta_batch"](spark, "/root/testdata/sf0.001")).split("Aggregate")[1]
+
+
+def test_loci_are_shuffled_once_and_their_alignments_without_numbers(spark):
+    names = "node string, length long, target string, start double, end double, query_from long, query_to long, strand string, identity double, mapq int, bases long, primary boolean, locus long"
+    rows = [("n", 100, "t", 0.0, 9.0, 0, 50, "+", 0.5, 60, 50, False, 1), ("n", 100, "t", 5.0, 9.0, 40, 70, "-", 1.0, 60, 30, False, 1), ("n", 100, "t", 6.0, 9.0, 45, 60, "+", 0.5, 60, 15, False, 1), ("n", 100, "u", 6.0, 9.0, 90, 95, "-", 0.5, 6, 5, True, 1)]
+    found = loci.locus_table(spark.createDataFrame(rows, names))
+    assert plan(found).count("Exchange") == 1
+    assert {(r.target, r.coverage, r.strand, r.primary) for r in found.collect()} == {("t", 0.7, "+", False), ("u", 0.05, "-", True)}
+    with_ids, without = (views.paf(spark, "/root/testdata/sf0.001", ids) for ids in (True, False))
+    assert "RepartitionByExpression" not in _plan(without)
+    assert sorted(map(tuple, with_ids.drop("aln_id").collect())) == sorted(map(tuple, without.collect()))
+
+
+def test_a_map_is_made_once_to_be_thinned(spark):
+    from strandloom.operators import navigation
+
+    cells = spark.range(900).selectExpr("id div 3 as x_bin", "id div 2 as y_bin").groupBy("x_bin", "y_bin").agg(F.count("*").alias("count"))
+    for most in (50, 5_000):
+        assert "groupBy" not in (text := _plan(navigation.thinned(cells, most))) and "Aggregate" not in text
