@@ -282,7 +282,7 @@ def _loci(spark, sf):
     """Nodes, anchors and their target intervals."""
     base = materialise(views.layout(spark, sf), "layout")
     nodes = materialise(loci.source_nodes(base), "nodes")
-    seen = materialise(loci.clustered(loci.observations(nodes, views.paf(spark, sf).filter("query_end > query_start")), 20_000), "observations")
+    seen = materialise(loci.clustered(loci.observations(nodes, views.paf(spark, sf, ids=False).filter("query_end > query_start")), 20_000), "observations")
     found = materialise(loci.anchors(seen, loci.locus_table(seen), nodes, _ANCHORS), "anchors")
     return base, found, materialise(loci.anchor_intervals(seen, found), "intervals")
 

@@ -91,16 +91,17 @@ def cov(spark: SparkSession, sf: str) -> DataFrame:
     return joined.select(F.col("l_partkey").alias("chrom"), F.expr("l_orderkey * 131 % length").alias("start"), F.expr("least(l_orderkey * 131 % length + 500, length)").alias("end"), F.col("l_quantity").alias("value"))
 
 
-def paf(spark: SparkSession, sf: str) -> DataFrame:
-    """An alignment for each line, of a part's contig to a supplier's sequence."""
-    joined = _lines(spark, sf).join(contig(spark, sf), F.col("l_partkey") == F.col("source_id"))
+def paf(spark: SparkSession, sf: str, ids: bool = True) -> DataFrame:
+    """An alignment for each line, of a part's contig to a supplier's sequence; without ``ids``, which need each line's number in its order, no line is shuffled."""
+    lines = _lines(spark, sf) if ids else table(spark, sf, "lineitem").withColumn("k", F.lit(None))
+    joined = lines.join(contig(spark, sf), F.col("l_partkey") == F.col("source_id"))
     base = joined.select(
         (F.col("l_orderkey") * 100 + F.col("k")).alias("aln_id"), F.col("l_partkey").alias("query_name"), F.col("l_suppkey").alias("target_name"), F.when(F.col("l_orderkey") % 2 == 0, "+").otherwise("-").alias("strand"),
         F.col("length").alias("query_len"), F.expr("l_orderkey * 131 % length").alias("query_start"), F.expr("least(l_orderkey * 131 % length + 200 + cast(l_quantity as bigint) * 100, length)").alias("query_end"),
         F.expr("l_orderkey * 517 % 1000000").alias("target_start"), "l_linenumber",
     )
     span = F.col("query_end") - F.col("query_start")
-    return base.select("aln_id", "query_name", "target_name", "strand", "query_len", "query_start", "query_end", "target_start", (F.col("target_start") + span).alias("target_end"), F.expr("(query_end - query_start) * (80 + l_linenumber) div 100").alias("matches"), span.alias("block_len"), (F.col("l_linenumber") * 8).cast("int").alias("mapq"))
+    return base.select(*["aln_id"] * ids, "query_name", "target_name", "strand", "query_len", "query_start", "query_end", "target_start", (F.col("target_start") + span).alias("target_end"), F.expr("(query_end - query_start) * (80 + l_linenumber) div 100").alias("matches"), span.alias("block_len"), (F.col("l_linenumber") * 8).cast("int").alias("mapq"))
 
 
 def chrom(spark: SparkSession, sf: str) -> DataFrame:
