@@ -184,4 +184,4 @@ def q_paf_preview(spark, sf):
 @query(None)
 def q_paf_consolidated(spark, sf):
     """Chains, the share of the best and arbitration composed; tests hold it against a plain version."""
-    return synteny.consolidate(views.paf(spark, sf), 3_000)
+    return synteny.consolidate(views.paf(spark, sf, ids=False), 3_000)
