@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.functions.sizes import fits, meet
+
 
 def merge_touching(df: DataFrame, key: list[str], start: str = "start", end: str = "end", gap: int = 0) -> DataFrame:
     """Unions of intervals that overlap, touch, or lie at most ``gap`` apart, by key; empty ones are dropped.
@@ -62,10 +64,13 @@ def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> C
     return F.least(a_end, b_end) - F.greatest(a_start, b_start)
 
 
-def covering(points: DataFrame, point_key: list[str], at: str, intervals: DataFrame, start: str, end: str, width: int) -> DataFrame:
+def covering(points: DataFrame, point_key: list[str], at: str, intervals: DataFrame, start: str, end: str, width: int, rows: int | None = None) -> DataFrame:
     """Intervals of a key that hold a point, by an equality join on cells of ``width`` so that a hot key is spread.
 
-    Each interval is listed in the cells that it touches; a point stands in one. Rows: all columns of both.
+    Each interval is listed in the cells that it touches; a point stands in one. Rows: all columns of both. With ``rows``, about the
+    number of points, the cells are counted and broadcast only if they are few, and else points and cells are dealt by ``rows``.
     """
     cells = intervals.withColumn("_cell", F.explode(F.sequence(F.expr(f"{start} div {width}"), F.expr(f"({end} - 1) div {width}"))))
-    return points.withColumn("_cell", F.expr(f"{at} div {width}")).join(cells, [*point_key, "_cell"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_cell")
+    placed, key = points.withColumn("_cell", F.expr(f"{at} div {width}")), [*point_key, "_cell"]
+    met = placed.join(cells, key) if rows is None else meet(placed, cells, key, fits(cells), rows)
+    return met.filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_cell")

@@ -481,4 +481,4 @@ def q_window_index(spark, sf):
     third = F.expr("length div 3")
     first = base.select("source_id", (F.col("source_id") * 2).alias("window"), F.lit(0).cast("long").alias("start"), third.alias("end"))
     rest = base.filter("source_id % 4 <> 1").select("source_id", (F.col("source_id") * 2 + 1).alias("window"), third.alias("start"), F.col("length").alias("end"))
-    return contacts.window_pairs(views.contact(spark, sf), first.unionByName(rest), 10_000)
+    return contacts.window_pairs(views.contact(spark, sf), first.unionByName(rest), 10_000, views.line_count(spark, sf))

@@ -61,11 +61,16 @@ def layout(spark: SparkSession, sf: str) -> DataFrame:
 LINE_ROWS = 500_000
 
 
+def line_count(spark: SparkSession, sf: str) -> int:
+    """Lines, from the files' footers; there are at most as many contacts."""
+    return table(spark, sf, "lineitem").count()
+
+
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines with their number ``k`` in the order, dealt by order to as many tasks as their count asks for, so that no task grows with the table."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     lines = table(spark, sf, "lineitem")
-    dealt = lines.repartition(max(spark.sparkContext.defaultParallelism, -(-lines.count() // LINE_ROWS)), "l_orderkey")  # the count comes from the files' footers
+    dealt = lines.repartition(max(spark.sparkContext.defaultParallelism, -(-line_count(spark, sf) // LINE_ROWS)), "l_orderkey")
     return dealt.withColumn("k", F.row_number().over(order))
 
 

@@ -173,3 +173,19 @@ def test_a_map_is_made_once_to_be_thinned(spark):
     cells = spark.range(900).selectExpr("id div 3 as x_bin", "id div 2 as y_bin").groupBy("x_bin", "y_bin").agg(F.count("*").alias("count"))
     for most in (50, 5_000):
         assert "groupBy" not in (text := _plan(navigation.thinned(cells, most))) and "Aggregate" not in text
+
+
+def dealt_and_whole(spark, monkeypatch, name):
+    """Rows of a query as it stands; its plan, its rows and the rows of its largest task where few rows are broadcast or come to a task."""
+    query, sf = entry.queries()[name], "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, query(spark, sf).collect()))
+    monkeypatch.setattr("strandloom.functions.sizes.BROADCAST_ROWS", 100)
+    monkeypatch.setattr("strandloom.functions.sizes.TASK_ROWS", 500, raising=False)
+    found = query(spark, sf)
+    most = found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    return whole, plan(found), sorted(map(tuple, found.collect())), most
+
+
+def test_cells_of_windows_are_counted_before_a_broadcast_and_pairs_dealt(spark, monkeypatch):
+    whole, text, found, most = dealt_and_whole(spark, monkeypatch, "q_window_index")
+    assert found == whole and text.count("SortMergeJoin") == 2 and most < 800  # of some 4,400 pairs
