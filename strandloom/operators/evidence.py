@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from strandloom.functions.intervals import overlap
 from strandloom.functions.running import total_before
-from strandloom.functions.sizes import shuffled, small_once
+from strandloom.functions.sizes import dealt, fits, meet, shuffled, small_once
+from strandloom.functions.storage import materialise
 
 
 def bin_members(layout: DataFrame, resolution: int, *also: str) -> DataFrame:
@@ -86,15 +87,18 @@ def quadrants(cells: DataFrame, blocks: DataFrame, pairs: DataFrame, resolution:
     return shuffled(hit.groupBy("source", "target").agg(*[one(x, y) for x in "lr" for y in "lr"])).join(pairs.select("source", "target").distinct(), ["source", "target"])
 
 
-def line_modes(cells: DataFrame, members: DataFrame, width: int) -> DataFrame:
+def line_modes(cells: DataFrame, members: DataFrame, width: int, rows: int | None = None) -> DataFrame:
     """Per pair of blocks, orientation and mode: contacts along a diagonal or an anti-diagonal of width bases.
 
-    ``members`` has bin, block_id and at (a local coordinate).
+    ``members`` has bin, block_id and at (a local coordinate). With ``rows``, about the number of cells, tasks are dealt by it, and
+    all rows of a pair come to one, so that what is asked of a pair's modes needs no further shuffle.
     """
-    members = small_once(members, "members")
+    members = materialise(members, "members")
+    few = fits(members)
     x = members.select(F.col("bin").alias("x_bin"), F.col("block_id").alias("source"), F.col("at").alias("a"))
     y = members.select(F.col("bin").alias("y_bin"), F.col("block_id").alias("target"), F.col("at").alias("b"))
-    hit = cells.join(x, "x_bin").join(y, "y_bin").filter("source < target")
+    hit = meet(meet(cells, x, ["x_bin"], few, rows), y, ["y_bin"], few, rows).filter("source < target")
+    hit = hit if rows is None else dealt(hit, 2 * rows, "source", "target")  # each gives two modes
     modes = hit.select("source", "target", "count", F.explode(F.array(F.struct(F.lit("+").alias("line"), F.floor((F.col("b") - F.col("a")) / width).alias("mode")), F.struct(F.lit("-").alias("line"), F.floor((F.col("b") + F.col("a")) / width).alias("mode")))).alias("m"))
     return modes.groupBy("source", "target", "m.line", "m.mode").agg(F.sum("count").alias("weight"))
 

@@ -438,7 +438,8 @@ modes AS (SELECT source, target, line, mode, sum(count) AS weight FROM (SELECT s
 def q_line_modes(spark, sf):
     base = materialise(views.layout(spark, sf), "layout")
     members = base.withColumn("bin", F.explode(F.expr("sequence(visual_start div 10000, (visual_end - 1) div 10000)"))).select("bin", "block_id", (F.col("bin") * 10000 - F.col("visual_start")).alias("at"))
-    modes = evidence.line_modes(contacts.project(views.contact(spark, sf), base, 10_000), members, 10_000)
+    rows = views.line_count(spark, sf)
+    modes = evidence.line_modes(contacts.project(views.contact(spark, sf), base, 10_000, rows=rows), members, 10_000, rows)
     return evidence.strongest_line(modes).select("source", "target", "line", "mode", "weight", F.round("share", 6).alias("share"))
 
 
@@ -675,7 +676,8 @@ SELECT source, target, line, mode, band, floor(band / (total * 3 / greatest(hi -
 def q_line_bands(spark, sf):
     base = materialise(views.layout(spark, sf), "layout")
     members = base.withColumn("bin", F.explode(F.expr("sequence(visual_start div 10000, (visual_end - 1) div 10000)"))).select("bin", "block_id", (F.col("bin") * 10000 - F.col("visual_start")).alias("at"))
-    modes = evidence.line_modes(contacts.project(views.contact(spark, sf), base, 10_000), members, 10_000)
+    rows = views.line_count(spark, sf)
+    modes = evidence.line_modes(contacts.project(views.contact(spark, sf), base, 10_000, rows=rows), members, 10_000, rows)
     return evidence.band_scores(modes).withColumn("enrichment", F.floor(F.col("enrichment") * 1e4 + 0.5) / 1e4)
 
 
@@ -684,7 +686,8 @@ def q_line_bands(spark, sf):
 def q_line_distribution(spark, sf):
     base = materialise(views.layout(spark, sf), "layout")
     members = base.withColumn("bin", F.explode(F.expr("sequence(visual_start div 10000, (visual_end - 1) div 10000)"))).select("bin", "block_id", (F.col("bin") * 10000 - F.col("visual_start")).alias("at"))
-    modes = evidence.line_modes(contacts.project(views.contact(spark, sf), base, 10_000), members, 10_000)
+    rows = views.line_count(spark, sf)
+    modes = evidence.line_modes(contacts.project(views.contact(spark, sf), base, 10_000, rows=rows), members, 10_000, rows)
     return evidence.line_distribution(modes.withColumnRenamed("mode", "place")).withColumn("effective", F.floor(F.col("effective") * 1e4 + 0.5) / 1e4)
 
 
@@ -723,6 +726,7 @@ def q_allele_lines(spark, sf):
     """Lines that hold more than a fifth of their orientation's contacts."""
     base = materialise(views.layout(spark, sf), "layout")
     members = base.withColumn("bin", F.explode(F.expr("sequence(visual_start div 10000, (visual_end - 1) div 10000)"))).select("bin", "block_id", (F.col("bin") * 10000 - F.col("visual_start")).alias("at"))
-    modes = evidence.line_modes(contacts.project(views.contact(spark, sf), base, 10_000), members, 10_000)
+    rows = views.line_count(spark, sf)
+    modes = evidence.line_modes(contacts.project(views.contact(spark, sf), base, 10_000, rows=rows), members, 10_000, rows)
     share = F.col("weight") / F.sum("weight").over(Window.partitionBy("source", "target", "line"))
     return modes.withColumn("share", share).filter("share > 0.2 AND weight >= 60").select("source", "target", "line", "mode", "weight")

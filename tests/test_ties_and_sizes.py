@@ -189,3 +189,10 @@ def dealt_and_whole(spark, monkeypatch, name):
 def test_cells_of_windows_are_counted_before_a_broadcast_and_pairs_dealt(spark, monkeypatch):
     whole, text, found, most = dealt_and_whole(spark, monkeypatch, "q_window_index")
     assert found == whole and text.count("SortMergeJoin") == 2 and most < 800  # of some 4,400 pairs
+
+
+@pytest.mark.parametrize("name", ["q_line_distribution", "q_line_bands", "q_line_modes"])
+def test_modes_of_a_pair_come_to_one_task_of_bounded_rows(spark, monkeypatch, name):
+    whole, text, found, most = dealt_and_whole(spark, monkeypatch, name)
+    assert found == whole and text.count("SortMergeJoin") == 4 and most < 1_600  # of some 14,000 pairs and lines
+    assert text.index("REPARTITION_BY_NUM") < text.index("SortMergeJoin") and "ENSURE_REQUIREMENTS" not in text[: text.index("SortMergeJoin")]
