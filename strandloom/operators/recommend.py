@@ -143,28 +143,35 @@ def layout_impact(before: DataFrame, after: DataFrame) -> DataFrame:
     return gone.unionByName(new).groupBy("object_id").agg(F.countDistinct("block_id").alias("blocks"), F.countDistinct("source_id").alias("sources"))
 
 
+def tiers(links: DataFrame, selected: DataFrame, conflicts: DataFrame, layout: DataFrame | None = None) -> DataFrame:
+    """selected, partner, tier and the other columns of ``links`` (source, target) for both ends of each link; see ``tiered_partners``."""
+    rest = [c for c in links.columns if c not in ("source", "target")]
+    end = lambda a, b: F.struct(F.col(a).alias("selected"), F.col(b).alias("partner"))
+    ends = links.select(F.explode(F.array(end("source", "target"), end("target", "source"))).alias("_e"), *rest).select("_e.*", *rest)  # of one scan
+    held, by = ends.join(selected, "selected", "left_semi"), "partner"
+    if layout is not None:
+        held, by = held.join(layout.select(F.col("block_id").alias("partner"), "object_id"), "partner", "left"), "object_id"
+    own = held.join(conflicts.select("selected", by).distinct().withColumn("_c", F.lit(1)), ["selected", by], "left")
+    return own.select("selected", "partner", *rest, F.coalesce("_c", F.lit(0)).alias("tier"))
+
+
 def tiered_partners(links: DataFrame, selected: DataFrame, conflicts: DataFrame, k: int, layout: DataFrame | None = None) -> DataFrame:
     """selected, partner, score, tier and rank: the k best compatible partners (tier 0) and the k best conflicting ones (tier 1).
 
     ``links`` has source, target and score; ``selected`` selected; ``conflicts`` selected and partner or, with a layout, selected
     and object_id: then a partner conflicts if its object does, and nothing is spread over an object's blocks. Ties go to the smaller partner.
     """
-    ends = links.select(F.col("source").alias("selected"), F.col("target").alias("partner"), "score").unionByName(links.select(F.col("target").alias("selected"), F.col("source").alias("partner"), "score"))
-    held, by = ends.join(selected, "selected", "left_semi"), "partner"
-    if layout is not None:
-        held, by = held.join(layout.select(F.col("block_id").alias("partner"), "object_id"), "partner", "left"), "object_id"
-    own = held.join(conflicts.select("selected", by).distinct().withColumn("_c", F.lit(1)), ["selected", by], "left")
-    tier = own.withColumn("tier", F.coalesce("_c", F.lit(0)))
+    tier = tiers(links.select("source", "target", "score"), selected, conflicts, layout)
     rank = F.row_number().over(Window.partitionBy("selected", "tier").orderBy(F.col("score").desc(), "partner"))
     return tier.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("selected", "partner", "score", "tier", "rank")
 
 
-def placement_candidates(partners: DataFrame, boundaries: DataFrame) -> DataFrame:
+def placement_candidates(partners: DataFrame, boundaries: DataFrame, *also: str) -> DataFrame:
     """selected, object_id, left_id, right_id and orientation: both ways round, at every boundary beside a partner.
 
-    Boundaries that touch the selected block itself are left out.
+    Boundaries that touch the selected block itself are left out; ``also`` are further columns of boundaries.
     """
     beside = boundaries.select("*", F.explode(F.array_compact(F.array("left_id", "right_id"))).alias("partner"))
     hit = partners.select("selected", "partner").join(beside, "partner").filter(~F.col("left_id").eqNullSafe(F.col("selected")) & ~F.col("right_id").eqNullSafe(F.col("selected")))
-    once = hit.select("selected", "object_id", "left_id", "right_id").distinct()
+    once = hit.select("selected", "object_id", "left_id", "right_id", *also).distinct()
     return once.withColumn("orientation", F.explode(F.array(F.lit("+"), F.lit("-"))))
