@@ -87,6 +87,25 @@ def quadrants(cells: DataFrame, blocks: DataFrame, pairs: DataFrame, resolution:
     return shuffled(hit.groupBy("source", "target").agg(*[one(x, y) for x in "lr" for y in "lr"])).join(pairs.select("source", "target").distinct(), ["source", "target"])
 
 
+def end_contacts(cells: DataFrame, blocks: DataFrame, resolution: int, window: int, rows: int) -> DataFrame:
+    """source < target, ll, lr, rl and rr of cells between end windows of two blocks, to be summed by pair; as ``quadrants``.
+
+    ``cells`` are of x_bin <= y_bin and dealt by x_bin, as ``contacts.project`` gives them with the same ``rows``. A bin's part of both
+    windows is one row, and a cell gives a pair one row for all four contacts.
+    """
+    left, right = ("visual_start", f"least(visual_start + {window}, visual_end)"), (f"greatest(visual_end - {window}, visual_start)", "visual_end")
+    bins = lambda s, e: f"sequence({s} div {resolution}, ({e} - 1) div {resolution})"
+    part = lambda s, e: f"greatest(0, least({e}, (bin + 1) * {resolution}) - greatest({s}, bin * {resolution})) / {resolution}"
+    cut = blocks.filter("visual_start < visual_end").select("block_id", "visual_start", "visual_end", F.explode(F.expr(f"array_union({bins(*left)}, {bins(*right)})")).alias("bin"))
+    parts = cut.select("bin", "block_id", F.expr(part(*left)).alias("l"), F.expr(part(*right)).alias("r"))
+    side = lambda n: shuffled(dealt(parts.select(F.col("bin").alias(f"{n}_bin"), F.col("block_id").alias(f"b{n}"), F.col("l").alias(f"l{n}"), F.col("r").alias(f"r{n}")), rows, f"{n}_bin"))
+    met = dealt(cells.join(side("x"), "x_bin"), rows, "y_bin").join(side("y"), "y_bin").filter("bx <> by AND (x_bin <> y_bin OR bx < by)")
+    first = F.col("bx") < F.col("by")
+    value = lambda x, y: F.col("count") * F.col(x) * F.col(y)
+    crossed = lambda one, two: F.when(first, one).otherwise(two)
+    return met.select(F.least("bx", "by").alias("source"), F.greatest("bx", "by").alias("target"), value("lx", "ly").alias("ll"), crossed(value("lx", "ry"), value("rx", "ly")).alias("lr"), crossed(value("rx", "ly"), value("lx", "ry")).alias("rl"), value("rx", "ry").alias("rr"))
+
+
 def line_modes(cells: DataFrame, members: DataFrame, width: int, rows: int | None = None) -> DataFrame:
     """Per pair of blocks, orientation and mode: contacts along a diagonal or an anti-diagonal of width bases.
 
