@@ -143,12 +143,12 @@ def layout_impact(before: DataFrame, after: DataFrame) -> DataFrame:
     return gone.unionByName(new).groupBy("object_id").agg(F.countDistinct("block_id").alias("blocks"), F.countDistinct("source_id").alias("sources"))
 
 
-def tiers(links: DataFrame, selected: DataFrame, conflicts: DataFrame, layout: DataFrame | None = None) -> DataFrame:
-    """selected, partner, tier and the other columns of ``links`` (source, target) for both ends of each link; see ``tiered_partners``."""
+def tiers(links: DataFrame, selected: DataFrame | None, conflicts: DataFrame, layout: DataFrame | None = None) -> DataFrame:
+    """selected, partner, tier and the other columns of ``links`` (source, target) for both ends of each link, or with ``selected`` for those in it; see ``tiered_partners``."""
     rest = [c for c in links.columns if c not in ("source", "target")]
     end = lambda a, b: F.struct(F.col(a).alias("selected"), F.col(b).alias("partner"))
     ends = links.select(F.explode(F.array(end("source", "target"), end("target", "source"))).alias("_e"), *rest).select("_e.*", *rest)  # of one scan
-    held, by = ends.join(selected, "selected", "left_semi"), "partner"
+    held, by = ends if selected is None else ends.join(selected, "selected", "left_semi"), "partner"
     if layout is not None:
         held, by = held.join(layout.select(F.col("block_id").alias("partner"), "object_id"), "partner", "left"), "object_id"
     own = held.join(conflicts.select("selected", by).distinct().withColumn("_c", F.lit(1)), ["selected", by], "left")
