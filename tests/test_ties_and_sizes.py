@@ -113,6 +113,22 @@ def test_pairs_of_links_meet_no_sizes_after_they_are_summed(spark):
     assert all(r.normalized_per_mb2 == r.raw_count / (70 / 1e6 * (70 / 1e6)) for r in found.collect())
 
 
+def test_pairs_of_links_are_summed_in_squares_and_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "TILE_BINS", 2, raising=False)
+    placed = _placed(spark).withColumn("visual_end", F.col("visual_end") + F.when(F.col("block_id") == 2, 170).otherwise(0))  # over three squares of 50 bases
+    counts = {(x, y): float(1 + x * y % 7) for x in range(20) for y in range(x, 20)}
+    found = evidence.contact_links(spark.createDataFrame([(x, y, c) for (x, y), c in counts.items()], "x_bin long, y_bin long, count double"), placed, 25)
+    assert "hashpartitioning(source" not in _plan(found, "executedPlan") and "hashpartitioning(least" not in _plan(found, "executedPlan")
+    bases = {(r.block_id, k): max(0, min(r.visual_end, 25 * k + 25) - max(r.visual_start, 25 * k)) for r in placed.collect() for k in range(20)}
+    share = {(b, k): n / sum(m for (_, j), m in bases.items() if j == k) for (b, k), n in bases.items() if n}
+    plain = {}
+    for (x, y), c in counts.items():
+        for a, b in ((a, b) for a in range(6) for b in range(6) if a != b and (a, x) in share and (b, y) in share):
+            plain[min(a, b), max(a, b)] = plain.get((min(a, b), max(a, b)), 0.0) + c * share[a, x] * share[b, y]
+    rows = found.collect()
+    assert len(rows) == len(plain) and all(abs(plain[r.source, r.target] - r.raw_count) < 1e-9 for r in rows)
+
+
 def test_links_of_a_selection_form_no_other_pairs(spark):
     from strandloom.operators import evidence, navigation
 
